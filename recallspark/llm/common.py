@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
+
 #: ASCII white space as the operators' contracts define it: blank and \t..\r.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,3 +81,9 @@ def prefix_sum(df: DataFrame, group: str, order: list, value: str, out: str, buc
     local = marked.withColumn("__local", F.coalesce(F.sum(value).over(in_fine), F.lit(0)))
     joined = local.join(offsets, (F.col(group) == F.col("__g")) & (F.col("__fine") == F.col("__f")))
     return joined.withColumn(out, F.col("__local") + F.col("__off")).drop("__local", "__off", "__g", "__f", "__fine", "__coarse")
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package sent to the workers."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, fingerprint, language, mixing, near_dedup, packing
 
 QUERIES = {
+    "op2_sum_of_squares_packing": packing.op2_sum_of_squares_packing,
+    "op3_weighted_fingerprints": fingerprint.op3_weighted_fingerprints,
+    "op4_language_id": language.op4_language_id,
     "op5_source_mix": mixing.op5_source_mix,
+    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
