@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, language, mixing, near_dedup, packing
+from . import exact_dedup, fingerprint, language, licenses, mixing, near_dedup, packing, pii, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_sum_of_squares_packing": packing.op2_sum_of_squares_packing,
     "op3_weighted_fingerprints": fingerprint.op3_weighted_fingerprints,
     "op4_language_id": language.op4_language_id,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op5_source_mix": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
