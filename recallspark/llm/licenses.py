@@ -22,7 +22,7 @@ from .license_texts import TEMPLATES
 THRESHOLD = 0.8
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+(?=\S)")
-_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
 MATCH = "array<struct<license:string,dice:double,start:int,end:int>>"
 
