@@ -105,8 +105,8 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fingerprint string")
 
 
-_ROW = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_ROW_SQL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROW = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_ROW_SQL = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(text: str, following: str) -> str:
@@ -121,8 +121,8 @@ def _compare(texts: list[str], following: list[str], own: np.ndarray, other: np.
     columns = [
         [len(x) for x in texts],
         [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in new],
-        [x.tobytes().hex() for x in own],
-        [x.tobytes().hex() for x in changed],
+        [x.tobytes() for x in own],
+        [x.tobytes() for x in changed],
         likeness(own, changed),
         likeness(own, other),
     ]
@@ -191,7 +191,9 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     last = rows.filter("role = 'last'").select("doc_id", "text", F.col("range").alias("r"))
     edges = last.join(ranges, "r").join(first, "range").select("doc_id", "text", "next_text")
     edges = common.map_arrow(edges, _at_edges, f"doc_id {kind}, {_ROW_SQL}")
-    return rows.filter("role = 'row'").select(edges.columns).unionByName(edges)
+    found = rows.filter("role = 'row'").select(edges.columns).unionByName(edges)
+    # the table between holds bytes; hexadecimal digits, which take twice the room, are made at the end
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
