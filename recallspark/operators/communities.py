@@ -35,14 +35,14 @@ def _move(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
     """chat_id, key, community after local moves: in each round a part of the nodes, dealt by a hash, moves where modularity gains most.
 
     Neighbours' communities are summed by (node, community), so a hub is never gathered. Moves of one round are made at once; dealing the nodes out
-    keeps neighbours from swapping places. The run ends when ``3`` rounds, in which every node had its turn, change nothing.
+    keeps neighbours from swapping places. The run ends when two rounds, in which every node had its turn, change nothing.
     """
     ends = edges.select("chat_id", F.col("a").alias("key"), F.col("b").alias("other"), "weight")
     ends = ends.unionByName(edges.select("chat_id", F.col("b").alias("key"), F.col("a").alias("other"), "weight"))
     ends = ends.withColumn("weight", F.when(F.col("key") == F.col("other"), F.col("weight") / 2).otherwise(F.col("weight")))
     degree = _cut(ends.groupBy("chat_id", "key").agg(F.sum("weight").alias("k")))
     total = edges.groupBy("chat_id").agg(F.sum("weight").alias("m"))
-    member = _cut(degree.select("chat_id", "key", "k", F.col("key").alias("community")))
+    member = _cut(degree.join(total, "chat_id").select("chat_id", "key", "k", "m", F.col("key").alias("community")))
     quiet = 0
     for turn in range(rounds):
         volume = member.groupBy("chat_id", "community").agg(F.sum("k").alias("volume"))
@@ -50,18 +50,18 @@ def _move(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
         links = ends.filter("key <> other").join(theirs, ["chat_id", "other"]).groupBy("chat_id", "key", "c").agg(F.sum("weight").alias("w"))
         own = member.select("chat_id", "key", F.col("community").alias("c")).withColumn("w", F.lit(0.0))
         links = links.unionByName(own).groupBy("chat_id", "key", "c").agg(F.sum("w").alias("w"))
-        rows = links.join(member, ["chat_id", "key"]).join(volume.withColumnRenamed("community", "c"), ["chat_id", "c"]).join(total, "chat_id")
+        rows = links.join(member, ["chat_id", "key"]).join(volume.withColumnRenamed("community", "c"), ["chat_id", "c"])
         rest = F.col("volume") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("k") * rest / (2 * F.col("m")), 9)
         best = rows.groupBy("chat_id", "key").agg(
-            F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("community")).alias("stay"), F.col("c"))).alias("b"), F.first("community").alias("community"), F.first("k").alias("k")
+            F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("community")).alias("stay"), F.col("c"))).alias("b"), F.first("community").alias("community"), F.first("k").alias("k"), F.first("m").alias("m")
         )
-        due = F.pmod(F.xxhash64("key", F.lit(turn // 3)), F.lit(3)) == turn % 3
-        moved = best.select("chat_id", "key", "k", F.when(due, F.col("b.c")).otherwise(F.col("community")).alias("community"), (due & (F.col("b.c") != F.col("community"))).alias("changed"))
+        due = F.pmod(F.xxhash64("key", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        moved = best.select("chat_id", "key", "k", "m", F.when(due, F.col("b.c")).otherwise(F.col("community")).alias("community"), (due & (F.col("b.c") != F.col("community"))).alias("changed"))
         member = _cut(moved)
         quiet = 0 if not member.filter("changed").isEmpty() else quiet + 1
         member = member.drop("changed")
-        if quiet == 3:
+        if quiet == 2:
             break
     return member.select("chat_id", "key", "community")
 

@@ -32,9 +32,8 @@ def sentiment(summary: Column) -> Column:
 
     Phrases count at their first place only.
     """
-    found = text.words(summary)
 
-    def count(words: list[str], phrases: list[str]) -> Column:
+    def count(found: Column, words: list[str], phrases: list[str]) -> Column:
         def hit(word: Column, i: Column) -> Column:
             near = F.slice(found, F.greatest(F.lit(1), i + 1 - WINDOW), F.least(i, F.lit(WINDOW)))
             return F.when(word.isin(*words), ~F.exists(near, lambda n: n.isin(*NEGATORS))).otherwise(False)
@@ -45,10 +44,14 @@ def sentiment(summary: Column) -> Column:
             at = F.instr(padded, f" {phrase} ")
             before = F.filter(F.split(F.trim(F.substr(padded, F.lit(1), at)), " "), lambda w: w != "")
             near = F.slice(before, F.greatest(F.lit(1), F.size(before) - WINDOW + 1), F.lit(WINDOW))
-            total = total + F.when((at > 0) & ~F.exists(near, lambda n: n.isin(*NEGATORS)), 1).otherwise(0)
+            total = total + F.when(at > 0, (~F.exists(near, lambda n: n.isin(*NEGATORS))).cast("int")).otherwise(0)
         return total
 
-    return F.when(F.length(F.coalesce(summary, F.lit(""))) == 0, F.lit("neutral")).otherwise(_verdict(count(POSITIVE, POSITIVE_PHRASES), count(NEGATIVE, NEGATIVE_PHRASES)))
+    def of(found: Column) -> Column:
+        return _verdict(count(found, POSITIVE, POSITIVE_PHRASES), count(found, NEGATIVE, NEGATIVE_PHRASES))
+
+    # the array of one gives the words a name, so that they are found once and not for every word again
+    return F.when(F.length(F.coalesce(summary, F.lit(""))) == 0, F.lit("neutral")).otherwise(F.element_at(F.transform(F.array(text.words(summary)), of), 1))
 
 
 def _verdict(good: Column, bad: Column) -> Column:

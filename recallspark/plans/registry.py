@@ -99,7 +99,7 @@ def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = lexical.weigh_terms(lexical.query_terms(first), idf, corpus)
     norm = lexical.normalized(lexical.bm25(weighted, posted, corpus)).select("chat_id", "id", "bm25_norm")
     rows = maintenance.active(_distance(mem)).join(norm, ["chat_id", "id"], "left")
-    rows = rows.withColumns({"query_id": F.lit(first.first()["query_id"]), "similarity": F.lit(None).cast("double")})
+    rows = rows.withColumns({"query_id": F.lit(first.first()["query_id"]).cast("long"), "similarity": F.lit(None).cast("double")})
     scored = scoring.score(rows).withColumn("score", F.round("score", 9))
     return rounded(scoring.best(scored, 20).select("query_id", "chat_id", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
@@ -281,8 +281,8 @@ _INSULTS = """mem2 AS (SELECT * REPLACE (CASE WHEN regexp_matches(lower(coalesce
 
 
 @query(f"""WITH {MEMORIES}, {_INSULTS}, {_mood_sql().replace("FROM mem)", "FROM mem2)")},
-g AS (SELECT chat_id, id, mood, extraction_count AS at, array_to_string(list_sort(list_transform(characters, lambda c: trim(lower(c)))), '|') AS grp FROM mood WHERE mood <> 'neutral'),
-n AS (SELECT chat_id, grp, max(at) FILTER (mood = 'positive') AS p, max(at) FILTER (mood = 'negative') AS q FROM g GROUP BY ALL)
+g AS (SELECT chat_id, id, mood, extraction_count AS tm, array_to_string(list_sort(list_transform(characters, lambda c: trim(lower(c)))), '|') AS grp FROM mood WHERE mood <> 'neutral'),
+n AS (SELECT chat_id, grp, max(tm) FILTER (mood = 'positive') AS p, max(tm) FILTER (mood = 'negative') AS q FROM g GROUP BY ALL)
 SELECT g.chat_id, id FROM g JOIN n ON n.chat_id = g.chat_id AND n.grp = g.grp WHERE (p > q AND mood = 'negative') OR (q > p AND mood = 'positive')""")
 def contradiction_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories that a newer one about the same characters overrules; texts with certain words are told as hostile or friendly."""
@@ -324,10 +324,10 @@ p AS (SELECT a.chat_id, a.id AS first, b.id AS second, len(list_intersect(a.w, b
       len(list_intersect(a.characters, b.characters)) AS ci, len(list_distinct(list_concat(a.characters, b.characters))) AS cu
       FROM w a JOIN w b ON a.chat_id = b.chat_id AND a.type = b.type AND b.rn BETWEEN a.rn + 1 AND a.rn + 14)
 SELECT chat_id, first, second, round(i / (n + m - i)::DOUBLE, 6) AS overlap FROM p
-WHERE n > 0 AND m > 0 AND i / (n + m - i)::DOUBLE >= 0.25 AND i / (n + m - i)::DOUBLE < 0.6 AND ci / cu::DOUBLE >= 0.3""")
+WHERE n > 0 AND m > 0 AND i / (n + m - i)::DOUBLE >= 0.05 AND i / (n + m - i)::DOUBLE < 0.6 AND ci / cu::DOUBLE >= 0.3""")
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring memories that share some words but not most: pairs for a second look."""
-    return rounded(dedup.review_pairs(memories(spark, sf_dir).withColumn("message_id", F.col("extraction_count"))), "overlap")
+    return rounded(dedup.review_pairs(memories(spark, sf_dir).withColumn("message_id", F.col("extraction_count")), low=0.05), "overlap")
 
 
 # ---- graph
@@ -397,7 +397,7 @@ def trade_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("w")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("w").alias("w"))
     rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = rows.groupBy(F.concat(F.lit("b"), "c_nationkey").alias("source"), F.concat(F.lit("s"), "s_nationkey").alias("target")).agg(F.sum("w").alias("weight"))
-    return communities.detect(graph.undirected(_chat(edges)), rounds=12).select("key", "community")
+    return communities.detect(graph.undirected(_chat(edges)), levels=2, rounds=6).select("key", "community")
 
 
 # ---- reflections and characters
@@ -573,10 +573,10 @@ def memory_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.page(mem, [F.desc("importance"), F.col("ord")], 2).select("id", "chat_id", F.col("importance").cast("long").alias("importance"))
 
 
-@query(f"""WITH {MEMORIES}, m AS (SELECT chat_id, id, [id - 1, id - 2, id - 3] AS src FROM mem)
-SELECT chat_id, id, array_to_string(list_filter(src, lambda s: NOT (s % 4 = 0 AND s IN (SELECT id FROM mem m2 WHERE m2.chat_id = m.chat_id))), ',') AS source_ids FROM m WHERE id % 4 <> 0""".replace(
-    "list_filter(src, lambda s: NOT (s % 4 = 0 AND s IN (SELECT id FROM mem m2 WHERE m2.chat_id = m.chat_id)))",
-    "list_filter(src, lambda s: NOT list_contains((SELECT list(id) FROM mem m2 WHERE m2.chat_id = m.chat_id AND m2.id % 4 = 0), s))"))
+@query(f"""WITH {MEMORIES}, m AS (SELECT chat_id, id, unnest([1, 2, 3]) AS p FROM mem WHERE id % 4 <> 0),
+k AS (SELECT m.chat_id, m.id, p, m.id - p AS s FROM m LEFT JOIN mem g ON g.chat_id = m.chat_id AND g.id = m.id - p AND g.id % 4 = 0 WHERE g.id IS NULL)
+SELECT mem.chat_id, mem.id, coalesce(string_agg(s::VARCHAR, ',' ORDER BY p), '') AS source_ids
+FROM mem LEFT JOIN k ON k.chat_id = mem.chat_id AND k.id = mem.id WHERE mem.id % 4 <> 0 GROUP BY mem.chat_id, mem.id""")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories after every fourth is deleted, with what their source lists still hold."""
     mem = memories(spark, sf_dir).select("chat_id", "id", F.array(F.col("id") - 1, F.col("id") - 2, F.col("id") - 3).alias("source_ids"))
@@ -636,14 +636,14 @@ def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
 s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
-SELECT user_id, k::BIGINT AS session, count(*) AS n, (epoch_ms(max(ts)) - epoch_ms(min(ts)))::BIGINT AS millis FROM s GROUP BY ALL""")
+SELECT user_id, k::BIGINT AS session, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS micros FROM s GROUP BY ALL""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user: runs of events at most half an hour apart."""
     order = Window.partitionBy("user_id").orderBy("ts")
     events = read(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
     gap = F.coalesce((F.col("ts") - F.lag("ts").over(order)) > 30 * 60 * 1_000_000, F.lit(True)).cast("int")
     marked = events.withColumn("new", gap).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), (F.floor(F.max("ts") / 1000) - F.floor(F.min("ts") / 1000)).alias("millis"))
+    return marked.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), (F.max("ts") - F.min("ts")).alias("micros"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
