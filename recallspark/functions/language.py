@@ -151,7 +151,7 @@ def _cut(word: str, rv: int, plain, after_a=()) -> str | None:
 
 
 def stem_russian(word: str) -> str:
-    """The published Russian algorithm, for lower-case words of Cyrillic letters; a stem of under two letters is refused."""
+    """The published Russian algorithm, for lower-case words of Cyrillic letters; a stem of under three letters is refused."""
     whole = word = word.replace("ё", "е")
     found = re.search(f"[{_RU_VOWELS}]", word)
     rv = found.end() if found else len(word)
@@ -186,7 +186,10 @@ def stem_russian(word: str) -> str:
         word = word[:-1]
     elif word.endswith("ь") and len(word) - 1 >= rv:
         word = word[:-1]
-    return word if len(word) >= 2 else whole
+    if len(word) < 3 < len(whole):  # the stem lost its meaning: take a case ending off only
+        noun = _cut(whole, rv, _NOUN)
+        word = noun if noun is not None and len(noun) > 2 else whole
+    return word
 
 
 def stem_word(word: str) -> str:

@@ -50,8 +50,10 @@ def sentiment(summary: Column) -> Column:
     def of(found: Column) -> Column:
         return _verdict(count(found, POSITIVE, POSITIVE_PHRASES), count(found, NEGATIVE, NEGATIVE_PHRASES))
 
-    # the array of one gives the words a name, so that they are found once and not for every word again
-    return F.when(F.length(F.coalesce(summary, F.lit(""))) == 0, F.lit("neutral")).otherwise(F.element_at(F.transform(F.array(text.words(summary)), of), 1))
+    # Most texts have no word of either list, which one pass tells. The array of one gives the words a name, so that they are not found for every word again.
+    single = sorted({w for p in [*POSITIVE, *NEGATIVE, *POSITIVE_PHRASES, *NEGATIVE_PHRASES] for w in p.split(" ")})
+    some = F.arrays_overlap(text.words(summary), F.array(*[F.lit(w) for w in single]))
+    return F.when(some, F.element_at(F.transform(F.array(text.words(summary)), of), 1)).otherwise(F.lit("neutral"))
 
 
 def _verdict(good: Column, bad: Column) -> Column:

@@ -224,8 +224,8 @@ def resolve_entities(new: DataFrame, nodes: DataFrame, settings: Settings = DEFA
     rows = new.withColumn("key", text.entity_key(F.col("name"))).dropDuplicates(["chat_id", "key"])
     exact = rows.join(nodes.select("chat_id", "key"), ["chat_id", "key"], "left_semi").select("chat_id", "name", "key", F.lit("exact").alias("stage"))
     left = rows.join(exact.select("chat_id", "key"), ["chat_id", "key"], "left_anti")
-    script = name_candidates(left, nodes).groupBy("chat_id", F.col("name").alias("own")).agg(F.min(F.struct("distance", "key")).alias("m"))
-    script = left.join(script, (left.chat_id == script.chat_id) & (left.key == script.own)).select(left.chat_id, "name", F.col("m.key").alias("key"), F.lit("script").alias("stage"))
+    script = name_candidates(left, nodes).groupBy("chat_id", "name").agg(F.min(F.struct("distance", "key")).alias("m")).select("chat_id", F.col("name").alias("key"), F.col("m.key").alias("to"))
+    script = left.select("chat_id", "name", "key").join(script, ["chat_id", "key"]).select("chat_id", "name", F.col("to").alias("key"), F.lit("script").alias("stage"))
     left = left.join(script.select("chat_id", "name"), ["chat_id", "name"], "left_anti")
     a = left.select("chat_id", "name", F.col("key").alias("own"), "type", F.col("embedding").alias("va"), F.explode(text.plain_words(F.col("key"))).alias("word"))
     b = nodes.select("chat_id", "key", "type", F.col("embedding").alias("vb"), F.explode(text.plain_words(F.col("key"))).alias("word"))

@@ -16,10 +16,11 @@ def postings(memories: DataFrame, stem=None) -> DataFrame:
     return rows.groupBy("chat_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_size(memories: DataFrame, stem=None) -> DataFrame:
+def corpus_size(memories: DataFrame, posted: DataFrame) -> DataFrame:
     """chat_id, n_docs, avg_dl of all memories; those without terms count."""
-    dl = F.size(text.tokens(F.col("summary"), stem))
-    return memories.select("chat_id", dl.alias("dl")).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    docs = memories.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    terms = posted.groupBy("chat_id").agg(F.sum("tf").alias("terms"))
+    return docs.join(terms, "chat_id", "left").select("chat_id", "n_docs", (F.coalesce("terms", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
 
 
 def idf_table(posted: DataFrame, corpus: DataFrame) -> DataFrame:

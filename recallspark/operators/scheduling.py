@@ -8,9 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LOG = Window.partitionBy("chat_id").orderBy("idx")
-SO_FAR = LOG.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = LOG.rowsBetween(Window.unboundedPreceding, -1)
+
+def _log():
+    return Window.partitionBy("chat_id").orderBy("idx")
+
+
+def _so_far():
+    return _log().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before():
+    return _log().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def unprocessed(messages: DataFrame, done: DataFrame, include_latest: bool = False) -> DataFrame:
@@ -25,14 +33,14 @@ def unprocessed(messages: DataFrame, done: DataFrame, include_latest: bool = Fal
 def turns(messages: DataFrame) -> DataFrame:
     """chat_id, turns: answers that follow at least one message of the user."""
     rows = messages.filter(~F.col("is_system"))
-    asked = F.lag("is_user").over(LOG)
+    asked = F.lag("is_user").over(_log())
     return rows.withColumn("turn", (~F.col("is_user")) & F.coalesce(asked, F.lit(False))).groupBy("chat_id").agg(F.sum(F.col("turn").cast("long")).alias("turns"))
 
 
 def boundaries(messages: DataFrame) -> DataFrame:
     """Messages with ``boundary``: an answer after which the user speaks or nothing follows. System rows are passed over."""
     rows = messages.filter(~F.col("is_system"))
-    return rows.withColumn("boundary", ~F.col("is_user") & F.coalesce(F.lead("is_user").over(LOG), F.lit(True)))
+    return rows.withColumn("boundary", ~F.col("is_user") & F.coalesce(F.lead("is_user").over(_log()), F.lit(True)))
 
 
 def snap(messages: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def token_batches(messages: DataFrame, budget: int) -> DataFrame:
 
 def frozen_prefix(messages: DataFrame, answers: int) -> DataFrame:
     """chat_id, frozen_until: the message with the n-th answer; the chat's start is never hidden before it."""
-    n = F.sum((~F.col("is_user") & ~F.col("is_system")).cast("int")).over(SO_FAR)
+    n = F.sum((~F.col("is_user") & ~F.col("is_system")).cast("int")).over(_so_far())
     return messages.withColumn("n", n).filter(F.col("n") >= answers).groupBy("chat_id").agg(F.min("idx").alias("frozen_until"))
 
 
@@ -81,8 +89,8 @@ def to_hide(messages: DataFrame, token_budget: int, keep: int) -> DataFrame:
     rows = rows.withColumns({
         "excess_tokens": F.sum("n_tokens").over(whole) - token_budget,
         "excess_rows": F.count(F.lit(1)).over(whole) - keep,
-        "before_tokens": F.coalesce(F.sum("n_tokens").over(BEFORE), F.lit(0)),
-        "before_rows": F.count(F.lit(1)).over(BEFORE),
+        "before_tokens": F.coalesce(F.sum("n_tokens").over(_before()), F.lit(0)),
+        "before_rows": F.count(F.lit(1)).over(_before()),
     })
     return rows.filter((F.col("before_tokens") < F.col("excess_tokens")) | (F.col("before_rows") < F.col("excess_rows"))).select("chat_id", "idx", "n_tokens")
 

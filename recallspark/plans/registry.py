@@ -67,7 +67,8 @@ def _distance(mem: DataFrame) -> DataFrame:
 
 def _corpus(spark: SparkSession, sf_dir: str):
     mem = memories(spark, sf_dir)
-    posted, corpus = lexical.postings(mem), lexical.corpus_size(mem)
+    posted = lexical.postings(mem)
+    corpus = lexical.corpus_size(mem, posted)
     return mem, posted, corpus, lexical.idf_table(posted, corpus)
 
 
@@ -305,11 +306,11 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(summar
 
 @query(f"""WITH {MEMORIES}, w AS (SELECT chat_id, id, {_WORDS} AS w FROM mem),
 p AS (SELECT a.chat_id, a.id AS l, b.id AS r, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m FROM w a JOIN w b ON a.chat_id = b.chat_id AND a.id < b.id)
-SELECT chat_id, l, r, round(i / (n + m - i)::DOUBLE, 6) AS similarity FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.6""")
+SELECT chat_id, l, r, i / (n + m - i)::DOUBLE AS similarity FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.6""")
 def similar_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of memories of a chat with word sets of a Jaccard similarity of 0.6 or more."""
     sets = memories(spark, sf_dir).select("chat_id", "id", text.plain_words(F.col("summary")).alias("words"))
-    return rounded(dedup.shared_word_candidates(sets, sets, 0.6).filter("l < r"), "similarity")
+    return dedup.shared_word_candidates(sets, sets, 0.6).filter("l < r")
 
 
 @query()
@@ -323,11 +324,11 @@ def dedup_within_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT a.chat_id, a.id AS first, b.id AS second, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m,
       len(list_intersect(a.characters, b.characters)) AS ci, len(list_distinct(list_concat(a.characters, b.characters))) AS cu
       FROM w a JOIN w b ON a.chat_id = b.chat_id AND a.type = b.type AND b.rn BETWEEN a.rn + 1 AND a.rn + 14)
-SELECT chat_id, first, second, round(i / (n + m - i)::DOUBLE, 6) AS overlap FROM p
+SELECT chat_id, first, second, i / (n + m - i)::DOUBLE AS overlap FROM p
 WHERE n > 0 AND m > 0 AND i / (n + m - i)::DOUBLE >= 0.05 AND i / (n + m - i)::DOUBLE < 0.6 AND ci / cu::DOUBLE >= 0.3""")
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring memories that share some words but not most: pairs for a second look."""
-    return rounded(dedup.review_pairs(memories(spark, sf_dir).withColumn("message_id", F.col("extraction_count")), low=0.05), "overlap")
+    return dedup.review_pairs(memories(spark, sf_dir).withColumn("message_id", F.col("extraction_count")), low=0.05)
 
 
 # ---- graph
