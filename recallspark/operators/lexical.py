@@ -9,18 +9,22 @@ from ..config import DEFAULTS, Settings
 from ..functions import text
 
 
-def postings(memories: DataFrame, stem=None) -> DataFrame:
-    """chat_id, id, term, tf, dl: how often a term occurs in a memory, and the memory's length in terms."""
+def postings(memories: DataFrame, terms: DataFrame | None = None, stem=None) -> DataFrame:
+    """chat_id, id, term, tf, dl: how often a term occurs in a memory, and the memory's length in terms.
+
+    Where only the terms of some queries are asked for, the others are left out before anything is shuffled.
+    """
     rows = memories.select("chat_id", "id", text.tokens(F.col("summary"), stem).alias("tokens"))
     rows = rows.select("chat_id", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chat_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_size(memories: DataFrame, posted: DataFrame) -> DataFrame:
+def corpus_size(memories: DataFrame, stem=None) -> DataFrame:
     """chat_id, n_docs, avg_dl of all memories; those without terms count."""
-    docs = memories.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    terms = posted.groupBy("chat_id").agg(F.sum("tf").alias("terms"))
-    return docs.join(terms, "chat_id", "left").select("chat_id", "n_docs", (F.coalesce("terms", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
+    dl = F.size(text.tokens(F.col("summary"), stem))
+    return memories.select("chat_id", dl.alias("dl")).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def idf_table(posted: DataFrame, corpus: DataFrame) -> DataFrame:

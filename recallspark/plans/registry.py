@@ -65,10 +65,9 @@ def _distance(mem: DataFrame) -> DataFrame:
     return mem.withColumn("distance", F.lit(now.first()[0] or 0) - F.col("extraction_count"))
 
 
-def _corpus(spark: SparkSession, sf_dir: str):
+def _corpus(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None):
     mem = memories(spark, sf_dir)
-    posted = lexical.postings(mem)
-    corpus = lexical.corpus_size(mem, posted)
+    posted, corpus = lexical.postings(mem, terms), lexical.corpus_size(mem)
     return mem, posted, corpus, lexical.idf_table(posted, corpus)
 
 
@@ -95,9 +94,10 @@ SELECT query_id, chat_id, id, round(round(score, 9), 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY round(score, 9) DESC, ord) AS rank FROM s) WHERE rank <= 20""")
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best memories of each chat for the first benchmark item: BM25, decay, frequency, in two passes."""
-    mem, posted, corpus, idf = _corpus(spark, sf_dir)
     first = _items(spark, sf_dir).orderBy("query_id").limit(1)
-    weighted = lexical.weigh_terms(lexical.query_terms(first), idf, corpus)
+    terms = lexical.query_terms(first)
+    mem, posted, corpus, idf = _corpus(spark, sf_dir, terms)
+    weighted = lexical.weigh_terms(terms, idf, corpus)
     norm = lexical.normalized(lexical.bm25(weighted, posted, corpus)).select("chat_id", "id", "bm25_norm")
     rows = maintenance.active(_distance(mem)).join(norm, ["chat_id", "id"], "left")
     rows = rows.withColumns({"query_id": F.lit(first.first()["query_id"]).cast("long"), "similarity": F.lit(None).cast("double")})
@@ -116,8 +116,9 @@ SELECT query_id, chat_id, id, round(round(bm25, 9), 6) AS bm25, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark item the five best memories of each chat by BM25."""
-    _, posted, corpus, idf = _corpus(spark, sf_dir)
-    found = lexical.bm25(lexical.weigh_terms(lexical.query_terms(_items(spark, sf_dir)), idf, corpus), posted, corpus).withColumn("bm25", F.round("bm25", 9))
+    terms = lexical.query_terms(_items(spark, sf_dir))
+    _, posted, corpus, idf = _corpus(spark, sf_dir, terms)
+    found = lexical.bm25(lexical.weigh_terms(terms, idf, corpus), posted, corpus).withColumn("bm25", F.round("bm25", 9))
     best = ranking.top_n(found, ["query_id", "chat_id"], [F.desc("bm25"), F.col("id")], 5)
     return rounded(best.withColumn("rank", F.col("rank").cast("long")), "bm25")
 

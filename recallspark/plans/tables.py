@@ -10,9 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores where a table comes in fewer partitions than there are cores; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as memories: a chat for each source, a clock that runs with doc_id."""
-    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    d, i = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")), F.col("doc_id")
     toxic = read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("archived"))
     return d.join(toxic, "doc_id", "left").select(
         F.coalesce("source", F.lit("none")).alias("chat_id"),
