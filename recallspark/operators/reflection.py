@@ -39,7 +39,7 @@ def levels(new: DataFrame, memories: DataFrame, settings: Settings = DEFAULTS) -
     parents = new.select("chat_id", "id", F.explode("parent_ids").alias("parent")).join(memories.select("chat_id", F.col("id").alias("parent"), "level"), ["chat_id", "parent"])
     top = parents.groupBy("chat_id", "id").agg(F.max(F.coalesce("level", F.lit(1))).alias("top"))
     level = F.least(F.lit(settings.reflection_levels), 1 + F.col("top"))
-    return new.join(top, ["chat_id", "id"], "left").withColumn("level", F.coalesce(level, F.lit(1))).drop("top")
+    return new.join(top, ["chat_id", "id"], "left").withColumn("level", F.when(F.col("top").isNotNull(), level).otherwise(F.lit(1))).drop("top")
 
 
 def candidates(memories: DataFrame, limit: int = 50) -> DataFrame:
