@@ -444,6 +444,43 @@ def test_license_pruning_loses_nothing():
         assert (got is not None) == (best >= 0.8) and (got is None or abs(got[1] - best) < 1e-12)
 
 
+def test_licenses_across_sentences_lines_and_paragraphs():
+    """A text in its usual layout, with blank lines, and inside the prose of one paragraph."""
+    scanner = licenses.Scanner()
+    prose = "We walked along the river and talked about the weather for a while. " * 5
+    for name, text in licenses.TEMPLATES:
+        plain = re.sub(r"\s+", " ", text)
+        marked = re.sub(r"(?<=[.:]) (?=\S)", "\n\n", plain)
+        for within in (marked, plain):
+            for before, after in (("", ""), (prose + "\n\n", "\n\n" + prose), (prose, " " + prose)):
+                whole = before + within + after
+                (found,) = scanner.scan(whole)
+                assert found[:2] == (name, 1.0) and whole[found[2] : found[3]].split() == within.split()
+
+
+def test_license_runs_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    scanner = licenses.Scanner()
+    made = [(licenses.bigrams(licenses.words(t)), name) for name, t in licenses.TEMPLATES]
+    for _ in range(5):
+        text = []
+        for _ in range(3):
+            words = licenses.TEMPLATES[int(rng.integers(len(licenses.TEMPLATES)))][1].split()
+            words = [w if rng.random() > 0.04 else "zzz" for w in words]
+            text += [w + ("" if rng.random() > 0.2 else "\n" if rng.random() < 0.5 else ".\n\n") for w in words] + ["Prose of ours. "] * int(rng.integers(0, 3))
+        pieces = [p for s, e in scanner._pieces(" ".join(text)) if (p := licenses.words(" ".join(text)[s:e]))]
+        expected = set()
+        for i in range(len(pieces)):
+            run = []
+            for j in range(i, len(pieces)):
+                run += pieces[j]
+                own = licenses.bigrams(run)
+                expected |= {(name, round(d, 9), i, j) for b, name in made if (d := licenses.dice(own, b)) >= 0.8 - 1e-12}
+                if len(run) > 400:
+                    break
+        assert {(r[3], round(r[1], 9), r[4], r[5]) for r in scanner._runs(pieces)} == expected
+
+
 def luhn(digits):
     d = [int(c) for c in digits][::-1]
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
