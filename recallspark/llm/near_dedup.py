@@ -1,9 +1,9 @@
 """Near-duplicate groups by MinHash.
 
-1. A text's set of word shingles gives ``BANDS * ROWS`` universal hash minima.
+1. A text's set of word shingles gives ``bands * ROWS`` universal hash minima.
    Documents with equal sets form a class, which its smallest doc_id stands for.
-2. Minima are banded; representatives that share a band are candidates. A pair at
-   similarity 0.85 misses every band with a chance of (1 - 0.85^5)^24 = 8e-7.
+2. Minima are banded; representatives that share a band are candidates. There are as many bands as it takes
+   that a pair at the threshold misses all with a chance of 1e-6 at most: 24 at 0.85, 35 at 0.8.
 3. A shingle that no other candidate has can't be shared, which bounds how much
    a candidate can share at all; those that can't reach the threshold with the smallest
    set of a bucket leave it. The bound is exact, nothing else is dropped.
@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,13 +28,21 @@ from pyspark.sql import functions as F
 from . import common, textvec
 from .components import connected_components
 
-WIDTH, BANDS, ROWS = 5, 24, 5
-#: A pair is verified on full sets if its signatures agree this much less than the threshold: over six standard deviations.
+WIDTH, ROWS = 5, 5
+#: A pair is verified on full sets if its signatures agree this much less than the threshold: over six standard deviations at 0.8 and 0.85.
 SLACK = 0.2
+#: The greatest chance that a pair at the threshold shares no band.
+MISS = 1e-6
 #: Members of a block when a bucket is compared in blocks.
 BLOCK = 128
 
 
+def bands_for(percent: int) -> int:
+    """The fewest bands by which a pair at the threshold is missed with a chance of MISS at most."""
+    hit = (percent / 100) ** ROWS
+    return math.ceil(math.log(MISS) / math.log1p(-hit)) if hit < 1 else 1
+
+
 def _universal(count: int, seed: int = 4711) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     a = rng.integers(0, 1 << 64, (count, 1), dtype=np.uint64, endpoint=False) | np.uint64(1)
@@ -50,9 +59,9 @@ def signature(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketcher(width: int):
+def _sketcher(width: int, bands: int):
     def sketch(parts):
-        a, b = _universal(BANDS * ROWS)
+        a, b = _universal(bands * ROWS)
         for part in parts:
             n, key, sig = [], [], []
             for items in textvec.shingle_sets(part.column(1), width):
@@ -76,10 +85,10 @@ def _setter(width: int):
     return sets
 
 
-def _agreeing(threshold: float):
+def _agreeing(threshold: float, bands: int):
     def agreeing(parts):
         for part in parts:
-            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(-1, bands * ROWS) for i in (2, 3))
             keep = (x == y).mean(axis=1) >= threshold
             yield part.select([0, 1]).filter(pa.array(keep))
 
@@ -138,16 +147,16 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
     shingles and are linked with nothing. Null doc_ids are linked with nothing: their component is null and
     they are kept. Rows that repeat a doc_id count as one node. Other columns are ignored.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, n_bands = dict(docs.dtypes)["doc_id"], bands_for(percent)
     docs = docs.select("doc_id", "text")
     sketches = common.materialize(
-        common.map_arrow(docs, _sketcher(width), f"doc_id {kind}, n long, key binary, sig binary"), "minhash"
+        common.map_arrow(docs, _sketcher(width, n_bands), f"doc_id {kind}, n long, key binary, sig binary"), "minhash"
     )
     classes = common.materialize(
         sketches.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
     )
     standing = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"], "left_semi")
-    bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)]))
+    bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(n_bands)]))
     banded = common.materialize(standing.select(F.col("doc_id").alias("rep"), "n", bands.alias("band")), "bands")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
     members = common.materialize(banded.join(shared, "band"), "members")
@@ -169,7 +178,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
     pairs = members.filter("rep <> pivot").select("pivot", "rep").distinct()
     sigs = sketches.select(F.col("doc_id").alias("rep"), "sig").filter("sig is not null")
     pairs = pairs.join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("sig2")), "pivot")
-    pairs = common.map_arrow(pairs.select("pivot", "rep", "sig", "sig2"), _agreeing(percent / 100 - SLACK), f"pivot {kind}, rep {kind}")
+    pairs = common.map_arrow(pairs.select("pivot", "rep", "sig", "sig2"), _agreeing(percent / 100 - SLACK, n_bands), f"pivot {kind}, rep {kind}")
     items = sets.select("rep", "items")
     pairs = common.materialize(pairs, "agreeing").join(items, "rep").join(items.select(F.col("rep").alias("pivot"), F.col("items").alias("items2")), "pivot")
     pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "items", "items2")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from recallspark.llm import common, components, exact_dedup, fingerprint, language, licenses, mixing, near_dedup, packing, pii, textvec, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, keep_id string, digest int, label double, row int"
@@ -146,6 +147,17 @@ def test_near_dedup_threshold_is_exact(spark):
     check_components(near_dedup.near_duplicate_components(spark.createDataFrame(data, "doc_id long, text string")), data)
 
 
+def test_pipeline_links_from_four_fifths_on(spark):
+    """180 of 220 shingles in common: near copies in the pipeline, but not at op6's 0.85. 175 of 225 are in neither."""
+    base = [f"w{i}" for i in range(204)]
+    data = [(0, " ".join(base)), (1, " ".join("x" if i in (20, 60, 100, 140) else w for i, w in enumerate(base)))]
+    data += [(2, " ".join(f"v{i}" for i in range(204))), (3, " ".join(f"v{i}" if i % 35 or not i else "y" for i in range(204)))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 2, 3}
+    assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == {0, 1, 2, 3}
+    assert [near_dedup.bands_for(p) for p in (80, 85, 100)] == [35, 24, 1]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
