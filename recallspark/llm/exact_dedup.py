@@ -103,10 +103,21 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), "text_sha256")
-    gone = gone.select("__gone").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The documents that stay, one of each group of equal texts, with all their columns.
+
+    A decision belongs to a row's doc_id, which may be null, and its text. Of rows that repeat both, any one stays.
+    """
+    decided = exact_duplicates(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(
+        F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")
+    )
+    decided = common.materialize(decided.filter("not __kept or __n > 1"), "digest-decided")
+    again = decided.filter("__kept").select("__id", "__sha")
+    marked = docs.withColumn("__text_sha", F.sha2(normalized(F.col("text")), 256))
+    same_row = common.same(F.col("doc_id"), F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
+    stays = marked.join(decided.select("__id", "__sha"), same_row, "left_anti")
+    if not again.isEmpty():
+        stays = stays.unionByName(marked.join(again, same_row, "left_semi").dropDuplicates(["doc_id", "__text_sha"]))
+    return stays.drop("__text_sha")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,9 +211,20 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    gone = near_duplicate_components(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents that stay, one of each component, with all their columns.
+
+    Each row is a node of its own: where doc_ids are null or repeated, rows are numbered in their order, nulls last, and numbers stand for doc_ids.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        gone = near_duplicate_components(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    # the text's hash and the row's place split the rows of one doc_id over tasks
+    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "__row").withColumn("__row", F.monotonically_increasing_id())
+    docs = common.materialize(docs, "numbered")
+    gone = near_duplicate_components(docs.select(F.col("__row").alias("doc_id"), "text"), percent).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["__row"] == gone["__gone"], "left_anti").drop("__row")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

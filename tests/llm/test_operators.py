@@ -79,6 +79,21 @@ def test_exact_dedup_null_ids(spark):
     )
 
 
+def test_drops_decide_by_row(spark):
+    """Null and repeated doc_ids: a text is lost only to an equal one that stays, and of equal rows one stays."""
+    data = [(None, "a"), (None, "b"), (2, "b"), (5, "x"), (3, "x"), (5, "y"), (7, "same"), (7, "same"), (None, "n"), (None, "n"), (9, None), (9, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    texts = {"a", "b", "x", "y", "same", "n", ""}
+    stays = exact_dedup.drop_exact_duplicates(docs)
+    assert stays.columns == docs.columns
+    assert sorted((r.text or "").strip() for r in stays.collect()) == sorted(texts)
+    assert {(r.doc_id, r.text) for r in stays.collect()} >= {(None, "a"), (2, "b"), (3, "x"), (5, "y"), (7, "same"), (None, "n")}
+    near = near_dedup.drop_near_duplicates(docs)
+    assert near.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in near.collect() if r.text), key=str)
+    assert got == sorted([(None, "a"), (2, "b"), (3, "x"), (5, "y"), (7, "same"), (None, "n")], key=str)
+
+
 def test_digest_index_takes_later_batches(spark):
     index = exact_dedup.DigestIndex(spark, common.new_path(spark, "t"))
     for first in (10, 0):
