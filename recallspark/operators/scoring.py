@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text, vector
 from . import ranking
+from .communities import _cut as cut
 
+#: Queries that are sent to every task at once.
 MAX_QUERIES = 10_000
 
+
 def importance(column="importance") -> Column:
     """Missing or 0 counts as 3."""
     return F.coalesce(F.nullif(F.col(column), F.lit(0)), F.lit(3))
@@ -89,11 +92,22 @@ def half_life(distance: Column, settings: Settings = DEFAULTS) -> dict[str, Colu
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float = 0.0) -> DataFrame:
     """query_id, id, similarity, place, proxy: the k vectors most like each query (query_id, query_vector).
 
-    A stated set of queries against all vectors: at most MAX_QUERIES, which is checked, so that it can be sent to every task. Each part of
-    the vectors is cut to k before the parts meet.
+    Queries are sent to every task. More than MAX_QUERIES are dealt by a hash of query_id into blocks of half as many on average, and
+    each block in turn is run against all vectors and written. Each part of the vectors is cut to k before the parts meet.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries at once")
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return _nearest(vectors, queries, k, at_least)
+    blocks = -(-2 * n // MAX_QUERIES)
+    numbered = cut(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    found = None
+    for i in range(blocks):
+        block = cut(_nearest(vectors, numbered.filter(F.col("__block") == i).drop("__block"), k, at_least))
+        found = block if found is None else found.unionByName(block)
+    return found
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float) -> DataFrame:
     pairs = vectors.select("id", "embedding").join(F.broadcast(queries), F.lit(True))
     pairs = pairs.select("query_id", "id", vector.cosine(F.col("embedding"), F.col("query_vector")).alias("similarity"))
     found = ranking.top_n(pairs.filter(F.col("similarity") >= at_least), ["query_id"], [F.desc("similarity"), F.col("id")], k, "place")

@@ -532,3 +532,11 @@ def test_contexts(spark):
 
 def test_logarithm_of_the_settings():
     assert math.isclose(DEFAULTS.scene_share + DEFAULTS.entity_share + DEFAULTS.world_share, 1)
+
+
+def test_nearest_runs_more_queries_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5 + 1), float(i % 3)]) for i in range(40)], "id long, embedding array<double>")
+    queries = vectors.filter("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = sorted(map(tuple, scoring.nearest(vectors, queries, 3, 0.2).collect()))
+    monkeypatch.setattr(scoring, "MAX_QUERIES", 8)
+    assert len(whole) == 60 and sorted(map(tuple, scoring.nearest(vectors, queries, 3, 0.2).collect())) == whole
