@@ -1,17 +1,20 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms are words (A-Z lower-cased) and pairs of neighbouring words, weighted by
-how often they occur, and hashed to ``FEATURES`` features. For each of ``SAMPLES`` samples a
-feature of weight w draws r, c from Gamma(2, 1) and b from Uniform(0, 1), all fixed by
-the feature and the sample. With t = floor(ln w / r + b) the feature's value is
-ln c - r (t - b) - r, and the sample is (feature, t) of the smallest value. Two
+how often they occur. For each of ``SAMPLES`` samples a term of weight w draws r, c from Gamma(2, 1) and
+b from Uniform(0, 1), all fixed by the term's 64-bit hash and the sample. With t = floor(ln w / r + b) the term's value is
+ln c - r (t - b) - r, and the sample is (term, t) of the smallest value. Two
 texts share a sample with a probability equal to the generalised Jaccard similarity
 of their weights, sum of minima over sum of maxima.
+
+The three draws come from three unit exponentials x, y, z: c = x + y, r = ln(c / x) + z and b = 1 - ln(c / x) / r.
+The ratio x / c is uniform and independent of c, so its negative logarithm is a unit exponential; hence r is Gamma(2, 1), the
+share of it is uniform, and all three are independent. At weight 1, where t = 0, the value is then ln x, so
+terms that occur once need one draw, and y and z are drawn only for terms that occur more often.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -22,57 +25,71 @@ from pyspark.sql import functions as F
 
 from . import common, textvec
 
-SAMPLES, FEATURES = 64, 1 << 16
+SAMPLES = 64
+#: Terms that are drawn for at a time: the draws of a block stay in the processor's cache.
+BLOCK = 512
+_KEYS = np.random.Generator(np.random.PCG64(90210)).integers(0, 1 << 64, (3, SAMPLES, 1), dtype=np.uint64)
+
+
+def _bits(terms: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """64 hashed bits of each sample (rows) and term."""
+    x = terms[None, :] ^ keys
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-@functools.cache
-def _draws(seed: int = 90210) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ln c, r, b and the value at weight 1 of every sample (rows) and feature."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    shape = (SAMPLES, FEATURES)
-    r = rng.standard_gamma(2.0, shape, dtype=np.float32)
-    ln_c = np.log(rng.standard_gamma(2.0, shape, dtype=np.float32))
-    b = rng.random(shape, dtype=np.float32)
-    return ln_c, r, b, ln_c + r * b - r
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """Uniform numbers strictly between 0 and 1, ascending with the bits."""
+    return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def weighted_terms(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) of a text from the hashes of its words."""
+    """(terms, weights) of a text from the hashes of its words; terms are 64-bit hashes in ascending order."""
     pairs = textvec.mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
-    terms = np.concatenate([words, pairs])
-    return np.unique((terms >> np.uint64(40)) % np.uint64(FEATURES), return_counts=True)
+    return np.unique(np.concatenate([words, pairs]), return_counts=True)
 
 
-def sample(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The samples of weighted features, each as 32 bits; all ones for a text without terms."""
-    if not len(features):
+def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, c, r and b of each sample (rows) and term."""
+    x = -np.log1p(-_uniform(_bits(terms, _KEYS[0])))
+    y, z = (-np.log(_uniform(_bits(terms, k))) for k in _KEYS[1:])
+    c = x + y
+    part = np.log(c / x)
+    r = part + z
+    return x, c, r, 1 - part / r
+
+
+def sample(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The samples of weighted terms, each as 32 bits; all ones for a text without terms. Ties go to the smaller term, which has next to no chance."""
+    if not len(terms):
         return np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    ln_c, r, b, at_one = _draws()
-    features = features.astype(np.int64)
-    best = np.full(SAMPLES, np.inf, np.float32)
-    feature, level = np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
     row = np.arange(SAMPLES)
-
-    def take(own, value, t=None):
-        nonlocal best, feature, level
-        w = value.argmin(axis=1)
-        least = value[row, w]
-        better = least < best
-        best = np.where(better, least, best)
-        feature = np.where(better, own[w], feature)
-        level = np.where(better, 0 if t is None else t[row, w].astype(np.int64), level)
-
-    once = features[weights == 1]
-    for a in range(0, len(once), 1024):
-        own = once[a : a + 1024]
-        take(own, at_one.take(own, axis=1))
-    more, heavy = features[weights > 1], np.log(weights[weights > 1]).astype(np.float32)[None, :]
-    for a in range(0, len(more), 1024):
-        own = more[a : a + 1024]
-        r_, b_ = r.take(own, axis=1), b.take(own, axis=1)
-        t = np.floor(heavy[:, a : a + 1024] / r_ + b_)
-        take(own, ln_c.take(own, axis=1) - r_ * (t - b_) - r_, t)
-    return (textvec.mix64((feature * 1_000_003 + level).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    term, level = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
+    once = terms[weights == 1]
+    for a in range(0, len(once), BLOCK):
+        own = once[a : a + BLOCK]
+        bits = _bits(own, _KEYS[0])
+        at = bits.argmin(axis=1)
+        found = bits[row, at]
+        better = found < least
+        least, term = np.where(better, found, least), np.where(better, own[at], term)
+    best = np.log(-np.log1p(-_uniform(least))) if len(once) else np.full(SAMPLES, np.inf)
+    more, heavy = terms[weights > 1], np.log(weights[weights > 1])
+    for a in range(0, len(more), BLOCK):
+        own = more[a : a + BLOCK]
+        _, c, r, b = draws(own)
+        t = np.floor(heavy[None, a : a + BLOCK] / r + b)
+        value = np.log(c) - r * (t - b) - r
+        at = value.argmin(axis=1)
+        found = value[row, at]
+        better = found < best
+        best, term = np.where(better, found, best), np.where(better, own[at], term)
+        level = np.where(better, t[row, at].astype(np.int64), level)
+    return (textvec.mix64(term + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:

@@ -283,13 +283,49 @@ def test_single_document_is_its_own_next(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one.near_next == 1.0
 
 
+def test_samples_equal_a_plain_version():
+    """One term and one sample after the other, with the draws of every term, once or more often said."""
+    rng = np.random.default_rng(4)
+    weights = Counter(rng.zipf(1.4, 4000).tolist())
+    terms = np.array(sorted(weights), np.uint64)
+    counts = np.array([weights[int(k)] for k in terms])
+    _, c, r, b = fingerprint.draws(terms)
+    plain = []
+    for s in range(fingerprint.SAMPLES):
+        best = None
+        for k, w in enumerate(counts.tolist()):
+            t = np.floor(np.log(w) / r[s, k] + b[s, k])
+            value = np.log(c[s, k]) - r[s, k] * (t - b[s, k]) - r[s, k]
+            if best is None or value < best[0]:
+                best = value, int(terms[k]), int(t)
+        plain.append(int(textvec.mix64(np.array([(best[1] + best[2] * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0] >> np.uint64(32)))
+    assert fingerprint.sample(terms, counts).tolist() == plain
+
+
+def test_draws_are_gamma_and_uniform():
+    x, c, r, b = (v.ravel() for v in fingerprint.draws(np.random.default_rng(2).integers(0, 1 << 64, 4000, dtype=np.uint64)))
+    for v in (c, r):  # mean and variance of Gamma(2, 1) are 2
+        assert abs(v.mean() - 2) < 0.02 and abs(v.var() - 2) < 0.05
+    assert 0 <= b.min() and b.max() < 1 and abs(b.mean() - 0.5) < 0.005 and abs(b.var() - 1 / 12) < 0.002
+    assert np.abs(np.corrcoef([c, r, b]) - np.eye(3)).max() < 0.01
+    assert np.allclose(np.log(x), np.log(c) + r * b - r)
+
+
+def test_unrelated_long_texts_are_unlike():
+    texts = [" ".join(f"{a}{i}" for i in range(20_000)) for a in "abcd"]
+    found = fingerprint.fingerprints(pa.array(texts + [texts[0] + " end"]))
+    assert all(fingerprint.likeness(found[i : i + 1], found[j : j + 1])[0] < 0.05 for i in range(4) for j in range(i))
+    assert fingerprint.likeness(found[:1], found[4:])[0] > 0.9
+
+
 def test_samples_estimate_generalised_jaccard():
     rng = np.random.default_rng(0)
     errors = []
     for _ in range(60):
+        first = int(rng.integers(0, 1 << 62))
         common_, x, y = (rng.integers(0, 5000, n) for n in (rng.integers(1, 200), rng.integers(1, 200), rng.integers(1, 200)))
         a, b = Counter(np.concatenate([common_, x]).tolist()), Counter(np.concatenate([common_, y, y]).tolist())
-        signatures = [fingerprint.sample(np.array(sorted(c)), np.array([c[k] for k in sorted(c)])) for c in (a, b)]
+        signatures = [fingerprint.sample(np.array(sorted(k), np.uint64) + np.uint64(first), np.array([k[j] for j in sorted(k)])) for k in (a, b)]
         errors.append((signatures[0] == signatures[1]).mean() - sum((a & b).values()) / sum((a | b).values()))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.09
 
