@@ -87,3 +87,83 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package sent to the workers."""
     ship_code(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+#: Keys up to this number are sent to every task; more are filtered by bits first.
+BROADCAST_KEYS = 500_000
+#: Bits of a filter at most, 32 MB; and bits for each key where that allows it.
+FILTER_BITS, BITS_PER_KEY = 1 << 28, 32
+_BLOCK_BITS = 32_768  # of a bitmap as bitmap_construct_agg makes it
+
+
+class BitFilter:
+    """A Bloom filter with one hash of a set of keys, as a table of bitmaps (block, bits) of 4 KB each.
+
+    Its size is bounded by FILTER_BITS however many keys there are, so it can be sent to every task. Keys in the set
+    always pass; others pass with a chance of about keys / bits, so what passes is to be checked exactly.
+    """
+
+    def __init__(self, keys: DataFrame, columns: list[str], count: int, name: str):
+        bits = _BLOCK_BITS
+        while bits < min(FILTER_BITS, count * BITS_PER_KEY):
+            bits *= 2
+        self.bits = bits
+        place = keys.select(self._place([F.col(c) for c in columns]).alias("p"))
+        made = place.groupBy(F.expr(f"p div {_BLOCK_BITS}").alias("__block")).agg(F.expr(f"bitmap_construct_agg(p % {_BLOCK_BITS})").alias("__bitmap"))
+        self.table = materialize(made, name)
+
+    def _place(self, columns: list):
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits)).cast("long")
+
+    def mark(self, df: DataFrame, *columns, out: str = "__maybe") -> DataFrame:
+        """``df`` with a boolean column: whether the key may be in the set."""
+        marked = df.withColumn("__place", self._place(list(columns))).withColumn("__b", F.expr(f"__place div {_BLOCK_BITS}"))
+        met = marked.join(F.broadcast(self.table), F.col("__b") == F.col("__block"), "left")
+        byte = F.conv(F.hex(F.substr("__bitmap", F.expr(f"cast(__place % {_BLOCK_BITS} div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+        bit = F.expr("shiftright({0}, cast(__place % 8 as int)) & 1 = 1".format("__byte"))
+        return met.withColumn("__byte", F.coalesce(byte, F.lit(0))).withColumn(out, bit).drop("__place", "__b", "__block", "__bitmap", "__byte")
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among the non-null values of the one column of ``keys``, a written table.
+
+    Few keys are sent to every task. Otherwise a bit filter drops most other rows in the scan, and only what it lets through is shuffled to meet the keys.
+    """
+    keys = keys.toDF("__key").filter("__key is not null").distinct()
+    n = keys.count()
+    if n <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), F.col(column) == F.col("__key"), "left_semi")
+    maybe = BitFilter(keys, ["__key"], n, name).mark(df, F.col(column)).filter("__maybe").drop("__maybe")
+    return maybe.join(keys, F.col(column) == F.col("__key"), "left_semi")
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """The other rows: those whose ``column`` is null or not among the values of ``keys``. Rows that the bit filter lets through aren't shuffled."""
+    keys = keys.toDF("__key").filter("__key is not null").distinct()
+    n = keys.count()
+    if n <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), F.col(column) == F.col("__key"), "left_anti")
+    marked = BitFilter(keys, ["__key"], n, name).mark(df, F.col(column))
+    sure = marked.filter("not __maybe")
+    return sure.unionByName(marked.filter("__maybe").join(keys, F.col(column) == F.col("__key"), "left_anti")).drop("__maybe")
+
+
+#: Rows of one key that a task may get in a join by that key before the key counts as hot, at least; and hot keys at most.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def join_by_count(df: DataFrame, keys: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``keys``, which has one row for each key and in ``count`` how many rows of ``df`` bear it, out of ``rows``.
+
+    Keys with over rows / HOT_KEYS rows can't be more than HOT_KEYS; these are sent to every task, so that their
+    rows stay where they are. The other rows are shuffled by the key; with ``how`` "left" they stay if they have no match.
+    """
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = keys.filter(F.col(count) > limit)
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.filter(F.col(count) <= limit), key, how)
+    return df.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def ids_are_unique(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own; only the ids are shuffled."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty()

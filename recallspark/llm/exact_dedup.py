@@ -1,10 +1,11 @@
 """Exact dedup by a log-structured merge index of text digests.
 
-Each task is a memtable: it flushes its records (digest, check, doc_id) as a
-run sorted by digest, a Parquet file with a Bloom filter on the digest.
-Compaction merges all runs and keeps the smallest identifier of each digest.
-Digests that occur more than once are hits, and the bytes of every hit are
-verified by grouping on the text itself before the group is believed.
+Each task is a memtable: it flushes its records (digest, doc_id) as a run sorted
+by digest. Compaction merges the runs with the level below them into a new sorted
+level, which keeps the smallest identifier and the number of records of each digest.
+A batch that comes later first probes the level's filter, and only what may be in the level is joined with it.
+Digests that occur more than once are hits. A filter of them picks the texts of hits in the
+scan, and the bytes of every hit are verified by grouping on the text itself before the group is believed.
 All steps are DataFrame operations.
 """
 
@@ -15,42 +16,80 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_BLOOM = "parquet.bloom.filter.enabled#digest"
-
 
 def normalized(text):
     """Text with each stretch of ASCII white space replaced by one blank; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), common.SPACE, " ")
 
 
+def digest(text):
+    """SHA-256 of the normalised text, 32 bytes."""
+    return F.unhex(F.sha2(normalized(text), 256))
+
+
 class DigestIndex:
-    """Runs of (digest, check, doc_id) under ``path``, with compaction.
+    """Runs (digest, doc_id) and a compacted level (digest, keep_id, n) with its filter, below ``path``.
 
-    ``add`` flushes one batch of documents as new sorted runs; ``compact``
-    merges every run into one row for each digest. Both can be called again for later
-    batches: a compacted level is read like a run.
+    ``flush`` adds a batch as new runs, ``compact`` merges all runs into the level, ``lookup`` finds what the level
+    has of a batch. They can be called in any order and number; every table is written once and never changed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.levels = spark, path, []
-
-    def add(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Flush the documents as level-0 runs: one sorted file for each task."""
-        text = normalized(F.col(text_col))
-        rows = docs.select("doc_id", text.alias("t")).select(
-            F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("check"), "doc_id"
-        )
-        run = f"{self.path}/L0-{len(self.levels)}"
-        rows.sortWithinPartitions("digest").write.option(_BLOOM, "true").parquet(run)
-        self.levels.append(self.spark.read.schema(rows.schema).parquet(run))
-        return self.levels[-1]
+        self.spark, self.path = spark, path
+        self.runs: list[DataFrame] = []
+        self.level: DataFrame | None = None
+        self.filter: common.BitFilter | None = None
+        self.written = 0
+
+    def _write(self, df: DataFrame, kind: str) -> DataFrame:
+        path = f"{self.path}/{kind}-{self.written}"
+        self.written += 1
+        df.sortWithinPartitions("digest").write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def flush(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """Flush the documents as runs: one sorted file for each task."""
+        self.runs.append(self._write(docs.select(digest(F.col(text_col)).alias("digest"), "doc_id"), "run"))
+        return self.runs[-1]
 
     def compact(self) -> DataFrame:
-        """Merge all runs: the smallest identifier and the number of records of each digest."""
-        merged = self.levels[0]
-        for level in self.levels[1:]:
-            merged = merged.unionByName(level)
-        return merged.groupBy("digest", "check").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        """Merge the runs into the level: the smallest identifier and the number of records of each digest. The runs are then done with."""
+        parts = [run.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")) for run in self.runs]
+        merged = self.level
+        for part in parts:
+            merged = part if merged is None else merged.unionByName(part)
+        if parts:
+            # equal digests of one task meet before the shuffle, so a huge group of copies moves few rows
+            self.level = self._write(merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "level")
+            self.runs, self.filter = [], None
+        return self.level
+
+    def lookup(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """doc_id, digest, keep_id, n of the documents whose digest the level has; the others give no row.
+
+        Most others are ruled out by the filter before anything is shuffled. Flushed runs count only once they are compacted.
+        """
+        found = docs.select("doc_id", digest(F.col(text_col)).alias("digest"))
+        if self.level is None:
+            return found.select("*", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("n")).limit(0)
+        if self.filter is None:
+            self.filter = common.BitFilter(self.level.select("digest"), ["digest"], self.level.count(), "digest-filter")
+        return self.filter.mark(found, F.col("digest")).filter("__maybe").drop("__maybe").join(self.level, "digest")
+
+
+def _verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """digest, keep_id, n of the hits, from the texts themselves; it fails where different texts share a digest.
+
+    All texts of a digest pass the filter together, so whatever else passes is a whole group as well, of one text.
+    """
+    picked = common.BitFilter(hits.select("digest"), ["digest"], hits.count(), "hit-filter")
+    texts = docs.select("doc_id", normalized(F.col("text")).alias("t"))
+    texts = picked.mark(texts, F.unhex(F.sha2("t", 256))).filter("__maybe")
+    by_text = texts.groupBy("t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    by_digest = by_text.select(F.unhex(F.sha2("t", 256)).alias("digest"), "keep_id", "n").groupBy("digest")
+    groups = by_digest.agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    sure = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")))
+    return common.materialize(groups.select("digest", "keep_id", sure.alias("n")).filter("n > 1"), "digest-verified")
 
 
 def exact_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,44 +99,20 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null text counts as empty, and all empty texts form one group. Of equal
     texts the smallest doc_id stays; null doc_ids come after all others, and a
     group with only null doc_ids keeps them. Rows that repeat a doc_id and a text share its decision.
-    Other columns are ignored. An empty table gives no rows.
+    Texts of any length are treated alike. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
     index = DigestIndex(spark, common.new_path(spark, "digest-index"))
-    runs = index.add(docs)
-    merged = common.materialize(index.compact(), "digest-level1")
-
-    # Bytes of the hits: fetch their texts by doc_id (unique, so not skewed), group on the text itself.
-    # Equal texts of one task meet in its hash map before the shuffle, so a huge group moves few rows.
-    hits = merged.filter("n > 1").select("digest", "check")
-    hit_ids = runs.join(hits, ["digest", "check"]).select(F.col("doc_id").alias("hit_id")).distinct()
-    texts = docs.join(hit_ids, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi").select(
-        "doc_id", normalized(F.col("text")).alias("t")
-    )
-    by_text = texts.groupBy("t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    verified = (
-        by_text.select(F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("check"), "keep_id", "n")
-        .groupBy("digest", "check")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-        .select(
-            "digest",
-            "check",
-            "keep_id",
-            F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share SHA-256 and xxHash64"))).alias("n"),
-        )
-    )
-    single = merged.filter("n = 1").select("digest", "check", "keep_id", "n")
-    # A row that shares a doc_id with a hit is fetched with it; it is then counted in its own group as well.
-    groups = common.materialize(
-        single.unionByName(verified).groupBy("digest", "check").agg(F.min("keep_id").alias("keep_id"), F.max("n").alias("n")),
-        "digest-verified",
-    )
-    return runs.join(groups, ["digest", "check"]).select(
+    run = index.flush(docs)
+    groups = _verified(docs, index.compact().filter("n > 1"))
+    found = common.join_by_count(run, groups, "digest", "n", run.count(), "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
         "doc_id",
-        "keep_id",
-        F.col("n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -107,7 +122,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     A decision belongs to a row's doc_id, which may be null, and its text. Of rows that repeat both, any one stays.
     """
-    decided = exact_duplicates(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(
+    found = exact_duplicates(docs)
+    if common.ids_are_unique(docs):
+        gone = common.materialize(found.filter("not kept").select("doc_id"), "digest-decided")
+        return common.drop_keys(docs, gone, "doc_id", "decided-filter")
+    decided = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(
         F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")
     )
     decided = common.materialize(decided.filter("not __kept or __n > 1"), "digest-decided")

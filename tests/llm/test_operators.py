@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recallspark.llm import common, components, exact_dedup, fingerprint, language, licenses, mixing, near_dedup, packing, pii, textvec, toxicity, warc
@@ -95,10 +96,49 @@ def test_drops_decide_by_row(spark):
 
 
 def test_digest_index_takes_later_batches(spark):
+    """Two batches, a compaction, a third batch that probes the level, and a second compaction that reads the first one's level."""
     index = exact_dedup.DigestIndex(spark, common.new_path(spark, "t"))
-    for first in (10, 0):
-        index.add(spark.createDataFrame([(first, "same"), (first + 1, f"own {first}")], "doc_id long, text string"))
+    batches = [[(first, "same"), (first + 1, f"own {first}")] for first in (10, 0, 20)]
+    docs = [spark.createDataFrame(b, "doc_id long, text string") for b in batches]
+    assert index.lookup(docs[0]).count() == 0
+    index.flush(docs[0]), index.flush(docs[1])
+    assert index.lookup(docs[2]).count() == 0 and len(index.runs) == 2
     assert sorted((r.keep_id, r.n) for r in index.compact().collect()) == [(0, 2), (1, 1), (11, 1)]
+    assert [(r.doc_id, r.keep_id, r.n) for r in index.lookup(docs[2]).collect()] == [(20, 0, 2)]
+    probed = index.filter.mark(docs[2].select("doc_id", exact_dedup.digest(F.col("text")).alias("digest")), F.col("digest")).collect()
+    assert {r.doc_id: r["__maybe"] for r in probed} == {20: True, 21: False}
+    index.flush(docs[2])
+    assert sorted((r.keep_id, r.n) for r in index.compact().collect()) == [(0, 3), (1, 1), (11, 1), (21, 1)]
+    assert index.compact().count() == 4 and not index.runs
+    for level in (index.level,):
+        files = level.select("digest", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+        by_file = defaultdict(list)
+        for r in files:
+            by_file[r.f].append(bytes(r.digest))
+        assert all(d == sorted(d) for d in by_file.values())
+
+
+def test_filters_lose_no_key(spark, monkeypatch):
+    """Few keys are broadcast, many go by a filter of bits; both keep and drop the same rows, null keys included."""
+    df = spark.createDataFrame([(i if i % 10 else None, f"t{i}") for i in range(3000)], "doc_id long, text string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 6000, 7)] + [(None,), (7,)], "k long")
+    expected = {i for i in range(3000) if i % 10 and i % 7 == 0}
+    for few in (10_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", few)
+        kept = common.keep_keys(df, keys, "doc_id", "t")
+        left = common.drop_keys(df, keys, "doc_id", "t")
+        assert kept.columns == left.columns == df.columns
+        assert {r.doc_id for r in kept.collect()} == expected
+        assert {r.text for r in left.collect()} == {f"t{i}" for i in range(3000) if i % 10 == 0 or i not in expected}
+
+
+def test_join_by_count_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    df = spark.createDataFrame([(1 if i < 300 else i, i) for i in range(500)], "k long, v long")
+    keys = df.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("k % 2 = 1")
+    got = sorted(map(tuple, common.join_by_count(df, keys, "k", "c", 500).collect()))
+    assert got == sorted((1 if i < 300 else i, i, 300 if i < 300 else 1) for i in range(500) if i < 300 or i % 2)
+    assert common.join_by_count(df, keys, "k", "c", 500, "left").count() == 500
 
 
 def brute_components(data, percent=85, width=5):
