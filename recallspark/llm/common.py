@@ -164,6 +164,11 @@ def join_by_count(df: DataFrame, keys: DataFrame, key: str, count: str, rows: in
     return df.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table that is sent to every task if it has at most BROADCAST_KEYS rows; it is counted to know."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+
+
 def ids_are_unique(docs: DataFrame) -> bool:
     """Whether every row has a doc_id of its own; only the ids are shuffled."""
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty()

@@ -21,8 +21,8 @@ from . import common
 BLOCK = 4096
 #: Rows of a hash range that is ordered by one task.
 BUCKET_ROWS = 1024
-#: A mixing plan of more sources than this is refused rather than sent to the driver.
-MAX_SOURCES = 100_000
+#: Points of a source that are laid out together, and points of a task.
+STRETCH, TASK_POINTS = 4096, 1 << 20
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def source_targets(sized: DataFrame, cap: int = 3) -> DataFrame:
     where target = least(cap * size, level * weight); sorted by cap * size / weight
     the cut sources come first, which gives the level in one pass.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("long"))
     per = per.withColumn("limit", F.col("source_size") * cap)
@@ -70,25 +70,31 @@ def _step(n: int) -> int:
     return 1
 
 
-def schedule(spark: SparkSession, plan: list, block: int = BLOCK) -> DataFrame:
+def plan(sized: DataFrame, cap: int = 3, block: int = BLOCK) -> DataFrame:
+    """One row for each source, a written table: source_no, source, source_size, target, words, lo, hi.
+
+    ``words`` is the target rounded down. Blocks of the source hold the points lo to hi - 1 of all points.
+    """
+    per = source_targets(sized, cap).withColumn("words", F.floor("target").cast("long"))
+    per = per.withColumn("slots", F.expr(f"(words + {block - 1}) div {block}"))
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    per = per.withColumn("source_no", F.row_number().over(order) - 1).withColumn("hi", F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    per = per.select("source_no", "source", "source_size", "target", "words", (F.col("hi") - F.col("slots")).alias("lo"), "hi")
+    return common.materialize(per, "mix-plan")
+
+
+def schedule(sources: DataFrame) -> DataFrame:
     """slot, source_no, rank: which block of which source each slot of the mix takes.
 
-    ``plan`` holds (source_no, words) for each source: bounded by the number of sources.
+    ``sources`` has source_no, lo and hi. Slot n has point n * g mod N, so point p is that of slot p / g mod N: each
+    source's points are laid out in stretches and turned into slots, with no search for the source of a point.
     """
-    bounds, start = [], 0
-    for no, words in plan:
-        count = -(-words // block)
-        if count:
-            bounds.append((no, start, start + count))
-            start += count
-    if not start:
-        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).alias("source_no"), F.col("id").alias("rank"))
-    g = _step(start)
-    slots = spark.range(start).select(F.col("id").alias("slot"), F.expr(f"cast(cast(id as decimal(20,0)) * {g} % {start} as long)").alias("point"))
-    # ends in ascending order: the source of a point is the number of ends at or below it
-    ends = F.array(*[F.lit(e) for _, _, e in bounds])
-    numbers = F.array(*[F.lit(no) for no, _, _ in bounds])
-    slots = slots.select("slot", F.element_at(numbers, F.size(F.filter(ends, lambda e: e <= F.col("point"))) + 1).alias("source_no"))
+    n = sources.agg(F.max("hi")).first()[0] or 0
+    back = pow(_step(n), -1, n) if n > 1 else 1
+    spans = sources.filter("lo < hi").select("source_no", "lo", "hi", F.explode(F.expr(f"sequence(lo div {STRETCH}, (hi - 1) div {STRETCH})")).alias("s"))
+    spans = spans.repartition(max(1, -(-n // TASK_POINTS)), "source_no", "s")
+    points = spans.select("source_no", F.explode(F.expr(f"sequence(greatest(lo, s * {STRETCH}), least(hi, (s + 1) * {STRETCH}) - 1)")).alias("point"))
+    slots = points.select("source_no", F.expr(f"cast(cast(point as decimal(38,0)) * {back} % {max(1, n)} as long)").alias("slot"))
     # rank of a slot among its source's: count by stretches of slots, then within a stretch
     slots = slots.withColumn("stretch", F.expr("slot div 1024"))
     counts = slots.groupBy("source_no", "stretch").agg(F.count(F.lit(1)).alias("c"))
@@ -105,34 +111,34 @@ def schedule(spark: SparkSession, plan: list, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _order_key(seed: int):
+    """Documents of a source come in the order of this key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _placed(docs: DataFrame, seed: int, cap: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with the place ``start`` of their first word in their source's stream, plan), both written."""
+    key = _order_key(seed)
+    sized = sizes(docs).withColumn("key", F.conv(F.substring(key, 1, 8), 16, 10).cast("long")).withColumn("tie", key)
+    sized = common.materialize(sized, "mix-sizes")
+    sources = plan(sized, cap, block)
+    table = common.small(sources.select("source_no", F.col("source").alias("__s"), "source_size", "target", "words"))
+    placed = sized.join(table, common.same(F.col("source"), F.col("__s"))).drop("__s").withColumn("tie2", F.struct("tie", "doc_id"))
+    placed = common.prefix_sum(placed, "source_no", ["key", "tie2"], "size", "start", BUCKET_ROWS, sized.count())
+    return common.materialize(placed.drop("tie2"), "mix-placed"), sources
+
+
 def mix(docs: DataFrame, seed: int = 17, cap: int = 3, block: int = BLOCK):
     """(documents, pieces) of the mix.
 
-    documents: doc_id, source, size, source_size, target, taken. pieces: slot, doc_id,
+    documents: doc_id, source, size, source_size, target, taken, first_slot, last_slot, n_pieces. pieces: slot, doc_id,
     from_word, to_word: the words that each slot takes of a document, which are also what ``taken`` sums up.
     The order of a source's documents is that of md5(seed:doc_id), then doc_id, so reruns agree.
     Null text has size 0 and is never taken; a null source is a source of its own.
     Rows that repeat a doc_id are separate documents of its source, and each gets its own words.
+    Very long texts span several blocks. Other columns are ignored, and an empty table gives none.
     """
-    spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = common.materialize(
-        sizes(docs).withColumn("key", F.conv(F.substring(key, 1, 8), 16, 10).cast("long")).withColumn("tie", key),
-        "mix-sizes",
-    )
-    rows = sized.count()
-    targets = source_targets(sized, cap)
-    plan = targets.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(plan) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    fixed = [(i, r["source"], r["source_size"], r["target"], int(r["target"])) for i, r in enumerate(plan)]
-    table = spark.createDataFrame(fixed, "source_no int, s string, source_size long, target double, words long")
-    table = F.broadcast(table)  # at most MAX_SOURCES rows
-    placed = sized.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("tie2", F.struct("tie", "doc_id"))
-    placed = common.prefix_sum(placed, "source_no", ["key", "tie2"], "size", "start", BUCKET_ROWS, rows)
-    placed = common.materialize(placed.drop("tie2").withColumn("row", F.xxhash64("tie", "start")), "mix-placed")
-
+    placed, sources = _placed(docs, seed, cap, block)
     # a document's stretches of the repeated stream, cut where blocks end
     rounds = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
     stretch = placed.filter("size > 0").select("source_no", "doc_id", "start", "size", "source_size", "words", rounds.alias("round"))
@@ -144,35 +150,45 @@ def mix(docs: DataFrame, seed: int = 17, cap: int = 3, block: int = BLOCK):
         (F.greatest("a", F.col("rank") * block) - F.col("a")).alias("from_word"),
         (F.least("b", (F.col("rank") + 1) * block) - F.col("a")).alias("to_word"),
     )
-    slots = schedule(spark, [(i, w) for i, _, _, _, w in fixed], block)
-    pieces = pieces.join(slots, ["source_no", "rank"])
-    taken = pieces.groupBy("source_no", "doc_id", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    t = taken.select(F.col("source_no").alias("n2"), F.col("doc_id").alias("d2"), F.col("start").alias("s2"), "taken")
+    pieces = pieces.join(schedule(sources), ["source_no", "rank"])
+    t = pieces.groupBy(F.col("source_no").alias("n2"), F.col("doc_id").alias("d2"), F.col("start").alias("s2")).agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"),
+        F.min("slot").alias("first_slot"),
+        F.max("slot").alias("last_slot"),
+        F.count(F.lit(1)).alias("n_pieces"),
+    )
     on = (F.col("source_no") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("start") == F.col("s2")) & (F.col("size") > 0)
     documents = placed.join(t, on, "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "first_slot", "last_slot", F.coalesce("n_pieces", F.lit(0)).cast("long").alias("n_pieces"),
     )
     return documents, pieces.select("slot", "doc_id", "from_word", "to_word")
 
 
-def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The documents of the mix with all their columns: each is repeated round(taken / size) times.
+def apply_mix(docs: DataFrame, seed: int = 17, cap: int = 3) -> DataFrame:
+    """The documents of the mix with all their columns: whole, as often as a block of the schedule takes their first word.
 
-    Documents with no words are neither weighed nor dropped: they stay once.
+    So a source's words miss its target by less than one document. In the order of a source's stream these are all documents
+    as often as the stream is repeated whole, and once more those up to the last one that the mix begins; as that is one
+    key for each source, texts stay where they are. Documents with no words are neither weighed nor dropped: they stay once. The output
+    has no order; the slots are in ``mix``.
     """
-    documents, _ = mix(docs, seed)
-    times = documents.select(
-        F.col("doc_id").alias("__id"),
-        F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__n"),
-    ).filter("__n > 0").groupBy("__id").agg(F.max("__n").alias("__n"))
+    placed, sources = _placed(docs.select("doc_id", "text", "source"), seed, cap, BLOCK)
+    last = placed.filter("size > 0 and start < words % source_size").groupBy("source_no").agg(F.max("tie").alias("__last"))
+    table = sources.join(last, "source_no", "left").select(
+        F.col("source").alias("__s"), F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0).alias("__whole"), "__last"
+    )
+    table = common.small(common.materialize(table, "mix-times"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD))
+    met = docs.join(table, common.same(F.col("source"), F.col("__s"))).withColumn("__more", F.coalesce(_order_key(seed) <= F.col("__last"), F.lit(False)))
+    times = F.when(size == 0, 1).otherwise(F.col("__whole") + F.col("__more").cast("int")).cast("int")
     names = [docs[c] for c in docs.columns]
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).drop("__k")
+    return met.withColumn("__n", times).filter("__n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).drop("__k")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix(common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.drop("source")
 
 
 ORACLE = r"""
@@ -196,13 +212,28 @@ WITH d AS (
            ORDER BY cap / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight, cap::DOUBLE)) AS target
   FROM c
 ), p AS (
-  SELECT doc_id, size, f.source_size, f.target, floor(f.target)::BIGINT AS words,
+  SELECT doc_id, d.source, size, f.source_size, f.target, floor(f.target)::BIGINT AS words,
          (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+), w AS (
+  SELECT source, (floor(target)::BIGINT + 4095) // 4096 AS slots, sum((floor(target)::BIGINT + 4095) // 4096) OVER (ORDER BY source NULLS LAST) AS hi FROM f
+), n AS (
+  SELECT max(hi)::BIGINT AS n FROM w
+), g AS (
+  SELECT n, x AS g FROM n, range(1, (SELECT 2 * n + 2 FROM n)) t(x) WHERE gcd(x, n) = 1
+  ORDER BY abs(x - greatest(1, round(n / ((1 + sqrt(5)) / 2)))), x LIMIT 1
+), slot AS (
+  SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT t.slot, t.slot * g % n AS point FROM g, range(0, (SELECT n FROM n)) t(slot)) JOIN w ON point >= hi - slots AND point < hi
+), stretch AS (
+  SELECT doc_id, source, start, r * source_size + start AS a, least(r * source_size + start + size, words) AS b FROM p, range(0, 3) t(r) WHERE size > 0
+), piece AS (
+  SELECT doc_id, source, start, a, b, unnest(range(a // 4096, (b - 1) // 4096 + 1)) AS rank FROM stretch WHERE a < b
+), met AS (
+  SELECT doc_id, p.source, start, sum(least(b, (p.rank + 1) * 4096) - greatest(a, p.rank * 4096))::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot,
+         count(*) AS n_pieces
+  FROM piece p JOIN slot ON slot.source IS NOT DISTINCT FROM p.source AND slot.rank = p.rank GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0
-            ELSE words // source_size * size
-                 + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
-FROM p
+SELECT p.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, last_slot, coalesce(n_pieces, 0) AS n_pieces
+FROM p LEFT JOIN met ON p.size > 0 AND met.doc_id IS NOT DISTINCT FROM p.doc_id AND met.source IS NOT DISTINCT FROM p.source AND met.start = p.start
 """

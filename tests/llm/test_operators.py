@@ -453,11 +453,27 @@ def test_mixing(awkward, empty):
     again, _ = mixing.mix(docs.repartition(3), block=64)
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, found))
     assert mixing.mix(empty)[0].count() == 0
-    assert mixing.apply_mix(awkward).columns == awkward.columns
+    assert mixing.apply_mix(awkward).columns == awkward.columns and mixing.apply_mix(empty).count() == 0
+    whole = Counter(r.source for r in mixing.apply_mix(docs).collect() for _ in word_list(r.text))
+    longest = {s: max(len(word_list(t)) for _, t, x in data if x == s) for s in size}
+    assert all(0 <= whole[s] - int(target[s]) < max(1, longest[s]) for s in size)
+    assert Counter(r.doc_id for r in mixing.apply_mix(docs).collect() if not word_list(r.text)) == Counter(i for i, t, _ in data if not word_list(t))
+
+
+def test_whole_documents_follow_the_schedule(spark):
+    """A document comes as often as blocks of the schedule take its first word."""
+    rng = np.random.default_rng(8)
+    data = [(i, "w " * int(rng.integers(1, 9)), "ab"[i % 5 == 0]) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    firsts = Counter(p.doc_id for p in mixing.mix(docs, block=16)[1].collect() if p.from_word == 0)
+    assert Counter(r.doc_id for r in mixing.apply_mix(docs).collect()) == firsts
 
 
 def test_schedule_spreads_sources(spark):
-    got = sorted(map(tuple, mixing.schedule(spark, [(0, 300), (1, 600), (2, 0), (3, 100)], block=1).collect()))
+    sources = spark.createDataFrame([(0, 0, 300), (1, 300, 900), (2, 900, 900), (3, 900, 1000)], "source_no int, lo long, hi long")
+    got = sorted(map(tuple, mixing.schedule(sources).collect()))
+    assert all(0 <= s * mixing._step(1000) % 1000 - lo < hi - lo for s, no, _ in got for n2, lo, hi in sources.collect() if n2 == no)
+    assert mixing.schedule(sources.limit(0)).count() == 0
     assert [s for s, *_ in got] == list(range(1000))
     for no, n in ((0, 300), (1, 600), (3, 100)):
         own = [s for s, x, _ in got if x == no]
