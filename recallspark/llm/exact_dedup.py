@@ -18,8 +18,12 @@ from . import common
 
 
 def normalized(text):
-    """Text with each stretch of ASCII white space replaced by one blank; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), common.SPACE, " ")
+    """Text with each stretch of ASCII white space replaced by one blank; null counts as empty.
+
+    Most texts have single blanks only, which one search tells; they are left as they are.
+    """
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(text, common.SPACE, " ")).otherwise(text)
 
 
 def digest(text):
