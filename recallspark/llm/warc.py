@@ -27,6 +27,8 @@ from . import common
 ARCHIVE_BYTES = 256 << 20
 #: A range is cut where it would grow beyond this, or where so many unselected bytes lie between two records.
 RANGE_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+#: Archive bytes that a task reads, about; where that gives fewer tasks than there are cores, down to a range each.
+TASK_BYTES = 128 << 20
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -190,11 +192,14 @@ def read_records(index: DataFrame, folder: str, payload: bool = True) -> DataFra
     """The records of the index rows given: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
     Index rows are dealt by archive and stretch of RANGE_BYTES and sorted by offset, so a task reads
-    each stretch with one request, however the selection was made. A revisit has a null payload; the
+    each stretch with one request, however the selection was made. The number of tasks follows from the bytes
+    that the selected records have in the archives, as the index rows themselves are small. A revisit has a null payload; the
     payload's size and digest come from its own head. A response whose digest is wrong fails the job.
     """
     spots = index.select("archive", "offset", "length").withColumn("stretch", F.expr(f"offset div {RANGE_BYTES}"))
-    spots = spots.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, size // RANGE_BYTES))
+    spots = spots.repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
     schema = RECORD if payload else RECORD.rpartition(", ")[0]
     return common.map_arrow(spots, _reader(folder, payload), schema)
 
