@@ -4,12 +4,11 @@ Documents are tokenised in Arrow batches; only those longer than a sequence are
 cut, so that all pieces but the first are full. Pieces are dealt to shards of
 bounded size, and each shard packs its pieces by itself. An open sequence with
 gap ``g`` counts in ``N[g]``; a piece goes where the sum of all ``N[g]^2`` becomes
-smallest, taking the smaller gap on a tie.
+smallest, taking the smaller gap on a tie. Sequences that stay loosely filled are packed again by the same rule.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import itertools
 import zlib
@@ -17,7 +16,6 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +26,8 @@ CAPACITY = 2048
 END = 0
 #: Pieces of a shard: packed by one task.
 SHARD = 16384
+#: Tasks that pack, at most; more shards share them.
+MAX_TASKS = 100_000
 #: Sequences with at least this share of the capacity left are packed once more.
 LOOSE = 1 / 32
 
@@ -38,6 +38,8 @@ def _tokenizers(name: str):
     import base64
     import os
 
+    import public_tokenizers
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -121,36 +123,21 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece; the pieces are given longest first."""
-    gaps: list[tuple[int, int]] = []
-    where, offset, used = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for i, size in enumerate(lengths.tolist()):
-        at = bisect.bisect_left(gaps, (size, -1))
-        gap, bin_ = gaps.pop(at) if at < len(gaps) else (capacity, used)
-        used += gap == capacity
-        where[i], offset[i] = bin_, capacity - gap
-        if gap > size:
-            bisect.insort(gaps, (gap - size, bin_))
-    return where, offset
-
-
 def pack_pieces(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squares, longest pieces first; what its loosely filled sequences hold is then packed once more by best fit.
+    """Sum of squares, longest pieces first; what its loosely filled sequences hold is then packed again by the same rule.
 
-    The rule keeps sequences of many gaps open for pieces to come. When none come
-    any more these are its loss, and the second pass closes them. It is kept only if it saves sequences.
+    The rule keeps sequences of many gaps open for pieces to come. When none come any more these are its loss, and
+    packing their pieces anew, among themselves, closes most of them. That is repeated as long as it saves sequences.
     """
     where, offset = sum_of_squares(lengths, capacity)
-    if not len(where):
-        return where, offset
-    filled = np.bincount(where, weights=lengths)
-    loose = capacity - filled >= capacity * LOOSE
-    again = loose[where]
-    where2, offset2 = best_fit_decreasing(lengths[again], capacity)
-    if len(where2) and where2.max() + 1 < loose.sum():
-        names = np.flatnonzero(loose)
-        where[again], offset[again] = names[where2], offset2
+    while len(where):
+        filled = np.bincount(where, weights=lengths)
+        loose = (capacity - filled >= capacity * LOOSE) & (filled > 0)
+        again = loose[where]
+        where2, offset2 = sum_of_squares(lengths[again], capacity)
+        if not len(where2) or where2.max() + 1 >= loose.sum():
+            break
+        where[again], offset[again] = np.flatnonzero(loose)[where2], offset2
     return where, offset
 
 
@@ -167,7 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then id 0; null text counts as empty and gives that id alone.
-    Rows that repeat a doc_id are packed each for itself. Null doc_ids are packed too.
+    Very long texts are cut into many pieces. Rows that repeat a doc_id are packed each for itself. Null doc_ids are packed too.
     Shards are dealt by a hash of the piece, so no document or source decides a shard's size. Other columns are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]
@@ -175,6 +162,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     pieces = common.materialize(common.map_arrow(docs.select("doc_id", "text"), _piecer(tokenizer, capacity), columns), "pieces")
     shards = max(1, -(-pieces.count() // shard))
     dealt = pieces.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {shards}) as int)"))
+    # one shard for each task: sizes of small rows would put many shards into one
+    dealt = dealt.repartitionById(min(shards, MAX_TASKS), "shard")
     packed = dealt.groupBy("shard").applyInPandas(_packer(capacity), f"{columns}, shard int, sequence_id long, offset long")
     return packed.drop("shard")
 
