@@ -153,17 +153,32 @@ HOT_ROWS, HOT_KEYS = 256, 100_000
 
 
 def join_by_count(df: DataFrame, keys: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
-    """``df`` joined with ``keys``, which has one row for each key and in ``count`` how many rows of ``df`` bear it, out of ``rows``.
+    """``df`` of ``rows`` rows joined with ``keys``, which has one small row for each key and in ``count`` how many rows of ``df`` bear it.
 
-    Keys with over rows / HOT_KEYS rows can't be more than HOT_KEYS; these are sent to every task, so that their
-    rows stay where they are. The other rows are shuffled by the key; with ``how`` "left" they stay if they have no match.
+    There are no more keys than rows, so where these are few all keys are sent to every task. Otherwise this is done with keys that have
+    over rows / HOT_KEYS rows, as they can't be more than HOT_KEYS: their rows stay where they are. The other rows
+    are shuffled by the key; with ``how`` "left" they stay if they have no match.
     """
+    if rows <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), key, how)
     limit = max(HOT_ROWS, rows // HOT_KEYS)
     hot = keys.filter(F.col(count) > limit)
     rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.filter(F.col(count) <= limit), key, how)
     return df.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def salted_join(df: DataFrame, payload: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
+    """``df``, which has a column ``c``, joined with ``payload``, which has one row for each key, by shuffling both.
+
+    ``counts`` (key, c) and the column ``c`` tell how many rows of ``df`` a key has. These are dealt by a hash of ``by`` to as many salts as
+    give about HOT_ROWS rows each, and the payload is repeated for each salt. So it may be large, and no key fills a task.
+    """
+    salts = F.ceil(F.col("c") / HOT_ROWS).cast("int")
+    left = df.withColumn("__salt", F.pmod(F.xxhash64(by), salts).cast("int"))
+    right = payload.join(counts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("c")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def small(df: DataFrame) -> DataFrame:
     """A table that is sent to every task if it has at most BROADCAST_KEYS rows; it is counted to know."""
     return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df

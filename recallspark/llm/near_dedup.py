@@ -11,7 +11,10 @@
    with the pivot are verified by signature and then on full sets; links give
    components by alternating large-star and small-star.
 5. Only pairs of a bucket that neither contain its pivot nor lie in one component could still
-   matter. Buckets that hold such pairs are compared in blocks of members.
+   matter. Buckets of over BLOCK members that hold such pairs take another pivot, ROUNDS times at most; what is still
+   undecided then, and smaller buckets, is compared in blocks of members.
+
+Texts are read where they lie: shingle sets are made only of candidates, which the scan picks by their ids.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ WIDTH, ROWS = 5, 5
 SLACK = 0.2
 #: The greatest chance that a pair at the threshold shares no band.
 MISS = 1e-6
-#: Members of a block when a bucket is compared in blocks.
-BLOCK = 128
+#: Members of a block when a bucket is compared in blocks, and further pivots of a larger bucket before that.
+BLOCK, ROUNDS = 128, 4
 
 
 def bands_for(percent: int) -> int:
@@ -138,6 +141,40 @@ def _block_links(percent: int):
     return links
 
 
+def _verified(pairs: DataFrame, sigs: DataFrame, items: DataFrame, percent: int, n_bands: int) -> DataFrame:
+    """The links (a, b) among pairs (pivot, rep), a written table: by signature first, then on full sets.
+
+    A pivot may be in a large share of the pairs, so signatures and sets are met over salted keys.
+    """
+    kind = dict(pairs.dtypes)["rep"]
+    pairs = common.materialize(pairs, "pairs")
+    counts = common.materialize(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "pivot-counts")
+    counted = common.join_by_count(pairs, counts, "pivot", "c", pairs.count())
+    both = counted.join(sigs, "rep")
+    both = common.salted_join(both, sigs.toDF("pivot", "sig2"), "pivot", counts, "rep").select("pivot", "rep", "sig", "sig2")
+    agreeing = _agreeing(percent / 100 - SLACK, n_bands)
+    pairs = common.materialize(common.map_arrow(both, agreeing, f"pivot {kind}, rep {kind}"), "agreeing")
+    counts = common.materialize(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "agreeing-counts")
+    counted = common.join_by_count(pairs, counts, "pivot", "c", pairs.count())
+    both = common.salted_join(counted.join(items, "rep"), items.toDF("pivot", "items2"), "pivot", counts, "rep")
+    both = both.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "items", "items2")
+    return common.materialize(common.map_arrow(both, _linked(percent), f"a {kind}, b {kind}"), "links")
+
+
+def _undecided(members: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    """band, rep, n, alone, able, c, size, pivot: the members of buckets that still hold more than one component; c names it.
+
+    ``pivot`` is a member that hasn't been one: the pivots so far aren't among ``members``.
+    """
+    named = members.join(joined.select(F.col("node").alias("rep"), F.col("component").alias("__c")), "rep", "left")
+    named = common.materialize(named.select("band", "rep", "n", "alone", "able", F.coalesce("__c", "rep").alias("c")), name)
+    per = named.groupBy("band").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "rep"))["rep"].alias("pivot")
+    )
+    split = common.materialize(per.filter("lo <> hi").select("band", "size", "pivot"), f"{name}-split")
+    return common.materialize(common.join_by_count(named, split, "band", "size", named.count()), f"{name}-left")
+
+
 def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -145,51 +182,63 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
     linked when 100 * common shingles >= percent * all shingles of the two, and a
     component is named by its smallest doc_id. Null or empty texts have no
     shingles and are linked with nothing. Null doc_ids are linked with nothing: their component is null and
-    they are kept. Rows that repeat a doc_id count as one node. Other columns are ignored.
+    they are kept. Rows that repeat a doc_id count as one node. Very long texts are taken whole. Other columns are ignored.
     """
     kind, n_bands = dict(docs.dtypes)["doc_id"], bands_for(percent)
     docs = docs.select("doc_id", "text")
     sketches = common.materialize(
         common.map_arrow(docs, _sketcher(width, n_bands), f"doc_id {kind}, n long, key binary, sig binary"), "minhash"
     )
-    classes = common.materialize(
-        sketches.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    standing = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"], "left_semi")
+    usable = sketches.filter("n > 0 and doc_id is not null")
+    classes = common.materialize(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
+
+    # representatives: all but the other members of classes of more than one
+    several = common.materialize(classes.filter("c > 1"), "several")
+    node = F.concat("key", F.col("doc_id").cast("string").cast("binary"))
+    others = common.join_by_count(common.keep_keys(usable.select("doc_id", "key"), several.select("key"), "key", "several-filter"), several, "key", "c", usable.count())
+    others = common.materialize(others.filter("doc_id <> rep").select(node.alias("node")), "not-representative")
+    standing = common.drop_keys(usable.withColumn("node", node), others, "node", "representative-filter")
     bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(n_bands)]))
     banded = common.materialize(standing.select(F.col("doc_id").alias("rep"), "n", bands.alias("band")), "bands")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
-    members = common.materialize(banded.join(shared, "band"), "members")
+    members = common.materialize(common.keep_keys(banded, common.materialize(shared, "shared-bands"), "band", "band-filter"), "members")
+
+    candidates = common.materialize(members.select("rep").distinct(), "candidates")
+    picked = common.keep_keys(docs, candidates, "doc_id", "candidate-filter")
+    sets = common.materialize(common.map_arrow(picked, _setter(width), f"rep {kind}, n long, items array<long>"), "sets")
+    items = sets.select("rep", "items")
+    sigs = common.keep_keys(usable.select(F.col("doc_id").alias("rep"), "sig"), candidates, "rep", "candidate-filter")
+    sigs = common.materialize(sigs, "signatures")
 
-    candidates = members.select("rep").distinct()
-    sets = docs.join(candidates, docs["doc_id"] == candidates["rep"], "left_semi")
-    sets = common.materialize(common.map_arrow(sets, _setter(width), f"rep {kind}, n long, items array<long>"), "sets")
     alone = sets.select("rep", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
     alone = alone.filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
     members = members.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("able", F.expr("n - alone"))
     members = common.materialize(members, "able")
-    smallest = members.groupBy("band").agg(F.min("n").alias("min_n"))
-    members = members.join(smallest, "band").filter(f"{100 + percent} * able >= {percent} * (n + min_n)").drop("min_n")
-    members = common.materialize(members, "able-members")
-    pivots = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("alone", "rep")).alias("p"))
-    pivots = pivots.filter("c > 1").select("band", "c", F.col("p.rep").alias("pivot"))
-    members = common.materialize(members.join(pivots, "band"), "buckets")
-
-    pairs = members.filter("rep <> pivot").select("pivot", "rep").distinct()
-    sigs = sketches.select(F.col("doc_id").alias("rep"), "sig").filter("sig is not null")
-    pairs = pairs.join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("sig2")), "pivot")
-    pairs = common.map_arrow(pairs.select("pivot", "rep", "sig", "sig2"), _agreeing(percent / 100 - SLACK, n_bands), f"pivot {kind}, rep {kind}")
-    items = sets.select("rep", "items")
-    pairs = common.materialize(pairs, "agreeing").join(items, "rep").join(items.select(F.col("rep").alias("pivot"), F.col("items").alias("items2")), "pivot")
-    pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "items", "items2")
-    edges = common.materialize(common.map_arrow(pairs, _linked(percent), f"a {kind}, b {kind}"), "links")
+    smallest = common.materialize(members.groupBy("band").agg(F.min("n").alias("min_n"), F.count(F.lit(1)).alias("c")), "smallest")
+    members = common.join_by_count(members, smallest, "band", "c", members.count()).drop("c")
+    members = common.materialize(members.filter(f"{100 + percent} * able >= {percent} * (n + min_n)").drop("min_n"), "able-members")
+    pivots = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("alone", "rep"))["rep"].alias("pivot"))
+    pivots = common.materialize(pivots.filter("c > 1"), "pivots")
+    members = common.materialize(common.join_by_count(members, pivots, "band", "c", members.count()), "buckets")
+
+    edges = _verified(members.filter("rep <> pivot").select("pivot", "rep").distinct(), sigs, items, percent, n_bands)
     joined = connected_components(edges)
 
     # what no pivot has decided
-    open_ = members.filter("rep <> pivot and c > 2").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("c0")), "rep", "left")
-    open_ = open_.select("band", "rep", "n", "able", F.coalesce("c0", "rep").alias("c"))
-    split = open_.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    open_ = common.materialize(open_.join(split.select("band", "size"), "band"), "open")
+    open_ = _undecided(members.filter("rep <> pivot and c > 2").drop("c", "pivot"), joined, "open")
+    for i in range(ROUNDS):
+        large = open_.filter(f"size > {BLOCK}")
+        rows = large.count()
+        if not rows:
+            break
+        own = large.filter("rep = pivot").groupBy("band").agg(F.min("c").alias("pc"), F.min("size").alias("in_bucket"))
+        pairs = common.join_by_count(large, own, "band", "in_bucket", rows).filter("rep <> pivot and c <> pc")
+        more = _verified(pairs.select("pivot", "rep").distinct(), sigs, items, percent, n_bands)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            joined = connected_components(edges)
+        # small buckets wait for the blocks; of large ones the pivot has met all others
+        open_ = _undecided(open_.filter(f"size <= {BLOCK} or rep <> pivot").drop("size", "pivot", "c"), joined, f"open{i}")
     if not open_.isEmpty():
         count = f"cast(ceil(size / {BLOCK}) as int)"
         open_ = open_.withColumn("block", F.expr(f"cast(pmod(xxhash64(rep), {count}) as int)"))
@@ -201,9 +250,11 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
         if not more.isEmpty():
             joined = connected_components(edges.unionByName(more))
 
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
-    named = common.materialize(named, "named")
-    return sketches.join(named, "key", "left").select(
+    # classes without a link keep their representative; only linked and repeated sets have anything to be told
+    named = classes.join(joined, F.col("rep") == F.col("node"), "left").filter("c > 1 or component is not null")
+    named = common.materialize(named.select("key", F.coalesce("component", "rep").alias("c"), F.col("c").alias("copies")), "named")
+    met = common.join_by_count(sketches.drop("sig"), named, "key", "copies", sketches.count(), "left")
+    return met.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -215,16 +266,15 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Each row is a node of its own: where doc_ids are null or repeated, rows are numbered in their order, nulls last, and numbers stand for doc_ids.
     """
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
-        gone = near_duplicate_components(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    if common.ids_are_unique(docs):
+        gone = near_duplicate_components(docs, percent).filter(~F.col("kept")).select("doc_id")
+        return common.drop_keys(docs, common.materialize(gone, "near-decided"), "doc_id", "decided-filter")
     # the text's hash and the row's place split the rows of one doc_id over tasks
     docs = docs.withColumn("__row", F.monotonically_increasing_id())
     docs = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "__row").withColumn("__row", F.monotonically_increasing_id())
     docs = common.materialize(docs, "numbered")
-    gone = near_duplicate_components(docs.select(F.col("__row").alias("doc_id"), "text"), percent).filter(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["__row"] == gone["__gone"], "left_anti").drop("__row")
+    gone = near_duplicate_components(docs.select(F.col("__row").alias("doc_id"), "text"), percent).filter(~F.col("kept")).select("doc_id")
+    return common.drop_keys(docs, common.materialize(gone, "near-decided"), "__row", "decided-filter").drop("__row")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

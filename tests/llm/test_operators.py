@@ -179,9 +179,15 @@ def test_near_dedup_awkward(awkward, empty):
     assert stays.columns == awkward.columns
 
 
-def test_near_dedup_dense_group_without_a_centre(spark, monkeypatch):
-    """Copies of copies: links run along chains that no single pivot sees; small blocks make the last step work."""
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_near_dedup_dense_group_without_a_centre(spark, monkeypatch, few):
+    """Copies of copies: links run along chains that no single pivot sees; small blocks make the last steps work.
+
+    With ``few`` at 0 nothing is small enough to be sent whole: filters, hot keys and salts do all joins.
+    """
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", few)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     texts = [list(base)]
