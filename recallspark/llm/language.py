@@ -19,7 +19,7 @@ from . import common
 
 #: Characters of labelled text in the automaton of a language: the bound on what is fitted.
 TRAIN_CHARS = 24_000
-#: Long documents are parsed in stretches of so many symbols side by side; each end adds at most one phrase.
+#: Symbols of a stretch; the stretches of all texts are parsed side by side and then joined, so that they make no difference.
 STRETCH = 512
 #: Characters that a task parses at a time.
 PORTION = 1 << 20
@@ -63,22 +63,86 @@ def _letters() -> np.ndarray:
 
 
 def _portions(texts: list[str | None], limit: int = PORTION):
-    """(indexes, texts) of about ``limit`` characters; a longer text comes in several parts."""
+    """(indexes, texts) of about ``limit`` characters; a text is never divided."""
     owners, parts, size = [], [], 0
     for i, text in enumerate(texts):
-        for a in range(0, len(text or ""), limit):
+        if text:
             owners.append(i)
-            parts.append(text[a : a + limit])
-            size += len(parts[-1])
-            if size >= limit:
-                yield np.array(owners), parts
-                owners, parts, size = [], [], 0
+            parts.append(text)
+            size += len(text)
+        if size >= limit:
+            yield np.array(owners), parts
+            owners, parts, size = [], [], 0
     if parts:
         yield np.array(owners), parts
 
 
+class Moves:
+    """Transitions of all automata in one double array: state q moves by symbol c to ``to[base[q] + c]`` if ``owner[base[q] + c]`` is q, else nowhere.
+
+    The rows of states are laid over each other so that no two moves fall on one place; the room taken is about that of the
+    moves themselves, however large the alphabet is.
+    """
+
+    def __init__(self, rows: list[dict[int, int]], width: int):
+        n = sum(map(len, rows))
+        self.base = np.zeros(len(rows), np.int64)
+        free = np.ones(n + width + 1, bool)
+        self.owner = np.full(len(free), -1, np.int32)
+        self.to = np.full(len(free), -1, np.int32)
+        low = 0
+        for q in sorted((q for q, row in enumerate(rows) if len(row) > 1), key=lambda q: (-len(rows[q]), q)):
+            symbols = np.fromiter(rows[q], np.int64, len(rows[q]))
+            base = self._fit(free, symbols, low, width)
+            if base + width >= len(free):
+                more = len(free) + width
+                free = np.concatenate([free, np.ones(more, bool)])
+                self.owner, self.to = (np.concatenate([x, np.full(more, -1, np.int32)]) for x in (self.owner, self.to))
+            self._set(free, q, base, symbols, rows[q])
+            while not free[low]:
+                low += 1
+        # a single move goes to any free place; places come first by number
+        single = [q for q, row in enumerate(rows) if len(row) == 1]
+        short = width + len(single) - int(free[width:].sum())
+        if short > 0:
+            free = np.concatenate([free, np.ones(short, bool)])
+            self.owner, self.to = (np.concatenate([x, np.full(short, -1, np.int32)]) for x in (self.owner, self.to))
+        for q, place in zip(single, (width + np.flatnonzero(free[width:])).tolist()):
+            ((c, to),) = rows[q].items()
+            self.base[q], self.owner[place], self.to[place] = place - c, q, to
+        pad = np.full(width, -1, np.int32)
+        self.owner, self.to = np.concatenate([self.owner, pad]), np.concatenate([self.to, pad])
+
+    @staticmethod
+    def _fit(free: np.ndarray, symbols: np.ndarray, low: int, width: int) -> int:
+        """The first base from ``low`` - width on, 0 at least, at which all places of the symbols are free."""
+        at = max(0, low - width)
+        while True:
+            stop = min(len(free) - width, at + 4096)
+            if stop <= at:
+                return max(at, len(free) - 1)
+            fits = free[at + symbols[0] : stop + symbols[0]].copy()
+            for c in symbols[1:]:
+                fits &= free[at + c : stop + c]
+            found = int(fits.argmax())
+            if fits[found]:
+                return at + found
+            at = stop
+
+    def _set(self, free, q, base, symbols, row):
+        self.base[q] = base
+        free[base + symbols] = False
+        self.owner[base + symbols] = q
+        self.to[base + symbols] = np.fromiter(row.values(), np.int64, len(row))
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        place = self.base.take(state) + symbol
+        return np.where(self.owner.take(place) == state, self.to.take(place), -1)
+
+
 class LanguageModel:
-    """Automata of all languages as one table: ``table[state, symbol]`` is the next state, or -1.
+    """The automata of all languages, their moves in one array.
 
     Symbol 0 stands for a stretch of anything but letters, the last symbol for letters that no
     training text has. ``roots`` holds the root of each language, in the order of ``languages``.
@@ -88,19 +152,14 @@ class LanguageModel:
         self.languages = sorted(texts)
         self.alphabet = sorted({c for t in texts.values() for c in t.lower() if c.isalpha() and len(c) == 1})
         self._names()
-        tables, self.roots, at = [], [], 0
+        rows, self.roots = [], []
         for language in self.languages:
-            moves = suffix_automaton(self.symbols(texts[language]).tolist())
-            table = np.full((len(moves), len(self.alphabet) + 2), -1, np.int32)
-            for state, out in enumerate(moves):
-                for c, to in out.items():
-                    table[state, c] = to + at
+            at = len(rows)
             self.roots.append(at)
-            tables.append(table)
-            at += len(moves)
-        # a last state without moves: a symbol that no phrase can start with ends its phrase
-        tables.append(np.full((1, len(self.alphabet) + 2), -1, np.int32))
-        self.table = np.concatenate(tables)
+            rows += [{c: to + at for c, to in out.items()} for out in suffix_automaton(self.symbols(texts[language]).tolist())]
+        rows.append({})  # a last state without moves: a symbol that no phrase can start with ends its phrase
+        self.dead = len(rows) - 1
+        self.moves = Moves(rows, len(self.alphabet) + 2)
 
     def _names(self) -> None:
         """Symbols of code points."""
@@ -127,39 +186,77 @@ class LanguageModel:
         return found[:-1] if len(found) and found[-1] == 0 else found
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases[text, language], symbols of each text)."""
-        k = len(self.languages)
+        """(phrases[text, language], symbols of each text).
+
+        Stretches of all texts are first parsed side by side as if a phrase began at each stretch. Then the phrase that is
+        open at a stretch's end goes on into the next one until a phrase ends where one of that stretch's own does;
+        from there on both parses are the same. Where that never happens the stretch's end changes, and the next one is gone over again.
+        """
+        k, n_texts = len(self.languages), len(texts)
         parsed = [self.symbols(t) for t in texts]
         sizes = np.array([len(x) for x in parsed], np.int64)
-        owner = np.repeat(np.arange(len(texts)), -(-sizes // STRETCH))
+        owner = np.repeat(np.arange(n_texts), -(-sizes // STRETCH))
         pieces = [x[a : a + STRETCH] for x in parsed for a in range(0, len(x), STRETCH)]
+        m = len(pieces)
         lengths = np.array([len(x) for x in pieces], np.int64)
         order = np.argsort(-lengths, kind="stable")
-        grid = np.zeros((STRETCH, len(pieces)), np.int32)
-        for column, i in enumerate(order):
-            grid[: lengths[i], column] = pieces[i]
+        column = np.argsort(order)  # of each piece
+        grid = np.zeros((STRETCH, m), np.int64)
+        for j, i in enumerate(order):
+            grid[: lengths[i], j] = pieces[i]
         alive = np.searchsorted(-lengths[order], -np.arange(STRETCH), side="left")  # columns longer than t
-        width = self.table.shape[1]
-        flat = self.table.ravel()
         roots = np.array(self.roots, np.int64)
-        state = np.repeat(roots[:, None], len(pieces), axis=1)
-        counts = np.ones((k, len(pieces)), np.int64)
-        first = flat[(roots[:, None] * width + np.arange(width)[None, :]).ravel()].reshape(k, width).astype(np.int64)
-        first = np.where(first < 0, len(self.table) - 1, first)  # of a symbol that starts a phrase
+        width = len(self.alphabet) + 2
+        first = self.moves(np.repeat(roots, width), np.tile(np.arange(width), k)).reshape(k, width).astype(np.int64)
+        first[first < 0] = self.dead
+        state = np.repeat(roots[:, None], m, axis=1)
+        starts = np.zeros((STRETCH, k, m), bool)  # where a phrase of a stretch's own parse begins
         for t in range(STRETCH):
             n = alive[t]
             if not n:
                 break
             s = grid[t, :n]
-            here = state[:, :n]
-            to = flat.take(here * width + s)
+            to = self.moves(state[:, :n], s)
             lost = to < 0
-            if t:
-                counts[:, :n] += lost
+            starts[t, :, :n] = lost if t else True
             state[:, :n] = np.where(lost, first[:, s], to)
-        total = np.zeros((k, len(texts)), np.int64)
+        counts = starts.sum(axis=0)
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # pieces that go on with the text of the one before
+        lang, piece = np.repeat(np.arange(k), len(follows)), np.tile(follows, k)
+        entered = np.full((k, m), -1, np.int64)  # the state that a piece was gone into with
+        while len(piece):
+            here, before = column[piece], column[piece - 1]
+            enter = state[lang, before]
+            entered[lang, here] = enter
+            now, new, going = enter.copy(), np.zeros(len(piece), np.int64), np.arange(len(piece))
+            for t in range(STRETCH):
+                inside = lengths[piece[going]] > t
+                going = going[inside]
+                if not len(going):
+                    break
+                g, h = lang[going], here[going]
+                s = grid[t, h]
+                to = self.moves(now[going], s)
+                lost = to < 0
+                new[going] += lost
+                now[going] = np.where(lost, first[g, s], to)
+                met = lost & starts[t, g, h]
+                done = going[met]
+                new[done] += starts[t + 1 :, lang[done], here[done]].sum(axis=0)
+                now[done] = -1
+                going = going[~met]
+            counts[lang, here] = new
+            # pieces whose own parse was never met end in another state than thought
+            open_ = now >= 0
+            state[lang[open_], here[open_]] = now[open_]
+            after = piece + 1
+            again = open_ & (after < m)
+            again[again] = owner[after[again]] == owner[piece[again]]
+            again[again] = entered[lang[again], column[after[again]]] != now[again]
+            lang, piece = lang[again], after[again]
+        total = np.zeros((k, n_texts), np.int64)
         for language in range(k):
-            total[language] = np.bincount(owner, weights=counts[language, np.argsort(order)], minlength=len(texts))
+            total[language] = np.bincount(owner, weights=counts[language, column], minlength=n_texts)
         return total.T, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -193,30 +290,31 @@ def held_out(doc_id, fold: int = 5):
 def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> LanguageModel:
     """A model of the labelled documents that aren't held out.
 
-    The bound: for each language whole texts of at most a quarter of ``train_chars`` characters, in the
+    The bound: for each language distinct texts of at most a quarter of ``train_chars`` characters, in the
     order of a hash of the text, until ``train_chars`` are reached. Only about twice that leaves
-    the executors. A language with long texts only is fitted on the start of its shortest one.
+    the executors for each language, whatever the number of rows and copies. A language with long texts only is fitted on the start of its shortest one.
     """
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0)).select("lang", "text")
-    short = F.length("text") <= train_chars // 4
-    rows = rows.withColumn("short", short).withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    totals = rows.groupBy("lang").agg(F.sum(F.when(F.col("short"), F.length("text"))).alias("total"))
-    share = {r["lang"]: min(1.0, 2.0 * train_chars / r["total"]) if r["total"] else None for r in totals.collect()}
-    if not share:
+    rows = rows.withColumn("n", F.length("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("u", F.expr("shiftrightunsigned(h, 11) / 9007199254740992D")).withColumn("short", F.col("n") <= train_chars // 4)
+    # copies of a text meet in each task before they are shuffled, and count once
+    texts_ = rows.groupBy("lang", "h").agg(F.first("n").alias("n"), F.first("short").alias("short"))
+    totals = texts_.groupBy("lang").agg(F.sum(F.when(F.col("short"), F.col("n"))).alias("total")).collect()
+    if not totals:
         return LanguageModel({})
-    picks = F.lit(False)
-    for lang, p in share.items():
-        if p is not None:
-            picks = picks | ((F.col("lang") == lang) & F.col("short") & (F.col("u") < p))
-    texts: dict[str, list[str]] = {lang: [] for lang in share}
-    size = dict.fromkeys(share, 0)
-    for r in sorted(rows.filter(picks).select("lang", "u", "text").collect(), key=lambda r: (r["u"], r["text"])):
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * train_chars / r["total"])) for r in totals if r["total"]], "lang string, p double")
+    picked = rows.filter("short").join(F.broadcast(share), "lang").filter("u < p").groupBy("lang", "h").agg(F.min(F.struct("u", "text")).alias("t"))
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in totals}
+    size = dict.fromkeys(texts, 0)
+    for r in sorted(picked.collect(), key=lambda r: (r["t"]["u"], r["t"]["text"])):
         if size[r["lang"]] < train_chars:
-            texts[r["lang"]].append(r["text"])
-            size[r["lang"]] += len(r["text"])
-    for lang in [x for x in share if not texts[x]]:
-        own = rows.filter(F.col("lang") == lang)
-        texts[lang] = [own.agg(F.min_by(F.substring("text", 1, train_chars), F.struct(F.length("text"), "u"))).first()[0]]
+            texts[r["lang"]].append(r["t"]["text"])
+            size[r["lang"]] += len(r["t"]["text"])
+    without = [x for x in texts if not texts[x]]
+    if without:
+        starts = rows.filter(F.col("lang").isin(without)).groupBy("lang").agg(F.min(F.struct("n", "u", F.substring("text", 1, train_chars).alias("start"))).alias("t"))
+        for r in starts.collect():
+            texts[r["lang"]] = [r["t"]["start"]]
     return LanguageModel({lang: "\n".join(found) for lang, found in texts.items()})
 
 
@@ -235,7 +333,7 @@ def _predictor(model):
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row for each document: doc_id, lang_pred, score, from the whole text only.
 
-    ``und`` with score 0 for a null text, for one without letters, and where nothing was learned. Rows
+    Texts of any length are parsed whole. ``und`` with score 0 for a null text, for one without letters, and where nothing was learned. Rows
     that repeat a doc_id are predicted each for itself. Other columns are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]

@@ -420,12 +420,41 @@ def test_language_model_parses_longest_matches():
     assert model.predict([ENGLISH, GERMAN, None, "", "123 !?", "東京"])[0] == ["en", "de", "und", "und", "und", "de"]
 
 
-def test_language_long_texts_in_portions(monkeypatch):
+@pytest.mark.parametrize("stretch", [3, 7, 64, 512])
+def test_language_long_texts_are_parsed_whole(monkeypatch, stretch):
+    """Texts of many stretches have the phrases of the plain method, also where a phrase spans several stretches."""
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    rng = np.random.default_rng(stretch)
+    train = {"en": ENGLISH * 3, "de": GERMAN * 3, "zh": "".join(map(chr, rng.integers(0x4E00, 0x5200, 800)))}
+    model = language.LanguageModel(train)
+    words = (ENGLISH + GERMAN).split()
+    texts = [" ".join(rng.choice(words, 150)), ENGLISH * 2 + GERMAN, "".join(rng.choice(list("abcdenrst "), 900)), train["zh"][100:700] + "ab" + train["zh"][:50], "x", "the " * 300]
+    counts, _ = model.phrases(texts)
+    assert counts.tolist() == [[brute_phrases(model, t, train[k]) for k in ("de", "en", "zh")] for t in texts]
+
+
+def test_language_portions_divide_no_text(monkeypatch):
     model = language.LanguageModel({"en": ENGLISH, "de": GERMAN})
-    whole = model.predict([ENGLISH * 50, GERMAN])
-    monkeypatch.setattr(language, "PORTION", 300)
-    split = model.predict([ENGLISH * 50, GERMAN])
-    assert whole[0] == split[0] == ["en", "de"] and abs(whole[1][0] - split[1][0]) < 0.1
+    texts = [ENGLISH * 50, GERMAN, None, "", ENGLISH[:20]]
+    whole = model.predict(texts)
+    monkeypatch.setattr(language, "PORTION", 30)
+    assert model.predict(texts) == whole and whole[0] == ["en", "de", "und", "und", "en"]
+
+
+def test_moves_are_those_of_the_automata():
+    rng = np.random.default_rng(3)
+    rows_ = [{int(c): int(rng.integers(0, 300)) for c in rng.choice(40, int(rng.integers(0, 12)) if i % 3 else 1, replace=False)} for i in range(300)]
+    moves = language.Moves(rows_, 40)
+    state, symbol = np.repeat(np.arange(300), 40), np.tile(np.arange(40), 300)
+    assert moves(state, symbol).tolist() == [rows_[q].get(c, -1) for q in range(300) for c in range(40)]
+    assert len(moves.to) < 3 * sum(map(len, rows_))
+
+
+def test_language_fit_is_bounded(spark):
+    """A text that most rows share counts once, and leaves the executors once."""
+    data = [(i, "same text for all of us", "en") for i in range(2000)] + [(i, f"text number {i} of many", "en") for i in range(2000, 2400)]
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), train_chars=2000)
+    assert len(model.moves.base) < 2 * 2200 and model.predict(["text number 2001 of many"])[0] == ["en"]
 
 
 def test_language_table(spark, awkward, empty):
