@@ -1,12 +1,13 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features are densities of a fixed lexicon and of one learned from labelled
-rows, how near the hits stand to the second person, capitals, punctuation and obfuscated spelling.
+Features are densities of a fixed lexicon and of one learned from the labelled
+rows that the trees are fitted on, how near the hits stand to the second person, capitals, punctuation and obfuscated spelling.
 Spark's own trees and isotonic regression are fitted on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -49,14 +50,16 @@ FEATURES = [
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 _INNER = re.compile(r"[^\w]")
 _STRETCH = re.compile(r"(.)\1\1")
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-_MARK = np.zeros(256, bool)
+_MARK = np.zeros(129, bool)
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of each code point 2 if it is a capital letter, 1 if another letter, else 0."""
+    return np.fromiter(((2 if c.isupper() else 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
 class Featurizer:
     """Dense features of whole texts; ``learned`` maps words to their log-odds of toxic texts."""
 
@@ -80,7 +83,7 @@ class Featurizer:
         return word, int(word in LEXICON), self.learned.get(word, 0.0), int(word in SECOND_PERSON), odd, obfuscated, shrunk
 
     def one(self, text: str) -> list[float]:
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         tokens = text.lower().split()
         n = max(1, len(tokens))
         hits = weight = you = odd = hidden = stretched = 0.0
@@ -116,14 +119,15 @@ class Featurizer:
             before = np.abs(places - seconds[np.maximum(at - 1, 0)])
             after = np.abs(places - seconds[np.minimum(at, len(seconds) - 1)])
             near = int((np.minimum(before, after) <= 5).sum())
-        counts = np.bincount(raw, minlength=256)
-        letters = max(1, int(counts[_LETTER].sum()))
-        shouted = sum(1 for t in text.split() if len(t) > 2 and t.isupper()) if counts[_UPPER].sum() > 0.2 * letters else 0
+        counts = np.bincount(np.minimum(codes, 128), minlength=129)  # of ASCII characters; all others are the last
+        _, small, capital = np.bincount(_letters()[codes], minlength=3)
+        letters = max(1, int(small + capital))
+        shouted = sum(1 for t in text.split() if len(t) > 2 and t.isupper()) if capital > 0.2 * letters else 0
         marks = float(counts[_MARK].sum())
-        size = max(1, len(raw))
+        size = max(1, len(codes))
         return [
             float(np.log1p(len(tokens))), 100 * hits / n, float(np.log1p(hits)), float(len(kinds)), 100 * weight / n, float(np.log1p(learned_hits)),
-            float(len(learned_kinds)), 100 * you / n, near / max(1.0, hits + learned_hits), counts[_UPPER].sum() / letters, shouted / n,
+            float(len(learned_kinds)), 100 * you / n, near / max(1.0, hits + learned_hits), capital / letters, shouted / n,
             100.0 * counts[33] / size, 100.0 * counts[63] / size, 100 * (marks - counts[33] - counts[63]) / size, odd / n, hidden / n, stretched / n,
         ]
 
@@ -178,16 +182,20 @@ def _vectors(table: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on at most ``train_rows`` labelled documents that aren't held out: the bound on what is learned from."""
+    """Fit on at most ``train_rows`` labelled documents that aren't held out: the bound on what is learned from.
+
+    A document with several labels counts as toxic if one of them says so; null labels and ids are left out. Rows of ``docs`` that
+    repeat a labelled doc_id are learned from each for itself. Words of the learned lexicon are bounded by LEARNED_WORDS, of 3 to 40 letters.
+    """
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     picked = F.broadcast(rows.orderBy("order", "doc_id").limit(train_rows))  # at most train_rows small rows
     train = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("doc_id", "toxic", "order", "text")
     train = common.materialize(train, "toxic-train")
-    learned = learn_words(train)
+    part = F.pmod("order", F.lit(3))
+    learned = learn_words(train.filter(part > 0))  # the rows that calibrate are unseen by words and trees
     table = common.materialize(featurize(train.select("toxic", "order", "text"), learned), "toxic-features")
     table = _vectors(table).withColumn("label", F.col("toxic").cast("double"))
-    part = F.pmod("order", F.lit(3))
     fitted, calibration = table.filter(part > 0), table.filter(part == 0)
     counts = table.agg(*(F.count(F.when(c, 1)) for c in (part > 0, (part > 0) & (F.col("toxic") == 1), part == 0)), F.avg("label")).first()
     if not 0 < counts[1] < counts[0] or not counts[2]:
@@ -204,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row for each document: doc_id, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
-    Null and empty texts are scored like a text without words. Where nothing could be learned all
+    Very long texts are scored whole, rows that repeat a doc_id each for itself. Null and empty texts are scored like a text without words. Where nothing could be learned all
     documents get the share of toxic labels (0 without labels). The calibrated score is a step function; a
     hundredth of the trees' own probability is mixed in so that texts on one step stay ordered. Other columns are ignored.
     """

@@ -589,6 +589,37 @@ def test_toxicity(spark, awkward, empty):
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
+def test_toxic_labels_that_repeat_contradict_or_are_null(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + ("scum idiot flurb" if i % 2 else "fine day")) for i in range(80)] + [(None, "x"), (1, None), (3, "")], "doc_id long, text string")
+    marks = [(i, 1, i % 2) for i in range(80)] + [(1, 1, 0), (1, 1, 1), (2, None, None), (None, 1, 1), (5, 0, None), (999, 1, 1)]
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 83 and all(0 <= r.score <= 1 for r in got)
+    held = {i for i in range(80) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert all((r.predicted == 1) == (r.doc_id % 2 == 1) for r in got if r.doc_id in held)
+
+
+def test_toxic_words_are_learned_from_fitted_rows_only(spark):
+    """A word of calibrating rows alone isn't learned, nor one of held-out rows."""
+    order = {r.id: r.h % 3 for r in spark.range(3000).select("id", F.xxhash64("id").alias("h")).collect()}
+    held = {i for i in order if zlib.crc32(str(i).encode()) % 4 == 2}
+
+    def word(i):
+        return "heldword" if i in held else "calword" if order[i] == 0 else "fitword"
+
+    docs = spark.createDataFrame([(i, word(i) if i % 4 == 0 else "fine day") for i in order], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in order], "doc_id long, toxic int"))
+    assert set(model.learned) == {"fitword"}
+
+
+def test_toxic_capitals_of_all_alphabets():
+    for text in ("ÄÖÜ ÉÀ", "ПРИВЕТ МИР", "ABC DEF"):
+        one = dict(zip(toxicity.FEATURES, toxicity.Featurizer({}).one(text)))
+        low = dict(zip(toxicity.FEATURES, toxicity.Featurizer({}).one(text.lower())))
+        assert one["capitals"] == 1 and one["shouted"] > 0 and low["capitals"] == low["shouted"] == 0
+    assert dict(zip(toxicity.FEATURES, toxicity.Featurizer({}).one("東京 A")))["capitals"] == pytest.approx(1 / 3)
+
+
 def test_toxic_features_see_through_spelling():
     one = dict(zip(toxicity.FEATURES, toxicity.Featurizer({}).one("You ST00PID 1d10t!!! stuuupid")))
     assert one["lexicon_kinds"] >= 2 and one["obfuscated_hits"] > 0 and one["near_second_person"] == 1 and one["exclamations"] > 0
