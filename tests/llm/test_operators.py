@@ -700,7 +700,7 @@ def brute_feistel(digits, key, tweak):
     u = n // 2
     a, b, v = int(digits[:u]), int(digits[u:]), n - u
     for i in range(1, pii.ROUNDS + 1):
-        f = int(hashlib.sha256("|".join([key, tweak, str(i), str(u), str(b)]).encode()).hexdigest()[:15], 16)
+        f = int(hashlib.sha256("|".join([key, tweak, str(i), str(10**u), str(b)]).encode()).hexdigest()[:15], 16)
         a, b, u, v = b, (a + f % 10**u) % 10**u, v, u
     return f"{a:0{u}d}{b:0{v}d}"
 
@@ -730,10 +730,49 @@ def test_pii(spark, awkward, empty):
     assert Counter((r.doc_id, r.text) for r in odd) == Counter((r[0], r[1]) for r in AWKWARD) and pii.pseudonymize(empty).count() == 0
 
 
-def test_pii_permutations_are_bijections(spark):
-    from pyspark.sql import functions as F
+def test_pii_further_forms_and_their_inverse(spark):
+    values = [
+        ("2023-01-02T10:00:00", r"\d{4}-\d\d-\d\dT10:00:00"), ("born 1.2.2023", r"born \d{1,2}\.\d{1,2}\.\d{4}"), ("3/25/2021", r"\d/\d\d/\d{4}"), ("12/25/2021", r"\d\d/\d\d/\d{4}"),
+        ("(555) 223-4567", r"\([2-9]\d\d\) [2-9]\d\d-\d{4}"), ("555.223.4567", r"[2-9]\d\d\.[2-9]\d\d\.\d{4}"), ("+44 20 7946 0958", r"\+44 \d\d \d{4} \d{4}"),
+        ("GB82 WEST 1234 5698 7654 32", r"GB\d\d WEST \d{4} \d{4} \d{4} \d\d"), ("DE89370400440532013000", r"DE\d{20}"),
+        ("2001:db8:85a3:0:0:8a2e:370:7334", r"[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]:[0-9a-f]:[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}"), ("FE80::1", r"[0-9A-F]{4}::[0-9A-F]"),
+        ("4417 7442 8035 1547", r"\d{4} \d{4} \d{4} \d{4}"), ("123-45-6789", r"\d{3}-\d\d-\d{4}"), ("10.20.30.40", r"\d+\.\d+\.\d+\.\d+"),
+    ]
+    stay = ["GB82 WEST 1234 5698 7654 33", "12:30:45", "std::vector", "555-123-4567890", "1.2.3", "31/31/2020", "00/12/2020", "1/2/1850"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([v for v, _ in values] + stay)], "doc_id long, text string")
+    hidden = pii.pseudonymize(df, "k")
+    got = {r.doc_id: r for r in hidden.collect()}
+    for i, (value, form) in enumerate(values):
+        assert re.fullmatch(form, got[i].text) and got[i].text != value and len(got[i].pii) == 1, (value, got[i].text)
+    for i, value in enumerate(stay, len(values)):
+        assert got[i].text == value and not got[i].pii
+    for i in (7, 8):
+        plain = got[i].text.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert {r.doc_id: r.text for r in pii.restore(hidden, "k").collect()} == {r.doc_id: r.text for r in df.collect()}
+    assert all(r.text != values[r.doc_id][0] for r in pii.restore(hidden, "other").filter(f"doc_id < {len(values)}").collect())
+    mails = spark.createDataFrame([(1, "write Ünal@example.com or me@exämple.de now")], "doc_id long, text string")
+    assert re.fullmatch(r"write u[0-9a-f]{12}@example\.com or u[0-9a-f]{12}@exämple\.de now", pii.pseudonymize(mails).first().text)
+
+
+def test_pii_dates_of_each_form_stay_apart(spark):
+    """No two slashed dates, whichever comes first in them and with or without leading zeros, get one pseudonym, and all come back."""
+    day = F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int"))
+    forms = F.explode(F.array(*[F.date_format(day, f) for f in ("dd/MM/yyyy", "MM/dd/yyyy", "d/M/yyyy", "M/d/yyyy")]))
+    dates = spark.range(800).select(forms.alias("text")).distinct()
+    hidden = pii.pseudonymize(dates, "k").cache()
+    assert hidden.select("text").distinct().count() == dates.count()
+    assert {r.text for r in pii.restore(hidden, "k").collect()} == {r.text for r in dates.collect()}
+    hidden.unpersist()
+
 
+def test_pii_permutations_are_bijections(spark):
     two = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
-    assert two.select(pii.permute_digits(F.col("d"), "k", "t").alias("p")).distinct().count() == 1000
-    days = spark.range(3000).select(pii.permute_below(F.col("id"), 12, 3000, "k", "t").alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
-    assert tuple(days) == (3000, 0, 2999)
+    new = two.select("d", pii.permute_digits(F.col("d"), "k", "t").alias("p"))
+    assert new.select("p").distinct().count() == 1000
+    assert new.filter(pii.permute_digits(F.col("p"), "k", "t", inverse=True) != F.col("d")).count() == 0
+    days = spark.range(3000).select("id", pii.permute_below(F.col("id"), 3000, "k", "t").alias("p"))
+    assert tuple(days.agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()) == (3000, 0, 2999)
+    assert days.filter(pii.permute_below(F.col("p"), 3000, "k", "t", inverse=True) != F.col("id")).count() == 0
+    some = spark.range(0, 3000, 3).select(pii.permute_below(F.col("id"), 3000, "k", "t", ok=lambda y: y % 3 == 0).alias("p"))
+    assert some.filter("p % 3 = 0").distinct().count() == 1000
