@@ -155,12 +155,9 @@ HOT_ROWS, HOT_KEYS = 256, 100_000
 def join_by_count(df: DataFrame, keys: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
     """``df`` of ``rows`` rows joined with ``keys``, which has one small row for each key and in ``count`` how many rows of ``df`` bear it.
 
-    There are no more keys than rows, so where these are few all keys are sent to every task. Otherwise this is done with keys that have
-    over rows / HOT_KEYS rows, as they can't be more than HOT_KEYS: their rows stay where they are. The other rows
-    are shuffled by the key; with ``how`` "left" they stay if they have no match.
+    Keys with over rows / HOT_KEYS rows can't be more than HOT_KEYS; these are sent to every task, so that their rows stay where they are.
+    The other rows are shuffled by the key; with ``how`` "left" they stay if they have no match.
     """
-    if rows <= BROADCAST_KEYS:
-        return df.join(F.broadcast(keys), key, how)
     limit = max(HOT_ROWS, rows // HOT_KEYS)
     hot = keys.filter(F.col(count) > limit)
     rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.filter(F.col(count) <= limit), key, how)
