@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; one is set where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="recallspark-"))
-    return df.checkpoint()
+from ..staging import cut as _cut
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text, vector
+from ..staging import cut
 
 
 def shared_word_candidates(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
@@ -66,7 +67,7 @@ def within_batch(events: DataFrame, threshold: float = DEFAULTS.dedup_jaccard) -
     order = events.select("chat_id", F.col("id").alias("l"), F.col("ord").alias("lo"))
     later = events.select("chat_id", F.col("id").alias("r"), F.col("ord").alias("ro"))
     edges = shared_word_candidates(sets, sets, threshold).join(order, ["chat_id", "l"]).join(later, ["chat_id", "r"]).filter("lo < ro or (lo = ro and l < r)")
-    edges = edges.select("chat_id", "l", "r").checkpoint() if events.sparkSession.sparkContext.getCheckpointDir() else edges.select("chat_id", "l", "r").cache()
+    edges = cut(edges.select("chat_id", "l", "r"))
     gone, open_ = None, edges
     while not open_.isEmpty():
         blocked = open_.select("chat_id", F.col("r").alias("l")).distinct()
@@ -75,7 +76,7 @@ def within_batch(events: DataFrame, threshold: float = DEFAULTS.dedup_jaccard) -
         gone = lost if gone is None else gone.unionByName(lost)
         known = lost.withColumnRenamed("id", "l")
         open_ = open_.join(firsts, ["chat_id", "l"], "left_anti").join(known, ["chat_id", "l"], "left_anti").join(known.withColumnRenamed("l", "r"), ["chat_id", "r"], "left_anti")
-        open_ = open_.checkpoint() if events.sparkSession.sparkContext.getCheckpointDir() else open_.cache()
+        open_ = cut(open_)
     return events if gone is None else events.join(gone.distinct(), ["chat_id", "id"], "left_anti")
 
 

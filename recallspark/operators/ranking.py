@@ -35,18 +35,34 @@ def budget_prefix(df: DataFrame, group: list[str], order: list[Column], tokens:
     return df.withColumn(out, F.sum(tokens).over(window)).filter(F.col(out) <= budget)
 
 
-def place(df: DataFrame, group: str, key: str, tie: list[str], width: int, out: str = "place") -> DataFrame:
-    """Row number within each group by a whole number ``key`` and ties, without a window over the group.
+def running(df: DataFrame, group: str, key: str, tie: list[str], width: int, **sums: Column) -> DataFrame:
+    """``df`` with the running sum of each of ``sums`` within each group, in order of a whole number ``key`` and ties, up to and with the row.
 
-    Stretches of ``width`` key values are numbered by themselves and moved by the rows of the stretches before them; stretches are
-    counted first, and 1,024 of them make up a far stretch.
+    No window spans a group. Stretches of ``width`` key values are summed by themselves and moved by the stretches before them; stretches are
+    added up first, and 1,024 of them make up a far stretch.
     """
-    rows = df.withColumn("__s", F.floor(F.coalesce(F.col(key), F.lit(0)) / width)).withColumn("__f", F.floor(F.col("__s") / 1024))
+    rows = df.withColumns({f"__v_{n}": c for n, c in sums.items()})
+    rows = rows.withColumn("__s", F.floor(F.coalesce(F.col(key), F.lit(0)) / width)).withColumn("__f", F.floor(F.col("__s") / 1024))
     before = (Window.unboundedPreceding, -1)
-    counts = rows.groupBy(group, "__f", "__s").agg(F.count(F.lit(1)).alias("__c"))
-    far = counts.groupBy(group, "__f").agg(F.sum("__c").alias("__c"))
-    far = far.select(group, "__f", F.coalesce(F.sum("__c").over(Window.partitionBy(group).orderBy("__f").rowsBetween(*before)), F.lit(0)).alias("__o2"))
-    near = F.coalesce(F.sum("__c").over(Window.partitionBy(group, "__f").orderBy("__s").rowsBetween(*before)), F.lit(0))
-    offsets = counts.select(group, "__f", "__s", near.alias("__o1")).join(far, [group, "__f"]).select(group, "__s", (F.col("__o1") + F.col("__o2")).alias("__o"))
-    own = F.row_number().over(Window.partitionBy(group, "__s").orderBy(key, *tie))
-    return rows.withColumn("__r", own).join(offsets, [group, "__s"]).withColumn(out, (F.col("__r") + F.col("__o")).cast("long")).drop("__s", "__f", "__r", "__o")
+    per = rows.groupBy(group, "__f", "__s").agg(*[F.sum(f"__v_{n}").alias(f"__c_{n}") for n in sums])
+    far = per.groupBy(group, "__f").agg(*[F.sum(f"__c_{n}").alias(f"__c_{n}") for n in sums])
+    of_group = Window.partitionBy(group).orderBy("__f").rowsBetween(*before)
+    of_far = Window.partitionBy(group, "__f").orderBy("__s").rowsBetween(*before)
+    of_stretch = Window.partitionBy(group, "__s").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = far.select(group, "__f", *[F.coalesce(F.sum(f"__c_{n}").over(of_group), F.lit(0)).alias(f"__g_{n}") for n in sums])
+    near = per.select(group, "__f", "__s", *[F.coalesce(F.sum(f"__c_{n}").over(of_far), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    offsets = near.join(far, [group, "__f"]).select(group, "__s", *[(F.col(f"__o_{n}") + F.col(f"__g_{n}")).alias(f"__o_{n}") for n in sums])
+    own = rows.withColumns({f"__v_{n}": F.sum(f"__v_{n}").over(of_stretch) for n in sums}).join(offsets, [group, "__s"])
+    own = own.withColumns({n: (F.coalesce(f"__v_{n}", F.lit(0)) + F.col(f"__o_{n}")).cast("long") for n in sums})
+    return own.drop("__s", "__f", *[f"__{x}_{n}" for n in sums for x in "vo"])
+
+
+def place(df: DataFrame, group: str, key: str, tie: list[str], width: int, out: str = "place") -> DataFrame:
+    """Row number within each group by a whole number ``key`` and ties, without a window over the group."""
+    return running(df, group, key, tie, width, **{out: F.lit(1)})
+
+
+def beside(df: DataFrame, group: str, place: str, column: str, step: int, out: str) -> DataFrame:
+    """``df`` with the value that ``column`` has ``step`` places on, null beyond the ends: lead and lag for groups of any size."""
+    other = df.select(group, (F.col(place) - step).alias(place), F.col(column).alias(out))
+    return df.join(other, [group, place], "left")

@@ -89,11 +89,13 @@ def timeline(memories: DataFrame, width: int = 20) -> DataFrame:
 
 
 def runs(rows: DataFrame, value: str) -> DataFrame:
-    """chat_id, run, value, start, end, n: stretches of equal values in order of ``ord``."""
-    order = Window.partitionBy("chat_id").orderBy("ord")
-    marked = rows.withColumn("new", F.coalesce((F.col(value) != F.lag(value).over(order)), F.lit(True)).cast("int"))
-    marked = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy("chat_id", "run").agg(F.first(value).alias(value), F.min("ord").alias("start"), F.max("ord").alias("end"), F.count(F.lit(1)).alias("n"))
+    """chat_id, run, value, start, end, n: stretches of equal values in order of ``ord``, whatever the size of a chat."""
+    from . import ranking
+
+    placed = ranking.beside(ranking.place(rows, "chat_id", "ord", [], 1000), "chat_id", "place", value, -1, "__last")
+    new = F.when((F.col("place") > 1) & F.col(value).eqNullSafe(F.col("__last")), 0).otherwise(1)
+    marked = ranking.running(placed, "chat_id", "place", [], 1000, run=new)
+    return marked.groupBy("chat_id", "run").agg(F.min_by(value, "place").alias(value), F.min("ord").alias("start"), F.max("ord").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
 def dossier(memories: DataFrame, edges: DataFrame, nodes: DataFrame, state: DataFrame, reflect_at: int = DEFAULTS.reflect_at) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text, vector
+from ..staging import cut
 from . import ranking
-from .communities import _cut as cut
 
 #: Queries that are sent to every task at once.
 MAX_QUERIES = 10_000

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import codec, text
 from ..operators import access, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reflection, reports, scheduling, scoring, selection
 from ..sources import store
@@ -506,17 +504,29 @@ def hidden_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.on_hidden_messages(mem, log).select("chat_id", "id")
 
 
-@query()
+_BATCHES = f"""WITH RECURSIVE {MESSAGES}, log AS (SELECT * FROM msg WHERE NOT is_system),
+o AS (SELECT chat_id, idx, n_tokens, row_number() OVER w AS rn, NOT is_user AND coalesce(lead(is_user) OVER w, false) AS ends FROM log WINDOW w AS (PARTITION BY chat_id ORDER BY idx)),
+r AS (
+  SELECT chat_id, idx, rn, n_tokens, n_tokens AS s, 0 AS batch, ends AND n_tokens >= 150 AS hit FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.chat_id, o.idx, o.rn, o.n_tokens, CASE WHEN r.hit THEN 0 ELSE r.s END + o.n_tokens, r.batch + r.hit::INT,
+         o.ends AND CASE WHEN r.hit THEN 0 ELSE r.s END + o.n_tokens >= 150
+  FROM r JOIN o ON o.chat_id = r.chat_id AND o.rn = r.rn + 1
+)
+SELECT chat_id, batch::BIGINT AS batch, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS messages, sum(n_tokens)::BIGINT AS tokens
+FROM r GROUP BY chat_id, batch HAVING bool_or(hit)"""
+
+
+@query(_BATCHES)
 def planned_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The micro-batches of finished chats."""
     return batches.all_batches(messages(spark, sf_dir).filter(~F.col("is_system")), 150)
 
 
-@query()
+@query(_BATCHES)
 def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batches from a stream over the table's files, written once to the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recallspark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = staging.new_path(spark, "stream")
     schema = read(spark, sf_dir, "conversations").schema
     path = f"{sf_dir}/conversations.parquet"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else sf_dir + "/conversations*")

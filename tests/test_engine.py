@@ -79,9 +79,9 @@ def test_codec(spark):
     (a, b) = df.collect()
     assert a.w == pytest.approx(a.v) and b.w is None
     assert one(spark, codec.decode_vector(F.lit("not base64!"))) is None
-    assert codec.hash53("hello") != codec.hash53("hello", 1) and 0 <= codec.hash53("привет") < 2**53
+    assert codec.hash53(["hello"])[0] != codec.hash53(["hello"], 1)[0] and 0 <= codec.hash53(["привет"])[0] < 2**53
     assert one(spark, codec.fingerprint(F.lit("1700"), F.lit("A"), F.lit("x"))) == "1700"
-    assert one(spark, codec.fingerprint(F.lit(""), F.lit("A"), F.lit("x"))) == f"hash_{codec.hash53('Ax')}"
+    assert one(spark, codec.fingerprint(F.lit(""), F.lit("A"), F.lit("x"))) == f"hash_{codec.hash53(['Ax'])[0]}"
 
 
 @pytest.mark.parametrize(
@@ -456,6 +456,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == values(batches.all_batches(spark.createDataFrame(rows, schema), 100), "chat_id", "batch", "first_idx", "last_idx", "tokens") and run() == got
 
 
+def test_late_messages_join_the_next_batch(spark, tmp_path):
+    """0, 1, 3, 4 and then 2: nothing is lost, nothing comes twice, also when everything is sent again."""
+    schema = "chat_id long, idx long, n_tokens long, is_user boolean"
+    folder, options = tmp_path / "in", (str(tmp_path / "out"), str(tmp_path / "state"))
+
+    def send(*idx):
+        spark.createDataFrame([(7, i, 10, i % 2 == 0) for i in idx], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        batches.write_once(batches.micro_batches(stream, 15), *options).awaitTermination()
+        return values(spark.read.schema(batches.OUTPUT).parquet(options[0]), "batch", "first_idx", "last_idx", "messages", "tokens")
+
+    assert send(0, 1, 3, 4) == [(0, 0, 3, 3, 30)]
+    assert send(2, 5, 6) == [(0, 0, 3, 3, 30), (1, 2, 5, 3, 30)]
+    assert send(0, 1, 2, 3, 4, 5, 6) == [(0, 0, 3, 3, 30), (1, 2, 5, 3, 30)]
+    ranges = []
+    assert [batches.add_to_ranges(ranges, i) for i in (5, 3, 4, 4, 9, 7, 8, 0)] == [True, True, True, False, True, True, True, True] and ranges == [[0, 0], [3, 5], [7, 9]]
+
+
+def test_batches_equal_a_loop(spark, monkeypatch):
+    """Jumps over small stretches against the plain fold, for chats of any length, with empty messages and long gaps between ends."""
+    rng = random.Random(11)
+    rows = [(c, 3 * i, rng.choice([0, 1, 7, 40, 300]), rng.random() < (0.5 if c else 0.97), False) for c, n in enumerate((400, 150, 1, 2)) for i in range(n)]
+    log = spark.createDataFrame(rows, "chat_id long, idx long, n_tokens long, is_user boolean, is_system boolean")
+    monkeypatch.setattr(scheduling, "STRETCH", 60)
+    expected, number, total = [], {}, {}
+    for c, i, n, _, _ in rows:
+        expected.append((c, i, number.get(c, 0)))
+        total[c] = total.get(c, 0) + n
+        if total[c] >= 100:
+            number[c], total[c] = number.get(c, 0) + 1, 0
+    assert values(scheduling.token_batches(log, 100), "chat_id", "idx", "batch") == sorted(expected, key=str)
+    full = []
+    for c in range(4):
+        own = [(i, n, u) for c2, i, n, u, _ in rows if c2 == c]
+        full += [(c, k, b[0][0], b[-1][0], len(b), sum(x[1] for x in b)) for k, b in enumerate(batches.advance(own, 100)[0])]
+    assert values(batches.all_batches(log, 100), "chat_id", "batch", "first_idx", "last_idx", "messages", "tokens") == sorted(full, key=str)
+
+
 def test_maintenance(spark):
     mem = spark.createDataFrame([("a", i, f"s{i}", 3, False, [1.0], [i - 1], ["X", "Y", "X"]) for i in range(1, 5)], "chat_id string, id long, summary string, importance int, archived boolean, embedding array<float>, source_ids array<long>, characters array<string>")
     changed = maintenance.update(mem, spark.createDataFrame([("a", 1, "new", None), ("a", 2, "s2", 5)], "chat_id string, id long, summary string, importance int"), ["summary", "importance"])
@@ -486,13 +524,72 @@ def test_store(spark, tmp_path):
     imported = store.import_json(bad, "id long, summary string")
     assert sorted(str(r.problem) for r in imported.collect()) == ["None", "no id", "no summary"]
     assert values(store.merge_import(table, imported), "id") == [(1,), (2,), (9,)]
+    with pytest.raises(ValueError):
+        store.save(table, str(tmp_path), "memories", expected_chat="a")
+    replaced = store.merge_import(table, imported, "replace")
+    assert values(replaced, "chat_id", "id") == [("a", 9), ("b", 2)]
+    store.write_export(table, str(tmp_path / "out"))
+    assert values(store.read_export(spark, str(tmp_path / "out")), "chat_id", "value") == values(lines, "chat_id", "value")
     index = store.VectorIndex(spark, str(tmp_path / "index"))
+    assert index.read().count() == 0
     index.insert(table)
     index.insert(table.filter("id = 2").withColumn("embedding", F.array(F.lit(0.5).cast("float"))))
     index.delete(table.filter("id = 1"))
     assert values(index.read(), "id", "embedding") == [(2, [0.5])]
+    again = store.VectorIndex(spark, str(tmp_path / "index"))  # opened anew: the state is in the folder
+    assert values(again.read(), "chat_id", "id", "embedding") == [("b", 2, [0.5])]
+    again.insert(table.filter("id = 1"))
+    assert values(index.read(), "chat_id", "id") == [("a", 1), ("b", 2)]
     index.purge("b")
-    assert index.read().count() == 0
+    assert values(again.read(), "chat_id", "id") == [("a", 1)] and again.read("b").count() == 0
+    changes = [("b", 5, [1.0], "sync"), ("a", 1, None, "delete"), ("c", 7, None, "delete")]
+    again.apply(spark.createDataFrame(changes, "chat_id string, id long, embedding array<float>, op string"))
+    assert values(index.read(), "chat_id", "id", "embedding") == [("b", 5, [1.0])]
+
+
+def test_import_checks(spark):
+    good = '{"_export":true,"memories":[{"id":"1","summary":"s"}],"graph":{"nodes":{"k":{"name":"K"}}}}'
+    cases = {
+        good: None, "[1]": "no JSON object", "nonsense": "no JSON object", '{"memories":[]}': "not an export", '{"_export":false,"memories":[]}': "not an export",
+        '{"_export":true}': "no memories", '{"_export":true,"memories":[{"id":"1"}]}': "a memory without id or summary",
+        '{"_export":true,"memories":[],"graph":{"nodes":{"k":{"type":"x"}}}}': "a node without a name", '{"_export":true,"memories":[]}': None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.p for r in df.select("t", store.check_import(F.col("t")).alias("p")).collect()} == cases
+    nested = spark.createDataFrame([('{"a":1,"embedding":[1],"b":[{"tokens":[],"c":{"embedding":2,"d":3}}]}',), ("x",), (None,)], "t string")
+    assert [r.s for r in nested.select(store.strip_fields(F.col("t")).alias("s")).collect()] == ['{"a": 1, "b": [{"c": {"d": 3}}]}', None, None]
+
+
+def test_migration_from_the_first_version(spark):
+    """Vectors become base64, processed places become fingerprints unless sent after the last memory, then fingerprints and clocks are filled in."""
+    mem = spark.createDataFrame([("a", 1, "event", 2000, [0, 1, 9], [0.5, 1.0], 500)], "chat_id string, id long, type string, sequence long, message_ids array<long>, embedding array<float>, created_at long")
+    mem = mem.withColumn("extraction_count", F.lit(None).cast("long"))
+    log = spark.createDataFrame([("a", 0, "f0", "100"), ("a", 1, "f1", "1970-01-01T00:00:00.400Z"), ("a", 2, "f2", "900"), ("a", 3, "f3", "never")], "chat_id string, idx long, fingerprint string, send_date string")
+    clock = spark.createDataFrame([("a", 50)], "chat_id string, count long")
+    done = spark.createDataFrame([("a", i) for i in range(4)], "chat_id string, idx long")
+    new, prints = store.migrate(mem, 1, log, clock, done)
+    row = new.select("extraction_count", "message_fingerprints", codec.decode_vector("embedding").alias("v")).first()
+    assert (row.extraction_count, row.message_fingerprints, list(row.v)) == (2, ["f0", "f1"], [0.5, 1.0])
+    assert values(prints, "fingerprint") == [("f0",), ("f1",), ("f3",)]
+    kept = store.drop_foreign_vectors(mem, spark.createDataFrame([("a", "m2")], "chat_id string, model string"), "m1")
+    assert kept.first().embedding is None
+
+
+def plain_hash53(text, seed=0):
+    mask = 0xFFFFFFFF
+    one, two = 0xDEADBEEF ^ seed, 0x41C6CE57 ^ seed
+    data = text.encode("utf-16-le", "surrogatepass")
+    for unit in (int.from_bytes(data[i : i + 2], "little") for i in range(0, len(data), 2)):
+        one = (one ^ unit) * 2654435761 & mask
+        two = (two ^ unit) * 1597334677 & mask
+    one = ((one ^ one >> 16) * 2246822507 & mask) ^ ((two ^ two >> 13) * 3266489909 & mask)
+    two = ((two ^ two >> 16) * 2246822507 & mask) ^ ((one ^ one >> 13) * 3266489909 & mask)
+    return (two & 0x1FFFFF) << 32 | one
+
+
+def test_hash_of_many_texts_is_that_of_each():
+    texts = ["", "a", "hello world", "naïve 東京 😀", "x" * 5000, "ab" * 4096, None, "b"]
+    assert codec.hash53(texts).tolist() == [plain_hash53(t or "") for t in texts]
 
 
 @pytest.mark.parametrize(("now", "row", "clock"), [(200, ("event", 50000, []), 50), (200, ("event", 120000, []), 120), (100, ("event", 999000, []), 100), (75, ("reflection", None, []), 75), (200, ("event", None, [10, 25, 17]), 25)])
