@@ -125,11 +125,11 @@ class BitFilter:
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is among the non-null values of the one column of ``keys``, a written table.
+    """Rows of ``df`` whose ``column`` is among the non-null values of the one column of ``keys``, a written table that may repeat them.
 
     Few keys are sent to every task. Otherwise a bit filter drops most other rows in the scan, and only what it lets through is shuffled to meet the keys.
     """
-    keys = keys.toDF("__key").filter("__key is not null").distinct()
+    keys = keys.toDF("__key").filter("__key is not null")
     n = keys.count()
     if n <= BROADCAST_KEYS:
         return df.join(F.broadcast(keys), F.col(column) == F.col("__key"), "left_semi")
@@ -139,7 +139,7 @@ def keep_keys(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFra
 
 def drop_keys(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
     """The other rows: those whose ``column`` is null or not among the values of ``keys``. Rows that the bit filter lets through aren't shuffled."""
-    keys = keys.toDF("__key").filter("__key is not null").distinct()
+    keys = keys.toDF("__key").filter("__key is not null")
     n = keys.count()
     if n <= BROADCAST_KEYS:
         return df.join(F.broadcast(keys), F.col(column) == F.col("__key"), "left_anti")
@@ -168,12 +168,13 @@ def salted_join(df: DataFrame, payload: DataFrame, key: str, counts: DataFrame,
     """``df``, which has a column ``c``, joined with ``payload``, which has one row for each key, by shuffling both.
 
     ``counts`` (key, c) and the column ``c`` tell how many rows of ``df`` a key has. These are dealt by a hash of ``by`` to as many salts as
-    give about HOT_ROWS rows each, and the payload is repeated for each salt. So it may be large, and no key fills a task.
+    give about HOT_ROWS rows each, and the payload is repeated for each salt. So it may be large, and no key fills a task. Both sides
+    are shuffled however small they are, so that the plan is the same at every size.
     """
     salts = F.ceil(F.col("c") / HOT_ROWS).cast("int")
     left = df.withColumn("__salt", F.pmod(F.xxhash64(by), salts).cast("int"))
     right = payload.join(counts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("c")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@
    with the pivot are verified by signature and then on full sets; links give
    components by alternating large-star and small-star.
 5. Only pairs of a bucket that neither contain its pivot nor lie in one component could still
-   matter. Buckets of over BLOCK members that hold such pairs take another pivot, ROUNDS times at most; what is still
+   matter. Buckets of over LARGE members that hold such pairs take another pivot, ROUNDS times at most; what is still
    undecided then, and smaller buckets, is compared in blocks of members.
 
 Texts are read where they lie: shingle sets are made only of candidates, which the scan picks by their ids.
@@ -36,8 +36,10 @@ WIDTH, ROWS = 5, 5
 SLACK = 0.2
 #: The greatest chance that a pair at the threshold shares no band.
 MISS = 1e-6
-#: Members of a block when a bucket is compared in blocks, and further pivots of a larger bucket before that.
-BLOCK, ROUNDS = 128, 4
+#: Members of a block when a bucket is compared in blocks.
+BLOCK = 128
+#: Undecided members from which on a bucket takes further pivots before that, and how many.
+LARGE, ROUNDS = 4096, 8
 
 
 def bands_for(percent: int) -> int:
@@ -91,9 +93,9 @@ def _setter(width: int):
 def _agreeing(threshold: float, bands: int):
     def agreeing(parts):
         for part in parts:
-            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(-1, bands * ROWS) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(-1, bands * ROWS) for i in (3, 4))
             keep = (x == y).mean(axis=1) >= threshold
-            yield part.select([0, 1]).filter(pa.array(keep))
+            yield part.select([0, 1, 2]).filter(pa.array(keep))
 
     return agreeing
 
@@ -149,30 +151,47 @@ def _verified(pairs: DataFrame, sigs: DataFrame, items: DataFrame, percent: int,
     kind = dict(pairs.dtypes)["rep"]
     pairs = common.materialize(pairs, "pairs")
     counts = common.materialize(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "pivot-counts")
-    counted = common.join_by_count(pairs, counts, "pivot", "c", pairs.count())
-    both = counted.join(sigs, "rep")
-    both = common.salted_join(both, sigs.toDF("pivot", "sig2"), "pivot", counts, "rep").select("pivot", "rep", "sig", "sig2")
+    counted = common.join_by_count(pairs, counts, "pivot", "c", pairs.count()).select("pivot", "rep", "c")
+    both = common.salted_join(counted.join(sigs.hint("merge"), "rep"), sigs.toDF("pivot", "sig2"), "pivot", counts, "rep")
     agreeing = _agreeing(percent / 100 - SLACK, n_bands)
-    pairs = common.materialize(common.map_arrow(both, agreeing, f"pivot {kind}, rep {kind}"), "agreeing")
-    counts = common.materialize(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "agreeing-counts")
-    counted = common.join_by_count(pairs, counts, "pivot", "c", pairs.count())
-    both = common.salted_join(counted.join(items, "rep"), items.toDF("pivot", "items2"), "pivot", counts, "rep")
+    schema = f"pivot {kind}, rep {kind}, c long"
+    counted = common.materialize(common.map_arrow(both.select("pivot", "rep", "c", "sig", "sig2"), agreeing, schema), "agreeing")
+    both = common.salted_join(counted.join(items.hint("merge"), "rep"), items.toDF("pivot", "items2"), "pivot", counts, "rep")
     both = both.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "items", "items2")
     return common.materialize(common.map_arrow(both, _linked(percent), f"a {kind}, b {kind}"), "links")
 
 
-def _undecided(members: DataFrame, joined: DataFrame, name: str) -> DataFrame:
-    """band, rep, n, alone, able, c, size, pivot: the members of buckets that still hold more than one component; c names it.
+def _undecided(members: DataFrame, name: str) -> DataFrame:
+    """band, rep, n, alone, able, c, size, pivot: the members of buckets that still hold more than one c; members with equal c are linked.
 
     ``pivot`` is a member that hasn't been one: the pivots so far aren't among ``members``.
     """
-    named = members.join(joined.select(F.col("node").alias("rep"), F.col("component").alias("__c")), "rep", "left")
-    named = common.materialize(named.select("band", "rep", "n", "alone", "able", F.coalesce("__c", "rep").alias("c")), name)
-    per = named.groupBy("band").agg(
+    members = common.materialize(members, name)
+    per = members.groupBy("band").agg(
         F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "rep"))["rep"].alias("pivot")
     )
     split = common.materialize(per.filter("lo <> hi").select("band", "size", "pivot"), f"{name}-split")
-    return common.materialize(common.join_by_count(named, split, "band", "size", named.count()), f"{name}-left")
+    return common.materialize(common.join_by_count(members, split, "band", "size", members.count()), f"{name}-left")
+
+
+def _more_pivots(open_: DataFrame, sigs: DataFrame, items: DataFrame, percent: int, n_bands: int) -> tuple[DataFrame, DataFrame | None]:
+    """(what is undecided, links) after further pivots of large buckets. What a pivot links takes its c, as it is then linked with all of that c."""
+    links = None
+    for i in range(ROUNDS):
+        large = open_.filter(f"size > {LARGE}")
+        rows = large.count()
+        if not rows:
+            break
+        own = large.filter("rep = pivot").groupBy("band").agg(F.min("c").alias("pc"), F.min("size").alias("in_bucket"))
+        large = common.materialize(common.join_by_count(large, common.materialize(own, "own"), "band", "in_bucket", rows), "large")
+        more = _verified(large.filter("rep <> pivot and c <> pc").select("pivot", "rep").distinct(), sigs, items, percent, n_bands)
+        links = more if links is None else links.unionByName(more)
+        found = more.distinct().select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.lit(True).alias("linked"))
+        # a pair is in as many buckets at most as there are bands, so nothing is hot here
+        large = large.filter("rep <> pivot").join(found, ["pivot", "rep"], "left").withColumn("c", F.expr("if(linked, pc, c)"))
+        rest = open_.filter(f"size <= {LARGE}").drop("size", "pivot").unionByName(large.select("band", "rep", "n", "alone", "able", "c"))
+        open_ = _undecided(rest, f"open{i}")
+    return open_, links
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
@@ -225,30 +244,19 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
     joined = connected_components(edges)
 
     # what no pivot has decided
-    open_ = _undecided(members.filter("rep <> pivot and c > 2").drop("c", "pivot"), joined, "open")
-    for i in range(ROUNDS):
-        large = open_.filter(f"size > {BLOCK}")
-        rows = large.count()
-        if not rows:
-            break
-        own = large.filter("rep = pivot").groupBy("band").agg(F.min("c").alias("pc"), F.min("size").alias("in_bucket"))
-        pairs = common.join_by_count(large, own, "band", "in_bucket", rows).filter("rep <> pivot and c <> pc")
-        more = _verified(pairs.select("pivot", "rep").distinct(), sigs, items, percent, n_bands)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            joined = connected_components(edges)
-        # small buckets wait for the blocks; of large ones the pivot has met all others
-        open_ = _undecided(open_.filter(f"size <= {BLOCK} or rep <> pivot").drop("size", "pivot", "c"), joined, f"open{i}")
+    open_ = members.filter("rep <> pivot and c > 2").drop("c").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
+    open_ = _undecided(open_.select("band", "rep", "n", "alone", "able", F.coalesce("c", "rep").alias("c")), "open")
+    open_, further = _more_pivots(open_, sigs, items, percent, n_bands)
     if not open_.isEmpty():
         count = f"cast(ceil(size / {BLOCK}) as int)"
         open_ = open_.withColumn("block", F.expr(f"cast(pmod(xxhash64(rep), {count}) as int)"))
         open_ = open_.withColumn("other", F.explode(F.expr(f"sequence(0, {count} - 1)")))
         open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "size")
-        blocks = open_.join(items, "rep").groupBy("band", "i", "j")
-        more = blocks.applyInPandas(_block_links(percent), f"a {kind}, b {kind}")
-        more = common.materialize(more.distinct(), "more-links")
-        if not more.isEmpty():
-            joined = connected_components(edges.unionByName(more))
+        blocks = open_.join(items.hint("merge"), "rep").groupBy("band", "i", "j")
+        more = common.materialize(blocks.applyInPandas(_block_links(percent), f"a {kind}, b {kind}").distinct(), "more-links")
+        further = more if further is None else further.unionByName(more)
+    if further is not None and not further.isEmpty():
+        joined = connected_components(edges.unionByName(further))
 
     # classes without a link keep their representative; only linked and repeated sets have anything to be told
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").filter("c > 1 or component is not null")

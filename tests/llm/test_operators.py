@@ -186,6 +186,7 @@ def test_near_dedup_dense_group_without_a_centre(spark, monkeypatch, few):
     With ``few`` at 0 nothing is small enough to be sent whole: filters, hot keys and salts do all joins.
     """
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "LARGE", 12)
     monkeypatch.setattr(common, "BROADCAST_KEYS", few)
     monkeypatch.setattr(common, "HOT_ROWS", 20)
     rng = np.random.default_rng(5)
