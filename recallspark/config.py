@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,10 @@ class Settings:
     reflection_reject: float = 0.9
     reflection_replace: float = 0.8
     reflection_skip: float = 0.85
+    contradiction_similarity: float = 0.6
     # graph
     entity_merge: float = 0.9
-    token_overlap: float = 0.5
+    token_overlap: float = 0.6
     node_segments: int = 3
     edge_segments: int = 5
     edge_tokens: int = 150
@@ -60,3 +61,16 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+
+def changed(settings: Settings) -> dict[str, tuple]:
+    """Settings that differ from their defaults: name -> (value, default)."""
+    return {f.name: (getattr(settings, f.name), getattr(DEFAULTS, f.name)) for f in fields(Settings) if getattr(settings, f.name) != getattr(DEFAULTS, f.name)}
+
+
+def calls_per_minute(value, default: int = 10) -> int:
+    """A call rate between 1 and 30; what isn't a number is the default."""
+    try:
+        return min(30, max(1, int(value)))
+    except (TypeError, ValueError):
+        return default

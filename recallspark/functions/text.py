@@ -125,7 +125,8 @@ def token_count(text: Column) -> Column:
 
 
 def mostly_foreign(text: Column) -> Column:
-    """Whether letters outside the Latin script number over half the Latin ones."""
+    """Whether letters outside the Latin script number over half the Latin ones, in the first 2,000 characters."""
+    text = F.left(text, F.lit(2000))
     latin = F.regexp_count(text, F.lit(r"\p{IsLatin}"))
     return (F.regexp_count(text, F.lit(r"\p{L}")) - latin) > 0.5 * latin
 
@@ -135,14 +136,26 @@ def truncated_json(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\[{]")) > F.regexp_count(text, F.lit(r"[\]}]"))
 
 
-# Requests for the wide picture, and short-lived states. English and Russian.
-MACRO_INTENT = r"(?i)(?<![\p{L}])(summar\w*|recap|overview|so far|overall|what happened|catch me up|story so far|big picture|итог\w*|вкратце|что было|напомни|в целом)(?![\p{L}])"
+# Requests for the wide picture, and what tells a passing state. English and Russian.
+MACRO_INTENT = r"(?i)(summarize|recap|story so far|overall|time skip|what has happened|lately|dynamic|вкратце|что было|расскажи|итог|наполни|напомни)"
 TRANSIENT = [
-    r"(?i)(?<!\w)(is|are|was|were|feels?|felt) (currently |now |still )?(tired|hungry|thirsty|cold|wet|drunk|asleep|bored|sleepy|sick)(?!\w)",
-    r"(?i)(?<!\w)(sits?|sat|sitting|stands?|stood|standing|leans?|leaned|leaning|kneels?|lies?|lay|lying) (down|up|on|in|at|by|near|beside|against)(?!\w)",
-    r"(?i)(?<!\w)(wears?|wore|wearing|holds?|held|holding|carries|carried|carrying) (a|an|the|his|her|their)(?!\w)",
-    r"(?i)(?<!\w)(right now|at the moment|for now|this (morning|evening|afternoon))(?!\w)",
-    r"(?i)(?<!\w)(is|are|was|were) (eating|drinking|sleeping|walking|running|cooking|bathing|smoking|waiting)(?!\w)",
+    r"\b(chose|decided|picked|opted)\s+to\s+wear\b",
+    r"\b(wearing|wore|dressed\s+in|put\s+on)\s+(a|the|some|their)\s+(shirt|dress|jacket|coat|hat|shoes|boots|outfit|sweater|hoodie|jeans|pants|skirt|suit|tie|glasses|accessor)",
+    r"\b(changed|switched)\s+(into|out\s+of|their)\s+(clothes|outfit|attire)\b",
+    r"\bdoing\s+(their|her|his|its)\s+(hair|makeup|nails)\b",
+    r"\b(glanced|looked|peeked|stared)\s+(at|out|around|toward|towards|into)\b",
+    r"\b(noticed|spotted|caught\s+sight\s+of)\s+(a|the|some)\b",
+    r"\b(gazed|stared)\s+(at|out|into)\b.*\b(seeing|watching|observing)\b",
+    r"\b(sat\s+down|stood\s+up|leaned\s+(against|on)|paced|wandered\s+(around|over|to))\b",
+    r"\b(stretched|yawned|sighed|shrugged|crossed\s+(their|her|his|its)\s+(arms|legs))\b",
+    r"\b(felt|feeling)\s+(a\s+bit|slightly|momentarily|suddenly|briefly|a\s+little)\s+(tired|hungry|thirsty|cold|warm|bored|annoyed|distracted)\b",
+    r"\b(woke\s+up|went\s+to\s+(sleep|bed)|dozed\s+off|napped)\b(?!.*(?:nightmare|dreamt|dreamed\s+(of|about)|couldn['']t\s+sleep|insomnia))",
+    r"\b(grabbed|ordered|poured|made|brewed|fixed)\s+(a|some|the|their)\s+(coffee|tea|drink|snack|sandwich|meal|breakfast|lunch|dinner)\b",
+    r"\b(ate|drank|sipped|finished|nibbled|munched)\s+(a|the|some|their)\b",
+    r"\b(brushed\s+(their|her|his|its)\s+(hair|teeth)|took\s+a\s+shower|took\s+a\s+bath|washed\s+(their|her|his|its)\s+(face|hands))\b",
+    r"\b(smiled|nodded|chuckled|laughed|grinned|winked|rolled\s+(their|her|his|its)\s+eyes)\b",
+    r"\b(it\s+was\s+(a\s+bit|slightly|kind\s+of)\s+(cold|warm|hot|cool|breezy|windy|rainy|sunny|cloudy))\b",
+    r"\b(the\s+(sun|moon)\s+(was|is)\s+(shining|out|bright))\b",
 ]
 
 
@@ -153,10 +166,48 @@ def macro_intent(text: Column) -> Column:
 def looks_transient(text: Column) -> Column:
     found = F.lit(False)
     for pattern in TRANSIENT:
-        found = found | text.rlike(pattern)
+        found = found | text.rlike("(?i)" + pattern)
     return F.coalesce(found, F.lit(False))
 
 
+def dossier_key(name: Column) -> Column:
+    """As ``entity_key``, and without any apostrophe or opening quote that is left."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "['’‘]s(?![A-Za-z0-9_])|[‘]", ""), r"\s+", " "))
+
+
+def name_stems(name: Column, stem) -> Column:
+    """Distinct stems of a name's words of letters and digits, stop words included; of two letters or more."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"[\p{L}0-9]+"), 0)
+    return F.array_distinct(F.filter(stem(found), lambda w: F.length(w) >= 2))
+
+
+def witnesses(names: Column) -> Column:
+    return F.when(F.size(names) > 0, F.concat(F.lit("Witnesses: "), F.array_join(names, ", "))).otherwise("")
+
+
+def emotion_source(first: Column, last: Column) -> Column:
+    """(from message n) or (from messages n-m)."""
+    span = F.concat(first.cast("string"), F.when(first == last, "").otherwise(F.concat(F.lit("-"), last.cast("string"))))
+    return F.when(first.isNotNull(), F.concat(F.when(first == last, "(from message ").otherwise("(from messages "), span, F.lit(")"))).otherwise("")
+
+
+def day(millis: Column) -> Column:
+    """The date of a time in milliseconds, or ``Unknown``."""
+    return F.coalesce(F.date_format(F.timestamp_millis(F.nullif(millis, F.lit(0))), "yyyy-MM-dd"), F.lit("Unknown"))
+
+
+def newest_lines(text: Column, n: int = 10) -> Column:
+    """The last ``n`` lines that aren't blank, newest first."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
+    return F.reverse(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - n + 1), F.lit(n)))
+
+
+def examples(rows, language: str, column: str = "example"):
+    """The few-shot examples of a language (or of all, ``auto``), as one text in their order; the rows (lang, ord, ...) are few by nature."""
+    kept = rows if language == "auto" else rows.filter(F.col("lang") == language)
+    return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", column))), lambda x: x[column]), "\n\n").alias("examples"))
+
+
 def half_up(x: Column) -> Column:
     """Rounded to the nearest integer, halves upwards."""
     return F.floor(x + 0.5)

@@ -8,22 +8,36 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text
 
-# Words of liking and of hostility, and negators, in English and Russian.
+# Words and phrases of liking and of hostility, and negators, in English and Russian.
 POSITIVE = (
-    "admire admired adore adored affection allies ally befriend befriended beloved bonded care cared cares comfort comforted close embrace embraced "
-    "fond forgave forgive forgiven friend friendly friends friendship grateful happy helped hug hugged kiss kissed liked loved loves love loving loyal "
-    "peace protect protected reconcile reconciled reunited support supported tender thankful trust trusted trusts warm "
-    "друг друзья дружба любит любовь люблю доверяет доверие обнял обняла помирились простил простила нежность рад"
+    "friend friends friendly allied ally allies love loves loved loving affection affectionate trust trusts trusted trusting trustworthy "
+    "close closer closest bonded bond reconciled reconciliation reconnected reunion peace peaceful harmonious harmony forgave forgiven forgiveness forgiving "
+    "loyal loyalty devoted devotion kind kindness caring care cares supportive support helped helps helping grateful gratitude appreciative appreciation "
+    "warm warmer warmth gentle respect respects respected respectful admire admires admiration protective protects protected protection "
+    "comfort comforts comforted comforting apologized apology sorry accepted acceptance "
+    "друг друзья друзьями другу другом подруга подруги подругу подругой дружба дружеский дружелюбный любовь любит любимый любимая любят "
+    "доверие доверяет доверенный близкий близко сблизились мир мирный примирение примирились помирились прощение простил простила "
+    "верный верность преданный добрый доброта забота заботливый поддержка поддерживает благодарный благодарность теплый тепло нежный нежность "
+    "уважение уважает защищает защита извинился извинилась извинение"
 ).split()
 NEGATIVE = (
-    "abandon abandoned angry anger argue argued attack attacked bitter betray betrayed betrayal broke despise despised disgust disgusted distrust enemies "
-    "enemy feud fight fought furious grudge hate hated hates hatred hostile hostility hurt insult insulted jealous quarrel quarreled rage reject rejected "
-    "resent resented rival rivals threaten threatened upset "
-    "враг враги ненавидит ненависть предал предала ссора поссорились злится обида обидел ударил"
+    "enemy enemies hostile hostility hate hates hated hatred hating distrust distrusts distrusted distrustful betrayed betrayal betray betrays "
+    "angry anger furious rage enraged fought fight fighting fights argued argument argue argues arguing conflict conflicting clashed clash "
+    "rival rivals rivalry rivaling unfriendly cold colder distant distance rejected rejection reject rejects resent resents resentment resentful "
+    "suspicious suspicion wary feud feuding bitter bitterness grudge grudges antagonistic antagonism opposed opposition opposing "
+    "dislike dislikes disliked estranged alienated alienation abandoned abandonment abandon threat threatened threatening threatens "
+    "violent violence attacked attack "
+    "враг враги враждебный вражда ненависть ненавидит ненавижу недоверие недоверчивый предал предала предательство злой злость злится ярость "
+    "ссора ссорился ссорилась поссорились конфликт конфликтовал соперник соперники соперничество недружелюбный холодный отдаленный "
+    "отверг отвергла отвержение обида обиженный обижена подозрение подозрительный злопамятный неприязнь покинул покинула бросил бросила "
+    "угроза угрожает напал напала нападение"
+).split()
+POSITIVE_PHRASES = ["made up", "made peace", "became friends", "grew closer"]
+NEGATIVE_PHRASES = ["broke up", "fell out", "turned against", "became enemies", "не доверяет", "в гневе"]
+NEGATORS = (
+    "not no never without neither nor barely hardly stopped stop ceased quit doesn didn don isn wasn aren weren hasn haven hadn wouldn couldn shouldn ain "
+    "не нет ни никогда без перестал перестала прекратил прекратила"
 ).split()
-POSITIVE_PHRASES = ["made up", "close friends", "in love", "got along", "made peace"]
-NEGATIVE_PHRASES = ["fell out", "broke up", "turned against", "cut ties"]
-NEGATORS = "no not never neither nor none without cannot cant dont doesnt didnt isnt wasnt wont doesn don didn isn wasn не нет никогда ни без".split()
 WINDOW = 3
 
 
@@ -120,6 +134,64 @@ def suspicious_pairs(memories: DataFrame, per_group: int = 5, gap: int = 50) ->
     return seen.withColumn("reason", F.lit("opposite")).unionByName(far.join(seen, [*key, "older", "newer"], "left_anti").withColumn("reason", F.lit("gap")))
 
 
+def against_new(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """chat_id, id, other, place: for each new memory the stored ones that may contradict it, in their order.
+
+    They share a character with it, whatever the case, are events that aren't archived, and both name two characters or more and tell opposite sentiments.
+    """
+    def told(df: DataFrame, name: str) -> DataFrame:
+        rows = df.filter(F.size("characters") >= 2).select("chat_id", F.col("id").alias(name), "ord", "characters", sentiment(F.col("summary")).alias(f"{name}_mood"))
+        return rows.filter(F.col(f"{name}_mood") != "neutral").select("chat_id", name, "ord", f"{name}_mood", F.explode(F.array_distinct(F.transform("characters", lambda c: F.lower(c)))).alias("who"))
+
+    open_ = stored.filter(~F.coalesce("archived", F.lit(False)) & (F.col("type") != "reflection"))
+    pairs = told(new, "id").drop("ord").join(told(open_, "other"), ["chat_id", "who"]).filter("id_mood <> other_mood and id <> other")
+    pairs = pairs.select("chat_id", "id", "other", "ord").distinct()
+    order = Window.partitionBy("chat_id", "id").orderBy("ord", "other")
+    return pairs.withColumn("place", F.row_number().over(order)).drop("ord")
+
+
+def similar_to_new(new: DataFrame, stored: DataFrame, at_least: float = DEFAULTS.contradiction_similarity, n: int = 10) -> DataFrame:
+    """chat_id, id, other, similarity, place: the ``n`` stored events most like each new memory by their vectors, among those that share a character with it.
+
+    A new memory that names nobody is compared with all events of its chat that name somebody.
+    """
+    from ..functions import vector
+    from . import ranking
+
+    def named(df: DataFrame, name: str, v: str) -> DataFrame:
+        who = F.array_distinct(F.transform(F.coalesce("characters", F.array().cast("array<string>")), lambda c: F.lower(c)))
+        return df.filter(F.col("embedding").isNotNull()).select("chat_id", F.col("id").alias(name), F.col("embedding").alias(v), who.alias("names"))
+
+    a = named(new, "id", "va")
+    b = named(stored.filter(~F.coalesce("archived", F.lit(False)) & (F.col("type") != "reflection")), "other", "vb").filter(F.size("names") > 0)
+    met = a.select("chat_id", "id", F.explode("names").alias("who")).join(b.select("chat_id", "other", F.explode("names").alias("who")), ["chat_id", "who"]).select("chat_id", "id", "other").distinct()
+    anyone = a.filter(F.size("names") == 0).select("chat_id", "id").join(b.select("chat_id", "other"), "chat_id")
+    pairs = met.unionByName(anyone).filter("id <> other").join(a.drop("names"), ["chat_id", "id"]).join(b.drop("names"), ["chat_id", "other"])
+    pairs = pairs.select("chat_id", "id", "other", vector.cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= at_least)
+    return ranking.top_n(pairs, ["chat_id", "id"], [F.desc("similarity"), F.col("other")], n, "place")
+
+
+def in_turns(checks: DataFrame, budget: int, per_event: int = 3) -> DataFrame:
+    """The checks (chat_id, ord, id, other, place) that a batch's budget pays for: the first of every event, then the second of every event, and so on."""
+    from . import ranking
+
+    return ranking.top_n(checks.filter(F.col("place") <= per_event), ["chat_id"], [F.col("place"), F.col("ord"), F.col("id")], budget, "turn")
+
+
+def full_scan(memories: DataFrame, analysed: DataFrame, limit: int) -> DataFrame:
+    """The suspicious pairs of all memories that haven't been analysed (chat_id, pair_key) yet, ``limit`` of each chat at most, opposite moods first."""
+    from . import ranking
+
+    pairs = suspicious_pairs(memories.filter(~F.coalesce("archived", F.lit(False))))
+    told = memories.select("chat_id", "id", "summary")
+    for side in ("older", "newer"):
+        pairs = pairs.join(told.select("chat_id", F.col("id").alias(side), F.col("summary").alias(f"{side}_summary")), ["chat_id", side])
+    key = pair_key(F.col("older"), F.col("older_summary"), F.col("newer"), F.col("newer_summary"))
+    pairs = pairs.withColumn("pair_key", key).dropDuplicates(["chat_id", "pair_key"]).join(analysed.select("chat_id", "pair_key"), ["chat_id", "pair_key"], "left_anti")
+    order = [F.when(F.col("reason") == "opposite", 0).otherwise(1), F.desc("newer"), F.desc("older")]
+    return ranking.top_n(pairs.drop("older_summary", "newer_summary"), ["chat_id"], order, limit)
+
+
 def pair_key(id1: Column, summary1: Column, id2: Column, summary2: Column) -> Column:
     """Key of an analysed pair; it changes when a summary does."""
     one, two = (F.concat_ws(":", i.cast("string"), F.xxhash64(s).cast("string")) for i, s in ((id1, summary1), (id2, summary2)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from .. import staging
 from ..functions import language, text, vector
 
 
@@ -208,18 +209,63 @@ def name_candidates(new: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("chat_id", "name", "key", "distance")
 
 
-def overlapping_names(a: Column, b: Column, ratio: float = DEFAULTS.token_overlap) -> Column:
-    """Whether two keys share enough words: of the smaller one's, ``ratio`` or more."""
-    x, y = text.plain_words(a), text.plain_words(b)
-    return F.size(F.array_intersect(x, y)) >= ratio * F.greatest(F.lit(1), F.least(F.size(x), F.size(y)))
+def common_run(a: Column, b: Column, length: Column) -> Column:
+    """Whether two texts share a substring of ``length`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - length + 1))
+    return (length > 0) & (length <= F.length(a)) & F.exists(starts, lambda i: F.contains(b, F.substr(a, i, length)))
 
 
-def resolve_entities(new: DataFrame, nodes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def name_parts(df: DataFrame, key: str, stem=language.stems) -> DataFrame:
+    """``df`` with what comparing keys takes: ``words`` without stop words, their stems of two letters or more, and the key's own stem."""
+    found = F.array_distinct(F.filter(F.split(F.col(key), r"\s+"), lambda w: (F.length(w) > 0) & ~w.isin(*text.STOP_WORDS)))
+    rows = df.withColumn("words", found).withColumn("stems", F.array_distinct(F.filter(stem(found), lambda w: F.length(w) >= 2)))
+    return rows.withColumn("key_stem", F.element_at(stem(F.array(F.col(key))), 1))
+
+
+def overlapping_names(a: str, b: str, x: dict[str, Column], y: dict[str, Column], ratio: float = DEFAULTS.token_overlap) -> Column:
+    """Whether two keys may name one thing; x and y hold their ``words``, ``stems`` and ``key_stem``.
+
+    Their stems are equal, one contains the other, they share a run of characters of 0.85 of the shorter one (of at least 4; of keys of up to four letters 0.6, of at
+    least 2), or of the smaller one's words, or stems of words, ``ratio`` or more are shared.
+    """
+    p, q = F.col(a), F.col(b)
+    least = F.least(F.length(p), F.length(q))
+    short = (F.length(p) <= 4) & (F.length(q) <= 4)
+    run = F.when(short, F.greatest(F.lit(2), F.ceil(least * 0.6 - 1e-9))).otherwise(F.greatest(F.lit(4), F.ceil(least * 0.85 - 1e-9))).cast("int")
+    lettered = (F.length(p) > 2) & (F.length(q) > 2)
+
+    def share(kind: str) -> Column:
+        smaller = F.least(F.size(x[kind]), F.size(y[kind]))
+        return (smaller > 0) & (F.size(F.array_intersect(x[kind], y[kind])) >= ratio * smaller)
+
+    worded = (F.size(x["words"]) > 0) & (F.size(y["words"]) > 0)
+    return (x["key_stem"] == y["key_stem"]) | F.contains(p, q) | F.contains(q, p) | (lettered & common_run(p, q, run)) | (worded & (share("words") | share("stems")))
+
+
+#: Parts that the nodes of a chat and type are dealt to when new entities are compared with them.
+PARTS = 16
+
+
+def similar_nodes(new: DataFrame, nodes: DataFrame, settings: Settings = DEFAULTS, stem=language.stems) -> DataFrame:
+    """chat_id, name, key, s: for each new entity (chat_id, name, own, type, embedding) the most similar node of its type that it may be merged with.
+
+    People are merged by the cosine of their vectors alone; they, below it, and all others at a cosine lower by 0.1 at most whose names overlap. Each new entity meets
+    every node of its chat and type, so none is lost: the nodes stay dealt over parts and the new ones, a batch, are repeated for each part.
+    """
+    a = name_parts(new.select("chat_id", "name", "own", "type", F.col("embedding").alias("va")), "own", stem)
+    a = a.select("chat_id", "name", "own", "type", "va", *[F.col(c).alias(f"x_{c}") for c in ("words", "stems", "key_stem")]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    b = name_parts(nodes.select("chat_id", "key", "type", F.col("embedding").alias("vb")), "key", stem).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    pairs = a.join(b, ["chat_id", "type", "part"]).withColumn("s", vector.cosine(F.col("va"), F.col("vb")))
+    x, y = ({c: F.col(f"{side}{c}") for c in ("words", "stems", "key_stem")} for side in ("x_", ""))
+    t = settings.entity_merge
+    may = ((F.col("type") == "PERSON") & (F.col("s") >= t)) | ((F.col("s") >= t - 0.1) & overlapping_names("own", "key", x, y, settings.token_overlap))
+    return pairs.filter(may).groupBy("chat_id", "name").agg(F.max(F.struct("s", "key")).alias("m")).select("chat_id", "name", "m.key", "m.s")
+
+
+def resolve_entities(new: DataFrame, nodes: DataFrame, settings: Settings = DEFAULTS, stem=language.stems) -> DataFrame:
     """chat_id, name, key, stage: the node of each new entity (chat_id, name, type, embedding).
 
-    exact key, then a name in the other script, then the most similar vector of the same type that may be merged (people by cosine alone, others also by
-    shared words at a slightly lower cosine), else a node of its own. Similar vectors are only sought among nodes that share a word, which both
-    rules that compare words need; people without one are new.
+    exact key, then a name in the other script, then the most similar node that it may be merged with, else a node of its own.
     """
     rows = new.withColumn("key", text.entity_key(F.col("name"))).dropDuplicates(["chat_id", "key"])
     exact = rows.join(nodes.select("chat_id", "key"), ["chat_id", "key"], "left_semi").select("chat_id", "name", "key", F.lit("exact").alias("stage"))
@@ -227,12 +273,81 @@ def resolve_entities(new: DataFrame, nodes: DataFrame, settings: Settings = DEFA
     script = name_candidates(left, nodes).groupBy("chat_id", "name").agg(F.min(F.struct("distance", "key")).alias("m")).select("chat_id", F.col("name").alias("key"), F.col("m.key").alias("to"))
     script = left.select("chat_id", "name", "key").join(script, ["chat_id", "key"]).select("chat_id", "name", F.col("to").alias("key"), F.lit("script").alias("stage"))
     left = left.join(script.select("chat_id", "name"), ["chat_id", "name"], "left_anti")
-    a = left.select("chat_id", "name", F.col("key").alias("own"), "type", F.col("embedding").alias("va"), F.explode(text.plain_words(F.col("key"))).alias("word"))
-    b = nodes.select("chat_id", "key", "type", F.col("embedding").alias("vb"), F.explode(text.plain_words(F.col("key"))).alias("word"))
-    pairs = a.join(b, ["chat_id", "type", "word"]).drop("word").dropDuplicates(["chat_id", "name", "key"])
-    pairs = pairs.withColumn("s", vector.cosine(F.col("va"), F.col("vb")))
-    t = settings.entity_merge
-    may = F.when(F.col("type") == "PERSON", F.col("s") >= t).otherwise((F.col("s") >= t - 0.1) & overlapping_names(F.col("own"), F.col("key"), settings.token_overlap))
-    similar = pairs.filter(may).groupBy("chat_id", "name").agg(F.max_by("key", F.struct("s", "key")).alias("key")).withColumn("stage", F.lit("similar"))
+    similar = similar_nodes(left.withColumnRenamed("key", "own"), nodes, settings, stem).select("chat_id", "name", "key", F.lit("similar").alias("stage"))
     fresh = left.join(similar.select("chat_id", "name"), ["chat_id", "name"], "left_anti").select("chat_id", "name", "key", F.lit("new").alias("stage"))
     return exact.unionByName(script).unionByName(similar).unionByName(fresh)
+
+
+def update_graph(nodes: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS, stem=language.stems) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, redirects) after a batch of entities (chat_id, name, type, description, embedding, ord) and relations (chat_id, source, target, description, ord).
+
+    Entities named Unknown are skipped. An entity that is found to be a known node counts as a mention of it, and its own key redirects there; relations follow the redirects.
+    """
+    known = entities.filter(F.lower(F.trim("name")) != "unknown")
+    found = staging.cut(resolve_entities(known, nodes, settings, stem))
+    redirects = found.withColumn("from_key", text.entity_key(F.col("name"))).filter("from_key <> key").select("chat_id", "from_key", F.col("key").alias("to_key"))
+    to = found.select("chat_id", text.entity_key(F.col("name")).alias("k"), F.col("key").alias("__to"))
+    # an entity takes the name of the node that it was found to be; a node of its own keeps the name it came with
+    moved = known.withColumn("k", text.entity_key(F.col("name"))).join(to, ["chat_id", "k"]).withColumn("name", F.when(F.col("k") == F.col("__to"), F.col("name")).otherwise(F.col("__to")))
+    new_nodes = upsert_nodes(nodes.select("chat_id", "key", "name", "type", "description", "mentions"), moved.select("chat_id", "name", "type", "description", "ord"), settings.node_segments)
+    plain = relations.filter((F.lower(F.trim("source")) != "unknown") & (F.lower(F.trim("target")) != "unknown"))
+    return new_nodes, upsert_edges(edges, plain, new_nodes, redirects, settings.edge_segments), redirects
+
+
+def around(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a set of entities (chat_id, name): nodes with such a name, and edges with an end among them."""
+    chosen = nodes.join(names.select("chat_id", F.lower("name").alias("__k")).distinct(), (nodes["chat_id"] == names["chat_id"]) & (F.lower(nodes["name"]) == F.col("__k")), "left_semi")
+    keys = chosen.select("chat_id", "key")
+    ends = edges.select("chat_id", "source", "target", F.explode(F.array("source", "target")).alias("key")).join(keys, ["chat_id", "key"], "left_semi").select("chat_id", "source", "target").distinct()
+    return chosen, edges.join(ends, ["chat_id", "source", "target"], "left_semi")
+
+
+def merge_target(inputs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """chat_id, input, key: the node that a typed text means: its name or an alias, whatever the case and with or without the type in brackets; of several the first."""
+    typed = inputs.withColumn("k", F.lower(F.trim(F.regexp_replace("input", r"\s*\[[^\]]*\]\s*$", ""))))
+    names = F.array_union(F.array(F.lower("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a)))
+    known = nodes.select("chat_id", "key", "ord", F.explode(names).alias("k"))
+    return typed.join(known, ["chat_id", "k"]).groupBy("chat_id", "input").agg(F.min_by("key", F.struct("ord", "key")).alias("key"))
+
+
+def relationship_levels(events: DataFrame) -> DataFrame:
+    """chat_id, first, second, trust, tension of pairs that events (chat_id, ord, impact: map of "A->B" to a text) tell of.
+
+    Trust starts at 5 and tension at 0; each text that speaks of an increase or a decrease moves one by 1 and never beyond 0 to 10. The steps of a pair are
+    folded in their order as runs: a run of steps is described by what it adds between two bounds, and two runs make a third, so no pair is gathered.
+    """
+    rows = events.select("chat_id", "ord", F.explode("impact").alias("k", "said")).withColumn("said", F.lower("said"))
+    pair = rows.filter(F.col("k").rlike(r"^.+?\s*->\s*.+$")).select(
+        "chat_id", "ord", F.regexp_extract("k", r"^(.+?)\s*->\s*(.+)$", 1).alias("first"), F.regexp_extract("k", r"^(.+?)\s*->\s*(.+)$", 2).alias("second"), "said"
+    )
+    key = ["chat_id", "first", "second"]
+
+    def step(word: str) -> Column:
+        up = F.contains("said", F.lit(word)) & F.contains("said", F.lit("increas"))
+        down = F.contains("said", F.lit(word)) & F.contains("said", F.lit("decreas"))
+        return F.when(up, 1).when(down, -1).otherwise(0)
+
+    steps = pair.select(*key, "ord", step("trust").alias("d_trust"), step("tension").alias("d_tension"))
+    # x -> min(hi, max(lo, x + add)); stretches of 256 by place are folded, then stretches of stretches
+    level = steps.groupBy(*key, F.floor(F.col("ord") / 256).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("ord", "d_trust", "d_tension"))).alias("l"))
+
+    def whole(items: Column, field: str) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("add"), F.lit(0).cast("long").alias("lo"), F.lit(10).cast("long").alias("hi"))
+
+        def then(s: Column, x: Column) -> Column:
+            d = x[field].cast("long")
+            bound = lambda v: F.least(F.lit(10), F.greatest(F.lit(0), v + d)).cast("long")
+            return F.struct((s["add"] + d).alias("add"), bound(s["lo"]).alias("lo"), bound(s["hi"]).alias("hi"))
+
+        return F.aggregate(items, start, then)
+
+    level = level.select(*key, "stretch", whole(F.col("l"), "d_trust").alias("trust"), whole(F.col("l"), "d_tension").alias("tension"))
+    per = level.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("stretch", "trust", "tension"))).alias("l"))
+
+    def final(field: str, start: int) -> Column:
+        def then(x: Column, s: Column) -> Column:
+            return F.least(s[field]["hi"], F.greatest(s[field]["lo"], x + s[field]["add"]))
+
+        return F.aggregate("l", F.lit(start).cast("long"), then)
+
+    return per.select(*key, final("trust", 5).alias("trust"), final("tension", 0).alias("tension"))

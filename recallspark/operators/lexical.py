@@ -57,9 +57,9 @@ def tiered_terms(terms: DataFrame, vocabulary: DataFrame | None, settings: Setti
 
 
 def entity_terms(entities: DataFrame, settings: Settings = DEFAULTS, stem=None) -> DataFrame:
-    """Terms of recognised entities (query_id, name, weight): single words count ceil(weight * boost) times, names of several words are phrases."""
+    """Terms of recognised entities (query_id, name, weight): single words count twice ceil(weight * boost) times, names of several words are phrases."""
     single = entities.filter(~F.contains(F.trim("name"), F.lit(" ")))
-    times = F.ceil(F.coalesce("weight", F.lit(1.0)) * settings.entity_boost).cast("long")
+    times = 2 * F.ceil(F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0)) * settings.entity_boost).cast("long")
     rows = single.select("query_id", times.alias("times"), F.explode(text.tokens(F.col("name"), stem)).alias("term"))
     return rows.groupBy("query_id", "term").agg(F.sum("times").alias("count"))
 
@@ -116,7 +116,7 @@ def mentioned_entities(messages: DataFrame, names: DataFrame, active: DataFrame,
     found = found.join(extra, ["chat_id", "name"], "full").join(scanned, "chat_id")
     found = found.filter(F.coalesce("in_messages", F.lit(0)) <= F.col("scanned") * 0.5)
     found = found.select("chat_id", "name", (F.coalesce("weight", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("weight"))
-    order = Window.partitionBy("chat_id").orderBy(F.desc("weight"), "name")
+    order = Window.partitionBy("chat_id").orderBy(F.desc(F.round("weight", 9)), "name")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= settings.top_entities)
 
 

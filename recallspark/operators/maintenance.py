@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import language, text
 
 ID = ["chat_id", "id"]
 
@@ -116,5 +116,119 @@ def character_states(events: DataFrame) -> DataFrame:
     rows = events.select("chat_id", "id", "ord", "message_ids", F.explode("emotions").alias("character", "emotion"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
     return rows.groupBy("chat_id", "character").agg(
-        F.max_by("emotion", "ord").alias("emotion"), F.array_distinct(ids).alias("known_events"), F.min(F.array_min("message_ids")).alias("first_message"), F.max(F.array_max("message_ids")).alias("last_message")
+        F.max_by("emotion", F.when(F.col("emotion").isNotNull(), F.col("ord"))).alias("emotion"), F.array_distinct(ids).alias("known_events"), F.min(F.array_min("message_ids")).alias("first_message"), F.max(F.array_max("message_ids")).alias("last_message")
     )
+
+
+def union_last(first: DataFrame, second: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """All rows of both: of rows with one key the last one counts, at the place (``ord``) of the first."""
+    key = key or ID
+    rows = first.withColumn("__side", F.lit(0)).unionByName(second.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    others = [c for c in rows.columns if c not in (*key, "__side", "ord")]
+    merged = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct("__side", "ord")).alias("__r"), F.min_by("ord", F.struct("__side", "ord")).alias("ord"))
+    return merged.select(*key, "__r.*", "ord")
+
+
+def drop_states(states: DataFrame, gone: DataFrame) -> DataFrame:
+    """Character states without those of ``gone`` (chat_id, character); memories aren't touched."""
+    return states.join(gone.select("chat_id", "character").distinct(), ["chat_id", "character"], "left_anti")
+
+
+def drop_chat(tables: dict[str, DataFrame], messages: DataFrame, chat_id: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables without a chat's rows, and its messages shown again that had been hidden."""
+    here = F.col("chat_id") == chat_id
+    shown = messages.withColumn("is_system", F.when(here & F.coalesce("hidden", F.lit(False)), False).otherwise(F.col("is_system")))
+    return {n: t.filter(~here) for n, t in tables.items()}, shown.withColumn("hidden", F.when(here, False).otherwise(F.coalesce("hidden", F.lit(False))))
+
+
+def update_communities(communities: DataFrame, changes: DataFrame) -> DataFrame:
+    """Communities with the title, summary and findings of ``changes``, where these aren't null; a new summary makes the vector stale."""
+    return update(communities, changes, ["title", "summary", "findings"])
+
+
+def drop_communities(communities: DataFrame, gone: DataFrame) -> DataFrame:
+    return communities.join(gone.select(*ID).distinct(), ID, "left_anti")
+
+
+def mark_processed(processed: DataFrame, done: DataFrame) -> DataFrame:
+    """The log of processed fingerprints with new ones appended; repeats stay, as readers take it as a set."""
+    return processed.select("chat_id", "fingerprint").unionByName(done.select("chat_id", "fingerprint"))
+
+
+def valid_states(states: DataFrame, names: DataFrame, memories: DataFrame) -> DataFrame:
+    """Character states of known names (chat_id, name) and of anybody in a memory, whatever the case and in either script."""
+    known = names.select("chat_id", F.lower("name").alias("n")).unionByName(memories.select("chat_id", F.explode("characters").alias("n")).select("chat_id", F.lower("n").alias("n")))
+    forms = known.select("chat_id", F.explode(F.array("n", language.transliterate(F.col("n")))).alias("n")).distinct()
+    low = F.lower("character")
+    own = F.when(F.col("character").rlike(r"\p{IsCyrillic}"), F.array(low, language.transliterate(low))).otherwise(F.array(low))
+    valid = states.select("chat_id", "character", F.explode(own).alias("n")).join(forms, ["chat_id", "n"], "left_semi").select("chat_id", "character").distinct()
+    return states.join(valid, ["chat_id", "character"], "left_semi")
+
+
+def hide_processed(messages: DataFrame, done: DataFrame) -> DataFrame:
+    """Messages with those that are processed (chat_id, fingerprint) made system rows; ``hidden`` tells which were made so."""
+    mark = done.select("chat_id", "fingerprint").distinct().withColumn("__d", F.lit(True))
+    rows = messages.join(mark, ["chat_id", "fingerprint"], "left").withColumn("hidden", F.coalesce("__d", F.lit(False)) & ~F.col("is_system"))
+    return rows.withColumn("is_system", F.col("is_system") | F.col("hidden")).drop("__d")
+
+
+def settle_duplicates(memories: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Memories after decisions on pairs (chat_id, first, second, action).
+
+    keep-a deletes the second, keep-b the first; skip marks both as reviewed; merge does so too and gives the second the first's mentions, characters and summary.
+    A memory is in one decision at most.
+    """
+    gone = decisions.filter("action in ('keep-a', 'keep-b')").select("chat_id", F.expr("if(action = 'keep-a', second, first)").alias("id"))
+    seen = decisions.filter("action in ('skip', 'merge')").select("chat_id", F.explode(F.array("first", "second")).alias("id")).distinct().withColumn("__seen", F.lit(True))
+    source = memories.select("chat_id", F.col("id").alias("first"), F.col("summary").alias("__s"), F.col("mentions").alias("__m"), F.col("characters").alias("__c"))
+    merged = decisions.filter("action = 'merge'").join(source, ["chat_id", "first"]).select("chat_id", F.col("second").alias("id"), "__s", "__m", "__c", F.lit(True).alias("__merge"))
+    rows = delete(memories, gone).join(seen, ID, "left").join(merged, ID, "left")
+
+    def count(c: str) -> Column:
+        return F.coalesce(F.nullif(c, F.lit(0)), F.lit(1))
+
+    also = F.when(F.length("__s") > 0, F.concat(F.col("summary"), F.lit(" (also: "), F.col("__s"), F.lit(")"))).otherwise(F.col("summary"))
+    return rows.withColumns({
+        "mentions": F.when(F.col("__merge"), count("mentions") + count("__m")).otherwise(F.col("mentions")),
+        "characters": F.when(F.col("__merge"), F.array_union(F.coalesce("characters", F.array().cast("array<string>")), F.coalesce("__c", F.array().cast("array<string>")))).otherwise(F.col("characters")),
+        "summary": F.when(F.col("__merge"), also).otherwise(F.col("summary")),
+        "reviewed": F.coalesce("__seen", F.lit(False)),
+    }).drop("__seen", "__merge", "__s", "__m", "__c")
+
+
+def without_vector(*tables: tuple[str, DataFrame, str]) -> DataFrame:
+    """kind, chat_id, id, text: the rows of several tables, each given as (kind, table, text column), that have a text but no vector yet."""
+    parts = [
+        t.filter(F.col("embedding").isNull() & (F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0)).select(F.lit(kind).alias("kind"), "chat_id", F.col("id").cast("string").alias("id"), F.col(c).alias("text"))
+        for kind, t, c in tables
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def add_vectors(table: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows with the vectors (chat_id, id, embedding) that were made for them; those that have one keep it, and new ones aren't synchronised yet."""
+    rows = table.join(vectors.select(*ID, F.col("embedding").alias("__v")), ID, "left")
+    new = F.col("embedding").isNull() & F.col("__v").isNotNull()
+    return rows.withColumn("synced", F.coalesce("synced", F.lit(False)) & ~new if "synced" in table.columns else ~new & F.lit(False)).withColumn("embedding", F.coalesce("embedding", "__v")).drop("__v")
+
+
+def sync_changes(table: DataFrame) -> DataFrame:
+    """chat_id, id, embedding, op: what an outside index must be told: vectors that it doesn't have yet, and archived rows that it still has."""
+    synced, gone = F.coalesce("synced", F.lit(False)), F.coalesce("archived", F.lit(False))
+    op = F.when(gone & synced, "delete").when(~gone & ~synced & F.col("embedding").isNotNull(), "sync")
+    return table.select("chat_id", "id", "embedding", op.alias("op")).filter(F.col("op").isNotNull())
+
+
+def last_to_judge(memories: DataFrame, n: int = 50) -> DataFrame:
+    """The newest ``n`` memories of each chat that aren't marked transient, for a second judgement."""
+    from . import ranking
+
+    return ranking.top_n(memories.filter(~F.coalesce("is_transient", F.lit(False))), ["chat_id"], [F.desc(F.coalesce("sequence", F.lit(0))), F.desc("ord")], n)
+
+
+def apply_judgement(memories: DataFrame, judged: DataFrame) -> DataFrame:
+    """Memories with the transient flag of ``judged`` (chat_id, id, is_transient) where that isn't null."""
+    return update(memories, judged, ["is_transient"])

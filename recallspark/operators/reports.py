@@ -58,16 +58,116 @@ def filter_memories(memories: DataFrame, kind: str | None = None, character: str
 
 
 def search(memories: DataFrame, query: str) -> DataFrame:
-    """Memories whose summary or characters contain the query, whatever the case."""
+    """Memories whose summary, characters, location or temporal anchor contain the query, whatever the case; the columns that a table lacks don't count."""
     q = F.lower(F.lit(query))
-    return memories.filter(F.contains(F.lower(F.coalesce("summary", F.lit(""))), q) | F.contains(F.lower(F.array_join("characters", " ")), q))
+    found = F.lit(False)
+    for c in ("summary", "location", "temporal_anchor"):
+        if c in memories.columns:
+            found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), q)
+    return memories.filter(found | F.contains(F.lower(F.coalesce(F.array_join("characters", " "), F.lit(""))), q))
 
 
-def search_nodes(nodes: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """Nodes whose name or an alias contains the query."""
+def search_nodes(nodes: DataFrame, query: str, kind: str | None = None, scope: str = "all") -> DataFrame:
+    """Nodes whose name (scope name), name or alias (aliases), or any of these or description (all) contains the query, most mentioned first."""
     q = F.lower(F.lit(query))
-    found = nodes.filter(F.contains(F.lower("name"), q) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(F.lower(a), q)))
-    return found if kind is None else found.filter(F.col("type") == kind)
+    found = F.contains(F.lower("name"), q)
+    if scope != "name":
+        found = found | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(F.lower(a), q))
+    if scope == "all" and "description" in nodes.columns:
+        found = found | F.contains(F.lower(F.coalesce("description", F.lit(""))), q)
+    rows = nodes.filter(found)
+    return (rows if kind is None else rows.filter(F.col("type") == kind)).orderBy(F.desc(F.coalesce("mentions", F.lit(0))), "ord")
+
+
+def order_by(key: str = "date") -> list[Column]:
+    """The order of a listing: date (newest made first), importance, or story (newest told first)."""
+    if key == "importance":
+        return [F.desc(F.coalesce("importance", F.lit(3))), F.col("ord")]
+    return newest_first() if key == "story" else [F.desc(F.coalesce("created_at", F.lit(0))), F.col("ord")]
+
+
+def story_order() -> list[Column]:
+    """The order of a timeline: by the message that a memory is about; those without one come last, by the time they were made."""
+    lost = F.col("message_id").isNull()
+    return [lost, F.when(lost, F.coalesce("created_at", F.lit(0))).otherwise(F.col("message_id")), F.col("ord")]
+
+
+def relations_of(edges: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chat_id, key, other, name, weight, place: the neighbours of each chosen node (chat_id, key), heaviest first, then by name in Unicode order."""
+    both = edges.select("chat_id", F.col("source").alias("key"), F.col("target").alias("other"), "weight").unionByName(edges.select("chat_id", F.col("target").alias("key"), F.col("source").alias("other"), "weight"))
+    rows = both.join(chosen.select("chat_id", "key"), ["chat_id", "key"], "left_semi").join(nodes.select("chat_id", F.col("key").alias("other"), "name"), ["chat_id", "other"])
+    order = Window.partitionBy("chat_id", "key").orderBy(F.desc("weight"), F.collate("name", "UNICODE"), "other")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def character_counts(states: DataFrame) -> DataFrame:
+    """chat_id, character, emotion and how many events are known, in place of the events."""
+    return states.select("chat_id", "character", "emotion", F.size(F.coalesce("known_events", F.array().cast("array<string>"))).alias("known_events"))
+
+
+def community_counts(communities: DataFrame) -> DataFrame:
+    """chat_id, id, title and the numbers of members and findings."""
+    return communities.select("chat_id", "id", "title", *[F.greatest(F.lit(0), F.size(c)).alias(n) for c, n in (("node_keys", "members"), ("findings", "findings"))])
+
+
+def dashboard(memories: DataFrame, states: DataFrame, communities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A line for each chat: all memories, reflections, those with a vector, archived ones, characters, communities and entities."""
+    def has(c: str) -> Column:
+        return F.count(F.when(F.col(c).isNotNull(), 1)) if c in memories.columns else F.lit(0).cast("long")
+
+    rows = memories.groupBy("chat_id").agg(
+        F.count(F.lit(1)).alias("memories"), F.count(F.when(F.col("type") == "reflection", 1)).alias("reflections"), has("embedding").alias("vectors"),
+        F.count(F.when(F.coalesce("archived", F.lit(False)), 1)).alias("archived"),
+    )
+    for table, name in ((states, "characters"), (communities, "communities"), (nodes, "entities")):
+        rows = rows.join(table.groupBy("chat_id").agg(F.count(F.lit(1)).alias(name)), "chat_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows
+
+
+def vector_counts(**tables: DataFrame) -> DataFrame:
+    """chat_id, kind, vectors: rows with a vector in each of several tables."""
+    parts = [t.filter(F.col("embedding").isNotNull()).select("chat_id", F.lit(kind).alias("kind")) for kind, t in tables.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("chat_id", "kind").agg(F.count(F.lit(1)).alias("vectors"))
+
+
+def extraction_stats(messages: DataFrame, done: DataFrame, batch: int, buffer: int = 0) -> DataFrame:
+    """chat_id, total, hidden, extracted, extractable, unextracted, in_batch, needed: how far extraction is, and what the next batch of ``batch`` messages lacks.
+
+    Processed fingerprints that no message has any more don't count. The last ``buffer`` messages aren't to be extracted yet.
+    """
+    mark = done.select("chat_id", "fingerprint").distinct().withColumn("__d", F.lit(True))
+    rows = messages.join(mark, ["chat_id", "fingerprint"], "left")
+    per = rows.groupBy("chat_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("is_system"), 1)).alias("hidden"), F.count(F.when(~F.col("is_system") & F.col("__d"), 1)).alias("extracted")
+    )
+    per = per.withColumn("extractable", F.greatest(F.lit(0), F.col("total") - buffer)).withColumn("unextracted", F.greatest(F.lit(0), F.col("extractable") - F.col("extracted")))
+    per = per.withColumn("in_batch", F.col("unextracted") % batch)
+    return per.withColumn("needed", F.when((F.col("in_batch") == 0) & (F.col("unextracted") > 0), 0).otherwise(batch - F.col("in_batch")))
+
+
+def budget_use(messages: DataFrame, done: DataFrame, budget: int, batch_budget: int) -> DataFrame:
+    """chat_id, visible, waiting and both as a percentage of their budgets, 100 at most: tokens that a chat shows, and those still to be extracted."""
+    mark = done.select("chat_id", "fingerprint").distinct().withColumn("__d", F.lit(True))
+    rows = messages.filter(~F.col("is_system")).join(mark, ["chat_id", "fingerprint"], "left")
+    per = rows.groupBy("chat_id").agg(F.sum("n_tokens").cast("long").alias("visible"), F.sum(F.when(F.col("__d").isNull(), F.col("n_tokens")).otherwise(0)).cast("long").alias("waiting"))
+
+    def share(c: str, of: int) -> Column:
+        return F.least(F.lit(100), text.half_up(100 * F.col(c) / of)).cast("long")
+
+    return per.select("*", share("visible", budget).alias("visible_percent"), share("waiting", batch_budget).alias("waiting_percent"))
+
+
+def report(**parts: DataFrame) -> DataFrame:
+    """chat_id, report: the rows of several small tables with chat_id as one JSON text for each chat, each under its name; for listings of bounded size only."""
+    out = None
+    for name, table in parts.items():
+        fields = [c for c in table.columns if c != "chat_id"]
+        one = table.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        out = one if out is None else out.join(one, "chat_id", "full")
+    return out.select("chat_id", F.to_json(F.struct(*parts)).alias("report"))
 
 
 def newest_first(column: str = "sequence") -> list[Column]:

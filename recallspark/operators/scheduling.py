@@ -6,7 +6,7 @@ batches are found by jumps from start to start.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import cut
@@ -21,6 +21,18 @@ def _numbered(messages: DataFrame, **sums) -> DataFrame:
     return ranking.running(messages.filter(~F.col("is_system")), "chat_id", "idx", [], STRETCH, place=F.lit(1), **sums)
 
 
+def stands_for_others(extra: Column) -> Column:
+    """Whether a message stands for a stretch of others: one of its further fields (JSON) is a list whose first entry is a message with a text and a name or a speaker."""
+    fields = F.from_json(extra, "map<string,string>")
+
+    def listed(value: Column) -> Column:
+        # an entry that is no object has none of these fields
+        spoken = F.get_json_object(value, "$[0].mes").isNotNull()
+        return value.startswith("[") & spoken & (F.get_json_object(value, "$[0].name").isNotNull() | F.get_json_object(value, "$[0].is_user").isNotNull())
+
+    return F.coalesce(F.exists(F.map_values(fields), lambda v: F.coalesce(listed(v), F.lit(False))), F.lit(False))
+
+
 def unprocessed(messages: DataFrame, done: DataFrame, include_latest: bool = False) -> DataFrame:
     """Messages that aren't system rows nor done (chat_id, fingerprint); the chat's latest is held back."""
     rows = messages.filter(~F.col("is_system")).join(done.select("chat_id", "fingerprint").distinct(), ["chat_id", "fingerprint"], "left_anti")

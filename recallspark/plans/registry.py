@@ -312,7 +312,14 @@ def similar_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.shared_word_candidates(sets, sets, 0.6).filter("l < r")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MEMORIES}, w AS (SELECT chat_id, id, ord, {_WORDS} AS w, row_number() OVER (PARTITION BY chat_id ORDER BY ord, id) AS rn FROM mem),
+p AS (SELECT a.chat_id, a.rn AS l, b.rn AS r, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m FROM w a JOIN w b ON a.chat_id = b.chat_id AND a.rn < b.rn),
+e AS (SELECT chat_id, r, list(l) AS earlier FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.6 GROUP BY chat_id, r),
+x AS (SELECT w.chat_id, w.rn, coalesce(earlier, []) AS earlier FROM w LEFT JOIN e ON e.chat_id = w.chat_id AND e.r = w.rn),
+s AS (SELECT chat_id, rn, [rn] AS kept FROM x WHERE rn = 1
+  UNION ALL SELECT x.chat_id, x.rn, CASE WHEN list_has_any(s.kept, x.earlier) THEN s.kept ELSE list_append(s.kept, x.rn) END FROM s JOIN x ON x.chat_id = s.chat_id AND x.rn = s.rn + 1),
+f AS (SELECT chat_id, unnest(kept) AS rn FROM (SELECT chat_id, arg_max(kept, rn) AS kept FROM s GROUP BY chat_id))
+SELECT w.chat_id, w.id FROM w JOIN f ON f.chat_id = w.chat_id AND f.rn = w.rn""")
 def dedup_within_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories that stay when each is dropped that resembles an earlier one that stays."""
     return dedup.within_batch(memories(spark, sf_dir)).select("chat_id", "id")
@@ -333,6 +340,12 @@ def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- graph
 
 
+def _even_customers(nodes: DataFrame) -> DataFrame:
+    """from_key, to_key: customers of an even number and the one before each."""
+    number = F.expr("cast(substr(key, 2) as bigint)")
+    return nodes.filter("type = 'PERSON'").filter((number % 2 == 0) & (number > 1)).select(F.col("key").alias("from_key"), F.concat(F.lit("c"), (number - 1).cast("string")).alias("to_key"))
+
+
 def _chat(df: DataFrame) -> DataFrame:
     return df.withColumn("chat_id", F.lit("shop"))
 
@@ -374,10 +387,19 @@ SELECT s AS source, g AS target, sum(weight)::BIGINT AS weight FROM e WHERE s <>
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order graph's edges after every customer of an even number is merged into the one before."""
     nodes, edges = graph_tables(spark, sf_dir)
-    number = F.expr("cast(substr(key, 2) as bigint)")
-    merges = nodes.filter("type = 'PERSON'").filter((number % 2 == 0) & (number > 1)).select(F.col("key").alias("from_key"), F.concat(F.lit("c"), (number - 1).cast("string")).alias("to_key"))
     full = _chat(nodes).withColumns({"description": F.col("type"), "mentions": F.lit(1), "aliases": F.array().cast("array<string>")})
-    return graph.merge_nodes(full, _chat(edges), _chat(merges))[1].select("source", "target", "weight")
+    return graph.merge_nodes(full, _chat(edges), _chat(_even_customers(nodes)))[1].select("source", "target", "weight")
+
+
+@query(f"""WITH {GRAPH}, m AS (SELECT key, CASE WHEN key LIKE 'c%' AND substr(key, 2)::BIGINT % 2 = 0 AND substr(key, 2)::BIGINT > 1 THEN 'c' || (substr(key, 2)::BIGINT - 1) ELSE key END AS t, name, type FROM node)
+SELECT t AS key, any_value(name) FILTER (key = t) AS name, 'about ' || any_value(type) AS description, count(*) AS mentions,
+       coalesce(string_agg(name, ',' ORDER BY name) FILTER (key <> t), '') AS aliases, count(*) > 1 AS stale_vector FROM m GROUP BY t""")
+def entity_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order graph's nodes after the same merge: mentions added up, names kept as aliases, like descriptions once."""
+    nodes, edges = graph_tables(spark, sf_dir)
+    full = _chat(nodes).withColumns({"description": F.concat(F.lit("about "), F.col("type")), "mentions": F.lit(1), "aliases": F.array().cast("array<string>")})
+    merged = graph.merge_nodes(full, _chat(edges), _chat(_even_customers(nodes)))[0]
+    return merged.select("key", "name", "description", "mentions", F.array_join("aliases", ",").alias("aliases"), "stale_vector")
 
 
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS f, p_partkey // 3 AS t, 1 AS d FROM part WHERE p_partkey >= 3
@@ -555,27 +577,32 @@ def timeline_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.timeline(memories(spark, sf_dir).withColumn("message_id", F.col("extraction_count")))
 
 
-@query(f"""WITH {_BALANCE} SELECT sc.chat_id, count(*) AS n, count(sel.id) AS n_selected, round(greatest(0.0, max(sc.score)), 6) AS top_score, round(min(sel.score), 6) AS cutoff
+@query(f"""WITH {_BALANCE} SELECT sc.chat_id, count(*) AS n, count(sel.id) AS n_selected, round(greatest(0.0, max(sc.score)), 6) AS top_score, round(min(sel.score), 6) AS cutoff,
+round(avg(sc.score) FILTER (sc.id % 9 = 0), 6) AS mean_reflection, round(avg(sc.score) FILTER (sc.id % 9 <> 0), 6) AS mean_event
 FROM sc LEFT JOIN sel ON sel.chat_id = sc.chat_id AND sel.id = sc.id GROUP BY sc.chat_id""")
 def scoring_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each chat how many memories were scored and selected, the top score and the cutoff."""
-    rows = _bucketed(spark, sf_dir).withColumn("type", F.lit("event"))
+    """For each chat how many memories were scored and selected, the top score, the cutoff, and the means of both kinds."""
+    rows = _bucketed(spark, sf_dir).withColumn("type", F.when(F.col("id") % 9 == 0, "reflection").otherwise("event"))
     chosen = selection.soft_balance(scoring.best(rows, 1000), 4000).select("chat_id", "id", F.lit(True).alias("s"))
     rows = rows.join(chosen, ["chat_id", "id"], "left").withColumn("selected", F.coalesce("s", F.lit(False)))
-    return rounded(reports.scoring_stats(rows).select("chat_id", "n", "n_selected", "top_score", "cutoff"), "top_score", "cutoff")
+    return rounded(reports.scoring_stats(rows).drop("query_id"), "top_score", "cutoff", "mean_reflection", "mean_event")
 
 
-@query(f"""WITH {MEMORIES}, p AS (SELECT chat_id, unnest(characters) AS character, type, level FROM mem)
-SELECT chat_id, character, count(*) FILTER (type = 'event') AS events, count(*) FILTER (type = 'reflection' AND level = 1) AS reflections_1,
-count(*) FILTER (type = 'reflection' AND level = 2) AS reflections_2, count(*) FILTER (type = 'reflection' AND level = 3) AS reflections_3 FROM p GROUP BY ALL""")
+@query(f"""WITH {MEMORIES}, p AS (SELECT chat_id, unnest(characters) AS character, type, level FROM mem), q AS (SELECT chat_id, unnest(list_distinct(characters)) AS character, importance FROM mem),
+i AS (SELECT chat_id, character, sum(importance) AS s FROM q GROUP BY ALL), e AS (SELECT DISTINCT chat_id, characters[1] AS a, characters[2] AS b FROM mem WHERE characters[1] <> characters[2]),
+r AS (SELECT chat_id, c, count(*) AS n FROM (SELECT chat_id, a AS c FROM e UNION ALL SELECT chat_id, b FROM e) GROUP BY ALL)
+SELECT p.chat_id, p.character, count(*) FILTER (type = 'event') AS events, count(*) FILTER (type = 'reflection' AND level = 1) AS reflections_1,
+count(*) FILTER (type = 'reflection' AND level = 2) AS reflections_2, count(*) FILTER (type = 'reflection' AND level = 3) AS reflections_3, coalesce(any_value(r.n), 0) AS relations,
+round(least(1.0, any_value(s) / 40.0), 6) AS progress
+FROM p JOIN i ON i.chat_id = p.chat_id AND i.character = p.character LEFT JOIN r ON r.chat_id = p.chat_id AND r.c = p.character GROUP BY p.chat_id, p.character""")
 def character_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and reflections of each character."""
+    """Events, reflections and relations of each character, and how near its next reflection is; relations are those named together, in order."""
     mem = memories(spark, sf_dir)
-    chats = mem.select("chat_id").distinct()
-    nodes = chats.select("chat_id", F.lit("c1").alias("key"), F.lit("C1").alias("name"))
-    edges = chats.select("chat_id", F.lit("c1").alias("source"), F.lit("c2").alias("target"), F.lit(1).alias("weight"))
-    found = reports.dossier(mem, edges, nodes, reflection.accumulate(mem.withColumn("witnesses", F.lit(None).cast("array<string>"))))
-    return found.drop("relations", "progress")
+    first, second = (F.element_at("characters", i) for i in (1, 2))
+    edges = mem.filter(first != second).groupBy("chat_id", first.alias("source"), second.alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    nodes = reports.characters(mem).select("chat_id", F.col("character").alias("key"), F.upper("character").alias("name"))
+    state = reflection.accumulate(mem.withColumn("witnesses", F.lit(None).cast("array<string>")))
+    return rounded(reports.dossier(mem, edges, nodes, state), "progress")
 
 
 @query(f"WITH {MEMORIES} SELECT id, chat_id, importance::BIGINT AS importance FROM mem ORDER BY importance DESC, ord LIMIT 20 OFFSET 40")
@@ -660,3 +687,6 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_rank(spark, sf_dir)
+
+
+from . import further as _further  # noqa: E402, F401  registers its queries here
