@@ -518,7 +518,7 @@ def rejected_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.rejected(detail).select("chat_id", "id", "score", F.col("rank").cast("long").alias("place")), "score")
 
 
-@query(f"""WITH {_LOG}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY idx DESC) - 1 AS back FROM log), s AS (SELECT chat_id, count(*) AS scanned FROM r WHERE back < 10 GROUP BY chat_id),
+@query(f"""WITH {_LOG}, r AS (SELECT *, count(*) OVER (PARTITION BY chat_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM log), s AS (SELECT chat_id, count(*) AS scanned FROM r WHERE back < 10 GROUP BY chat_id),
 w AS (SELECT chat_id, back, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(mes, '')), '[\\p{{L}}0-9_]+'), lambda w: length(w) > 2))) AS word FROM r WHERE back < 10),
 h AS (SELECT DISTINCT chat_id, back, upper(word[1:1]) || word[2:] AS name FROM w WHERE length(word) >= 6), f AS (SELECT chat_id, name, sum(1 - back * 0.09) AS weight, count(*) AS n FROM h GROUP BY ALL),
 x AS (SELECT f.chat_id, name, round(weight, 6) AS weight, row_number() OVER (PARTITION BY f.chat_id ORDER BY round(weight, 9) DESC, name) AS place FROM f JOIN s ON s.chat_id = f.chat_id WHERE n <= scanned * 0.5)
