@@ -156,12 +156,16 @@ def join_by_count(df: DataFrame, keys: DataFrame, key: str, count: str, rows: in
     """``df`` of ``rows`` rows joined with ``keys``, which has one small row for each key and in ``count`` how many rows of ``df`` bear it.
 
     Keys with over rows / HOT_KEYS rows can't be more than HOT_KEYS; these are sent to every task, so that their rows stay where they are.
-    The other rows are shuffled by the key; with ``how`` "left" they stay if they have no match.
+    The other rows are shuffled by the key; with ``how`` "left" they stay if they have no match. Hot keys are looked up
+    by a 64-bit hash, which takes far less room on an executor than other types of keys, and then compared themselves.
     """
     limit = max(HOT_ROWS, rows // HOT_KEYS)
-    hot = keys.filter(F.col(count) > limit)
-    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.filter(F.col(count) <= limit), key, how)
-    return df.join(F.broadcast(hot), key).unionByName(rest)
+    told = [c for c in keys.columns if c != key]
+    hot = keys.filter(F.col(count) > limit).select(F.xxhash64(key).alias("__h"), F.col(key).alias("__hot"), *told)
+    met = df.withColumn("__h", F.xxhash64(key)).join(F.broadcast(hot), "__h", "left")
+    is_hot = F.coalesce(F.col("__hot") == F.col(key), F.lit(False))
+    rest = met.filter(~is_hot).select(*df.columns).join(keys.filter(F.col(count) <= limit), key, how)
+    return met.filter(is_hot).select(*df.columns, *told).unionByName(rest)
 
 
 def salted_join(df: DataFrame, payload: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:

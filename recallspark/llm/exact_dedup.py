@@ -106,7 +106,10 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     index = DigestIndex(spark, common.new_path(spark, "digest-index"))
     run = index.flush(docs)
     groups = _verified(docs, index.compact().filter("n > 1"))
-    found = common.join_by_count(run, groups, "digest", "n", run.count(), "left")
+    marked = common.BitFilter(groups.select("digest"), ["digest"], groups.count(), "group-filter").mark(run, F.col("digest"))
+    found = common.join_by_count(marked.filter("__maybe").drop("__maybe"), groups, "digest", "n", run.count(), "left")
+    single = marked.filter("not __maybe").drop("__maybe").withColumns({"keep_id": F.lit(None).cast(dict(docs.dtypes)["doc_id"]), "n": F.lit(None).cast("long")})
+    found = found.unionByName(single)
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",

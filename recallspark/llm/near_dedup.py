@@ -211,12 +211,11 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
     usable = sketches.filter("n > 0 and doc_id is not null")
     classes = common.materialize(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
 
-    # representatives: all but the other members of classes of more than one
-    several = common.materialize(classes.filter("c > 1"), "several")
-    node = F.concat("key", F.col("doc_id").cast("string").cast("binary"))
-    others = common.join_by_count(common.keep_keys(usable.select("doc_id", "key"), several.select("key"), "key", "several-filter"), several, "key", "c", usable.count())
-    others = common.materialize(others.filter("doc_id <> rep").select(node.alias("node")), "not-representative")
-    standing = common.drop_keys(usable.withColumn("node", node), others, "node", "representative-filter")
+    # a class of one stands for itself; of the others, which a filter picks, one row each is made
+    several = classes.filter("c > 1").select("key")
+    marked = common.BitFilter(several, ["key"], several.count(), "several-filter").mark(usable, F.col("key"))
+    several = marked.filter("__maybe").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    standing = marked.filter("not __maybe").select("doc_id", "n", "sig").unionByName(several.select("doc_id", "n", "sig"))
     bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(n_bands)]))
     banded = common.materialize(standing.select(F.col("doc_id").alias("rep"), "n", bands.alias("band")), "bands")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
@@ -261,7 +260,10 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85, width: int = W
     # classes without a link keep their representative; only linked and repeated sets have anything to be told
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").filter("c > 1 or component is not null")
     named = common.materialize(named.select("key", F.coalesce("component", "rep").alias("c"), F.col("c").alias("copies")), "named")
-    met = common.join_by_count(sketches.drop("sig"), named, "key", "copies", sketches.count(), "left")
+    marked = common.BitFilter(named.select("key"), ["key"], named.count(), "named-filter").mark(sketches.drop("sig"), F.col("key"))
+    met = common.join_by_count(marked.filter("__maybe").drop("__maybe"), named, "key", "copies", sketches.count(), "left")
+    none = marked.filter("not __maybe").drop("__maybe").withColumns({"c": F.lit(None).cast(kind), "copies": F.lit(None).cast("long")})
+    met = met.unionByName(none)
     return met.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

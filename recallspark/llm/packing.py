@@ -33,9 +33,8 @@ LOOSE = 1 / 32
 
 
 @functools.cache
-def _tokenizers(name: str):
-    """The tokenizer of a file, and its vocabulary as ranks where the same vocabulary comes in that form."""
-    import base64
+def _exact(name: str):
+    """The tokenizer of a file."""
     import os
 
     import public_tokenizers
@@ -43,26 +42,33 @@ def _tokenizers(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(name))
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@functools.cache
+def _ranks(name: str):
+    """The vocabulary of a file as ranks, where it also comes in that form."""
     if name != "byte_bpe_50k.json":
-        return exact, None
+        return None
+    import base64
+
+    import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    plain = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, plain
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str, name: str = TOKENIZER) -> bytes:
     """Ids of a whole text, as the tokenizer file gives them without added special tokens: little-endian unsigned 32-bit.
 
-    Where the same vocabulary also comes as ranks these encode the text, which is
-    several times as fast; they don't know the special token, so a text in which it may occur takes the file.
+    Where the same vocabulary also comes as ranks these encode the text, which is several times as fast; they don't know the special
+    token, so a text in which it may occur takes the file. Either is loaded only where it is needed.
     """
-    exact, plain = _tokenizers(name)
+    plain = _ranks(name)
     if plain is None or "<|" in text:
-        return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(_exact(name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     return np.array(plain.encode_ordinary(text), "<u4").tobytes()
 
 

@@ -237,8 +237,7 @@ def test_shingles_cross_no_text_and_no_cut(monkeypatch):
 
 
 def exact_ids(text):
-    exact, _ = packing._tokenizers(packing.TOKENIZER)
-    return exact.encode(text or "", add_special_tokens=False).ids + [0]
+    return packing._exact(packing.TOKENIZER).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check_packing(rows_, texts, capacity=2048):
