@@ -9,13 +9,21 @@ from ..config import DEFAULTS, Settings
 from ..functions import text
 
 
+def tokenized(memories: DataFrame, stem=None) -> DataFrame:
+    """chat_id, id, dl, tokens: each memory's terms and their number. Written once (``staging.written``) it serves all that follows."""
+    return memories.select("chat_id", "id", text.tokens(F.col("summary"), stem).alias("tokens")).withColumn("dl", F.size("tokens"))
+
+
+def _told(memories: DataFrame, stem) -> DataFrame:
+    return memories if "tokens" in memories.columns else tokenized(memories, stem)
+
+
 def postings(memories: DataFrame, terms: DataFrame | None = None, stem=None) -> DataFrame:
-    """chat_id, id, term, tf, dl: how often a term occurs in a memory, and the memory's length in terms.
+    """chat_id, id, term, tf, dl: how often a term occurs in a memory (as it is or tokenized), and the memory's length in terms.
 
     Where only the terms of some queries are asked for, the others are left out before anything is shuffled.
     """
-    rows = memories.select("chat_id", "id", text.tokens(F.col("summary"), stem).alias("tokens"))
-    rows = rows.select("chat_id", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    rows = _told(memories, stem).select("chat_id", "id", "dl", F.explode("tokens").alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chat_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -23,8 +31,7 @@ def postings(memories: DataFrame, terms: DataFrame | None = None, stem=None) ->
 
 def corpus_size(memories: DataFrame, stem=None) -> DataFrame:
     """chat_id, n_docs, avg_dl of all memories; those without terms count."""
-    dl = F.size(text.tokens(F.col("summary"), stem))
-    return memories.select("chat_id", dl.alias("dl")).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return _told(memories, stem).select("chat_id", "dl").groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def idf_table(posted: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -92,24 +92,44 @@ def half_life(distance: Column, settings: Settings = DEFAULTS) -> dict[str, Colu
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float = 0.0) -> DataFrame:
     """query_id, id, similarity, place, proxy: the k vectors most like each query (query_id, query_vector).
 
-    Queries are sent to every task. More than MAX_QUERIES are dealt by a hash of query_id into blocks of half as many on average, and
-    each block in turn is run against all vectors and written. Each part of the vectors is cut to k before the parts meet.
+    Each part of the vectors is cut to k before the parts meet.
+    """
+    return _in_blocks(queries, lambda block: _nearest(vectors, block, k, at_least))
+
+
+def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, similarity of every vector to each query (query_id, query_vector)."""
+    return _in_blocks(queries, lambda block: _cosines(vectors, block))
+
+
+def _in_blocks(queries: DataFrame, run) -> DataFrame:
+    """What ``run`` makes of the queries, which it sends to every task.
+
+    More than MAX_QUERIES are dealt by a hash of query_id into blocks of half as many on average, and each block in turn is run and written.
     """
     n = queries.count()
     if n <= MAX_QUERIES:
-        return _nearest(vectors, queries, k, at_least)
+        return run(queries)
     blocks = -(-2 * n // MAX_QUERIES)
     numbered = cut(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
     found = None
     for i in range(blocks):
-        block = cut(_nearest(vectors, numbered.filter(F.col("__block") == i).drop("__block"), k, at_least))
+        block = cut(run(numbered.filter(F.col("__block") == i).drop("__block")))
         found = block if found is None else found.unionByName(block)
     return found
 
 
+def _cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The cosine of all vectors and queries; 0 where one is missing or the lengths differ. Norms are taken once for each vector and query."""
+    asked = F.broadcast(queries.select("query_id", "query_vector", vector.norm(F.col("query_vector")).alias("query_norm")))
+    pairs = vectors.select("id", "embedding", vector.norm(F.col("embedding")).alias("norm")).join(asked, F.lit(True))
+    size = F.col("norm") * F.col("query_norm")
+    same = F.col("embedding").isNotNull() & F.col("query_vector").isNotNull() & (F.size("embedding") == F.size("query_vector")) & (size > 0)
+    return pairs.select("query_id", "id", F.when(same, vector.dot(F.col("embedding"), F.col("query_vector")) / size).otherwise(F.lit(0.0)).alias("similarity"))
+
+
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float) -> DataFrame:
-    pairs = vectors.select("id", "embedding").join(F.broadcast(queries), F.lit(True))
-    pairs = pairs.select("query_id", "id", vector.cosine(F.col("embedding"), F.col("query_vector")).alias("similarity"))
+    pairs = _cosines(vectors, queries)
     found = ranking.top_n(pairs.filter(F.col("similarity") >= at_least), ["query_id"], [F.desc("similarity"), F.col("id")], k, "place")
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return found.join(counts, "query_id").withColumn("proxy", vector.rank_proxy(F.col("place"), F.col("n"))).drop("n")

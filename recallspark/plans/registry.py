@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import staging
-from ..functions import codec, text
+from ..config import Settings
+from ..functions import codec, language, text
 from ..operators import access, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reflection, reports, scheduling, scoring, selection
 from ..sources import store
 from ..streaming import batches
@@ -63,9 +64,11 @@ def _distance(mem: DataFrame) -> DataFrame:
     return mem.withColumn("distance", F.lit(now.first()[0] or 0) - F.col("extraction_count"))
 
 
-def _corpus(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None):
+def _corpus(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None, stem=None):
+    """(memories, postings, corpus sizes, idf): the terms of all memories are written once, and the sizes sent to every task where there are few chats."""
     mem = memories(spark, sf_dir)
-    posted, corpus = lexical.postings(mem, terms), lexical.corpus_size(mem)
+    told = staging.written(lexical.tokenized(mem, stem), "tokens")
+    posted, corpus = lexical.postings(told, terms), staging.small(staging.written(lexical.corpus_size(told).coalesce(1), "corpus"))
     return mem, posted, corpus, lexical.idf_table(posted, corpus)
 
 
@@ -81,28 +84,53 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lexical retrieval and scoring
 
 
-@query(f"""WITH {_CORPUS}, q AS (SELECT item_id AS query_id, text FROM benchmark ORDER BY item_id LIMIT 1),
+_VEC = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), nv AS (SELECT count(*) AS n FROM embeddings)"
+
+
+@query(f"""WITH {_CORPUS}, {_VEC}, q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0),
 qt AS (SELECT query_id, term, count(*) AS cnt FROM (SELECT query_id, unnest({_ITEMS}) AS term FROM q) GROUP BY ALL), {_BM25}, {_DECAY},
 mx AS (SELECT query_id, chat_id, greatest(max(bm25), 1e-9) AS top FROM bm GROUP BY ALL),
 s AS (
-  SELECT q.query_id, b.chat_id, b.id, b.ord, (base_after_floor + 0.3 * 15.0 * coalesce(bm25 / top, 0)) * frequency * reflection AS score
-  FROM base b CROSS JOIN q LEFT JOIN bm ON bm.chat_id = b.chat_id AND bm.id = b.id LEFT JOIN mx ON mx.chat_id = b.chat_id WHERE NOT archived
-)
-SELECT query_id, chat_id, id, round(round(score, 9), 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY round(score, 9) DESC, ord) AS rank FROM s) WHERE rank <= 20""")
+  SELECT q.query_id, b.chat_id, b.id, b.ord, base_after_floor, frequency, 0.3 * 15.0 * coalesce(bm25 / top, 0) AS bonus, reflection, list_cosine_similarity(a.e, c.e) AS sim
+  FROM base b CROSS JOIN q CROSS JOIN nv LEFT JOIN v a ON a.id = q.query_id % n LEFT JOIN v c ON c.id = b.id % n
+  LEFT JOIN bm ON bm.query_id = q.query_id AND bm.chat_id = b.chat_id AND bm.id = b.id LEFT JOIN mx ON mx.query_id = q.query_id AND mx.chat_id = b.chat_id WHERE NOT archived
+), f AS (SELECT *, (base_after_floor + bonus) * frequency * reflection AS fast FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY fast DESC, ord) AS r FROM f),
+t AS (SELECT *, round(CASE WHEN r <= 200 AND sim > 0.1 THEN (base_after_floor + bonus + 0.7 * 15.0 * (sim - 0.1) / 0.9) * frequency ELSE fast END, 9) AS score FROM r)
+SELECT query_id, chat_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY score DESC, ord) AS rank FROM t) WHERE rank <= 20""")
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best memories of each chat for the first benchmark item: BM25, decay, frequency, in two passes."""
-    first = _items(spark, sf_dir).orderBy("query_id").limit(1)
-    terms = lexical.query_terms(first)
-    mem, posted, corpus, idf = _corpus(spark, sf_dir, terms)
-    weighted = lexical.weigh_terms(terms, idf, corpus)
-    norm = lexical.normalized(lexical.bm25(weighted, posted, corpus)).select("chat_id", "id", "bm25_norm")
-    rows = maintenance.active(_distance(mem)).join(norm, ["chat_id", "id"], "left")
-    rows = rows.withColumns({"query_id": F.lit(first.first()["query_id"]).cast("long"), "similarity": F.lit(None).cast("double")})
-    scored = scoring.score(rows).withColumn("score", F.round("score", 9))
+    """The 20 best memories of each chat for every benchmark item with an id divisible by 20: BM25, decay, frequency and vectors, in two passes."""
+    return _ranked(spark, sf_dir, None)
+
+
+@query()
+def retrieval_rank_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with words reduced to their stems, as SQL can't."""
+    return _ranked(spark, sf_dir, language.stems)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, stem) -> DataFrame:
+    items = _items(spark, sf_dir).filter("query_id % 20 = 0")
+    terms = lexical.query_terms(items, stem)
+    mem, posted, corpus, idf = _corpus(spark, sf_dir, terms, stem)
+    bm25 = staging.written(lexical.bm25(lexical.weigh_terms(terms, idf, corpus), posted, corpus), "bm25")
+    norm = lexical.normalized(bm25).select("query_id", "chat_id", "id", "bm25_norm")
+    table = vectors(spark, sf_dir)
+    n = table.count()
+    rows = _distance(maintenance.active(mem.drop("summary"))).withColumn("vec_id", F.col("id") % n)
+    rows = rows.join(staging.small(items.select("query_id")), F.lit(True)).join(norm, ["query_id", "chat_id", "id"], "left")
+    rows = rows.join(_similar(table, items.select("query_id", (F.col("query_id") % n).alias("q"))), ["query_id", "vec_id"], "left")
+    scored = scoring.score(staging.written(rows, "candidates"), Settings(vector_threshold=0.1)).withColumn("score", F.round("score", 9))
     return rounded(scoring.best(scored, 20).select("query_id", "chat_id", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
+def _similar(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id, similarity of every vector to the vectors ``q`` of the queries, which are a given query set."""
+    asked = queries.join(table.select(F.col("id").alias("q"), F.col("embedding").alias("query_vector")), "q").select("query_id", "query_vector")
+    return scoring.similarities(table, asked).withColumnRenamed("id", "vec_id")
+
+
 @query(f"WITH {_CORPUS} SELECT chat_id, term, df, round(idf, 6) AS idf FROM idf2")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every term of each chat."""
@@ -137,9 +165,6 @@ def decay_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mem.select("id", parts["damping"].alias("damping"), parts["floored"].alias("base"), life["half_life"].alias("half_life"), life["remaining"].alias("remaining")), "damping", "base", "half_life", "remaining")
 
 
-_VEC = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings)"
-
-
 @query(f"""WITH {_VEC}, s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS similarity FROM v q JOIN v ON true WHERE q.id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS place FROM s WHERE round(similarity, 9) >= 0.2)
 SELECT query_id, id, round(similarity, 6) AS similarity, place, round(CASE WHEN n <= 1 THEN 1.0 ELSE 1 - (place - 1) / (n - 1)::DOUBLE * 0.5 END, 6) AS proxy
@@ -152,23 +177,19 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("query_id", "id", "similarity", F.col("place").cast("long").alias("place"), "proxy"), "similarity", "proxy")
 
 
-@query(f"""WITH {MEMORIES}, {_DECAY}, nv AS (SELECT count(*) AS n FROM embeddings), {_VEC},
+@query(f"""WITH {MEMORIES}, {_DECAY}, {_VEC},
 f AS (SELECT b.*, (base_after_floor * frequency * reflection) AS fast, row_number() OVER (PARTITION BY chat_id ORDER BY base_after_floor * frequency * reflection DESC, ord) AS r FROM base b),
-s AS (SELECT f.*, list_cosine_similarity(v.e, (SELECT e FROM v WHERE id = 0)) AS sim FROM f LEFT JOIN v ON v.id = f.id % (SELECT n FROM nv))
-SELECT chat_id, id, round(CASE WHEN r <= 200 AND sim > 0.05 THEN 0.7 * 15.0 * (sim - 0.05) / 0.95 ELSE 0 END, 6) AS vector_bonus,
+s AS (SELECT f.*, q.id AS query_id, list_cosine_similarity(v.e, q.e) AS sim FROM f CROSS JOIN nv LEFT JOIN v ON v.id = f.id % n CROSS JOIN v q WHERE q.id % 20 = 0)
+SELECT query_id, chat_id, id, round(CASE WHEN r <= 200 AND sim > 0.05 THEN 0.7 * 15.0 * (sim - 0.05) / 0.95 ELSE 0 END, 6) AS vector_bonus,
        round(CASE WHEN r <= 200 AND sim > 0.05 THEN (base_after_floor + 0.7 * 15.0 * (sim - 0.05) / 0.95) * frequency ELSE fast END, 6) AS score FROM s""")
 def two_pass_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all memories with vectors: only the 200 best of a chat after the first pass get the vector bonus."""
-    from ..config import Settings
-    from ..functions import vector
-
+    """Scores of all memories for every query vector (ids divisible by 20): only the 200 best of a chat after the first pass get the vector bonus."""
     table = vectors(spark, sf_dir)
     n = table.count()
-    query_vector = table.filter("id = 0").select(F.col("embedding").alias("q"))
-    near = table.join(F.broadcast(query_vector), F.lit(True)).select(F.col("id").alias("vec_id"), vector.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    mem = _distance(memories(spark, sf_dir)).withColumns({"query_id": F.lit(0), "bm25_norm": F.lit(0.0), "vec_id": F.col("id") % n})
-    scored = scoring.score(mem.join(near, "vec_id", "left"), Settings(vector_threshold=0.05))
-    return rounded(scored.select("chat_id", "id", "vector_bonus", "score"), "vector_bonus", "score")
+    near = _similar(table, table.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("q")))
+    mem = _distance(memories(spark, sf_dir).drop("summary")).withColumns({"bm25_norm": F.lit(0.0), "vec_id": F.col("id") % n})
+    scored = scoring.score(mem.join(near, "vec_id"), Settings(vector_threshold=0.05))
+    return rounded(scored.select("query_id", "chat_id", "id", "vector_bonus", "score"), "vector_bonus", "score")
 
 
 # ---- selection

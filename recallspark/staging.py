@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +39,8 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     writer = df.write if by is None else df.write.partitionBy(by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table that is sent to every task if it has at most ``limit`` rows, which are counted; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
