@@ -7,32 +7,50 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text, vector
+from .. import staging
 from ..staging import cut
 
 
-def shared_word_candidates(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+def word_classes(memories: DataFrame, first: str = "id") -> DataFrame:
+    """chat_id, id, rep, words: memories with the distinct words of their text; ``rep`` is the one of smallest ``first`` and id among those of the same words.
+
+    Texts without words stand for themselves. A group of copies meets as digests of its words only.
+    """
+    rows = memories.select("chat_id", "id", F.col(first).alias("__o"), text.plain_words(F.col("summary")).alias("words"))
+    rows = rows.withColumn("__k", F.when(F.size("words") > 0, F.unhex(F.sha2(F.array_join(F.array_sort("words"), "\n"), 256))).otherwise(F.col("id").cast("string").cast("binary")))
+    rows = staging.written(rows, "word-sets")
+    reps = rows.groupBy("chat_id", "__k").agg(F.min(F.struct("__o", "id")).alias("m")).select("chat_id", "__k", F.col("m.id").alias("rep"))
+    return rows.join(reps, ["chat_id", "__k"]).select("chat_id", "id", "rep", "words")
+
+
+def shared_word_candidates(left: DataFrame, right: DataFrame | None, at_least: float) -> DataFrame:
     """chat_id, l, r, similarity: pairs whose word sets have a Jaccard similarity of at least ``at_least``.
 
-    Both sides hold chat_id, id and ``words`` (distinct). Only words in the prefix of a set, its rarest n - ceil(t n) + 1 ones, are joined: two sets that
-    reach the threshold share one of these. So frequent words never meet, however many memories have them.
+    Both sides hold chat_id, id and ``words`` (distinct); without ``right`` pairs l < r of one table are found. Only words in the prefix of a set,
+    its rarest n - ceil(t n) + 1 ones, are joined: two sets that reach the threshold share one of these. So frequent words never meet, however many
+    memories have them. Give it one row for each set of words (``word_classes``): copies would all meet each other.
     """
     def keyed(side: DataFrame, name: str) -> DataFrame:
         return side.filter(F.size("words") > 0).select("chat_id", F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
 
-    one, two = keyed(left, "l"), keyed(right, "r")
-    both = one.select("chat_id", F.explode("l_words").alias("word")).unionByName(two.select("chat_id", F.explode("r_words").alias("word")))
+    one, two = keyed(left, "l"), keyed(left if right is None else right, "r")
+    both = one.select("chat_id", F.explode("l_words").alias("word"))
+    if right is not None:
+        both = both.unionByName(two.select("chat_id", F.explode("r_words").alias("word")))
     counts = both.groupBy("chat_id", "word").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
         n = F.size(f"{name}_words")
         rows = side.select("chat_id", name, n.alias("n"), F.explode(f"{name}_words").alias("word")).join(counts, ["chat_id", "word"])
         rank = F.row_number().over(Window.partitionBy("chat_id", name).orderBy("df", "word"))
-        return rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1).select("chat_id", name, "word", "n")
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1)
+        return staging.written(rows.select("chat_id", name, F.xxhash64("word").alias("word"), "n"), "prefixes")
 
-    p, q = prefix(one, "l"), prefix(two, "r").withColumnRenamed("n", "m")
+    p = prefix(one, "l")
+    q = (p.withColumnRenamed("l", "r") if right is None else prefix(two, "r")).withColumnRenamed("n", "m")
     size = (F.col("n") >= F.col("m") * at_least) & (F.col("m") >= F.col("n") * at_least)
-    pairs = p.join(q, ["chat_id", "word"]).filter(size).select("chat_id", "l", "r").distinct()
-    scored = pairs.join(one, ["chat_id", "l"]).join(two, ["chat_id", "r"])
+    met = p.join(q, ["chat_id", "word"]).filter(size if right is not None else size & (F.col("l") < F.col("r")))
+    scored = met.select("chat_id", "l", "r").distinct().join(one, ["chat_id", "l"]).join(two, ["chat_id", "r"])
     return scored.select("chat_id", "l", "r", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity")).filter(F.col("similarity") >= at_least)
 
 
@@ -59,25 +77,27 @@ def count_mentions(stored: DataFrame, matched: DataFrame) -> DataFrame:
 def within_batch(events: DataFrame, threshold: float = DEFAULTS.dedup_jaccard) -> DataFrame:
     """Events of which no earlier kept one of their chat is similar: greedy, in order of ``ord``.
 
-    Similar pairs come from a join; an event's fate only depends on those of earlier neighbours. Events without an earlier neighbour stay, neighbours of a
+    Of events with the same words only the first can stay: what drops it drops them all. Similar pairs of these come from a join; an
+    event's fate only depends on those of earlier neighbours. Events without an earlier neighbour stay, neighbours of a
     kept one go, and the two steps repeat on what is undecided; each round decides at least the first event of every open chain.
     """
-    words = text.plain_words(F.col("summary"))
-    sets = events.select("chat_id", "id", words.alias("words"))
+    classes = cut(word_classes(events, "ord"))
+    sets = classes.filter(F.col("id") == F.col("rep")).select("chat_id", "id", "words")
     order = events.select("chat_id", F.col("id").alias("l"), F.col("ord").alias("lo"))
-    later = events.select("chat_id", F.col("id").alias("r"), F.col("ord").alias("ro"))
-    edges = shared_word_candidates(sets, sets, threshold).join(order, ["chat_id", "l"]).join(later, ["chat_id", "r"]).filter("lo < ro or (lo = ro and l < r)")
-    edges = cut(edges.select("chat_id", "l", "r"))
-    gone, open_ = None, edges
+    pairs = shared_word_candidates(sets, None, threshold).join(order, ["chat_id", "l"]).join(order.toDF("chat_id", "r", "ro"), ["chat_id", "r"])
+    earlier = (F.col("lo") < F.col("ro")) | ((F.col("lo") == F.col("ro")) & (F.col("l") < F.col("r")))
+    edges = pairs.select("chat_id", F.when(earlier, F.col("l")).otherwise(F.col("r")).alias("l"), F.when(earlier, F.col("r")).otherwise(F.col("l")).alias("r"))
+    open_ = cut(edges)
+    gone = classes.filter(F.col("id") != F.col("rep")).select("chat_id", "id")
     while not open_.isEmpty():
         blocked = open_.select("chat_id", F.col("r").alias("l")).distinct()
         firsts = open_.select("chat_id", "l").distinct().join(blocked, ["chat_id", "l"], "left_anti")
-        lost = open_.join(firsts, ["chat_id", "l"], "left_semi").select("chat_id", F.col("r").alias("id")).distinct()
-        gone = lost if gone is None else gone.unionByName(lost)
+        lost = cut(open_.join(firsts, ["chat_id", "l"], "left_semi").select("chat_id", F.col("r").alias("id")).distinct())
+        gone = gone.unionByName(lost)
         known = lost.withColumnRenamed("id", "l")
         open_ = open_.join(firsts, ["chat_id", "l"], "left_anti").join(known, ["chat_id", "l"], "left_anti").join(known.withColumnRenamed("l", "r"), ["chat_id", "r"], "left_anti")
         open_ = cut(open_)
-    return events if gone is None else events.join(gone.distinct(), ["chat_id", "id"], "left_anti")
+    return events.join(gone.distinct(), ["chat_id", "id"], "left_anti")
 
 
 def judge_reflections(new: DataFrame, old: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

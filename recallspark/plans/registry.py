@@ -324,13 +324,23 @@ def character_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(summary, '')), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 2))"
 
 
-@query(f"""WITH {MEMORIES}, w AS (SELECT chat_id, id, {_WORDS} AS w FROM mem),
-p AS (SELECT a.chat_id, a.id AS l, b.id AS r, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m FROM w a JOIN w b ON a.chat_id = b.chat_id AND a.id < b.id)
+_CLASSES = f"""w AS (SELECT chat_id, id, {_WORDS} AS w FROM mem),
+cl AS (SELECT *, min(id) OVER (PARTITION BY chat_id, list_sort(w), CASE WHEN len(w) = 0 THEN id END) AS rep FROM w)"""
+
+
+@query(f"""WITH {MEMORIES}, {_CLASSES}, c AS (SELECT * FROM cl WHERE id = rep),
+p AS (SELECT a.chat_id, a.id AS l, b.id AS r, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m FROM c a JOIN c b ON a.chat_id = b.chat_id AND a.id < b.id)
 SELECT chat_id, l, r, i / (n + m - i)::DOUBLE AS similarity FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.6""")
 def similar_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of memories of a chat with word sets of a Jaccard similarity of 0.6 or more."""
-    sets = memories(spark, sf_dir).select("chat_id", "id", text.plain_words(F.col("summary")).alias("words"))
-    return dedup.shared_word_candidates(sets, sets, 0.6).filter("l < r")
+    """Pairs of memories of a chat with different word sets of a Jaccard similarity of 0.6 or more; of those with equal sets the first stands for all (``same_words``)."""
+    classes = staging.written(dedup.word_classes(memories(spark, sf_dir)).filter("id = rep").select("chat_id", "id", "words"), "classes")
+    return dedup.shared_word_candidates(classes, None, 0.6)
+
+
+@query(f"WITH {MEMORIES}, {_CLASSES} SELECT chat_id, id, rep FROM cl")
+def same_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every memory the first one of its chat with the same words."""
+    return dedup.word_classes(memories(spark, sf_dir)).select("chat_id", "id", "rep")
 
 
 @query(f"""WITH RECURSIVE {MEMORIES}, w AS (SELECT chat_id, id, ord, {_WORDS} AS w, row_number() OVER (PARTITION BY chat_id ORDER BY ord, id) AS rn FROM mem),
