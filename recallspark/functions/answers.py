@@ -68,22 +68,31 @@ def parse_graph(answer: Column) -> Column:
     return F.when(found.isNotNull(), F.struct(entities.alias("entities"), links.alias("relationships")))
 
 
+def _last_of_each(entries: Column, key: str) -> Column:
+    """A map of (key, value) entries; of a repeated key the last one counts."""
+
+    def of(all_: Column) -> Column:
+        return F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x[key] == e[key])))
+
+    # the array of one gives the entries a name, as what comes from Python can't be named again within a lambda
+    return F.element_at(F.transform(F.array(entries), of), 1)
+
+
 def parse_reclassified(answer: Column) -> Column:
     """Map of id to whether a memory is transient, from a bare array or one named classifications, results or items; null if an entry lacks either."""
     json = answer_json(answer)
     rows = F.when(_is_array(json), json).otherwise(F.coalesce(*[F.get_json_object(json, f"$.{n}") for n in ("classifications", "results", "items")]))
     read = F.from_json(rows, "array<struct<id:string,is_transient:boolean>>")
     whole = F.forall(read, lambda r: r["id"].isNotNull() & r["is_transient"].isNotNull())
-    # of a repeated id the last one counts
-    last = F.filter(read, lambda r, i: ~F.exists(F.slice(read, i + 2, F.size(read)), lambda x: x["id"] == r["id"]))
-    return F.when(whole, F.map_from_entries(last))
+    return F.when(whole, _last_of_each(read, "id"))
 
 
 def parse_reflections(answer: Column) -> Column:
     """Array of (question, insight, evidence_ids) without identifiers that leak into texts; empty for a silent answer."""
     read = F.from_json(answer_object(answer), REFLECTIONS)["reflections"]
     clean = F.transform(read, lambda r: F.struct(text.strip_ids(r["question"]).alias("question"), text.strip_ids(r["insight"]).alias("insight"), F.coalesce(r["evidence_ids"], F.array().cast("array<string>")).alias("evidence_ids")))
-    return F.when(silent(answer), F.slice(clean, 1, 0)).otherwise(F.filter(clean, lambda r: ~_blank(r["question"]) & ~_blank(r["insight"])))
+    none = F.from_json(F.lit("[]"), REFLECTIONS.split("reflections:")[1][:-1])
+    return F.when(silent(answer), none).otherwise(F.filter(clean, lambda r: ~_blank(r["question"]) & ~_blank(r["insight"])))
 
 
 def parse_community(answer: Column) -> Column:
@@ -140,8 +149,7 @@ def parse_ranking(payload: Column, n: Column) -> Column:
 def rename_keys(values: Column, names: Column) -> Column:
     """A map with its keys as ``names`` (a map of lower-case to canonical) writes them; of keys that become one the last value counts."""
     entries = F.transform(F.map_entries(values), lambda e: F.struct(F.coalesce(F.element_at(names, F.lower(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return _last_of_each(entries, "key")
 
 
 def new_id(kind: str = "mem") -> Column:
