@@ -84,9 +84,16 @@ def prefix_sum(df: DataFrame, group: str, order: list, value: str, out: str, buc
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package sent to the workers."""
+    """``mapInArrow`` with this package sent to the workers. A worker gives back its spare Arrow memory after each part, as it lives on for later stages."""
     ship_code(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(parts):
+        import pyarrow
+
+        yield from function(parts)
+        pyarrow.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 #: Keys up to this number are sent to every task; more are filtered by bits first.

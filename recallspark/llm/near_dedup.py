@@ -3,7 +3,7 @@
 1. A text's set of word shingles gives ``bands * ROWS`` universal hash minima.
    Documents with equal sets form a class, which its smallest doc_id stands for.
 2. Minima are banded; representatives that share a band are candidates. There are as many bands as it takes
-   that a pair at the threshold misses all with a chance of 1e-6 at most: 24 at 0.85, 35 at 0.8.
+   that a pair at the threshold misses all with a chance of 1e-6 at most: 19 at 0.85, 27 at 0.8.
 3. A shingle that no other candidate has can't be shared, which bounds how much
    a candidate can share at all; those that can't reach the threshold with the smallest
    set of a bucket leave it. The bound is exact, nothing else is dropped.
@@ -23,7 +23,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +30,13 @@ from pyspark.sql import functions as F
 from . import common, textvec
 from .components import connected_components
 
-WIDTH, ROWS = 5, 5
+WIDTH, ROWS = 5, 4
 #: A pair is verified on full sets if its signatures agree this much less than the threshold: over six standard deviations at 0.8 and 0.85.
-SLACK = 0.2
+SLACK = 0.25
 #: The greatest chance that a pair at the threshold shares no band.
 MISS = 1e-6
+#: Documents of which a worker holds the sets at a time.
+SLICE = 512
 #: Members of a block when a bucket is compared in blocks.
 BLOCK = 128
 #: Undecided members from which on a bucket takes further pivots before that, and how many.
@@ -67,25 +68,29 @@ def signature(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sketcher(width: int, bands: int):
     def sketch(parts):
         a, b = _universal(bands * ROWS)
-        for part in parts:
-            n, key, sig = [], [], []
-            for items in textvec.shingle_sets(part.column(1), width):
-                n.append(len(items))
-                key.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                sig.append(signature(items, a, b).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "key", "sig"])
+        for whole in parts:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                n, key, sig = [], [], []
+                for items in textvec.shingle_sets(part.column(1), width):
+                    n.append(len(items))
+                    key.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+                    sig.append(signature(items, a, b).tobytes() if len(items) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "key", "sig"])
 
     return sketch
 
 
 def _setter(width: int):
     def sets(parts):
-        for part in parts:
-            found = [x.view(np.int64) for x in textvec.shingle_sets(part.column(1), width)]
-            n = np.array([len(x) for x in found], np.int64)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], ["rep", "n", "items"])
+        for whole in parts:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                found = [x.view(np.int64) for x in textvec.shingle_sets(part.column(1), width)]
+                n = np.array([len(x) for x in found], np.int64)
+                values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], ["rep", "n", "items"])
 
     return sets
 
@@ -124,7 +129,9 @@ def _linked(percent: int):
 
 
 def _block_links(percent: int):
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+    def links(pdf):
+        import pandas as pd
+
         one, two = pdf[pdf["block"] == pdf["i"]], pdf[pdf["block"] == pdf["j"]]
         n1, n2 = one["n"].to_numpy()[:, None], two["n"].to_numpy()[None, :]
         most = np.minimum(one["able"].to_numpy()[:, None], two["able"].to_numpy()[None, :])

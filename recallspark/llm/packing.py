@@ -14,7 +14,6 @@ import itertools
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,7 +147,7 @@ def pack_pieces(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
 
 
 def _packer(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(pdf):
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         where, offset = pack_pieces(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=pdf["shard"].astype("int64") * (1 << 32) + where, offset=offset)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; a longer text is cut at white space.
-STEP = 1 << 20
+STEP = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +111,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int):
         yield np.unique(mix64(total))
 
 
-def batches(data: np.ndarray, offsets: np.ndarray, limit: int = 4 << 20):
+def batches(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
     """Stretches [a, b) of texts of about ``limit`` bytes."""
     a, n = 0, len(offsets) - 1
     while a < n:
