@@ -83,9 +83,21 @@ def prefix_sum(df: DataFrame, group: str, order: list, value: str, out: str, buc
     return joined.withColumn(out, F.col("__local") + F.col("__off")).drop("__local", "__off", "__g", "__f", "__fine", "__coarse")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1024
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package sent to the workers. A worker gives back its spare Arrow memory after each part, as it lives on for later stages."""
-    ship_code(df.sparkSession)
+    """``mapInArrow`` with this package sent to the workers.
+
+    Rows bear whole texts, so a session that has Spark's own number of rows in a batch gets BATCH_ROWS instead; one that was set is kept. A
+    worker gives back its spare Arrow memory after each part, as it lives on for later stages.
+    """
+    spark = df.sparkSession
+    ship_code(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(parts):
         import pyarrow
