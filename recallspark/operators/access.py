@@ -48,6 +48,20 @@ def on_hidden_messages(memories: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(lost, F.lit(False)) | F.coalesce("__hidden", F.lit(False))).drop("idx", "print_idx", "has_print", "__hidden")
 
 
+def orphaned(memories: DataFrame, messages: DataFrame) -> DataFrame:
+    """chat_id, id of memories whose source left the chat: none of their fingerprints is found, or, without any, their first message id lies beyond the chat's end.
+
+    In a chat without messages nothing is orphaned, as it may not be loaded.
+    """
+    sizes = messages.groupBy("chat_id").agg(F.count(F.lit(1)).alias("__n"))
+    known = messages.select("chat_id", "fingerprint").distinct().withColumn("__there", F.lit(1))
+    prints = memories.select("chat_id", "id", F.explode("fingerprints").alias("fingerprint")).join(known, ["chat_id", "fingerprint"], "left")
+    prints = prints.groupBy("chat_id", "id").agg(F.max("__there").isNull().alias("__lost"))
+    first = F.when(F.size("message_ids") > 0, F.element_at("message_ids", 1))
+    rows = memories.join(sizes, "chat_id").join(prints, ["chat_id", "id"], "left")
+    return rows.filter(F.coalesce("__lost", (first > 0) & (first >= F.col("__n")), F.lit(False))).select("chat_id", "id")
+
+
 def active_characters(main: Column, user: Column, group: Column) -> Column:
     """The main character, the user and a group's members, each once."""
     return F.filter(F.array_distinct(F.concat(F.array(main, user), F.coalesce(group, F.array().cast("array<string>")))), lambda n: n.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from .. import staging
 from ..functions import text
 
 
@@ -43,6 +44,12 @@ def idf_table(posted: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
+def idf_cache(memories: DataFrame, stem=None) -> DataFrame:
+    """The idf table of all memories that aren't archived, written once; later queries read it in place of the memories."""
+    told = staging.written(tokenized(memories.filter(~F.coalesce("archived", F.lit(False))), stem), "tokens")
+    return staging.written(idf_table(postings(told), corpus_size(told)), "idf")
+
+
 def query_terms(queries: DataFrame, stem=None) -> DataFrame:
     """query_id, term, count: the terms of each query text with their multiplicity."""
     rows = queries.select("query_id", F.explode(text.tokens(F.col("text"), stem)).alias("term"))
@@ -92,9 +99,11 @@ def normalized(scores: DataFrame, value: str = "bm25") -> DataFrame:
     return scores.join(most, ["query_id", "chat_id"]).withColumn(f"{value}_norm", F.col(value) / F.col("__max")).drop("__max")
 
 
-def phrase_bonus(memories: DataFrame, phrases: DataFrame, idf: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def phrase_bonus(memories: DataFrame, phrases: DataFrame, idf: DataFrame, settings: Settings = DEFAULTS, corpus: DataFrame | None = None) -> DataFrame:
     """query_id, chat_id, id, bonus: phrase boost times the largest idf of the chat for each phrase (query_id, phrase) that a memory has.
 
+    In a chat without an idf that is ln(N + 1), where ``corpus`` gives its size; otherwise it has no bonus.
+
     Memories are first matched by the phrase's rarest looking (longest) word, so that only those with the word are searched.
     """
     longest = F.element_at(F.array_sort(F.filter(text.words(F.col("phrase")), lambda w: F.length(w) > 0), lambda a, b: F.length(b) - F.length(a)), 1)
@@ -103,6 +112,8 @@ def phrase_bonus(memories: DataFrame, phrases: DataFrame, idf: DataFrame, settin
     said = said.join(keyed.select("word").distinct(), "word", "left_semi")
     hits = said.join(keyed, "word").filter(text.has_phrase(F.col("summary"), F.col("phrase")))
     most = idf.groupBy("chat_id").agg(F.max("idf").alias("max_idf"))
+    if corpus is not None:
+        most = corpus.join(most, "chat_id", "left").select("chat_id", F.coalesce("max_idf", F.log(F.col("n_docs") + 1)).alias("max_idf"))
     return hits.join(most, "chat_id").groupBy("query_id", "chat_id", "id").agg((F.count(F.lit(1)) * settings.phrase_boost * F.first("max_idf")).alias("bonus"))
 
 

@@ -43,6 +43,13 @@ def strongest_nodes(edges: DataFrame, n: int = 10) -> DataFrame:
     return ranking.top_n(both.groupBy("chat_id", "key").agg(F.sum("weight").alias("weight")), ["chat_id"], [F.desc("weight"), F.col("key")], n)
 
 
+def most_mentioned(nodes: DataFrame, n: int = 10) -> DataFrame:
+    """The n nodes of each chat that are mentioned most."""
+    from . import ranking
+
+    return ranking.top_n(nodes, ["chat_id"], [F.desc(F.coalesce("mentions", F.lit(0))), F.col("key")], n)
+
+
 def characters(memories: DataFrame) -> DataFrame:
     return memories.select("chat_id", F.explode("characters").alias("character")).groupBy("chat_id", "character").agg(F.count(F.lit(1)).alias("n"))
 

@@ -109,6 +109,35 @@ def batch_numbers(rows: DataFrame, budget: int) -> DataFrame:
     return numbered.withColumn("whole", F.col("batch") <= F.col("__done")).withColumn("batch", F.col("batch") - 1).drop("__start", "__done")
 
 
+def next_batch(messages: DataFrame, done: DataFrame, budget: int, max_turns: int | None = None, held_turns: int = 1, everything: bool = False) -> DataFrame:
+    """chat_id, idx: the messages that each chat's next extraction takes, or none.
+
+    The oldest unprocessed messages until they have ``budget`` tokens, or ``max_turns`` turns; a chat that has neither is left alone. That is cut back to
+    the last whole turn, or goes on to the end of the turn if not even one is whole, and the last ``held_turns`` turns of the chat are held back, as they may
+    still change. With ``everything`` all that is unprocessed is taken, whatever the budget, up to the last message.
+    """
+    log = boundaries(messages)
+    rows = unprocessed(messages, done, include_latest=everything).join(log.select("chat_id", "idx", "boundary"), ["chat_id", "idx"])
+    rows = ranking.running(rows, "chat_id", "idx", [], STRETCH, tokens=F.col("n_tokens"), place=F.lit(1))
+    before = ranking.beside(rows, "chat_id", "place", "is_user", -1, "__asked")
+    answered = (~F.col("is_user") & F.coalesce("__asked", F.lit(False))).cast("int")
+    rows = cut(ranking.running(before, "chat_id", "idx", [], STRETCH, turns=answered).drop("__asked"))
+    if everything:
+        return rows.select("chat_id", "idx")
+    full = F.col("tokens") >= budget
+    if max_turns is not None:
+        full = full | (F.col("turns") >= max_turns)
+    stop = rows.filter(full).groupBy("chat_id").agg(F.min("idx").alias("stop"))
+    ends = rows.filter("boundary").join(stop, "chat_id").groupBy("chat_id", "stop").agg(
+        F.max(F.when(F.col("idx") <= F.col("stop"), F.col("idx"))).alias("back"), F.min(F.when(F.col("idx") > F.col("stop"), F.col("idx"))).alias("on")
+    )
+    ends = ends.select("chat_id", F.coalesce("back", "on").alias("end"))
+    held = ranking.running(log, "chat_id", "idx", [], STRETCH, so_far=F.col("boundary").cast("int"))
+    total = held.groupBy("chat_id").agg(F.max("so_far").alias("all"))
+    free = held.join(total, "chat_id").filter(F.col("all") - F.col("so_far") + F.col("boundary").cast("int") > held_turns).select("chat_id", "idx")
+    return rows.join(ends, "chat_id").filter("idx <= end").select("chat_id", "idx").join(free, ["chat_id", "idx"], "left_semi")
+
+
 def token_batches(messages: DataFrame, budget: int) -> DataFrame:
     """Messages with their ``batch``: a batch ends with the message that brings it to the budget, and the next starts from 0."""
     rows = cut(_numbered(messages, total=F.col("n_tokens")).select("chat_id", "idx", "place", "total", "n_tokens", F.lit(True).alias("ends")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text, vector
+from .. import staging
 from ..staging import cut
 from . import ranking
 
@@ -59,13 +62,17 @@ def score(memories: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Two passes over memories with the columns distance, bm25_norm and similarity (null without a vector).
 
     The first pass ranks all memories without vectors; the best ``vector_pass`` of a query and chat get the vector bonus. Where that applies, the
-    reflection factor doesn't. Adds base_after_floor, bm25_bonus, vector_bonus, frequency, fast_score and score.
+    reflection factor doesn't. Adds base, base_after_floor, recency_penalty (what the floor adds), hit_damping, bm25_bonus, vector_bonus, frequency, fast_score and
+    score; with distance, importance, similarity and bm25_norm these tell how a score came about.
     """
     distance = F.col("distance")
     parts = decay(distance, settings)
     fast = (F.col("base_after_floor") + F.col("bm25_bonus")) * F.col("frequency")
     scored = memories.withColumns({
+        "base": parts["base"],
         "base_after_floor": parts["floored"],
+        "recency_penalty": parts["floored"] - parts["base"],
+        "hit_damping": parts["damping"],
         "bm25_bonus": lexical_bonus(F.coalesce("bm25_norm", F.lit(0.0)), settings),
         "frequency": frequency_factor(),
         "reflection": reflection_factor(distance, settings),
@@ -89,6 +96,20 @@ def half_life(distance: Column, settings: Settings = DEFAULTS) -> dict[str, Colu
     return {"half_life": life, "remaining": F.greatest(F.lit(0.0), 3 * life - distance)}
 
 
+def fading_label(transient: Column, half_life: Column, remaining: Column) -> Column:
+    """How long a transient memory lasts, in words: by what remains where that is known, else by its half-life; empty for others."""
+
+    def about(x: Column, to: int) -> Column:
+        return (text.half_up(x / to) * to).cast("long").cast("string")
+
+    def steps(x: Column) -> Column:
+        return F.when(x < 20, about(x, 1)).when(x < 100, about(x, 5)).otherwise(about(x, 10))
+
+    left = F.when(remaining < 0.5, "Faded").otherwise(F.concat(F.lit("Fades in ~"), steps(remaining), F.when(steps(remaining) == "1", " extraction").otherwise(" extractions")))
+    alone = F.when(half_life < 1, "Fades: <1 extraction").otherwise(F.concat(F.lit("Fades: ~"), steps(half_life), F.lit(" extractions")))
+    return F.when(F.coalesce(transient, F.lit(False)), F.when(remaining.isNotNull(), left).otherwise(alone)).otherwise("")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float = 0.0) -> DataFrame:
     """query_id, id, similarity, place, proxy: the k vectors most like each query (query_id, query_vector).
 
@@ -135,6 +156,41 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float) ->
     return found.join(counts, "query_id").withColumn("proxy", vector.rank_proxy(F.col("place"), F.col("n"))).drop("n")
 
 
+#: Parts that a list of the index is dealt to, so that one that holds much of a table is no single task.
+PARTS = 16
+
+
+def index_lists(vectors: DataFrame, lists: int, sample: int = 50_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(centroids (list, centroid), members (list, id, embedding)) of vectors (id, embedding) by inverted lists, both written.
+
+    The centroids are fitted by cosine k-means on at most about ``sample`` vectors, those with the smallest hash of their id; every vector is then put into the list of its
+    nearest centroid. Missing and zero vectors are like nothing and in no list.
+    """
+    usable = vectors.filter(F.col("embedding").isNotNull() & (vector.norm(F.col("embedding")) > 0)).select("id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    n = usable.count()
+    fitted = usable if n <= sample else usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20))))
+    model = KMeans(k=max(2, lists), distanceMeasure="cosine", seed=seed, maxIter=10).fit(fitted.coalesce(fitted.sparkSession.sparkContext.defaultParallelism))
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    centroids = vectors.sparkSession.createDataFrame(centres, "list int, centroid array<double>")
+    members = model.setPredictionCol("list").transform(usable).select("list", "id", "embedding")
+    return staging.written(centroids.coalesce(1), "centroids"), staging.written(members, "lists")
+
+
+def nearest_in_lists(centroids: DataFrame, members: DataFrame, queries: DataFrame, k: int, probes: int, at_least: float = 0.0) -> DataFrame:
+    """query_id, id, similarity, place: the k vectors most like each query among the lists of its ``probes`` nearest centroids.
+
+    What lies in no probed list is missed, so recall is to be measured against ``nearest``; what is found bears its exact similarity.
+    """
+    asked = similarities(centroids.select(F.col("list").alias("id"), F.col("centroid").alias("embedding")), queries)
+    probed = ranking.top_n(asked, ["query_id"], [F.desc("similarity"), F.col("id")], probes).select("query_id", F.col("id").alias("list"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    probed = probed.join(queries.select("query_id", "query_vector", vector.norm(F.col("query_vector")).alias("query_norm")), "query_id").withColumn("part", parts)
+    dealt = members.withColumn("norm", vector.norm(F.col("embedding"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    pairs = dealt.join(probed, ["list", "part"]).filter((F.col("query_norm") > 0) & (F.size("embedding") == F.size("query_vector")))
+    pairs = pairs.select("query_id", "id", (vector.dot(F.col("embedding"), F.col("query_vector")) / (F.col("norm") * F.col("query_norm"))).alias("similarity"))
+    return ranking.top_n(pairs.filter(F.col("similarity") >= at_least), ["query_id"], [F.desc("similarity"), F.col("id")], k, "place")
+
+
 def position(message_ids: Column, sequence: Column) -> Column:
     """Rounded mean of the message ids, else the sequence in thousands, else 0."""
     mean = F.aggregate(message_ids, F.lit(0.0), lambda s, x: s + x) / F.size(message_ids)

@@ -466,6 +466,16 @@ def external_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("chat_id", "id", "similarity"), "similarity")
 
 
+@query()
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to each query (ids divisible by 20) by an index of inverted lists; tests hold its recall against ``cosine_topk``."""
+    table = vectors(spark, sf_dir)
+    queries = table.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    centroids, members = scoring.index_lists(table, 16)
+    found = scoring.nearest_in_lists(centroids, members, queries, 10, 11, 0.2)
+    return rounded(found.select("query_id", "id", "similarity", F.col("place").cast("long").alias("place")), "similarity")
+
+
 @query(f"""WITH {MEMORIES}, a AS (SELECT chat_id, id FROM mem WHERE id % 7 = 0 AND chat_id NOT LIKE '%1') SELECT chat_id, id FROM a UNION ALL SELECT chat_id, id FROM mem WHERE chat_id NOT IN (SELECT chat_id FROM a)""")
 def pov_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may be seen; in chats where that is nothing, everything hidden."""

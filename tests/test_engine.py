@@ -618,12 +618,15 @@ def test_contexts(spark):
     states = spark.createDataFrame([("a", "the world")], "chat_id string, summary string")
     q = spark.createDataFrame([(1, "a", "recap please", [0.8, 0.2, 0.0]), (2, "a", "where is she", [0.8, 0.2, 0.0])], "query_id long, chat_id string, said string, query_vector array<float>")
     got = {r.query_id: (r.source, r.content) for r in context.world_context(coms, states, q).collect()}
-    assert got[1] == ("global", "the world") and got[2][1].startswith("### T0\nS0\n- f")
-    assert values(context.world_context(coms, states, q.filter("query_id = 2"), 4), "content")[0][0].count("###") == 1
+    assert got[1] == ("global", "the world") and got[2][1].startswith("<world_context>\n## T0\nS0\nKey findings:\n  - f") and got[2][1].endswith("</world_context>")
+    assert values(context.world_context(coms, states, q.filter("query_id = 2"), 8), "content")[0][0].count("## ") == 1
     nodes = spark.createDataFrame([("a", k, k.upper(), "PERSON", "d") for k in "wxyz"], "chat_id string, key string, name string, type string, description string")
     edges = spark.createDataFrame([("a", "x", "y", 2), ("a", "z", "x", 5), ("a", "y", "w", 1)], "chat_id string, source string, target string, weight long")
     chosen, active = (spark.createDataFrame([("a", k)], "chat_id string, key string") for k in "xz")
-    assert values(context.entity_context(nodes, edges, chosen, active, 100), "key", "hop") == [("x", 0), ("y", 1)]
+    lines = context.entity_context(nodes, edges, chosen, active, 100)
+    assert values(lines, "key", "hop") == [("x", 0), ("y", 1)]
+    assert context.entity_block(lines).first().block == "<entity_context>\nX [PERSON]: d\nY [PERSON]: d\n</entity_context>"
+    assert values(context.entity_context(nodes, edges, chosen, active, 14), "key") == [("x",)]
     assert one(spark, context.payload(F.lit(31000))) == "yellow" and "5 earlier" in one(spark, context.gap_notice(F.lit("x"), F.lit(5)))
 
 

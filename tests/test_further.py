@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallspark import config, staging
 from recallspark.functions import answers, language, text
-from recallspark.operators import contradiction, graph, maintenance, reports, retrieval
+from recallspark.operators import access, contradiction, graph, lexical, maintenance, reports, retrieval, scheduling, scoring
 from recallspark.streaming import extraction
 
 
@@ -297,3 +297,64 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         staging.shared_folder(Session())
+
+
+def test_next_batch(spark):
+    """By budget or turns, back to a whole turn or on to one, with the last turn held back."""
+    roles = "ubububub"
+    log = spark.createDataFrame([("a", i, r == "u", False, 10, f"f{i}") for i, r in enumerate(roles)], "chat_id string, idx long, is_user boolean, is_system boolean, n_tokens long, fingerprint string")
+    none = log.limit(0)
+
+    def taken(*args, **kwargs):
+        return [i for (i,) in values(scheduling.next_batch(log, *args, **kwargs), "idx")]
+
+    assert taken(none, 30) == [0, 1]  # three messages, back to the end of the first turn
+    assert taken(none, 40) == [0, 1, 2, 3]
+    assert taken(none, 10) == [0, 1]  # the first message alone is enough: on to the end of its turn
+    assert taken(none, 1000) == []
+    assert taken(none, 1000, max_turns=2) == [0, 1, 2, 3]
+    assert taken(none, 70) == [0, 1, 2, 3, 4, 5]  # the last turn is held back
+    assert taken(log.filter("idx < 2"), 20) == [2, 3]
+    assert taken(none, 1000, everything=True) == list(range(8))
+
+
+def test_orphans(spark):
+    log = spark.createDataFrame([("a", 0, "f0"), ("a", 1, "f1")], "chat_id string, idx long, fingerprint string")
+    rows = [("a", 1, ["f0", "x"], []), ("a", 2, ["x"], [0]), ("a", 3, [], [5]), ("a", 4, [], [1]), ("a", 5, [], []), ("b", 6, ["x"], [])]
+    mem = spark.createDataFrame(rows, "chat_id string, id long, fingerprints array<string>, message_ids array<long>")
+    assert values(access.orphaned(mem, log), "id") == [(2,), (3,)]
+
+
+@pytest.mark.parametrize(
+    ("transient", "half_life", "remaining", "label"),
+    [(False, 5.0, 3.0, ""), (True, 5.0, 0.4, "Faded"), (True, 5.0, 0.9, "Fades in ~1 extraction"), (True, 5.0, 48.0, "Fades in ~50 extractions"), (True, 5.0, 104.0, "Fades in ~100 extractions"),
+     (True, 0.5, None, "Fades: <1 extraction"), (True, 24.95, None, "Fades: ~25 extractions"), (None, 5.0, 1.0, "")],
+)
+def test_fading_labels(spark, transient, half_life, remaining, label):
+    df = spark.createDataFrame([(transient, half_life, remaining)], "t boolean, h double, r double")
+    assert df.select(scoring.fading_label(F.col("t"), F.col("h"), F.col("r")).alias("v")).first()["v"] == label
+
+
+def test_idf_cache_and_mentions(spark):
+    mem = spark.createDataFrame([("a", 1, "sword castle", False), ("a", 2, "sword", False), ("a", 3, "dragon", True)], "chat_id string, id long, summary string, archived boolean")
+    assert values(lexical.idf_cache(mem), "term", "df") == [("castle", 1), ("sword", 2)]
+    phrases = spark.createDataFrame([(1, "the of")], "query_id int, phrase string")
+    stop = spark.createDataFrame([("a", 1, "the of")], "chat_id string, id long, summary string")
+    corpus = lexical.corpus_size(stop)
+    assert lexical.phrase_bonus(stop, phrases, lexical.idf_table(lexical.postings(stop), corpus), corpus=corpus).first().bonus == pytest.approx(10 * 0.6931471805599453)
+    nodes = spark.createDataFrame([("a", "x", 1), ("a", "y", 5), ("a", "z", None)], "chat_id string, key string, mentions long")
+    assert [r.key for r in reports.most_mentioned(nodes, 2).orderBy("rank").collect()] == ["y", "x"]
+
+
+def test_index_recall(spark):
+    """At least nine tenths of what brute force finds, at the exact similarities; every usable vector is in one list."""
+    from recallspark.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.query_id, r.id): r.similarity for r in registry.QUERIES["cosine_topk"](spark, sf).collect()}
+    found = {(r.query_id, r.id): r.similarity for r in registry.QUERIES["indexed_topk"](spark, sf).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(abs(found[k] - exact[k]) < 1e-9 for k in exact.keys() & found.keys())
+    odd = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)] + [(90, None), (91, [0.0, 0.0])], "id long, embedding array<float>")
+    centroids, members = scoring.index_lists(odd, 3)
+    assert values(members, "id") == sorted(((i,) for i in range(40)), key=str) and centroids.count() <= 3
