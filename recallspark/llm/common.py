@@ -19,10 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
     It is the one named in ``spark.checkpoint.dir``. Only where that setting is
-    absent (local tests) is a temporary folder made and set.
+    absent in a local session (tests) is a temporary folder made and set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="recallspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
