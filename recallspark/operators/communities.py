@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..staging import cut as _cut
 
+LOG = logging.getLogger(__name__)
+
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
     """chat_id, modularity of a partition (chat_id, key, community) of undirected edges (chat_id, a, b, weight)."""
@@ -54,13 +58,16 @@ def _move(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
         member = member.drop("changed")
         if quiet == 2:
             break
+    else:
+        LOG.warning("communities haven't settled in %s rounds", rounds)
     return member.select("chat_id", "key", "community")
 
 
 def detect(edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 30) -> DataFrame:
     """chat_id, key, community of undirected weighted edges (chat_id, a, b, weight): local moves, then the communities as nodes, level by level.
 
-    A community is named by its smallest key. Without edges there are no rows.
+    A community is named by its smallest key. Without edges there are no rows. A level whose moves haven't settled after ``rounds`` rounds is taken as
+    it stands, which a warning tells.
     """
     member = None
     now = _cut(edges.select("chat_id", "a", "b", F.col("weight").cast("double").alias("weight")))

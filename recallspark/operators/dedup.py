@@ -11,6 +11,10 @@ from .. import staging
 from ..staging import cut
 
 
+#: Parts that the stored rows of one character are dealt to when new ones are compared with them.
+PARTS = 16
+
+
 def word_classes(memories: DataFrame, first: str = "id") -> DataFrame:
     """chat_id, id, rep, words: memories with the distinct words of their text; ``rep`` is the one of smallest ``first`` and id among those of the same words.
 
@@ -103,11 +107,12 @@ def within_batch(events: DataFrame, threshold: float = DEFAULTS.dedup_jaccard) -
 def judge_reflections(new: DataFrame, old: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """chat_id, id, verdict, match, similarity of new reflections against the old ones of their character.
 
-    reject from 0.9 on, replace (the old one is archived) from 0.8 on, else add. New ones aren't compared with each other.
+    reject from 0.9 on, replace (the old one is archived) from 0.8 on, else add. New ones aren't compared with each other; they are a
+    batch, and are repeated for each of PARTS parts that a character's old ones are dealt to.
     """
-    a = new.select("chat_id", "id", F.lower("character").alias("who"), F.col("embedding").alias("va"))
-    b = old.select("chat_id", F.lower("character").alias("who"), F.col("id").alias("match"), F.col("embedding").alias("vb"), "ord")
-    pairs = a.join(b, ["chat_id", "who"]).select("chat_id", "id", "match", "ord", vector.cosine(F.col("va"), F.col("vb")).alias("similarity"))
+    a = new.select("chat_id", "id", F.lower("character").alias("who"), F.col("embedding").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    b = old.select("chat_id", F.lower("character").alias("who"), F.col("id").alias("match"), F.col("embedding").alias("vb"), "ord", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
+    pairs = a.join(b, ["chat_id", "who", "part"]).select("chat_id", "id", "match", "ord", vector.cosine(F.col("va"), F.col("vb")).alias("similarity"))
     best = pairs.groupBy("chat_id", "id").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"), "match")).alias("b"))
     rows = new.select("chat_id", "id").join(best, ["chat_id", "id"], "left")
     s = F.coalesce("b.similarity", F.lit(0.0))

@@ -450,7 +450,7 @@ def trade_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("w")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("w").alias("w"))
     rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = rows.groupBy(F.concat(F.lit("b"), "c_nationkey").alias("source"), F.concat(F.lit("s"), "s_nationkey").alias("target")).agg(F.sum("w").alias("weight"))
-    return communities.detect(graph.undirected(_chat(edges)), levels=2, rounds=6).select("key", "community")
+    return communities.detect(graph.undirected(_chat(edges))).select("key", "community")
 
 
 # ---- reflections and characters
