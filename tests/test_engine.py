@@ -41,7 +41,7 @@ def one(spark, column):
         (text.clean_controls, "a\x07b c", "ab\nc"),
         (text.macro_intent, "Please recap the story", True),
         (text.macro_intent, "Where is the key", False),
-        (text.looks_transient, "She is tired and leaves", True),
+        (text.looks_transient, "She felt slightly tired and leaves", True),
         (text.looks_transient, "She owns a castle", False),
         (text.truncated_json, '{"a": [1, 2', True),
         (text.mostly_foreign, "Привет всем и hi", True),
