@@ -160,14 +160,16 @@ def similar_to_new(new: DataFrame, stored: DataFrame, at_least: float = DEFAULTS
 
     def named(df: DataFrame, name: str, v: str) -> DataFrame:
         who = F.array_distinct(F.transform(F.coalesce("characters", F.array().cast("array<string>")), lambda c: F.lower(c)))
-        return df.filter(F.col("embedding").isNotNull()).select("chat_id", F.col("id").alias(name), F.col("embedding").alias(v), who.alias("names"))
+        usable = df.filter(F.col("embedding").isNotNull() & (vector.norm(F.col("embedding")) > 0))
+        return usable.select("chat_id", F.col("id").alias(name), F.col("embedding").alias(v), vector.norm(F.col("embedding")).alias(f"{v}_norm"), who.alias("names"))
 
     a = named(new, "id", "va")
     b = named(stored.filter(~F.coalesce("archived", F.lit(False)) & (F.col("type") != "reflection")), "other", "vb").filter(F.size("names") > 0)
     met = a.select("chat_id", "id", F.explode("names").alias("who")).join(b.select("chat_id", "other", F.explode("names").alias("who")), ["chat_id", "who"]).select("chat_id", "id", "other").distinct()
     anyone = a.filter(F.size("names") == 0).select("chat_id", "id").join(b.select("chat_id", "other"), "chat_id")
     pairs = met.unionByName(anyone).filter("id <> other").join(a.drop("names"), ["chat_id", "id"]).join(b.drop("names"), ["chat_id", "other"])
-    pairs = pairs.select("chat_id", "id", "other", vector.cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= at_least)
+    pairs = pairs.filter(F.size("va") == F.size("vb")).select("chat_id", "id", "other", (vector.dot(F.col("va"), F.col("vb")) / (F.col("va_norm") * F.col("vb_norm"))).alias("similarity"))
+    pairs = pairs.filter(F.col("similarity") >= at_least)
     return ranking.top_n(pairs, ["chat_id", "id"], [F.desc("similarity"), F.col("other")], n, "place")
 
 

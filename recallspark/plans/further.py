@@ -347,13 +347,13 @@ def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MEMORIES}, {_VEC}, w AS (SELECT chat_id, mem.id, ord, {_WORDS} AS w, e FROM mem, nv LEFT JOIN v ON v.id = mem.id % n),
 p AS (SELECT a.chat_id, a.id, b.id AS other, b.ord, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m, list_cosine_similarity(a.e, b.e) AS s
       FROM w a JOIN w b ON a.chat_id = b.chat_id WHERE a.id % 10 = 0 AND b.id % 10 <> 0)
-SELECT chat_id, id, arg_min(other, (ord, other)) AS match FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.1 AND s >= 0.1 GROUP BY chat_id, id""")
+SELECT chat_id, id, arg_min(other, (ord, other)) AS match FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.3 AND s >= 0.1 GROUP BY chat_id, id""")
 def against_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth memory as new: the first stored one that it repeats, by words and by vector, at low thresholds."""
+    """Every tenth memory as new: the first stored one that it repeats, by words and by vector, at a low cosine."""
     from ..config import Settings
 
     mem = _with_vectors(spark, sf_dir)
-    return dedup.against_store(mem.filter("id % 10 = 0"), mem.filter("id % 10 <> 0"), Settings(dedup_cosine=0.1, dedup_jaccard=0.2))
+    return dedup.against_store(mem.filter("id % 10 = 0"), mem.filter("id % 10 <> 0"), Settings(dedup_cosine=0.1))
 
 
 @query(f"""WITH {MEMORIES}, {_VEC}, w AS (SELECT chat_id, mem.id, ord, lower(character) AS who, e FROM mem, nv JOIN v ON v.id = mem.id % n),
