@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, language, licenses, merkle, mixing, near_dedup, packing, pii, toxicity, warc
+from . import divergence, exact_dedup, fingerprint, language, licenses, merkle, mixing, near_dedup, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op5_source_mix": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
