@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, exact_dedup, fingerprint, language, licenses, merkle, mixing, near_dedup, packing, pii, toxicity, warc
+from . import brown, divergence, exact_dedup, fingerprint, language, licenses, merkle, mixing, near_dedup, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_brown_lm": brown.op12_brown_lm,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES = {
