@@ -26,7 +26,7 @@ CLASSES, SEEDS, FREQUENT = 32, 1024, 65_536
 #: Sweeps of the exchange at most.
 SWEEPS = 20
 #: Tokens of a block, but for a longer document, which is a block of its own at most.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 3 << 17
 #: Share of the plain unigram in a word's probability, and weight of the classes' own shares in their transitions.
 UNIGRAM, SMOOTHING = 0.1, 10.0
 #: The end of a text, which also stands before its first word.
@@ -44,9 +44,9 @@ def is_held_out(doc_id: Column) -> Column:
 def _encode(parts):
     import pyarrow as pa
 
-    ids, held, texts, sizes, tokens = None, [], [], [], 0
+    ids, held, texts, sizes, tokens = [], [], [], [], 0
 
-    def block():
+    def block(ids, held, texts, sizes):
         words, codes = np.unique(np.concatenate(texts), return_inverse=True)
         codes = codes.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
         lengths = np.concatenate(sizes).astype(np.int32)
@@ -55,7 +55,6 @@ def _encode(parts):
         columns = [pa.ListArray.from_arrays(ends, x) for x in (told, pa.concat_arrays(held), pa.array(lengths))]
         return pa.RecordBatch.from_arrays([*columns, pa.array([words.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], ["ids", "held", "lengths", "words", "codes"])
 
-    ids = []
     for part in parts:
         data, offsets = textvec.buffers(part.column(2))
         for a, b in textvec.batches(data, offsets):
@@ -72,10 +71,10 @@ def _encode(parts):
             sizes.append(counts)
             tokens += len(all_)
             if tokens >= BLOCK_TOKENS:
-                yield block()
+                yield block(ids, held, texts, sizes)
                 ids, held, texts, sizes, tokens = [], [], [], [], 0
     if texts:
-        yield block()
+        yield block(ids, held, texts, sizes)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -203,7 +202,8 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
             table[:, a] -= into
             table[a] -= out
             table[a, a] -= own
-            rows, columns, kept = table.sum(axis=1), table.sum(axis=0), _xlogx(table)
+            # what leads to the word and from it counts for the other classes wherever the word is
+            rows, columns, kept = table.sum(axis=1) + into, table.sum(axis=0) + out, _xlogx(table)
             to, from_ = _xlogx(table + into[:, None]) - kept, _xlogx(table.T + out[:, None]).T - kept
             both = table.diagonal() + into + out + own
             gain = to.sum(axis=0) - to.diagonal() + from_.sum(axis=1) - from_.diagonal() + _xlogx(both) - kept.diagonal()
@@ -233,7 +233,9 @@ def affinities(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _likeliest(parts, left: np.ndarray, right: np.ndarray):
-    """id, n, class of words with ``seen``, their neighbours' classes (l * (classes + 1) + r) and counts."""
+    """id, n, class, seen of words with ``seen``, their neighbours' classes (l * (classes + 1) + r) and counts."""
+    import pyarrow as pa
+
     others = left.shape[1] + 1
     for part in parts:
         seen = part.column("seen")
@@ -243,13 +245,13 @@ def _likeliest(parts, left: np.ndarray, right: np.ndarray):
         for k in range(left.shape[1]):
             found[:, k] = np.add.reduceat(n * (left[lr // others, k] + right[lr % others, k]), starts)
         total = np.add.reduceat(n, starts)
-        yield _batch(["id", "n", "class"], part.column("id").to_numpy(), total, np.argmax(found, axis=1).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total), pa.array(np.argmax(found, axis=1).astype(np.int32)), seen], ["id", "n", "class", "seen"])
 
 
 def classify(seen: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
-    """id, n, class of words by their neighbours (id, lr, n), of which a word has at most (classes + 1)^2 different ones once they are added up."""
+    """id, n, class, seen of words by their neighbours (id, lr, n), of which a word has at most (classes + 1)^2 different ones once they are added up."""
     by_word = seen.repartition("id").groupBy("id", "lr").agg(F.sum("n").alias("n")).groupBy("id").agg(F.collect_list(F.struct("lr", "n")).alias("seen"))
-    return common.map_arrow(by_word, lambda parts: _likeliest(parts, left, right), "id long, n long, class int")
+    return common.map_arrow(by_word, lambda parts: _likeliest(parts, left, right), "id long, n long, class int, seen array<struct<lr: int, n: long>>")
 
 
 def frequent_neighbours(blocks: DataFrame, frequent: Frequent, of: np.ndarray, seeds: int, classes: int) -> DataFrame:
@@ -359,14 +361,12 @@ def fit(blocks: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, frequent_
         of = more
     table = frequent_transitions(blocks, frequent, of, classes)
     size = np.bincount(of, weights=frequent.n, minlength=classes)
-    rare_schema = "id long, n long, class int"
     table = np.vstack([table, np.zeros(classes)])
     after = table.sum(axis=1)  # tokens after each class
     once = np.zeros(classes + 1)
     if words > len(frequent.n):
-        seen = common.materialize(rare_neighbours(blocks, frequent, of, classes), "lm-seen")
-        rare = common.materialize(classify(seen, *affinities(table[:classes])), "lm-rare")
-        for k, lr, single, n in _rare_transitions(seen, rare, classes):
+        rare = common.materialize(classify(rare_neighbours(blocks, frequent, of, classes), *affinities(table[:classes])), "lm-rare")
+        for k, lr, single, n in _rare_transitions(rare):
             left, right = divmod(lr, classes + 1)
             size[k] += n
             after[left] += n
@@ -379,7 +379,7 @@ def fit(blocks: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, frequent_
                 if right < classes:
                     table[classes, right] += n
     else:
-        rare = spark.createDataFrame([], rare_schema)
+        rare = spark.createDataFrame([], "id long, n long, class int")
     share = np.maximum(size, 1e-9) / max(size.sum(), 1e-9)
     step = (table + SMOOTHING * share) / (table.sum(axis=1) + SMOOTHING)[:, None]
     step /= step.sum(axis=1, keepdims=True)
@@ -388,9 +388,9 @@ def fit(blocks: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, frequent_
     return Model(frequent, of, rare, tokens, words, np.maximum(size, 1e-9), step, new)
 
 
-def _rare_transitions(seen: DataFrame, rare: DataFrame, classes: int):
-    """(class, neighbours' classes, whether the word was learned once, tokens), added up over all words that aren't frequent."""
-    rows = seen.join(rare.select("id", "class", (F.col("n") == 1).alias("single")), "id").groupBy("class", "lr", "single").agg(F.sum("n").alias("n"))
+def _rare_transitions(rare: DataFrame) -> list[tuple]:
+    """(class, neighbours' classes, whether the word was learned once, tokens), added up over all words that aren't frequent: 2 * classes * (classes + 1)^2 rows at most."""
+    rows = rare.select("class", (F.col("n") == 1).alias("single"), F.inline("seen")).groupBy("class", "lr", "single").agg(F.sum("n").alias("n"))
     return [(r["class"], r["lr"], r["single"], r["n"]) for r in rows.collect()]
 
 
@@ -424,7 +424,7 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
             sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 0.5) - base, kept.log10(_before(now, end), now, count))]
             yield pa.RecordBatch.from_arrays([b.ids, b.held_out, pa.array(b.lengths, pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    told = _map(blocks, rare_codes, "block long, code int, id long").join(model.rare, "id")
+    told = _map(blocks, rare_codes, "block long, code int, id long").join(model.rare.select("id", "n", "class"), "id")
     met = told.groupBy("block").agg(F.collect_list(F.struct("code", "class", "n")).alias("met"))
     rows = blocks.join(met, "block", "left")
     kind = dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")

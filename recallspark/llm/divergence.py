@@ -78,23 +78,28 @@ def share(n: str, total: str, kept: str) -> Column:
 
 
 def _distances(key, cells, groups):
-    """The sums of differences of each two sources over the terms of a block; a source has its share of a count of 0 where it has no cell."""
+    """The sums of differences of each two sources over the terms of a block that any of its sources has; a source has its share of a count of 0, p0, where it has no cell.
+
+    ``terms`` counts these terms, and ``apart`` is how much two sources differ by each of the kept terms that none here has.
+    """
     import pandas as pd
 
     lang, _, first, second = key
     groups = groups.sort_values("source", ignore_index=True)
     column, _ = pd.factorize(cells["term"])
     width = int(column.max()) + 1 if len(column) else 0
-    p = np.repeat(groups["p0"].to_numpy(np.int64)[:, None], width, axis=1)
-    row = pd.Index(groups["source"]).get_indexer(cells["source"])
-    p[row, column] = cells["p"].to_numpy(np.int64)
+    p0 = groups["p0"].to_numpy(np.int64)
+    p = np.repeat(p0[:, None], width, axis=1)
+    if width:  # each kept term is in a source at least, but not every block has a term
+        p[pd.Index(groups["source"]).get_indexer(cells["source"]), column] = cells["p"].to_numpy(np.int64)
     tile, names = groups["tile"].to_numpy(), groups["source"].to_numpy()
     found = []
     for i in np.flatnonzero(tile == first):
         others = np.flatnonzero(tile == second)
         others = others[others > i] if first == second else others
-        found.append(pd.DataFrame({"lang": lang, "one": names[i], "other": names[others], "value": np.abs(p[others] - p[i]).sum(axis=1)}))
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang": [], "one": [], "other": [], "value": []})
+        sums, apart = np.abs(p[others] - p[i]).sum(axis=1), np.abs(p0[others] - p0[i])
+        found.append(pd.DataFrame({"lang": lang, "one": names[i], "other": names[others], "value": sums, "terms": width, "apart": apart, "kept": groups["kept"].iloc[0]}))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: [] for c in ("lang", "one", "other", "value", "terms", "apart", "kept")})
 
 
 def counted(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -129,9 +134,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     groups = groups.select(F.struct("lang", "source").alias("g"), "*", tiles.alias("tiles"), blocks.alias("blocks"))
     groups = groups.withColumns({"p0": share("0", "total", "kept"), "tile": F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")})
     groups = common.materialize(groups, "terms-groups")
-    told = groups.select("g", "total", "kept", "lang_total", "tiles", "blocks", "tile", F.col("cells").alias("c"))
+    told = groups.select("g", "total", "kept", "lang_total", "sources", "tiles", "blocks", "tile", F.col("cells").alias("c"))
     cells = cells.select(F.struct("lang", "source").alias("g"), "term", "n")
-    cells = common.join_by_count(cells, told, "g", "c", cells.count()).select("g.lang", "g.source", "term", "kept", "lang_total", "tiles", "blocks", "tile", share("n", "total", "kept").alias("p"))
+    cells = common.join_by_count(cells, told, "g", "c", cells.count()).select("g.lang", "g.source", "term", "kept", "lang_total", "sources", "tiles", "blocks", "tile", share("n", "total", "kept").alias("p"))
     cells = common.materialize(cells, "terms-shares")
 
     q = share("lang_n", "lang_total", "kept")
@@ -140,13 +145,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
 
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     other = [F.least("tile", "__t").alias("first"), F.greatest("tile", "__t").alias("second")]
-    dealt = cells.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).withColumn("__t", F.explode(every)).select("lang", "block", *other, "source", "term", "p")
+    dealt = cells.filter("sources > 1").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).withColumn("__t", F.explode(every)).select("lang", "block", *other, "source", "term", "p")
     each = groups.filter("kept > 0 and sources > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("__t", F.explode(every))
-    each = each.select("lang", "block", *other, "source", "tile", "p0")
+    each = each.select("lang", "block", *other, "source", "tile", "p0", "kept")
     key = ["lang", "block", "first", "second"]
     common.ship_code(spark)
-    parts = dealt.groupBy(*key).cogroup(each.groupBy(*key)).applyInPandas(_distances, "lang string, one string, other string, value long")
-    sums = parts.groupBy("lang", "one", "other").agg(F.sum("value").alias("value"))
+    parts = dealt.groupBy(*key).cogroup(each.groupBy(*key)).applyInPandas(_distances, "lang string, one string, other string, value long, terms long, apart long, kept long")
+    sums = parts.groupBy("lang", "one", "other").agg((F.sum("value") + (F.first("kept") - F.sum("terms")) * F.first("apart")).alias("value"))
     none = groups.filter("kept = 0").select("lang", F.col("source").alias("one"))
     zero = none.join(none.withColumnRenamed("one", "other"), "lang").filter("one < other").withColumn("value", F.lit(0).cast("long"))
     half = common.materialize(sums.unionByName(zero), "terms-distances")
