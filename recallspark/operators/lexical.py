@@ -117,6 +117,70 @@ def phrase_bonus(memories: DataFrame, phrases: DataFrame, idf: DataFrame, settin
     return hits.join(most, "chat_id").groupBy("query_id", "chat_id", "id").agg((F.count(F.lit(1)) * settings.phrase_boost * F.first("max_idf")).alias("bonus"))
 
 
+def flat(text_: Column) -> Column:
+    """Lower case, white space as single blanks, without punctuation: the form in which phrases are looked for."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text_, F.lit(""))), r"\s+", " "), r"[^\p{L}\p{N}\s]", ""))
+
+
+def positions(memories: DataFrame) -> DataFrame:
+    """chat_id, id, pos, term: every word of the flat summaries with its place, written, sorted by term in each part so that a scan skips what it isn't asked for.
+
+    Words stand between single blanks; where punctuation stood alone there is an empty word, so that words beside each other differ by one in place.
+    """
+    told = memories.select("chat_id", "id", F.posexplode(F.split(flat(F.col("summary")), " ")).alias("pos", "term"))
+    return staging.written(told.sortWithinPartitions("term"), "positions")
+
+
+def _ends(parts: DataFrame, terms: DataFrame) -> DataFrame:
+    """phrase, j, term: the words of the corpus that a part of a phrase can be.
+
+    A part in the middle is a whole word, the first may be the end of a word and the last the start of one, and the part of a phrase of one word may stand within a word, as
+    phrases are looked for in running text.
+    """
+    whole = parts.filter("j > 0 and j < k - 1").join(terms, F.col("part") == F.col("term")).select("phrase", "j", "term")
+    places = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("term"))))
+    first = terms.withColumn("__i", places).withColumn("part", F.expr("substring(term, __i)")).join(F.broadcast(parts.filter("j = 0 and k > 1")), "part")
+    last = terms.withColumn("__i", places).withColumn("part", F.expr("left(term, __i)")).join(F.broadcast(parts.filter("j = k - 1 and k > 1")), "part")
+    single = parts.filter("k = 1")
+    found = whole.unionByName(first.select("phrase", "j", "term")).unionByName(last.select("phrase", "j", "term"))
+    if not single.isEmpty():
+        inside = terms.withColumn("__i", places).withColumn("__l", places).withColumn("part", F.expr("substring(term, __i, __l)")).join(F.broadcast(single), "part")
+        found = found.unionByName(inside.select("phrase", "j", "term"))
+    return found.distinct()
+
+
+def phrase_matches(phrases: DataFrame, placed: DataFrame) -> DataFrame:
+    """phrase, chat_id, id of the memories that have a phrase, by the places of words (``positions``); the same as ``text.has_phrase`` tells, without searching a text.
+
+    Of each phrase the part with the fewest places in the corpus is looked up first; what it finds is joined with the places that the other parts must have.
+    Only phrases of several words count, and none that is punctuation alone.
+    """
+    asked = phrases.select("phrase").distinct().filter((F.instr(F.trim("phrase"), " ") > 0) & (F.length(flat(F.col("phrase"))) > 0))
+    split = asked.select("phrase", F.split(flat(F.col("phrase")), " ").alias("p"))
+    parts = staging.written(split.select("phrase", F.size("p").alias("k"), F.posexplode("p").alias("j", "part")), "phrase-parts")
+    terms = staging.written(placed.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "phrase-terms")
+    options = staging.written(_ends(parts, terms.select("term")).join(terms, "term"), "phrase-options")
+    size = options.groupBy("phrase", "j").agg(F.sum("n").alias("n"))
+    rarest = size.groupBy("phrase").agg(F.min_by("j", F.struct("n", "j")).alias("anchor"))
+    told = staging.small(options.select("phrase", "j", "term"))
+    anchors = placed.join(told, "term").join(F.broadcast(rarest), (F.col("anchor") == F.col("j")) & (rarest["phrase"] == told["phrase"])).select(told["phrase"], "chat_id", "id", (F.col("pos") - F.col("j")).alias("start"))
+    anchors = staging.written(anchors.distinct(), "phrase-anchors")
+    others = anchors.join(parts.select("phrase", "j", "k"), "phrase").join(rarest, "phrase").filter("j != anchor").withColumn("pos", F.col("start") + F.col("j"))
+    lone = anchors.join(parts.filter("k = 1").select("phrase"), "phrase", "left_semi").select("phrase", "chat_id", "id")
+    words = placed.join(staging.small(options.select("term").distinct()), "term", "left_semi")
+    met = others.join(words, ["chat_id", "id", "pos"]).join(told, ["phrase", "j", "term"], "left_semi")
+    whole = met.groupBy("phrase", "chat_id", "id", "start").agg(F.countDistinct("j").alias("n"), F.first("k").alias("k")).filter("n = k - 1")
+    return whole.select("phrase", "chat_id", "id").unionByName(lone).distinct()
+
+
+def greatest_idf(told: DataFrame, corpus: DataFrame) -> DataFrame:
+    """chat_id, max_idf over all terms of a chat, that is of its rarest; ln(N + 1) in a chat without terms."""
+    df = told.select("chat_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    least = df.groupBy("chat_id").agg(F.min("df").alias("df"))
+    n, d = F.col("n_docs"), F.col("df")
+    return corpus.join(least, "chat_id", "left").select("chat_id", F.coalesce(F.log((n - d + 0.5) / (d + 0.5) + 1), F.log(n + 1)).alias("max_idf"))
+
+
 def mentioned_entities(messages: DataFrame, names: DataFrame, active: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """chat_id, name, weight: the entities that the last messages of each chat speak of.
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from .. import staging
 from ..functions import text, vector
-from . import contradiction, lexical, maintenance, ranking, selection
+from . import contradiction, lexical, maintenance, ranking, scoring, selection
 
 KEY = ["query_id", "chat_id"]
 
@@ -105,20 +106,26 @@ def rerank(scored: DataFrame, ranked: DataFrame, window: int = 50) -> DataFrame:
     return ranking.top_n(rows, KEY, order, DEFAULTS.scored_rows, "place")
 
 
-def select(scored: DataFrame, budget: int, ranked: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def select(scored: DataFrame, budget: int, ranked=None, settings: Settings = DEFAULTS, texts: DataFrame | None = None) -> DataFrame:
     """The memories that a query is given: the best rows, reordered, balanced over ages under the budget, at most two of importance 5, none that a newer one contradicts.
 
-    ``scored`` has query_id, chat_id, id, ord, score, importance, bucket, n_tokens, characters, extraction_count and summary. The cap keeps those of the best
-    own score, also after a reranker.
+    ``scored`` has query_id, chat_id, id, ord, score, importance, bucket, n_tokens and extraction_count; characters and summary are its own or those of ``texts`` (chat_id, id),
+    which are read for chosen rows only. ``ranked`` is a reranker's answer, or makes one of the best rows. The cap keeps those of the best own score, also after a reranker. The best rows and
+    the choice are written, as each is used several times.
     """
-    top = ranking.top_n(scored, KEY, [F.desc("score"), F.col("ord")], settings.scored_rows)
+    wide = [c for c in ("characters", "summary") if c in scored.columns]
+    if texts is None:
+        texts = scored.select(*KEY, "id", *wide)
+    top = staging.written(ranking.top_n(scored.drop(*wide), KEY, [F.desc("score"), F.col("ord")], settings.scored_rows), "top")
+    if callable(ranked):
+        ranked = ranked(top)
     if ranked is None:
         chosen = selection.soft_balance(top, budget)
     else:
-        placed = rerank(top, ranked).withColumn("own", F.col("score")).withColumn("score", -F.col("place").cast("double"))
+        placed = staging.written(rerank(top, ranked).withColumn("own", F.col("score")).withColumn("score", -F.col("place").cast("double")), "placed")
         chosen = selection.soft_balance(placed, budget).withColumn("score", F.col("own")).drop("own", "place", "reranker_score")
-    capped = selection.cap_importance(chosen, top, budget, settings.top_importance_cap)
-    return _without_contradicted(capped)
+    capped = staging.written(selection.cap_importance(staging.written(chosen, "chosen"), top, budget, settings.top_importance_cap), "capped")
+    return _without_contradicted(capped.join(texts, [c for c in (*KEY, "id") if c in texts.columns]))
 
 
 def _without_contradicted(chosen: DataFrame) -> DataFrame:
@@ -157,3 +164,35 @@ def compact(detail: DataFrame, summary_limit: int = 120) -> DataFrame:
     if "summary" in detail.columns:
         parts.append(F.left("summary", F.lit(summary_limit)).alias("summary"))
     return detail.select(*KEY, "id", F.to_json(F.struct(*parts)).alias("scores"))
+
+
+def recall(memories: DataFrame, queries: DataFrame, entities: DataFrame, vectors: DataFrame, budget: int, ranked=None, settings: Settings = DEFAULTS, stem=None) -> DataFrame:
+    """From queries to the memories they are given, with all scores, in one call.
+
+    ``memories`` (chat_id, id, ord, vec_id, distance, extraction_count, bucket, n_tokens, characters, summary and what scoring needs) are those a query may be given;
+    ``archived`` ones count for the corpus only. ``queries`` has query_id, chat_id, text and query_vector (null: no vectors), ``entities`` (query_id, name, weight) what is named in
+    them, ``vectors`` vec_id and embedding. Words count by tier, names of several words are looked up as phrases, both bonuses are put on one scale, vectors are fetched for the
+    first pass's best only, and ``ranked`` reorders (``select``).
+    """
+    told = staging.written(lexical.tokenized(memories, stem), "tokens")
+    placed = lexical.positions(memories)
+    asked, said = queries.select(*KEY).distinct(), queries.select("query_id", "text").distinct()
+    corpus = staging.small(staging.written(lexical.corpus_size(told), "corpus"))
+    named = lexical.entity_terms(entities, settings, stem).select("query_id", "term")
+    posted = staging.written(lexical.postings(told, lexical.query_terms(said, stem).select("query_id", "term").unionByName(named)), "postings")
+    terms = staging.written(query_terms(said, entities, posted, settings, stem), "query-terms")
+    words = terms.filter("tier != 'phrase'").groupBy("query_id", "term").agg(F.sum("count").alias("count"))
+    own = lexical.bm25(lexical.weigh_terms(words, lexical.idf_table(posted, corpus), corpus), posted, corpus, settings)
+    phrases = terms.filter("tier = 'phrase'").select("query_id", F.col("term").alias("phrase"))
+    bonus = lexical.phrase_matches(phrases, placed).join(phrases, "phrase").join(lexical.greatest_idf(told, corpus), "chat_id")
+    bonus = bonus.select(*KEY, "id", (settings.phrase_boost * F.col("max_idf")).alias("bm25"))
+    active = memories.filter(~F.coalesce("archived", F.lit(False))).drop("characters", "summary", "archived")
+    hits = own.unionByName(bonus).groupBy(*KEY, "id").agg(F.sum("bm25").alias("bm25")).join(asked, KEY, "left_semi")
+    hits = staging.written(hits.join(active.select("chat_id", "id"), ["chat_id", "id"], "left_semi").select(*KEY, "id", "bm25"), "hits")
+    scored = score_asked(active, lexical.normalized(hits), queries, vectors, settings)
+    return select(scored, budget, ranked, settings, memories.select("chat_id", "id", "characters", "summary"))
+
+
+def score_asked(active: DataFrame, hits: DataFrame, queries: DataFrame, vectors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    asked = queries.select("query_id", "query_vector").dropDuplicates(["query_id"])
+    return scoring.score_late(active, hits, queries.select(*KEY).distinct(), vectors, asked, settings.scored_rows, settings).withColumn("score", F.round("score", 9))

@@ -86,6 +86,70 @@ def score(memories: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return scored.withColumn("score", F.when(F.col("vector_bonus") > 0, full).otherwise(F.col("fast_score"))).drop("in_pass", "reflection")
 
 
+def bases(memories: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Memories (with distance) with what no query changes: base, base_after_floor, recency_penalty, hit_damping, frequency, reflection and base_score, the score without any bonus."""
+    parts = decay(F.col("distance"), settings)
+    told = memories.withColumns({
+        "base": parts["base"],
+        "base_after_floor": parts["floored"],
+        "recency_penalty": parts["floored"] - parts["base"],
+        "hit_damping": parts["damping"],
+        "frequency": frequency_factor(),
+        "reflection": reflection_factor(F.col("distance"), settings),
+    })
+    return told.withColumn("base_score", F.col("base_after_floor") * F.col("frequency") * F.col("reflection"))
+
+
+def fast_pass(rows: DataFrame, hits: DataFrame, asked: DataFrame, n: int | None, settings: Settings = DEFAULTS) -> DataFrame:
+    """The first pass: the rows of ``bases`` that a query can rank among the first ``n``, with bm25_norm, bm25_bonus and fast_score; all rows of its chats where n is None.
+
+    ``asked`` (query_id, chat_id) says which chats a query is put to, ``hits`` (query_id, chat_id, id, bm25_norm) which memories have its words. A bonus only adds to a score.
+    So a memory without one that isn't among its chat's first n by base_score has n others before it for every query, and queries meet only these and their hits.
+    """
+    key = ["query_id", "chat_id"]
+    front = rows.select("chat_id", "id", "ord", "base_score")
+    if n is not None:
+        front = ranking.top_n(front, ["chat_id"], [F.desc("base_score"), F.col("ord")], max(n, settings.vector_pass))
+    met = asked.select(*key).join(front.select("chat_id", "id"), "chat_id").withColumn("bm25_norm", F.lit(None).cast("double"))
+    found = met.unionByName(hits.select(*key, "id", "bm25_norm")).groupBy(*key, "id").agg(F.max("bm25_norm").alias("bm25_norm"))
+    scored = found.join(rows, ["chat_id", "id"]).withColumn("bm25_bonus", lexical_bonus(F.coalesce("bm25_norm", F.lit(0.0)), settings))
+    return scored.withColumn("fast_score", (F.col("base_after_floor") + F.col("bm25_bonus")) * F.col("frequency") * F.col("reflection"))
+
+
+def in_pass(fast: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """query_id, chat_id, id, vec_id of the ``vector_pass`` best of each query and chat by fast_score."""
+    key = ["query_id", "chat_id"]
+    best = ranking.top_n(fast.select(*key, "id", "ord", "vec_id", "fast_score"), key, [F.desc("fast_score"), F.col("ord")], settings.vector_pass)
+    return best.select(*key, "id", "vec_id")
+
+
+def late_similarities(chosen: DataFrame, vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """query_id, chat_id, id, similarity of the chosen pairs of query and memory, and of no others.
+
+    Only the vectors (vec_id, embedding) that were chosen leave their scan; ``query_vectors`` has query_id and query_vector.
+    """
+    needed = staging.small(chosen.select("vec_id").distinct())
+    fetched = vectors.select("vec_id", "embedding").join(needed, "vec_id", "left_semi")
+    pairs = chosen.join(fetched, "vec_id").join(staging.small(query_vectors.select("query_id", "query_vector")), "query_id")
+    usable = pairs.filter(F.col("embedding").isNotNull() & F.col("query_vector").isNotNull())
+    return usable.select("query_id", "chat_id", "id", vector.cosine(F.col("embedding"), F.col("query_vector")).alias("similarity"))
+
+
+def score_late(memories: DataFrame, hits: DataFrame, asked: DataFrame, vectors: DataFrame, query_vectors: DataFrame, n: int | None, settings: Settings = DEFAULTS) -> DataFrame:
+    """Both passes with late vectors: memories (chat_id, id, ord, vec_id, distance and what ``score`` needs) with fast_score, similarity, vector_bonus and score.
+
+    The scores are those of ``score``. Rows that no query can rank among its first ``n`` are left out (``fast_pass``), and cosines are made for the ``vector_pass`` best
+    of a query and chat only, whatever the number of memories. What both passes read again is written once.
+    """
+    key = ["query_id", "chat_id"]
+    rows = staging.written(bases(memories, settings), "bases")
+    fast = staging.written(fast_pass(rows, hits, asked, n, settings), "fast")
+    near = late_similarities(staging.written(in_pass(fast, settings), "in-pass"), vectors, query_vectors)
+    full = (F.col("base_after_floor") + F.col("vector_bonus") + F.col("bm25_bonus")) * F.col("frequency")
+    scored = fast.join(near, [*key, "id"], "left").withColumn("vector_bonus", vector_bonus(F.coalesce("similarity", F.lit(0.0)), settings))
+    return scored.withColumn("score", F.when(F.col("vector_bonus") > 0, full).otherwise(F.col("fast_score"))).drop("reflection", "base_score")
+
+
 def best(scored: DataFrame, n: int) -> DataFrame:
     return ranking.top_n(scored, ["query_id", "chat_id"], [F.desc("score"), F.col("ord")], n)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import language, text
 from ..operators import communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reports, retrieval, scheduling, scoring, selection
-from .registry import _BALANCE, _FAST, _bucketed, _mood_sql, query, rounded
+from .registry import _BALANCE, _BM25, _CORPUS, _DECAY, _FAST, _ITEMS, _bucketed, _distance, _mood_sql, _vectors, query, rounded
 from .tables import GRAPH, MEMORIES, MESSAGES, memories, messages, read, vectors
 from .tables import graph as graph_tables
 
@@ -437,8 +438,98 @@ lost AS (SELECT g.chat_id, id FROM g JOIN nw ON nw.chat_id = g.chat_id AND nw.gr
 SELECT chat_id, id FROM capped WHERE (chat_id, id) NOT IN (FROM lost)""")
 def full_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each chat is given at last: balanced under 4,000 tokens, two memories of importance 5 at most, none contradicted."""
-    scored = _bucketed(spark, sf_dir).join(memories(spark, sf_dir).select("chat_id", "id", "characters"), ["chat_id", "id"])
-    return retrieval.select(scored, 4000).select("chat_id", "id")
+    texts = memories(spark, sf_dir).select("chat_id", "id", "characters", "summary")
+    return retrieval.select(_bucketed(spark, sf_dir).drop("summary"), 4000, texts=texts).select("chat_id", "id")
+
+
+#: Every fourth memory tells of hatred, and the next one of friendship, so that memories of the same characters contradict each other.
+_MOODY = MEMORIES.replace("d.text AS summary", "d.text || CASE d.doc_id % 4 WHEN 0 THEN ' They hate each other.' WHEN 1 THEN ' They are friends.' ELSE '' END AS summary")
+
+
+def _moody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(F.col("id") % 4 == 0, " They hate each other.").when(F.col("id") % 4 == 1, " They are friends.").otherwise("")
+    return memories(spark, sf_dir).withColumn("summary", F.concat("summary", told))
+
+
+_FLAT = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', '', 'g'))"
+_HAS_PHRASE = f"contains({_FLAT.format('summary')}, {_FLAT.format('phrase')}) AND length({_FLAT.format('phrase')}) > 0"
+
+
+@query(rf"""WITH {MEMORIES}, w AS (SELECT item_id, regexp_split_to_array(trim(text), '\s+') AS w FROM benchmark),
+p AS (SELECT item_id AS query_id, w[1] || ' ' || w[2] || ' ' || w[3] AS phrase FROM w UNION SELECT item_id, right(w[2], 3) || ' ' || left(w[3], 2) FROM w UNION SELECT item_id, w[1] || ' - ' || w[2] FROM w)
+SELECT query_id, phrase, chat_id, id FROM p JOIN mem ON {_HAS_PHRASE}""")
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories that have the first three words of a benchmark item as a phrase, the end of its second word before the start of its third, or its first two words around a dash, by places of words."""
+    w = F.split(F.trim("text"), r"\s+")
+    three = F.concat_ws(" ", F.slice(w, 1, 3))
+    ends = F.concat(F.right(F.get(w, F.lit(1)), F.lit(3)), F.lit(" "), F.left(F.get(w, F.lit(2)), F.lit(2)))
+    dash = F.concat(F.get(w, F.lit(0)), F.lit(" - "), F.get(w, F.lit(1)))
+    phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(three, ends, dash)).alias("phrase")).distinct()
+    found = lexical.phrase_matches(phrases, lexical.positions(memories(spark, sf_dir)))
+    return found.join(phrases, "phrase").select("query_id", "phrase", "chat_id", "id")
+
+
+_RECALL = rf"""WITH {_CORPUS.replace(MEMORIES, _MOODY)}, {_VEC}, {_DECAY}, q AS (SELECT item_id AS query_id, text, regexp_split_to_array(trim(text), '\s+') AS w FROM benchmark WHERE item_id % 20 = 0),
+qt AS (SELECT query_id, term, sum(cnt)::BIGINT AS cnt FROM (
+  SELECT query_id, term, CASE WHEN term IN (SELECT term FROM post) THEN 3 ELSE 2 END AS cnt FROM (SELECT query_id, unnest(list_distinct({_ITEMS})) AS term FROM q)
+  UNION ALL SELECT query_id, term, 10 FROM (SELECT query_id, unnest({_ITEMS.replace('text', 'w[3]')}) AS term FROM q)) GROUP BY ALL), {_BM25},
+ph AS (SELECT query_id, chat_id, id FROM (SELECT query_id, w[1] || ' ' || w[2] AS phrase FROM q) JOIN mem ON {_HAS_PHRASE}),
+raw AS (SELECT query_id, chat_id, id, bm25 FROM bm UNION ALL SELECT query_id, ph.chat_id, id, 10.0 * top FROM ph JOIN (SELECT chat_id, max(idf) AS top FROM idf2 GROUP BY chat_id) m ON m.chat_id = ph.chat_id),
+hit AS (SELECT query_id, chat_id, id, sum(bm25) AS bm25 FROM raw WHERE id IN (SELECT id FROM mem WHERE NOT archived) GROUP BY ALL),
+mx AS (SELECT query_id, chat_id, greatest(max(bm25), 1e-9) AS top FROM hit GROUP BY ALL), len AS (SELECT chat_id, max(extraction_count) AS n FROM mem GROUP BY chat_id),
+s AS (
+  SELECT q.query_id, b.chat_id, b.id, b.ord, b.importance, b.summary, b.characters, b.extraction_count, base_after_floor, frequency, 0.3 * 15.0 * coalesce(bm25 / top, 0) AS bonus, reflection,
+         list_cosine_similarity(a.e, c.e) AS sim, CAST(ceil(length(coalesce(b.summary, '')) / 4.0) AS BIGINT) AS n_tokens,
+         CASE WHEN b.extraction_count >= greatest(0, len.n - 100) THEN 'recent' WHEN b.extraction_count >= greatest(0, len.n - 500) THEN 'mid' ELSE 'old' END AS bucket
+  FROM base b CROSS JOIN q CROSS JOIN nv JOIN len ON len.chat_id = b.chat_id LEFT JOIN v a ON a.id = q.query_id % nv.n LEFT JOIN v c ON c.id = b.id % nv.n
+  LEFT JOIN hit ON hit.query_id = q.query_id AND hit.chat_id = b.chat_id AND hit.id = b.id LEFT JOIN mx ON mx.query_id = q.query_id AND mx.chat_id = b.chat_id WHERE NOT archived
+), f AS (SELECT *, (base_after_floor + bonus) * frequency * reflection AS fast FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY fast DESC, ord) AS r FROM f),
+t AS (SELECT *, round(CASE WHEN r <= 200 AND sim > 0.1 THEN (base_after_floor + bonus + 0.7 * 15.0 * (sim - 0.1) / 0.9) * frequency ELSE fast END, 9) AS score FROM r),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY score DESC, ord) AS rank FROM t) WHERE rank <= 1000),
+rk AS (SELECT *, CASE WHEN rank <= 50 AND (rank - 1) % 2 = 0 THEN ((rank - 1) * 37 % 11) / 10.0 END AS rs FROM top),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY rs IS NULL, rs DESC, rank) AS place FROM rk),
+p1 AS (SELECT * FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id, chat_id, bucket ORDER BY place ROWS UNBOUNDED PRECEDING) AS u FROM pl) WHERE u <= 10000 * 0.2),
+us AS (SELECT query_id, chat_id, sum(n_tokens) AS t FROM p1 GROUP BY ALL),
+p2 AS (SELECT * FROM (SELECT pl.*, coalesce(t, 0) AS t, sum(n_tokens) OVER (PARTITION BY pl.query_id, pl.chat_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS u
+       FROM pl LEFT JOIN us ON us.query_id = pl.query_id AND us.chat_id = pl.chat_id WHERE (pl.query_id, pl.id) NOT IN (SELECT query_id, id FROM p1)) WHERE u <= 10000 - t),
+sel AS (SELECT *, 1 AS phase FROM (SELECT * EXCLUDE (u) FROM p1) UNION ALL SELECT *, 2 FROM (SELECT * EXCLUDE (u, t) FROM p2)),
+cap AS (SELECT *, CASE WHEN importance = 5 THEN row_number() OVER (PARTITION BY query_id, chat_id, importance = 5 ORDER BY score DESC, ord) ELSE 0 END AS k FROM sel),
+kept AS (SELECT * FROM cap WHERE k <= 2), ku AS (SELECT query_id, chat_id, sum(n_tokens) AS t FROM kept GROUP BY ALL),
+fill AS (SELECT * FROM (SELECT pl.*, coalesce(t, 0) AS t, sum(n_tokens) OVER (PARTITION BY pl.query_id, pl.chat_id ORDER BY score DESC, ord ROWS UNBOUNDED PRECEDING) AS u
+         FROM pl LEFT JOIN ku ON ku.query_id = pl.query_id AND ku.chat_id = pl.chat_id
+         WHERE importance <> 5 AND (pl.query_id, pl.id) NOT IN (SELECT query_id, id FROM sel) AND (pl.query_id, pl.chat_id) IN (SELECT query_id, chat_id FROM cap WHERE k > 2)) WHERE u <= 10000 - t),
+given AS (SELECT query_id, chat_id, id, summary, characters, extraction_count, score, phase FROM kept UNION ALL SELECT query_id, chat_id, id, summary, characters, extraction_count, score, 3 FROM fill),
+{_mood_sql().replace("FROM mem)", "FROM given)")},
+g AS (SELECT query_id, chat_id, id, mood, extraction_count AS tm, array_to_string(list_sort(list_transform(characters, lambda c: trim(lower(c)))), '|') AS grp FROM mood WHERE mood <> 'neutral'),
+nw AS (SELECT query_id, chat_id, grp, max(tm) FILTER (mood = 'positive') AS p, max(tm) FILTER (mood = 'negative') AS q FROM g GROUP BY ALL),
+lost AS (SELECT g.query_id, id FROM g JOIN nw ON nw.query_id = g.query_id AND nw.chat_id = g.chat_id AND nw.grp = g.grp WHERE (p > q AND mood = 'negative') OR (q > p AND mood = 'positive')),
+final AS (SELECT * FROM given WHERE (query_id, id) NOT IN (FROM lost))"""
+
+
+def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mem = _distance(_moody(spark, sf_dir))
+    length = mem.groupBy("chat_id").agg(F.max("extraction_count").alias("n"))
+    table, n = _vectors(spark, sf_dir)
+    mem = mem.join(F.broadcast(length), "chat_id").withColumn("bucket", selection.bucket(F.col("extraction_count"), F.col("n"))).drop("n")
+    mem = mem.withColumns({"n_tokens": text.token_count(F.col("summary")), "vec_id": F.col("id") % n})
+    items = read(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % n).alias("vec_id"))
+    items = items.join(table.withColumnRenamed("embedding", "query_vector"), "vec_id", "left").drop("vec_id")
+    queries = items.join(F.broadcast(mem.select("chat_id").distinct()), F.lit(True))
+    w = F.split(F.trim("text"), r"\s+")
+    entities = items.select("query_id", F.explode(F.array(F.concat_ws(" ", F.slice(w, 1, 2)), F.get(w, F.lit(2)))).alias("name"), F.lit(1.0).alias("weight"))
+
+    def reranker(top: DataFrame) -> DataFrame:
+        """Stands for an outside model: scores for every second of the first rows."""
+        return top.filter("(rank - 1) % 2 = 0").select("query_id", "chat_id", (F.col("rank") - 1).alias("index"), ((F.col("rank") - 1) * 37 % 11 / F.lit(10.0)).alias("score"))
+
+    return retrieval.recall(mem, queries, entities, table, 10_000, reranker, Settings(vector_threshold=0.1))
+
+
+@query(f"{_RECALL} SELECT query_id, chat_id, id, phase, round(score, 6) AS score FROM final")
+def recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval as a whole: for every twentieth benchmark item what each chat gives it, by words in tiers, phrases, vectors and a reranker, under a budget, without what is contradicted."""
+    return rounded(_recalled(spark, sf_dir).select("query_id", "chat_id", "id", "phase", "score"), "score")
 
 
 @query(f"""WITH {_FAST}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY score DESC, ord) AS rank FROM sc) WHERE rank <= 60),

@@ -115,20 +115,19 @@ def _ranked(spark: SparkSession, sf_dir: str, stem) -> DataFrame:
     terms = lexical.query_terms(items, stem)
     mem, posted, corpus, idf = _corpus(spark, sf_dir, terms, stem)
     bm25 = staging.written(lexical.bm25(lexical.weigh_terms(terms, idf, corpus), posted, corpus), "bm25")
-    norm = lexical.normalized(bm25).select("query_id", "chat_id", "id", "bm25_norm")
-    table = vectors(spark, sf_dir)
-    n = table.count()
+    hits = lexical.normalized(bm25).select("query_id", "chat_id", "id", "bm25_norm")
+    table, n = _vectors(spark, sf_dir)
     rows = _distance(maintenance.active(mem.drop("summary"))).withColumn("vec_id", F.col("id") % n)
-    rows = rows.join(staging.small(items.select("query_id")), F.lit(True)).join(norm, ["query_id", "chat_id", "id"], "left")
-    rows = rows.join(_similar(table, items.select("query_id", (F.col("query_id") % n).alias("q"))), ["query_id", "vec_id"], "left")
-    scored = scoring.score(staging.written(rows, "candidates"), Settings(vector_threshold=0.1)).withColumn("score", F.round("score", 9))
+    asked = items.select("query_id").join(corpus.select("chat_id"), F.lit(True))
+    near = items.select("query_id", (F.col("query_id") % n).alias("vec_id")).join(table, "vec_id").select("query_id", F.col("embedding").alias("query_vector"))
+    scored = scoring.score_late(rows, hits, asked, table, near, 20, Settings(vector_threshold=0.1)).withColumn("score", F.round("score", 9))
     return rounded(scoring.best(scored, 20).select("query_id", "chat_id", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
-def _similar(table: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, similarity of every vector to the vectors ``q`` of the queries, which are a given query set."""
-    asked = queries.join(table.select(F.col("id").alias("q"), F.col("embedding").alias("query_vector")), "q").select("query_id", "query_vector")
-    return scoring.similarities(table, asked).withColumnRenamed("id", "vec_id")
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(vec_id, embedding of every vector; how many there are)."""
+    table = vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), "embedding")
+    return table, table.count()
 
 
 @query(f"WITH {_CORPUS} SELECT chat_id, term, df, round(idf, 6) AS idf FROM idf2")
@@ -184,11 +183,12 @@ SELECT query_id, chat_id, id, round(CASE WHEN r <= 200 AND sim > 0.05 THEN 0.7 *
        round(CASE WHEN r <= 200 AND sim > 0.05 THEN (base_after_floor + 0.7 * 15.0 * (sim - 0.05) / 0.95) * frequency ELSE fast END, 6) AS score FROM s""")
 def two_pass_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all memories for every query vector (ids divisible by 20): only the 200 best of a chat after the first pass get the vector bonus."""
-    table = vectors(spark, sf_dir)
-    n = table.count()
-    near = _similar(table, table.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("q")))
-    mem = _distance(memories(spark, sf_dir).drop("summary")).withColumns({"bm25_norm": F.lit(0.0), "vec_id": F.col("id") % n})
-    scored = scoring.score(mem.join(near, "vec_id"), Settings(vector_threshold=0.05))
+    table, n = _vectors(spark, sf_dir)
+    queries = table.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    mem = _distance(memories(spark, sf_dir).drop("summary")).withColumn("vec_id", F.col("id") % n)
+    asked = mem.select("chat_id").distinct().join(F.broadcast(queries.select("query_id")), F.lit(True))
+    hits = asked.select("query_id", "chat_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("bm25_norm")).limit(0)
+    scored = scoring.score_late(mem, hits, asked, table, queries, None, Settings(vector_threshold=0.05))
     return rounded(scored.select("query_id", "chat_id", "id", "vector_bonus", "score"), "vector_bonus", "score")
 
 
