@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from . import common, textvec
 
 #: Classes; words that are exchanged; words whose class is sent to every task (less than 2 MB in all).
-CLASSES, SEEDS, FREQUENT = 32, 1024, 65_536
+CLASSES, SEEDS, FREQUENT = 32, 1024, 65_535
+#: Stands for words that aren't frequent where ranks are kept in two bytes.
+NO_RANK = 65_535
 #: Sweeps of the exchange at most.
 SWEEPS = 20
 #: Tokens of a block, but for a longer document, which is a block of its own at most.
@@ -408,26 +410,41 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
             at = np.flatnonzero(frequent.ranks(b.words) < 0)
             yield _batch(["block", "code", "id"], np.full(len(at), part.column("block")[i].as_py(), np.int64), at.astype(np.int32), b.words[at].view(np.int64))
 
+    def ranked(parts):
+        """The blocks with their words' ranks in two bytes each in place of hashes, as words are looked up by now."""
+        import pyarrow as pa
+
+        for part in parts:
+            ranks = [frequent.ranks(np.frombuffer(w.as_buffer(), np.uint64)) for w in part.column("words")]
+            told = pa.array([np.where(r < 0, NO_RANK, r).astype(np.uint16).tobytes() for r in ranks], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("block", "ids", "held", "lengths", "codes")), told], ["block", "ids", "held", "lengths", "codes", "ranks"])
+
     def rate(parts):
         import pyarrow as pa
 
-        for part, i, b in _each(parts):
-            rank = frequent.ranks(b.words)
-            n, own = np.where(rank >= 0, frequent.n[rank], 0), np.where(rank >= 0, of[rank], classes)
-            met = part.column("met")[i].values
-            if met is not None and len(met):
-                at = met.field("code").to_numpy()
-                n[at], own[at] = met.field("n").to_numpy(), met.field("class").to_numpy()
-            own = np.where(n > 0, own, classes)
-            now, count = own[b.codes], n[b.codes]
-            starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]]).astype(np.int64)
-            sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 0.5) - base, kept.log10(_before(now, end), now, count))]
-            yield pa.RecordBatch.from_arrays([b.ids, b.held_out, pa.array(b.lengths, pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for part in parts:
+            for i in range(part.num_rows):
+                rank = np.frombuffer(part.column("ranks")[i].as_buffer(), np.uint16).astype(np.int64)
+                lengths = part.column("lengths")[i].values.to_numpy()
+                codes = np.frombuffer(part.column("codes")[i].as_buffer(), np.uint16 if len(rank) <= 1 << 16 else np.uint32)
+                near = np.minimum(rank, len(of) - 1)
+                n, own = np.where(rank < NO_RANK, frequent.n[near], 0), np.where(rank < NO_RANK, of[near], classes)
+                if part.column("met")[i].is_valid:
+                    met = part.column("met")[i].values.to_numpy().astype(np.int64)  # code * classes + class
+                    n[met // classes], own[met // classes] = part.column("met_n")[i].values.to_numpy(), met % classes
+                own = np.where(n > 0, own, classes)
+                now, count = own[codes], n[codes]
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+                sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 0.5) - base, kept.log10(_before(now, end), now, count))]
+                ids, held = part.column("ids")[i].values, part.column("held")[i].values
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(lengths, pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     told = _map(blocks, rare_codes, "block long, code int, id long").join(model.rare.select("id", "n", "class"), "id")
-    met = told.groupBy("block").agg(F.collect_list(F.struct("code", "class", "n")).alias("met"))
-    rows = blocks.join(met, "block", "left")
-    kind = dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    # both lists are gathered row by row together, so they are in one order
+    met = told.groupBy("block").agg(F.collect_list((F.col("code").cast("long") * classes + F.col("class")).alias("met")).alias("met"), F.collect_list("n").alias("met_n"))
+    kinds = dict(blocks.dtypes)
+    rows = _map(blocks, ranked, f"block long, ids {kinds['ids']}, held array<boolean>, lengths array<int>, codes binary, ranks binary").join(met, "block", "left")
+    kind = kinds["ids"].removeprefix("array<").removesuffix(">")
     return common.map_arrow(rows, rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 

@@ -184,7 +184,7 @@ def check_counts(found, rows):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("limits", [(32, 1024, 65_536), (4, 16, 40), (2, 3, 3)])
+@pytest.mark.parametrize("limits", [(32, 1024, 65_535), (4, 16, 40), (2, 3, 3)])
 def test_lm_counts_and_probabilities(spark, limits):
     """Counts are those of a plain version; the probabilities after any class sum to 1; a text's score is the sum over its tokens."""
     classes, seeds, frequent = limits
