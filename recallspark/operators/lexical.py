@@ -15,7 +15,8 @@ def tokenized(memories: DataFrame, stem=None) -> DataFrame:
     return memories.select("chat_id", "id", text.tokens(F.col("summary"), stem).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def _told(memories: DataFrame, stem) -> DataFrame:
+def told(memories: DataFrame, stem=None) -> DataFrame:
+    """Tokenized memories as they are, others tokenized."""
     return memories if "tokens" in memories.columns else tokenized(memories, stem)
 
 
@@ -24,7 +25,7 @@ def postings(memories: DataFrame, terms: DataFrame | None = None, stem=None) ->
 
     Where only the terms of some queries are asked for, the others are left out before anything is shuffled.
     """
-    rows = _told(memories, stem).select("chat_id", "id", "dl", F.explode("tokens").alias("term"))
+    rows = told(memories, stem).select("chat_id", "id", "dl", F.explode("tokens").alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chat_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -32,12 +33,15 @@ def postings(memories: DataFrame, terms: DataFrame | None = None, stem=None) ->
 
 def corpus_size(memories: DataFrame, stem=None) -> DataFrame:
     """chat_id, n_docs, avg_dl of all memories; those without terms count."""
-    return _told(memories, stem).select("chat_id", "dl").groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return told(memories, stem).select("chat_id", "dl").groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def idf_table(posted: DataFrame, corpus: DataFrame) -> DataFrame:
     """chat_id, term, df, idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
-    df = posted.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    return with_idf(posted.groupBy("chat_id", "term").agg(F.count(F.lit(1)).alias("df")), corpus)
+
+
+def with_idf(df: DataFrame, corpus: DataFrame) -> DataFrame:
     n = F.col("n_docs")
     return df.join(corpus.select("chat_id", "n_docs"), "chat_id").select(
         "chat_id", "term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")

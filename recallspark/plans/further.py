@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import language, text
-from ..operators import communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reports, retrieval, scheduling, scoring, selection
-from .registry import _BALANCE, _BM25, _CORPUS, _DECAY, _FAST, _ITEMS, _bucketed, _distance, _mood_sql, _vectors, query, rounded
+from .. import staging
+from ..operators import blockmax, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reports, retrieval, scheduling, scoring, selection, statistics
+from .registry import ORACLES, _BALANCE, _BM25, _CORPUS, _DECAY, _FAST, _ITEMS, _bucketed, _distance, _mood_sql, _vectors, query, rounded
 from .tables import GRAPH, MEMORIES, MESSAGES, memories, messages, read, vectors
 from .tables import graph as graph_tables
 
@@ -442,13 +443,15 @@ def full_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.select(_bucketed(spark, sf_dir).drop("summary"), 4000, texts=texts).select("chat_id", "id")
 
 
-#: Every fourth memory tells of hatred, and the next one of friendship, so that memories of the same characters contradict each other.
-_MOODY = MEMORIES.replace("d.text AS summary", "d.text || CASE d.doc_id % 4 WHEN 0 THEN ' They hate each other.' WHEN 1 THEN ' They are friends.' ELSE '' END AS summary")
+#: Every fourth memory of a chat tells of hatred, and the next one of friendship, so that memories of the same characters contradict each other; each chat has all degrees of importance.
+_MOODY = MEMORIES.replace("d.text AS summary", "d.text || CASE d.doc_id // 20 % 4 WHEN 0 THEN ' They hate each other.' WHEN 1 THEN ' They are friends.' ELSE '' END AS summary")
+_MOODY = _MOODY.replace("1 + d.doc_id % 5 AS importance", "1 + d.doc_id // 20 % 5 AS importance")
 
 
 def _moody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.when(F.col("id") % 4 == 0, " They hate each other.").when(F.col("id") % 4 == 1, " They are friends.").otherwise("")
-    return memories(spark, sf_dir).withColumn("summary", F.concat("summary", told))
+    turn = F.floor(F.col("id") / 20)
+    told = F.when(turn % 4 == 0, " They hate each other.").when(turn % 4 == 1, " They are friends.").otherwise("")
+    return memories(spark, sf_dir).withColumns({"summary": F.concat("summary", told), "importance": (1 + turn % 5).cast("int")})
 
 
 _FLAT = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', '', 'g'))"
@@ -469,6 +472,29 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(phrases, "phrase").select("query_id", "phrase", "chat_id", "id")
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as bm25_topk by an index of blocks, of which those of frequent terms are read only where they can matter."""
+    told = staging.written(lexical.tokenized(memories(spark, sf_dir)), "tokens")
+    terms = lexical.query_terms(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    best, _ = blockmax.top(staging.written(terms, "query-terms"), blockmax.index(told), 5)
+    return rounded(best.select("query_id", "chat_id", "id", "bm25", F.col("rank").cast("long").alias("rank")), "bm25")
+
+
+@query(rf"""WITH {MEMORIES.replace("FROM documents d", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 1 THEN coalesce(text, '') || ' changed wording' ELSE text END AS text) FROM documents) d")},
+{_CORPUS.replace(MEMORIES, "one AS (SELECT 1)").replace("FROM mem)", "FROM mem WHERE id % 7 <> 2)")} SELECT chat_id, term, df, round(idf, 6) AS idf FROM idf2""")
+def kept_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Idf of all terms after three batches of changes: all memories come in, every fifth is reworded, every seventh is archived; the corpus is read by none of the later ones."""
+    mem = staging.written(memories(spark, sf_dir).select("chat_id", "id", "summary"), "memories")
+    kept = statistics.Statistics(spark, staging.new_path(spark, "statistics"))
+    kept.apply(1, added=mem)
+    reworded = mem.filter("id % 5 = 1")
+    newer = reworded.withColumn("summary", F.concat(F.coalesce("summary", F.lit("")), F.lit(" changed wording")))
+    kept.apply(2, added=newer, removed=reworded)
+    kept.apply(3, removed=mem.filter("id % 7 = 2 and id % 5 != 1").unionByName(newer.filter("id % 7 = 2")))
+    return rounded(kept.compact(staging.new_path(spark, "statistics")).idf(), "idf")
+
+
 _RECALL = rf"""WITH {_CORPUS.replace(MEMORIES, _MOODY)}, {_VEC}, {_DECAY}, q AS (SELECT item_id AS query_id, text, regexp_split_to_array(trim(text), '\s+') AS w FROM benchmark WHERE item_id % 20 = 0),
 qt AS (SELECT query_id, term, sum(cnt)::BIGINT AS cnt FROM (
   SELECT query_id, term, CASE WHEN term IN (SELECT term FROM post) THEN 3 ELSE 2 END AS cnt FROM (SELECT query_id, unnest(list_distinct({_ITEMS})) AS term FROM q)
@@ -479,7 +505,7 @@ hit AS (SELECT query_id, chat_id, id, sum(bm25) AS bm25 FROM raw WHERE id IN (SE
 mx AS (SELECT query_id, chat_id, greatest(max(bm25), 1e-9) AS top FROM hit GROUP BY ALL), len AS (SELECT chat_id, max(extraction_count) AS n FROM mem GROUP BY chat_id),
 s AS (
   SELECT q.query_id, b.chat_id, b.id, b.ord, b.importance, b.summary, b.characters, b.extraction_count, base_after_floor, frequency, 0.3 * 15.0 * coalesce(bm25 / top, 0) AS bonus, reflection,
-         list_cosine_similarity(a.e, c.e) AS sim, CAST(ceil(length(coalesce(b.summary, '')) / 4.0) AS BIGINT) AS n_tokens,
+         list_cosine_similarity(a.e, c.e) AS sim, 100 + b.id % 400 AS n_tokens,
          CASE WHEN b.extraction_count >= greatest(0, len.n - 100) THEN 'recent' WHEN b.extraction_count >= greatest(0, len.n - 500) THEN 'mid' ELSE 'old' END AS bucket
   FROM base b CROSS JOIN q CROSS JOIN nv JOIN len ON len.chat_id = b.chat_id LEFT JOIN v a ON a.id = q.query_id % nv.n LEFT JOIN v c ON c.id = b.id % nv.n
   LEFT JOIN hit ON hit.query_id = q.query_id AND hit.chat_id = b.chat_id AND hit.id = b.id LEFT JOIN mx ON mx.query_id = q.query_id AND mx.chat_id = b.chat_id WHERE NOT archived
@@ -489,16 +515,16 @@ t AS (SELECT *, round(CASE WHEN r <= 200 AND sim > 0.1 THEN (base_after_floor +
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY score DESC, ord) AS rank FROM t) WHERE rank <= 1000),
 rk AS (SELECT *, CASE WHEN rank <= 50 AND (rank - 1) % 2 = 0 THEN ((rank - 1) * 37 % 11) / 10.0 END AS rs FROM top),
 pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id ORDER BY rs IS NULL, rs DESC, rank) AS place FROM rk),
-p1 AS (SELECT * FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id, chat_id, bucket ORDER BY place ROWS UNBOUNDED PRECEDING) AS u FROM pl) WHERE u <= 10000 * 0.2),
+p1 AS (SELECT * FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id, chat_id, bucket ORDER BY place ROWS UNBOUNDED PRECEDING) AS u FROM pl) WHERE u <= 4000 * 0.2),
 us AS (SELECT query_id, chat_id, sum(n_tokens) AS t FROM p1 GROUP BY ALL),
 p2 AS (SELECT * FROM (SELECT pl.*, coalesce(t, 0) AS t, sum(n_tokens) OVER (PARTITION BY pl.query_id, pl.chat_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS u
-       FROM pl LEFT JOIN us ON us.query_id = pl.query_id AND us.chat_id = pl.chat_id WHERE (pl.query_id, pl.id) NOT IN (SELECT query_id, id FROM p1)) WHERE u <= 10000 - t),
+       FROM pl LEFT JOIN us ON us.query_id = pl.query_id AND us.chat_id = pl.chat_id WHERE (pl.query_id, pl.id) NOT IN (SELECT query_id, id FROM p1)) WHERE u <= 4000 - t),
 sel AS (SELECT *, 1 AS phase FROM (SELECT * EXCLUDE (u) FROM p1) UNION ALL SELECT *, 2 FROM (SELECT * EXCLUDE (u, t) FROM p2)),
 cap AS (SELECT *, CASE WHEN importance = 5 THEN row_number() OVER (PARTITION BY query_id, chat_id, importance = 5 ORDER BY score DESC, ord) ELSE 0 END AS k FROM sel),
 kept AS (SELECT * FROM cap WHERE k <= 2), ku AS (SELECT query_id, chat_id, sum(n_tokens) AS t FROM kept GROUP BY ALL),
 fill AS (SELECT * FROM (SELECT pl.*, coalesce(t, 0) AS t, sum(n_tokens) OVER (PARTITION BY pl.query_id, pl.chat_id ORDER BY score DESC, ord ROWS UNBOUNDED PRECEDING) AS u
          FROM pl LEFT JOIN ku ON ku.query_id = pl.query_id AND ku.chat_id = pl.chat_id
-         WHERE importance <> 5 AND (pl.query_id, pl.id) NOT IN (SELECT query_id, id FROM sel) AND (pl.query_id, pl.chat_id) IN (SELECT query_id, chat_id FROM cap WHERE k > 2)) WHERE u <= 10000 - t),
+         WHERE importance <> 5 AND (pl.query_id, pl.id) NOT IN (SELECT query_id, id FROM sel) AND (pl.query_id, pl.chat_id) IN (SELECT query_id, chat_id FROM cap WHERE k > 2)) WHERE u <= 4000 - t),
 given AS (SELECT query_id, chat_id, id, summary, characters, extraction_count, score, phase FROM kept UNION ALL SELECT query_id, chat_id, id, summary, characters, extraction_count, score, 3 FROM fill),
 {_mood_sql().replace("FROM mem)", "FROM given)")},
 g AS (SELECT query_id, chat_id, id, mood, extraction_count AS tm, array_to_string(list_sort(list_transform(characters, lambda c: trim(lower(c)))), '|') AS grp FROM mood WHERE mood <> 'neutral'),
@@ -512,7 +538,7 @@ def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = mem.groupBy("chat_id").agg(F.max("extraction_count").alias("n"))
     table, n = _vectors(spark, sf_dir)
     mem = mem.join(F.broadcast(length), "chat_id").withColumn("bucket", selection.bucket(F.col("extraction_count"), F.col("n"))).drop("n")
-    mem = mem.withColumns({"n_tokens": text.token_count(F.col("summary")), "vec_id": F.col("id") % n})
+    mem = mem.withColumns({"n_tokens": 100 + F.col("id") % 400, "vec_id": F.col("id") % n})
     items = read(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % n).alias("vec_id"))
     items = items.join(table.withColumnRenamed("embedding", "query_vector"), "vec_id", "left").drop("vec_id")
     queries = items.join(F.broadcast(mem.select("chat_id").distinct()), F.lit(True))
@@ -523,7 +549,7 @@ def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Stands for an outside model: scores for every second of the first rows."""
         return top.filter("(rank - 1) % 2 = 0").select("query_id", "chat_id", (F.col("rank") - 1).alias("index"), ((F.col("rank") - 1) * 37 % 11 / F.lit(10.0)).alias("score"))
 
-    return retrieval.recall(mem, queries, entities, table, 10_000, reranker, Settings(vector_threshold=0.1))
+    return retrieval.recall(mem, queries, entities, table, 4000, reranker, Settings(vector_threshold=0.1))
 
 
 @query(f"{_RECALL} SELECT query_id, chat_id, id, phase, round(score, 6) AS score FROM final")

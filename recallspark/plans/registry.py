@@ -277,7 +277,8 @@ def _mood_sql() -> str:
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
     def count(words, phrases):
-        one = f"len(list_filter(range(1, len(t) + 1), lambda i: list_contains({list_(words)}, t[i]) AND NOT list_has_any(t[greatest(1, i - 3):i - 1], {list_(contradiction.NEGATORS)})))"
+        said = f"list_filter(range(1, len(t) + 1), lambda i: list_contains({list_(words)}, t[i]))"
+        one = f"len(list_filter({said}, lambda i: NOT list_has_any(t[greatest(1, i - 3):i - 1], {list_(contradiction.NEGATORS)})))"
         pad = "' ' || array_to_string(t, ' ') || ' '"
         more = "".join(
             f" + CASE WHEN strpos({pad}, ' {p} ') > 0 AND NOT list_has_any(list_filter(string_split(trim(left({pad}, strpos({pad}, ' {p} ')::INT)), ' '), lambda w: w <> '')[-3:], {list_(contradiction.NEGATORS)}) THEN 1 ELSE 0 END"
