@@ -29,6 +29,8 @@ NO_RANK = 65_535
 SWEEPS = 20
 #: Tokens of a block, but for a longer document, which is a block of its own at most.
 BLOCK_TOKENS = 3 << 17
+#: Blocks that a Python worker gets at a time, each of about a megabyte.
+BLOCKS_AT_A_TIME = 4
 #: Share of the plain unigram in a word's probability, and weight of the classes' own shares in their transitions.
 UNIGRAM, SMOOTHING = 0.1, 10.0
 #: The end of a text, which also stands before its first word.
@@ -131,7 +133,8 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
             n = np.bincount(b.codes[b.learned()], minlength=len(b.words))
             yield _batch(["id", "n"], b.words[n > 0].view(np.int64), n[n > 0])
 
-    return common.materialize(_map(blocks, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "lm-vocabulary")
+    with common.rows_at_a_time(blocks.sparkSession, BLOCKS_AT_A_TIME):
+        return common.materialize(_map(blocks, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "lm-vocabulary")
 
 
 # ---- classes
@@ -178,8 +181,9 @@ def seed_bigrams(blocks: DataFrame, frequent: Frequent, seeds: int) -> np.ndarra
 
     pairs = _map(blocks, count, "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
     found = np.zeros((seeds, seeds), np.int64)
-    for row in pairs.groupBy("v").agg(F.collect_list("w").alias("w"), F.collect_list("n").alias("n")).toLocalIterator():
-        found[row.v, row.w] = row.n
+    with common.rows_at_a_time(blocks.sparkSession, BLOCKS_AT_A_TIME):
+        for row in pairs.groupBy("v").agg(F.collect_list("w").alias("w"), F.collect_list("n").alias("n")).toLocalIterator():
+            found[row.v, row.w] = row.n
     return found
 
 
@@ -272,10 +276,12 @@ def frequent_neighbours(blocks: DataFrame, frequent: Frequent, of: np.ndarray, s
             for side, beside in ((0, _before(near, class_of[0])), (1, after)):
                 own = learned & (beside < classes)
                 np.add.at(sums, ((w[own] - seeds) * 2 + side) * classes + beside[own], 1)
-        at = np.flatnonzero(sums)
-        side, beside = at // classes % 2, at % classes
-        lr = np.where(side == 0, beside * other + classes, classes * other + beside)
-        yield _batch(["id", "lr", "n"], at // (2 * classes) + seeds, lr.astype(np.int32), sums[at].astype(np.int64))
+        found = np.flatnonzero(sums)
+        for first in range(0, len(found), 1 << 17):
+            at = found[first : first + (1 << 17)]
+            side, beside = at // classes % 2, at % classes
+            lr = np.where(side == 0, beside * other + classes, classes * other + beside)
+            yield _batch(["id", "lr", "n"], at // (2 * classes) + seeds, lr.astype(np.int32), sums[at].astype(np.int64))
 
     return _map(blocks, count, "id long, lr int, n long")
 
@@ -307,8 +313,9 @@ def frequent_transitions(blocks: DataFrame, frequent: Frequent, of: np.ndarray,
         yield _batch(["lr", "n"], np.arange(len(pairs), dtype=np.int32), pairs)
 
     found = np.zeros((classes + 1) ** 2)
-    for row in _map(blocks, count, "lr int, n long").groupBy("lr").agg(F.sum("n").alias("n")).collect():
-        found[row.lr] = row.n
+    with common.rows_at_a_time(blocks.sparkSession, BLOCKS_AT_A_TIME):
+        for row in _map(blocks, count, "lr int, n long").groupBy("lr").agg(F.sum("n").alias("n")).collect():
+            found[row.lr] = row.n
     return found.reshape(classes + 1, classes + 1)[:classes, :classes]
 
 
@@ -445,7 +452,9 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
     kinds = dict(blocks.dtypes)
     rows = _map(blocks, ranked, f"block long, ids {kinds['ids']}, held array<boolean>, lengths array<int>, codes binary, ranks binary").join(met, "block", "left")
     kind = kinds["ids"].removeprefix("array<").removesuffix(">")
-    return common.map_arrow(rows, rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = common.map_arrow(rows, rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    with common.rows_at_a_time(blocks.sparkSession, BLOCKS_AT_A_TIME):
+        return common.materialize(scores, "lm-scores")
 
 
 def lm_scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,6 +111,17 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_at_a_time(spark: SparkSession, rows: int):
+    """Within it, Python workers get ``rows`` rows at a time: for rows that are large by themselves. What is run within it must be written within it."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 #: Keys up to this number are sent to every task; more are filtered by bits first.
 BROADCAST_KEYS = 500_000
 #: Bits of a filter at most, 32 MB; and bits for each key where that allows it.
