@@ -9,6 +9,7 @@ from ..config import Settings
 from ..functions import language, text
 from .. import staging
 from ..operators import blockmax, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reports, retrieval, scheduling, scoring, selection, statistics
+from ..sources import vectors as vector_store
 from .registry import ORACLES, _BALANCE, _BM25, _CORPUS, _DECAY, _FAST, _ITEMS, _bucketed, _distance, _mood_sql, _vectors, query, rounded
 from .tables import GRAPH, MEMORIES, MESSAGES, memories, messages, read, vectors
 from .tables import graph as graph_tables
@@ -583,6 +584,21 @@ def external_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("chat_id", "id", "similarity"), "similarity")
 
 
+@query("""WITH v AS (SELECT vec_id AS id, 'c' || vec_id % 2 AS chat_id, CASE WHEN vec_id % 9 = 1 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 7 <> 3),
+s AS (SELECT q.vec_id AS query_id, v.id, list_cosine_similarity(q.embedding::DOUBLE[], v.e) AS similarity FROM embeddings q JOIN v ON v.chat_id = 'c' || q.vec_id % 2 WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM s) SELECT query_id, id, round(similarity, 4) AS similarity, place FROM r WHERE place <= 5""")
+def kept_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors nearest to every twentieth, from an index that was made of two thirds of the vectors, then got the others and new versions of every ninth, and lost every seventh."""
+    table = vectors(spark, sf_dir).select(F.concat(F.lit("c"), F.col("id") % 2).alias("chat_id"), "id", "embedding")
+    index = vector_store.ListIndex.create(table.filter("id % 3 <> 0"), staging.new_path(spark, "list-index"), 16)
+    index.insert(table.filter("id % 3 = 0"), 2)
+    index.insert(table.filter("id % 9 = 1").withColumn("embedding", F.reverse("embedding")), 3)
+    index.delete(table.filter("id % 7 = 3"), 4)
+    queries = table.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "chat_id", F.col("embedding").alias("query_vector"))
+    best, _ = index.search(queries, 5, 4, exact=True)
+    return best.select("query_id", "id", F.round("similarity", 4).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
 @query()
 def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors nearest to each query (ids divisible by 20) by an index of inverted lists; tests hold its recall against ``cosine_topk``."""
