@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import language, text
+from ..functions import language, text, tokens
 from .. import staging
 from ..operators import blockmax, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reports, retrieval, scheduling, scoring, selection, statistics
 from ..sources import vectors as vector_store
@@ -287,11 +287,11 @@ def proper_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.proper_edges(edges, nodes.filter("type <> 'PLACE'")).select("source", "target")
 
 
-@query(f"""WITH {GRAPH}, k AS (SELECT key FROM node WHERE lower(name) IN ('france', 'germany')) SELECT source, target, weight FROM edge WHERE source IN (FROM k) OR target IN (FROM k)""")
+@query(f"""WITH {GRAPH}, k AS (SELECT key FROM node WHERE lower(name) IN ('nation_7', 'nation_12')) SELECT source, target, weight FROM edge WHERE source IN (FROM k) OR target IN (FROM k)""")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with an end in France or Germany."""
+    """Edges with an end in one of two nations."""
     nodes, edges = (df.withColumn("chat_id", F.lit("shop")) for df in graph_tables(spark, sf_dir))
-    names = nodes.filter("lower(name) in ('france', 'germany')").select("chat_id", F.upper("name").alias("name"))
+    names = nodes.filter("lower(name) in ('nation_7', 'nation_12')").select("chat_id", F.upper("name").alias("name"))
     return graph.around(nodes, edges, names)[1].select("source", "target", "weight")
 
 
@@ -340,6 +340,37 @@ _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), nv
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(summary, '')), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 2))"
 
 
+#: Every fourth memory of a chat tells of hatred, and the next one of friendship, so that memories of the same characters contradict each other; each chat has all degrees of importance.
+_MOODY = MEMORIES.replace("d.text AS summary", "d.text || CASE d.doc_id // 20 % 4 WHEN 0 THEN ' They hate each other.' WHEN 1 THEN ' They are friends.' ELSE '' END AS summary")
+_MOODY = _MOODY.replace("1 + d.doc_id % 5 AS importance", "1 + d.doc_id // 20 % 5 AS importance")
+
+
+def _moody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.floor(F.col("id") / 20)
+    told = F.when(turn % 4 == 0, " They hate each other.").when(turn % 4 == 1, " They are friends.").otherwise("")
+    return memories(spark, sf_dir).withColumns({"summary": F.concat("summary", told), "importance": (1 + turn % 5).cast("int")})
+
+
+#: Memories 140 ids apart are of one chat and character. Of each four of these the first has a vector of its own, and the others the same with more and more noise; the second also has
+#: the first one's text with an addition.
+_TURN = "(doc_id // 140 % 4)"
+_LIKE = MEMORIES.replace("FROM documents d", f"FROM (SELECT x.* REPLACE (CASE WHEN x.{_TURN[1:-1]} = 1 THEN coalesce(b.text, '') || ' once more' ELSE x.text END AS text) FROM documents x LEFT JOIN documents b ON b.doc_id = x.doc_id - 140) d")
+_LIKE_VEC = f"""{_LIKE}, {_VEC}, lv AS (SELECT chat_id, mem.id, ord, summary, importance, character, type, archived, characters, mem.id // 140 % 4 AS turn,
+  list_transform(e, lambda x, i: x + [0.0, 0.03, 0.05, 0.2][1 + mem.id // 140 % 4] * (i * 7 % 5 - 2)) AS e FROM mem, nv JOIN v ON v.id = (mem.id - 140 * (mem.id // 140 % 4)) % n)"""
+
+
+def _like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, n = _vectors(spark, sf_dir)
+    mem, i = memories(spark, sf_dir), F.col("id")
+    turn = F.floor(i / 140) % 4
+    first = mem.select((i + 140).alias("id"), F.concat(F.coalesce("summary", F.lit("")), F.lit(" once more")).alias("__first"))
+    rows = mem.join(first, "id", "left").withColumn("turn", turn)
+    rows = rows.withColumns({"summary": F.when(F.col("turn") == 1, F.coalesce("__first", F.lit(" once more"))).otherwise(F.col("summary")), "vec_id": (i - 140 * F.col("turn")) % n})
+    noise = F.when(F.col("turn") == 1, 0.03).when(F.col("turn") == 2, 0.05).when(F.col("turn") == 3, 0.2).otherwise(0.0)
+    moved = F.transform("embedding", lambda x, k: x.cast("double") + noise * ((k + 1) * 7 % 5 - 2))
+    return rows.join(table, "vec_id").withColumn("embedding", moved).drop("vec_id", "__first")
+
+
 def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories with the given vectors, dealt out by id."""
     table = vectors(spark, sf_dir)
@@ -347,52 +378,46 @@ def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).withColumn("v", F.col("id") % n).join(table.select(F.col("id").alias("v"), "embedding"), "v", "left").drop("v")
 
 
-@query(f"""WITH {MEMORIES}, {_VEC}, w AS (SELECT chat_id, mem.id, ord, {_WORDS} AS w, e FROM mem, nv LEFT JOIN v ON v.id = mem.id % n),
+@query(f"""WITH {_LIKE_VEC}, w AS (SELECT chat_id, id, ord, turn, {_WORDS} AS w, e FROM lv),
 p AS (SELECT a.chat_id, a.id, b.id AS other, b.ord, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m, list_cosine_similarity(a.e, b.e) AS s
-      FROM w a JOIN w b ON a.chat_id = b.chat_id WHERE a.id % 10 = 0 AND b.id % 10 <> 0)
-SELECT chat_id, id, arg_min(other, (ord, other)) AS match FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.3 AND s >= 0.1 GROUP BY chat_id, id""")
+      FROM w a JOIN w b ON a.chat_id = b.chat_id WHERE a.turn IN (1, 2) AND b.turn NOT IN (1, 2))
+SELECT chat_id, id, arg_min(other, (ord, other)) AS match FROM p WHERE i > 0 AND i / (n + m - i)::DOUBLE >= 0.3 AND s >= 0.94 GROUP BY chat_id, id""")
 def against_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth memory as new: the first stored one that it repeats, by words and by vector, at a low cosine."""
-    from ..config import Settings
-
-    mem = _with_vectors(spark, sf_dir)
-    return dedup.against_store(mem.filter("id % 10 = 0"), mem.filter("id % 10 <> 0"), Settings(dedup_cosine=0.1))
+    """The second and third versions as new: the first stored memory that each repeats, by words and by vector, at the usual thresholds."""
+    mem = _like(spark, sf_dir)
+    return dedup.against_store(mem.filter("turn in (1, 2)"), mem.filter("turn not in (1, 2)"))
 
 
-@query(f"""WITH {MEMORIES}, {_VEC}, w AS (SELECT chat_id, mem.id, ord, lower(character) AS who, e FROM mem, nv JOIN v ON v.id = mem.id % n),
-p AS (SELECT a.chat_id, a.id, b.id AS match, b.ord, list_cosine_similarity(a.e, b.e) AS s FROM w a JOIN w b ON a.chat_id = b.chat_id AND a.who = b.who WHERE a.id % 4 = 0 AND b.id % 4 <> 0),
+@query(f"""WITH {_LIKE_VEC},
+p AS (SELECT a.chat_id, a.id, b.id AS match, b.ord, list_cosine_similarity(a.e, b.e) AS s FROM lv a JOIN lv b ON a.chat_id = b.chat_id AND lower(a.character) = lower(b.character) WHERE a.turn <> 0 AND b.turn = 0),
 b AS (SELECT chat_id, id, arg_max(match, (s, -ord, match)) AS match, max(s) AS s FROM p GROUP BY ALL)
-SELECT w.chat_id, w.id, CASE WHEN s >= 0.9 THEN 'reject' WHEN s >= 0.3 THEN 'replace' ELSE 'add' END AS verdict, CASE WHEN s >= 0.3 THEN match END AS match, round(coalesce(s, 0), 6) AS similarity
-FROM w LEFT JOIN b ON b.chat_id = w.chat_id AND b.id = w.id WHERE w.id % 4 = 0""")
+SELECT w.chat_id, w.id, CASE WHEN s >= 0.9 THEN 'reject' WHEN s >= 0.8 THEN 'replace' ELSE 'add' END AS verdict, CASE WHEN s >= 0.8 THEN match END AS match, round(coalesce(s, 0), 6) AS similarity
+FROM lv w LEFT JOIN b ON b.chat_id = w.chat_id AND b.id = w.id WHERE w.turn <> 0""")
 def reflection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth memory as a new reflection against the others of its character."""
-    from ..config import Settings
+    """The versions as new reflections against the first ones of their character, at the usual thresholds."""
+    mem = _like(spark, sf_dir)
+    return rounded(dedup.judge_reflections(mem.filter("turn <> 0"), mem.filter("turn = 0")), "similarity")
 
-    mem = _with_vectors(spark, sf_dir).filter(F.col("embedding").isNotNull())
-    return rounded(dedup.judge_reflections(mem.filter("id % 4 = 0"), mem.filter("id % 4 <> 0"), Settings(reflection_replace=0.3)), "similarity")
 
-
-@query(f"""WITH {MEMORIES}, {_VEC}, w AS (SELECT chat_id, mem.id, ord, importance, character, e FROM mem, nv JOIN v ON v.id = mem.id % n),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, character ORDER BY importance DESC, ord) AS r FROM w WHERE id % 2 = 0) WHERE r <= 3),
-p AS (SELECT t.chat_id, t.character, t.id, max(coalesce(list_cosine_similarity(t.e, o.e), 0)) AS s FROM t LEFT JOIN w o ON o.chat_id = t.chat_id AND o.character = t.character AND o.id % 2 <> 0 GROUP BY ALL)
-SELECT chat_id, character, sum((s >= 0.3)::INT) >= ceil(count(*) / 2.0) AS skip FROM p GROUP BY ALL""")
+@query(f"""WITH {_LIKE_VEC},
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, character ORDER BY importance DESC, ord) AS r FROM lv WHERE turn <> 0) WHERE r <= 3),
+p AS (SELECT t.chat_id, t.character, t.id, max(coalesce(list_cosine_similarity(t.e, o.e), 0)) AS s FROM t LEFT JOIN lv o ON o.chat_id = t.chat_id AND o.character = t.character AND o.turn = 0 GROUP BY ALL)
+SELECT chat_id, character, sum((s >= 0.85)::INT) >= ceil(count(*) / 2.0) AS skip FROM p GROUP BY ALL""")
 def skip_reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters whose weightiest even memories resemble an odd one of theirs."""
-    from ..config import Settings
+    """Characters of whose weightiest versions most resemble one of the first ones of theirs."""
+    mem = _like(spark, sf_dir)
+    return dedup.skip_reflection(mem.filter("turn <> 0"), mem.filter("turn = 0"))
 
-    mem = _with_vectors(spark, sf_dir).filter(F.col("embedding").isNotNull())
-    return dedup.skip_reflection(mem.filter("id % 2 = 0"), mem.filter("id % 2 <> 0"), Settings(reflection_skip=0.3))
 
 
-_MOODS = f"""{MEMORIES}, {_mood_sql()}"""
 
 
-@query(f"""WITH {_MOODS}, m AS (SELECT chat_id, id, ord, type, archived, list_distinct(characters) AS cs, mood FROM mood WHERE mood <> 'neutral' AND len(characters) >= 2),
+@query(f"""WITH {_MOODY}, {_mood_sql()}, m AS (SELECT chat_id, id, ord, type, archived, list_distinct(characters) AS cs, mood FROM mood WHERE mood <> 'neutral' AND len(characters) >= 2),
 p AS (SELECT a.chat_id, a.id, b.id AS other, b.ord FROM m a JOIN m b ON a.chat_id = b.chat_id AND a.id <> b.id AND list_has_any(a.cs, b.cs) AND a.mood <> b.mood WHERE a.id % 5 = 0 AND NOT b.archived AND b.type <> 'reflection')
 SELECT chat_id, id, other, row_number() OVER (PARTITION BY chat_id, id ORDER BY ord, other) AS place FROM p""")
 def opposed_to_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth memory as new: the stored ones of the opposite sentiment that share a character."""
-    mem = memories(spark, sf_dir)
+    mem = _moody(spark, sf_dir)
     return contradiction.against_new(mem.filter("id % 5 = 0"), mem).select("chat_id", "id", "other", F.col("place").cast("long").alias("place"))
 
 
@@ -444,17 +469,6 @@ def full_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.select(_bucketed(spark, sf_dir).drop("summary"), 4000, texts=texts).select("chat_id", "id")
 
 
-#: Every fourth memory of a chat tells of hatred, and the next one of friendship, so that memories of the same characters contradict each other; each chat has all degrees of importance.
-_MOODY = MEMORIES.replace("d.text AS summary", "d.text || CASE d.doc_id // 20 % 4 WHEN 0 THEN ' They hate each other.' WHEN 1 THEN ' They are friends.' ELSE '' END AS summary")
-_MOODY = _MOODY.replace("1 + d.doc_id % 5 AS importance", "1 + d.doc_id // 20 % 5 AS importance")
-
-
-def _moody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.floor(F.col("id") / 20)
-    told = F.when(turn % 4 == 0, " They hate each other.").when(turn % 4 == 1, " They are friends.").otherwise("")
-    return memories(spark, sf_dir).withColumns({"summary": F.concat("summary", told), "importance": (1 + turn % 5).cast("int")})
-
-
 _FLAT = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', '', 'g'))"
 _HAS_PHRASE = f"contains({_FLAT.format('summary')}, {_FLAT.format('phrase')}) AND length({_FLAT.format('phrase')}) > 0"
 
@@ -569,7 +583,7 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(top, ranked).select("chat_id", "id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""WITH {MEMORIES}, h AS (SELECT chat_id, id, CASE WHEN chat_id LIKE '%1' THEN id + 1000000 ELSE id END AS hit, row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) AS place FROM mem WHERE id % 4 = 0),
+@query(f"""WITH {MEMORIES}, h AS (SELECT chat_id, id, CASE WHEN chat_id LIKE '%1' THEN id + 1000000 ELSE id END AS hit, row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) AS place FROM mem WHERE id % 4 <> 2),
 n AS (SELECT *, count(*) OVER (PARTITION BY chat_id) AS n FROM h)
 SELECT n.chat_id, n.id, round(CASE WHEN n <= 1 THEN 1.0 ELSE 1 - (place - 1) / (n - 1)::DOUBLE * 0.5 END, 6) AS similarity FROM n WHERE hit = id
 UNION ALL SELECT chat_id, id, NULL FROM mem WHERE chat_id LIKE '%1' AND chat_id IN (SELECT chat_id FROM n)""")
@@ -577,7 +591,7 @@ def external_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by an outside index: proxy scores by rank; chats for which it found communities only fall back to all memories."""
     mem = memories(spark, sf_dir)
     away = F.col("chat_id").endswith("1")
-    hits = ranking.top_n(mem.filter("id % 4 = 0").select("chat_id", "id"), ["chat_id"], [F.desc("id")], 1_000_000, "place")
+    hits = ranking.top_n(mem.filter("id % 4 <> 2").select("chat_id", "id"), ["chat_id"], [F.desc("id")], 1_000_000, "place")
     hits = hits.select(F.lit(0).alias("query_id"), "chat_id", F.when(away, F.col("id") + 1_000_000).otherwise(F.col("id")).alias("id"), "place")
     groups = mem.select("chat_id", (F.col("id") + 1_000_000).alias("id"))
     found, _ = retrieval.from_hits(hits, mem.select("chat_id", "id"), groups)
@@ -806,3 +820,13 @@ def search_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories that have ``er`` in their text, their characters or their place."""
     mem = memories(spark, sf_dir).withColumn("location", F.when(F.col("id") % 10 == 3, F.lit("Rivers")))
     return reports.search(reports.filter_memories(mem), "ER").select("chat_id", "id")
+
+
+@query()
+def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and their tokens of each chat by merging byte pairs; a vocabulary isn't there in SQL."""
+    import public_tokenizers
+
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), "text")
+    counted = tokens.with_counts(rows, "text", tokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return counted.groupBy("chat_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("n_tokens").alias("tokens"))
