@@ -830,3 +830,17 @@ def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), "text")
     counted = tokens.with_counts(rows, "text", tokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return counted.groupBy("chat_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("n_tokens").alias("tokens"))
+
+
+@query(f"""WITH {_LIKE_VEC}, n AS (SELECT chat_id, md5(id::VARCHAR) AS key, CASE WHEN id % 2 = 0 THEN 'OBJECT' ELSE 'PERSON' END AS type, e FROM lv WHERE turn = 0),
+a AS (SELECT chat_id, CASE WHEN id % 3 = 0 THEN md5((id - 140 * turn)::VARCHAR) || ' two' ELSE md5(id::VARCHAR) END AS name, CASE WHEN id % 2 = 0 THEN 'OBJECT' ELSE 'PERSON' END AS type, e FROM lv WHERE turn <> 0),
+p AS (SELECT a.chat_id, a.name, n.key, list_cosine_similarity(a.e, n.e) AS s, a.type, contains(a.name, n.key) AS named FROM a JOIN n ON n.chat_id = a.chat_id AND n.type = a.type),
+m AS (SELECT chat_id, name, max((s, key)) AS m FROM p WHERE (type = 'PERSON' AND s >= 0.9) OR (s >= 0.8 AND named) GROUP BY ALL) SELECT chat_id, name, m[2] AS key, round(m[1], 6) AS s FROM m""".replace("max((s, key)) AS m", "max({'s': s, 'key': key}) AS m").replace("m[2]", "m.key").replace("m[1]", "m.s"))
+def similar_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions as new entities: the first one that each may be merged with, people by vector alone, others by vector and name."""
+    rows, i = _like(spark, sf_dir), F.col("id")
+    kind = F.when(i % 2 == 0, "OBJECT").otherwise("PERSON").alias("type")
+    nodes = rows.filter("turn = 0").select("chat_id", F.md5(i.cast("string")).alias("key"), kind, "embedding")
+    name = F.when(i % 3 == 0, F.concat(F.md5((i - 140 * F.col("turn")).cast("string")), F.lit(" two"))).otherwise(F.md5(i.cast("string")))
+    new = rows.filter("turn <> 0").select("chat_id", name.alias("name"), kind, "embedding").withColumn("own", F.col("name"))
+    return rounded(graph.similar_nodes(new, nodes), "s")

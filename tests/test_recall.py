@@ -145,3 +145,20 @@ def test_recall_of_nothing(spark):
     entities = spark.createDataFrame([], "query_id long, name string, weight double")
     vectors = spark.createDataFrame([], "vec_id int, embedding array<double>")
     assert retrieval.recall(mem, queries, entities, vectors, 100).count() == 0
+
+
+def test_pivots_lose_no_pair_and_leave_most_out(spark):
+    import numpy as np
+    from recallspark.functions import vector
+    from recallspark.operators import graph
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(25, 12))
+    rows = [("a" if i % 4 else "b", "PERSON", f"k{i}", [float(x) for x in centres[i % 25] + 0.2 * rng.normal(size=12)]) for i in range(1500)]
+    rows += [("a", "PERSON", "none", None), ("a", "PERSON", "zero", [0.0] * 12), ("a", "PERSON", "short", [1.0, 2.0])]
+    nodes = spark.createDataFrame(rows, "chat_id string, type string, key string, vb array<double>")
+    new = spark.createDataFrame([(c, t, "n" + k, v) for c, t, k, v in rows[::17] + rows[-3:]], "chat_id string, type string, name string, va array<double>")
+    pairs = new.join(nodes, ["chat_id", "type"])
+    expected = {(r.name, r.key) for r in pairs.filter(vector.cosine(F.col("va"), F.col("vb")) >= 0.8).collect()}
+    found = {(r.name, r.key) for r in graph.near_pairs(new, nodes, 0.8).collect()}
+    assert expected <= found and len(found) < 0.35 * pairs.count()
