@@ -179,12 +179,27 @@ def _national(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _ipv4(m: Column, key: str, inverse: bool) -> Column:
-    parts = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
+    """Addresses as they are usually written, and, as a form of their own, those with three digits in each octet of which one begins with 0. Other leading zeros are no address."""
+    texts = F.split(m, r"\.")
+    parts = F.transform(texts, lambda x: x.cast("long"))
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    new = permute_below(number, 1 << 32, key, "ipv4", inverse)
     octets = [F.lit(256**i) for i in (3, 2, 1, 0)]
-    text = F.transform(F.array(new), lambda y: F.concat_ws(".", *[(F.floor(y / o) % 256).cast("string") for o in octets]))
-    return F.when(F.array_max(parts) <= 255, F.element_at(text, 1))
+
+    def below_hundred(y: Column) -> Column:
+        return F.least(*[F.floor(y / o) % 256 for o in octets]) < 100
+
+    def text(new: Column, width: int) -> Column:
+        def told(y: Column) -> Column:
+            each = [(F.floor(y / o) % 256).cast("string") for o in octets]
+            return F.concat_ws(".", *[F.lpad(x, width, "0") if width else x for x in each])
+
+        return F.element_at(F.transform(F.array(new), told), 1)
+
+    zero = F.exists(texts, lambda x: (F.length(x) > 1) & x.startswith("0"))
+    padded = zero & F.forall(texts, lambda x: F.length(x) == 3)
+    usual = F.when(~zero, text(permute_below(number, 1 << 32, key, "ipv4", inverse), 0))
+    other = F.when(padded, text(permute_below(number, 1 << 32, key, "ipv4-padded", inverse, below_hundred), 3))
+    return F.when(F.array_max(parts) <= 255, F.coalesce(usual, other))
 
 
 def _ipv6(m: Column, key: str, inverse: bool) -> Column:

@@ -776,3 +776,14 @@ def test_pii_permutations_are_bijections(spark):
     assert days.filter(pii.permute_below(F.col("p"), 3000, "k", "t", inverse=True) != F.col("id")).count() == 0
     some = spark.range(0, 3000, 3).select(pii.permute_below(F.col("id"), 3000, "k", "t", ok=lambda y: y % 3 == 0).alias("p"))
     assert some.filter("p % 3 = 0").distinct().count() == 1000
+
+
+def test_addresses_with_leading_zeros_are_a_form_of_their_own(spark):
+    texts = ["192.168.1.10", "192.168.001.010", "010.001.001.001", "192.168.01.10", "1.2.3.04", "111.222.133.244", "000.000.000.000", "0.0.0.0", "256.001.001.001"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    new = pii.pseudonymize(docs)
+    told = {r.doc_id: r.text for r in new.collect()}
+    assert told[3] == texts[3] and told[4] == texts[4] and told[8] == texts[8]
+    assert all(told[i] != texts[i] for i in (0, 1, 2, 5, 6, 7)) and len({told[i] for i in (0, 1, 2, 5, 6, 7)}) == 6
+    assert all(len(told[i]) == 15 and any(x[0] == "0" for x in told[i].split(".")) for i in (1, 2, 6))
+    assert [r.text for r in pii.restore(new.drop("pii")).orderBy("doc_id").collect()] == texts
