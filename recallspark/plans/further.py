@@ -351,6 +351,12 @@ def _moody(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).withColumns({"summary": F.concat("summary", told), "importance": (1 + turn % 5).cast("int")})
 
 
+@query(f"WITH {_MOODY}, {_mood_sql()} SELECT id, mood FROM mood")
+def sentiment_moody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment of memories of which some tell of hatred and some of friendship."""
+    return _moody(spark, sf_dir).select("id", contradiction.sentiment(F.col("summary")).alias("mood"))
+
+
 #: Memories 140 ids apart are of one chat and character. Of each four of these the first has a vector of its own, and the others the same with more and more noise; the second also has
 #: the first one's text with an addition.
 _TURN = "(doc_id // 140 % 4)"

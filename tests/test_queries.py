@@ -29,7 +29,7 @@ def rows(df, columns):
 def test_oracle(spark, tables, name):
     found, expected = registry.QUERIES[name](spark, SF).toPandas(), tables.execute(registry.ORACLES[name]).fetchdf()
     columns = sorted(found.columns)
-    assert columns == sorted(expected.columns)
+    assert columns == sorted(expected.columns) and len(found)
     assert rows(found, columns) == rows(expected, columns)
 
 
@@ -41,3 +41,34 @@ def test_runs(spark, name):
 def test_stream_and_plan_agree(spark):
     both = [registry.QUERIES[n](spark, SF).toPandas().sort_values(["chat_id", "batch"], ignore_index=True) for n in ("planned_batches", "streamed_batches")]
     pd.testing.assert_frame_equal(*both)
+
+
+#: Queries with the column that tells an operator's decision, each outcome of which occurs at sf0.01.
+OUTCOMES = {
+    "reflection_verdicts": ("verdict", {"reject", "replace", "add"}), "skip_reflections": ("skip", {True, False}), "recalled": ("phase", {1, 2, 3}),
+    "sentiment_moody": ("mood", {"positive", "negative", "neutral"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OUTCOMES))
+def test_each_outcome_occurs(name):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    column, outcomes = OUTCOMES[name]
+    counts = con.execute(registry.ORACLES[name]).fetchdf()[column].value_counts()
+    assert set(counts.index) == outcomes and counts.min() >= 5
+
+
+def test_what_a_fallback_or_a_filter_decides_occurs():
+    """External hits fall back for some chats; of new events some repeat a stored one and some don't; some memories of a selection are contradicted."""
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    hits = con.execute(registry.ORACLES["external_hits"]).fetchdf().similarity
+    assert hits.isna().sum() >= 5 and hits.notna().sum() >= 5
+    assert 5 <= len(con.execute(registry.ORACLES["against_store"]).fetchdf()) <= 1000 // 2 - 5
+    from recallspark.plans import further
+
+    given = con.execute(f"{further._RECALL} SELECT (SELECT count(*) FROM given), (SELECT count(*) FROM final)").fetchone()
+    assert given[0] - given[1] >= 5
