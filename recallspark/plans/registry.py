@@ -10,7 +10,7 @@ from ..config import Settings
 from ..functions import codec, language, text
 from ..operators import access, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reflection, reports, scheduling, scoring, selection
 from ..sources import store
-from ..streaming import batches
+from ..streaming import batches, timed
 from .tables import GRAPH, MEMORIES, MESSAGES, memories, messages, read, vectors
 from .tables import graph as graph_tables
 
@@ -580,13 +580,28 @@ def planned_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BATCHES)
 def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batches from a stream over the table's files, written once to the shared folder."""
-    folder = staging.new_path(spark, "stream")
+    stream = batches.micro_batches(_stream(spark, sf_dir), 150)
+    return _ran(spark, stream)
+
+
+@query(_BATCHES)
+def timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stateful processor with list and value states, which can also end chats that fall silent."""
+    with timed.states(spark):
+        return _ran(spark, timed.micro_batches(_stream(spark, sf_dir), 150))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "conversations").schema
     path = f"{sf_dir}/conversations.parquet"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else sf_dir + "/conversations*")
     log = rows.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("idx"), (F.col("role") == "user").alias("is_user"), (F.col("role") == "system").alias("is_system"), text.token_count(F.col("text")).alias("n_tokens"))
-    stream = batches.write_once(batches.micro_batches(log.filter(~F.col("is_system")), 150), f"{folder}/out", f"{folder}/state")
-    stream.awaitTermination()
+    return log.filter(~F.col("is_system"))
+
+
+def _ran(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    folder = staging.new_path(spark, "stream")
+    batches.write_once(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(batches.OUTPUT).parquet(f"{folder}/out")
 
 
