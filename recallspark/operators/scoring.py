@@ -111,7 +111,11 @@ def fast_pass(rows: DataFrame, hits: DataFrame, asked: DataFrame, n: int | None,
     if n is not None:
         front = ranking.top_n(front, ["chat_id"], [F.desc("base_score"), F.col("ord")], max(n, settings.vector_pass))
     met = asked.select(*key).join(front.select("chat_id", "id"), "chat_id").withColumn("bm25_norm", F.lit(None).cast("double"))
-    found = met.unionByName(hits.select(*key, "id", "bm25_norm")).groupBy(*key, "id").agg(F.max("bm25_norm").alias("bm25_norm"))
+    own = hits.select(*key, "id", "bm25_norm")
+    if n is None:
+        found = met.drop("bm25_norm").join(own, [*key, "id"], "left")  # all memories are met, hits among them
+    else:
+        found = met.unionByName(own).groupBy(*key, "id").agg(F.max("bm25_norm").alias("bm25_norm"))
     scored = found.join(rows, ["chat_id", "id"]).withColumn("bm25_bonus", lexical_bonus(F.coalesce("bm25_norm", F.lit(0.0)), settings))
     return scored.withColumn("fast_score", (F.col("base_after_floor") + F.col("bm25_bonus")) * F.col("frequency") * F.col("reflection"))
 

@@ -480,13 +480,13 @@ _HAS_PHRASE = f"contains({_FLAT.format('summary')}, {_FLAT.format('phrase')}) AN
 
 
 @query(rf"""WITH {MEMORIES}, w AS (SELECT item_id, regexp_split_to_array(trim(text), '\s+') AS w FROM benchmark),
-p AS (SELECT item_id AS query_id, w[1] || ' ' || w[2] || ' ' || w[3] AS phrase FROM w UNION SELECT item_id, right(w[2], 3) || ' ' || left(w[3], 2) FROM w UNION SELECT item_id, w[1] || ' - ' || w[2] FROM w)
+p AS (SELECT item_id AS query_id, w[1] || ' ' || w[2] || ' ' || w[3] AS phrase FROM w UNION SELECT item_id, right(w[2], 5) || ' ' || left(w[3], 4) FROM w UNION SELECT item_id, w[1] || ' - ' || w[2] FROM w)
 SELECT query_id, phrase, chat_id, id FROM p JOIN mem ON {_HAS_PHRASE}""")
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories that have the first three words of a benchmark item as a phrase, the end of its second word before the start of its third, or its first two words around a dash, by places of words."""
     w = F.split(F.trim("text"), r"\s+")
     three = F.concat_ws(" ", F.slice(w, 1, 3))
-    ends = F.concat(F.right(F.get(w, F.lit(1)), F.lit(3)), F.lit(" "), F.left(F.get(w, F.lit(2)), F.lit(2)))
+    ends = F.concat(F.right(F.get(w, F.lit(1)), F.lit(5)), F.lit(" "), F.left(F.get(w, F.lit(2)), F.lit(4)))
     dash = F.concat(F.get(w, F.lit(0)), F.lit(" - "), F.get(w, F.lit(1)))
     phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(three, ends, dash)).alias("phrase")).distinct()
     found = lexical.phrase_matches(phrases, lexical.positions(memories(spark, sf_dir)))
