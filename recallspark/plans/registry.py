@@ -451,7 +451,21 @@ def trade_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("w")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("w").alias("w"))
     rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = rows.groupBy(F.concat(F.lit("b"), "c_nationkey").alias("source"), F.concat(F.lit("s"), "s_nationkey").alias("target")).agg(F.sum("w").alias("weight"))
-    return communities.detect(graph.undirected(_chat(edges)), levels=2, rounds=6).select("key", "community")
+    return communities.detect(graph.undirected(_chat(edges))).select("key", "community")
+
+
+@query("""WITH e AS (SELECT o_custkey, l_suppkey, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+g AS (SELECT c_nationkey AS a, s_nationkey AS b, w FROM e JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+d AS (SELECT a AS n, w FROM g UNION ALL SELECT b, w FROM g), v AS (SELECT n, sum(w) AS k FROM d GROUP BY n), t AS (SELECT sum(w) AS m FROM g)
+SELECT round((SELECT sum(w) FROM g WHERE a = b) / m - (SELECT sum(pow(k / (2.0 * m), 2)) FROM v, t), 9) AS modularity FROM t""")
+def nation_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well nations part the customers and suppliers who trade with each other."""
+    customer, supplier, orders, lineitem = (read(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))
+    rows = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("weight"))
+    edges = _chat(rows.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), "weight"))
+    member = customer.select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.col("c_nationkey").alias("community"))
+    member = _chat(member.unionByName(supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.col("s_nationkey").alias("community"))))
+    return communities.modularity(edges, member).select(F.round("modularity", 9).alias("modularity"))
 
 
 # ---- reflections and characters
