@@ -10,7 +10,7 @@ from ..config import Settings
 from ..functions import codec, language, text
 from ..operators import access, communities, context, contradiction, dedup, graph, lexical, maintenance, ranking, reflection, reports, scheduling, scoring, selection
 from ..sources import store
-from ..streaming import batches, timed
+from ..streaming import batches, extraction, timed
 from .tables import GRAPH, MEMORIES, MESSAGES, memories, messages, read, vectors
 from .tables import graph as graph_tables
 
@@ -605,6 +605,26 @@ def timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _ran(spark, timed.micro_batches(_stream(spark, sf_dir), 150))
 
 
+@query(f"""WITH {MESSAGES} SELECT chat_id, idx, n_tokens, CASE WHEN n_tokens >= 20 THEN 'long' ELSE 'short' END AS kind FROM msg WHERE is_user AND NOT is_system""")
+def two_phase_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream of messages whose first enrichment fails; what is left pending is caught up afterwards."""
+    failed = []
+
+    def enrich(events: DataFrame) -> DataFrame:
+        if not failed:
+            failed.append(True)
+            raise ConnectionError("the first call fails")
+        return events.withColumn("kind", F.when(F.col("n_tokens") >= 20, "long").otherwise("short"))
+
+    folder = staging.new_path(spark, "two-phase")
+    sink = extraction.TwoPhaseSink(spark, f"{folder}/out", lambda rows: rows.filter("is_user").select("chat_id", "idx", "n_tokens"), enrich)
+    stream = _stream(spark, sf_dir).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    if left := sink.catch_up():
+        raise RuntimeError(f"batches {left} could not be enriched")
+    return sink.enriched().drop("batch")
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "conversations").schema
     path = f"{sf_dir}/conversations.parquet"

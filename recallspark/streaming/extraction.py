@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import codec
 
 LOG = logging.getLogger(__name__)
@@ -35,24 +37,35 @@ def judge_results(results: DataFrame, tries: DataFrame, limit: int = EMPTY_TRIES
 class TwoPhaseSink:
     """A function for ``foreachBatch``: events of each micro-batch are written first, what enriches them after that and at best effort.
 
-    ``extract`` makes events of a batch's rows, ``enrich`` makes something of events. Both results are written by batch number, and a batch that runs again
-    replaces what it wrote. A failure to enrich is logged and leaves the batch pending.
+    ``extract`` makes events of a batch's rows, ``enrich`` makes something of events. Both results are written by batch number and attempt, and a manifest that
+    is written last names the attempt that counts: what a lost attempt left is never read, and a batch that runs again replaces what it wrote. A
+    failure to enrich is logged and leaves the batch pending; a batch without events is enriched like any other.
     """
 
     def __init__(self, spark: SparkSession, folder: str, extract: Callable[[DataFrame], DataFrame], enrich: Callable[[DataFrame], DataFrame]):
         self.spark, self.folder, self.extract, self.enrich = spark, folder, extract, enrich
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.drop("batch").write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        attempt = f"a{uuid.uuid4().hex}"
+        df.drop("batch", "attempt").write.parquet(f"{self.folder}/{name}/batch={batch}/attempt={attempt}")
+        entry = self.spark.range(1).select(F.lit(attempt).alias("attempt")).coalesce(1)
+        entry.write.mode("overwrite").parquet(f"{self.folder}/manifest/{name}/batch={batch}")
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _table(self, path: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
+            return self.spark.read.parquet(f"{self.folder}/{path}")
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
+    def _read(self, name: str) -> DataFrame | None:
+        """What counts: batch and attempt are folders, so a join with the manifest reads no others."""
+        rows, entries = self._table(name), self._table(f"manifest/{name}")
+        if rows is None or entries is None:
+            return None
+        return rows.join(staging.small(entries), ["batch", "attempt"], "left_semi").drop("attempt")
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         self._write(self.extract(rows), "events", batch)
         self._try(batch)
@@ -73,12 +86,12 @@ class TwoPhaseSink:
 
     def pending(self) -> list[int]:
         """Batches whose events haven't been enriched yet."""
-        events, done = self.events(), self.enriched()
+        events, done = self._table("manifest/events"), self._table("manifest/enriched")
         if events is None:
             return []
-        batches = events.select("batch").distinct()
+        batches = events.select("batch")
         if done is not None:
-            batches = batches.join(done.select("batch").distinct(), "batch", "left_anti")
+            batches = batches.join(done.select("batch"), "batch", "left_anti")
         return sorted(r["batch"] for r in batches.collect())
 
     def catch_up(self) -> list[int]:

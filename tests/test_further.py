@@ -282,6 +282,13 @@ def test_two_phases(spark, tmp_path):
     assert values(sink.enriched(), "event", "length") == [("ONE", 3), ("THREE", 5), ("TWO", 3)]
     sink(spark.createDataFrame([("a", "three")], schema), 1)
     assert values(sink.events(), "event") == [("ONE",), ("THREE",), ("TWO",)]
+    # an attempt that was lost before the manifest names it doesn't count
+    spark.createDataFrame([("a", "LOST")], "chat_id string, event string").write.parquet(f"{sink.folder}/events/batch=1/attempt=a0")
+    assert values(sink.events(), "event") == [("ONE",), ("THREE",), ("TWO",)] and sink.pending() == []
+    fail[0] = True
+    sink(spark.createDataFrame([], schema), 2)
+    fail[0] = False
+    assert sink.pending() == [2] and sink.catch_up() == [] and sink.pending() == [] and len(values(sink.enriched(), "event")) == 3
 
 
 def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
