@@ -312,6 +312,19 @@ def test_similarity_join_loses_nothing(spark):
         assert {(r.chat_id, r.l, r.r) for r in dedup.shared_word_candidates(df, df, t).filter("l < r").collect()} == expected
 
 
+def test_similarity_join_by_neighbours(spark):
+    """Texts of common words and their edited copies: no pair is lost, and of unrelated ones hardly any is compared by its words."""
+    rng = random.Random(3)
+    sets = [sorted({f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(rng.randint(1, 90))}) for _ in range(120)]
+    sets += [sorted({w for w in a if rng.random() > share} | {f"n{rng.randint(0, 99)}" for _ in a if rng.random() < share}) or ["x"] for share in (0.1, 0.25, 0.4) for a in sets[:40]]
+    df = spark.createDataFrame([("a", i, w) for i, w in enumerate(sets)], "chat_id string, id long, words array<string>")
+    for t in (0.51, 0.6, 0.75):
+        expected = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= t}
+        assert {(r.l, r.r) for r in dedup.shared_word_candidates(df, None, t).collect()} == expected and len(expected) > 20
+    met = dedup.key_candidates(df.selectExpr("chat_id", "id as l", "words as l_words"), None, 0.6).count()
+    assert met < len(sets) * (len(sets) - 1) // 2 // 10
+
+
 def test_greedy_dedup_equals_a_loop(spark):
     rng = random.Random(2)
     rows = [("a", i, " ".join(f"w{rng.randint(0, 8)}" for _ in range(5)), i) for i in range(60)]
