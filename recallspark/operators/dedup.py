@@ -114,7 +114,7 @@ def within_batch(events: DataFrame, threshold: float = DEFAULTS.dedup_jaccard) -
     event's fate only depends on those of earlier neighbours. Events without an earlier neighbour stay, neighbours of a
     kept one go, and the two steps repeat on what is undecided; each round decides at least the first event of every open chain.
     """
-    classes = cut(word_classes(events, "ord"))
+    classes = staging.written(word_classes(events, "ord"), "classes")
     sets = classes.filter(F.col("id") == F.col("rep")).select("chat_id", "id", "words")
     order = events.select("chat_id", F.col("id").alias("l"), F.col("ord").alias("lo"))
     pairs = shared_word_candidates(sets, None, threshold).join(order, ["chat_id", "l"]).join(order.toDF("chat_id", "r", "ro"), ["chat_id", "r"])
