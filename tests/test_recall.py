@@ -47,6 +47,22 @@ def test_late_scores_are_those_of_all_vectors(spark, scene, n):
     assert told(late) == told(whole)
 
 
+def test_all_scores_put_the_front_to_queries_only(spark, scene, monkeypatch):
+    """Where all memories are scored, only those that a pass can hold and those with hits are written and joined for each query."""
+    mem, vectors, queries, hits = scene
+    asked, sizes = queries.select("query_id").join(mem.select("chat_id").distinct(), F.lit(True)), {}
+    written = scoring.staging.written
+
+    def counted(df, name, *rest):
+        table = written(df, name, *rest)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(scoring.staging, "written", counted)
+    late = scoring.score_late(mem, hits.limit(0), asked, vectors, queries, None, Settings(vector_pass=20))
+    assert late.count() == 900 and sizes["fast"] == 20 * 2 * 3
+
+
 def test_cosines_are_made_for_the_pass_only(spark, scene):
     """However many memories there are, cosines <= vector_pass x chats x queries, and vectors that no query chose don't leave their scan."""
     mem, vectors, queries, hits = scene
