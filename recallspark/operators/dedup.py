@@ -9,6 +9,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import text, vector
 from .. import staging
 from ..staging import cut
+from .near import near
 
 
 #: Parts that the stored rows of one character are dealt to when new ones are compared with them.
@@ -92,11 +93,13 @@ def against_store(new: DataFrame, stored: DataFrame, settings: Settings = DEFAUL
 
     They repeat it if half the Jaccard threshold is reached and the vectors' cosine is at the cosine threshold.
     """
+    pairs = near(new.select("chat_id", F.col("id").alias("l"), F.col("embedding").alias("va")), stored.select("chat_id", F.col("id").alias("r"), F.col("embedding").alias("vb")), ["chat_id"], settings.dedup_cosine)
     words = text.plain_words(F.col("summary"))
-    pairs = shared_word_candidates(new.select("chat_id", "id", words.alias("words")), stored.select("chat_id", "id", words.alias("words")), settings.dedup_jaccard / 2)
-    a = new.select("chat_id", F.col("id").alias("l"), F.col("embedding").alias("va"))
-    b = stored.select("chat_id", F.col("id").alias("r"), F.col("embedding").alias("vb"), "ord")
-    close = pairs.join(a, ["chat_id", "l"]).join(b, ["chat_id", "r"]).filter(vector.cosine(F.col("va"), F.col("vb")) >= settings.dedup_cosine)
+    a = new.select("chat_id", F.col("id").alias("l"), F.col("embedding").alias("va"), words.alias("wa"))
+    b = stored.select("chat_id", F.col("id").alias("r"), F.col("embedding").alias("vb"), "ord", words.alias("wb"))
+    met = staging.written(pairs, "near-pairs").join(a, ["chat_id", "l"]).join(b, ["chat_id", "r"])
+    # the vectors' cosine first, as it drops most of what the words would be compared for
+    close = met.filter(vector.cosine(F.col("va"), F.col("vb")) >= settings.dedup_cosine).filter(text.jaccard(F.col("wa"), F.col("wb")) >= settings.dedup_jaccard / 2)
     return close.groupBy("chat_id", F.col("l").alias("id")).agg(F.min_by("r", F.struct("ord", "r")).alias("match"))
 
 

@@ -178,3 +178,25 @@ def test_pivots_lose_no_pair_and_leave_most_out(spark):
     expected = {(r.name, r.key) for r in pairs.filter(vector.cosine(F.col("va"), F.col("vb")) >= 0.8).collect()}
     found = {(r.name, r.key) for r in graph.near_pairs(new, nodes, 0.8).collect()}
     assert expected <= found and len(found) < 0.35 * pairs.count()
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_only_near_pairs_leave_their_blocks(spark, monkeypatch, k):
+    """With blocks smaller than a key's rows no pair is lost, and what isn't near, or not among the best of any block, is never given on."""
+    import numpy as np
+    from recallspark.operators import near
+
+    monkeypatch.setattr(near, "BLOCK", 100)
+    rng = np.random.default_rng(7)
+    made = [("a" if i % 3 else "b", i, [float(x) for x in rng.normal(size=4)]) for i in range(600)] + [("a", 600, None), ("a", 601, [0.0] * 4), ("a", 602, [1.0, 2.0])]
+    left = spark.createDataFrame(made[::4] + made[-3:], "chat_id string, l long, va array<double>")
+    right = spark.createDataFrame(made, "chat_id string, r long, vb array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, v in made[:600]}
+    cosines = {(i, j): float(unit[i] @ unit[j]) for c, i, _ in made[:600:4] for d, j, _ in made[:600] if c == d} | {(602, 602): 1.0}
+    expected = {p for p, s in cosines.items() if s >= 0.8}
+    if k:
+        best = {i: sorted((s for (x, _), s in cosines.items() if x == i), reverse=True)[:k] for i in {i for i, _ in expected}}
+        expected = {p for p in expected if cosines[p] >= best[p[0]][-1]}
+    rows = [(r.l, r.r) for r in near.near(left, right, ["chat_id"], 0.8, k).collect()]
+    assert len(rows) == len(set(rows)) and expected <= set(rows) and all(cosines[p] >= 0.8 - 1e-5 for p in rows)
+    assert len(rows) == len(expected) if k is None else len(rows) <= 5 * len(expected)
