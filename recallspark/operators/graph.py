@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..config import DEFAULTS, Settings
 from .. import staging
 from ..functions import language, text, vector
 from . import ranking
+from .near import near
 
 
 def last_segments(description: Column, cap: int) -> Column:
@@ -245,37 +244,11 @@ def overlapping_names(a: str, b: str, x: dict[str, Column], y: dict[str, Column]
     return (x["key_stem"] == y["key_stem"]) | F.contains(p, q) | F.contains(q, p) | (lettered & common_run(p, q, run)) | (worded & (share("words") | share("stems")))
 
 
-#: Nodes of a chat and type whose angles to all others prune pairs, and nodes that a task compares with a new entity at a time.
-PIVOTS, TOGETHER = 6, 2000
-
-
 def near_pairs(new: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """chat_id, type, name, key of all pairs of a new entity (chat_id, type, name, va) and a node (chat_id, type, key, vb) whose vectors' cosine may be ``least`` or more.
-
-    Angles between vectors keep the triangle inequality: two within an angle of each other differ by no more in their angles to a third. So both sides are placed by their angles to a few nodes, the
-    pivots, in stretches of the largest angle allowed; the first two places are the key of the join, where a new entity takes its own and the neighbouring stretches, and all
-    pivots are then compared. Nodes of a stretch are dealt over as many parts as there are. No pair is lost; vectors that are missing or zero are like nothing.
-    """
+    """chat_id, type, name, key of all pairs of a new entity (chat_id, type, name, va) and a node (chat_id, type, key, vb) whose vectors' cosine may be ``least`` or more, compared by blocks (``near``)."""
     key = ["chat_id", "type"]
-    reach = math.acos(min(1.0, max(-1.0, least))) + 1e-6
-    usable = nodes.filter(vector.norm(F.col("vb")) > 0)
-    chosen = ranking.top_n(usable.withColumn("__h", F.xxhash64("key")).select(*key, "key", "vb", "__h"), key, [F.col("__h"), F.col("key")], PIVOTS)
-    pivots = staging.small(staging.written(chosen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vb"))), lambda x: x["vb"]).alias("pivots")), "pivots"))
-
-    def placed(df: DataFrame, of: str) -> DataFrame:
-        angles = F.transform("pivots", lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vector.cosine(F.col(of), p)))))
-        told = df.join(pivots, key).withColumn("angles", angles).drop("pivots")
-        return told.withColumns({f"at{i}": F.coalesce(F.floor(F.get("angles", F.lit(i)) / reach), F.lit(0)).cast("int") for i in (0, 1)})
-
-    b = staging.written(placed(usable, "vb").select(*key, "key", F.col("angles").alias("theirs"), "at0", "at1"), "placed-nodes")
-    cells = b.groupBy(*key, "at0", "at1").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
-    a = placed(new.filter(vector.norm(F.col("va")) > 0), "va").select(*key, "name", "angles", "at0", "at1")
-    for i in (0, 1):
-        a = a.withColumn(f"at{i}", F.explode(F.array(*[F.col(f"at{i}") + d for d in (-1, 0, 1)])))
-    a = a.join(cells, [*key, "at0", "at1"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    b = b.join(cells, [*key, "at0", "at1"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
-    met = a.join(b, [*key, "at0", "at1", "part"])
-    return met.filter(F.forall(F.zip_with("angles", "theirs", lambda x, y: F.abs(x - y)), lambda d: d <= reach)).select(*key, "name", "key")
+    found = near(new.select(*key, F.col("name").alias("l"), "va"), nodes.select(*key, F.col("key").alias("r"), "vb"), key, least)
+    return staging.written(found.toDF(*key, "name", "key"), "near-pairs")
 
 
 def similar_nodes(new: DataFrame, nodes: DataFrame, settings: Settings = DEFAULTS, stem=language.stems) -> DataFrame:
@@ -289,8 +262,8 @@ def similar_nodes(new: DataFrame, nodes: DataFrame, settings: Settings = DEFAULT
     b = nodes.select("chat_id", "key", "type", F.col("embedding").alias("vb"))
     if t - 0.1 <= 0:
         raise ValueError("entities are merged from a cosine above 0.1 on")
-    near = near_pairs(a, b, t - 0.1)
-    pairs = near.join(a.drop("own"), ["chat_id", "type", "name"]).join(b, ["chat_id", "type", "key"]).withColumn("s", vector.cosine(F.col("va"), F.col("vb"))).filter(F.col("s") >= t - 0.1)
+    may_be = near_pairs(a, b, t - 0.1)
+    pairs = may_be.join(a.drop("own"), ["chat_id", "type", "name"]).join(b, ["chat_id", "type", "key"]).withColumn("s", vector.cosine(F.col("va"), F.col("vb"))).filter(F.col("s") >= t - 0.1)
     x = name_parts(new.select("chat_id", "type", "name", "own"), "own", stem).select("chat_id", "type", "name", "own", *[F.col(c).alias(f"x_{c}") for c in ("words", "stems", "key_stem")])
     y = name_parts(nodes.select("chat_id", "type", "key"), "key", stem).select("chat_id", "type", "key", *[F.col(c).alias(f"y_{c}") for c in ("words", "stems", "key_stem")])
     pairs = pairs.select("chat_id", "type", "name", "key", "s").join(x, ["chat_id", "type", "name"]).join(y, ["chat_id", "type", "key"])
