@@ -22,6 +22,11 @@ def one(spark, column):
 # ---- names and the graph
 
 
+@pytest.mark.parametrize(("word", "expected"), [("ßlichen", "ẞlichen"), ("état", "État"), ("ﬁnal", "ﬁnal"), ("ᾳδης", "ᾼδης"), ("9lives", "9lives"), ("", "")])
+def test_first_letter_becomes_one_capital(spark, word, expected):
+    assert one(spark, text.capitalized(F.lit(word))) == expected
+
+
 @pytest.mark.parametrize(
     ("a", "b", "expected"),
     [
