@@ -99,6 +99,17 @@ def test_phrases_by_place_are_those_found_in_texts(spark):
     assert lexical.phrase_matches(phrases, lexical.positions(mem.limit(0))).count() == 0
 
 
+def test_phrases_shuffle_what_is_found_only(spark):
+    """Words meet the phrases where they are read: a memory is one row of places, and only matches are dealt, to be made distinct."""
+    mem = spark.createDataFrame([("c", i, t) for i, t in enumerate(TEXTS)], "chat_id string, id long, summary string")
+    placed = lexical.positions(mem)
+    assert placed.count() == len(TEXTS)
+    found = lexical.phrase_matches(spark.createDataFrame([("the red door",), ("door way",), ("zzz door",)], "phrase string"), placed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, found.collect())) == [("door way", "c", 2), ("the red door", "c", 0)]
+
+
 @pytest.mark.parametrize("words", [4, 100])
 def test_block_maxima_read_less_and_find_the_same(spark, words):
     sf = "/root/testdata/sf0.01"
