@@ -25,9 +25,9 @@ BUCKET_ROWS = 1024
 STRETCH, TASK_POINTS = 4096, 1 << 20
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words; null text has 0."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, columns ``more``, size in words; null text has 0."""
+    return docs.select("doc_id", "source", *more, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"))
 
 
 def source_targets(sized: DataFrame, cap: int = 3) -> DataFrame:
@@ -116,18 +116,25 @@ def _order_key(seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def _placed(docs: DataFrame, seed: int, cap: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with the place ``start`` of their first word in their source's stream, plan), both written."""
+def _placed(docs: DataFrame, seed: int, cap: int, block: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with the place ``start`` of their first word in their source's stream and columns ``more``, plan), both written."""
     key = _order_key(seed)
-    sized = sizes(docs).withColumn("key", F.conv(F.substring(key, 1, 8), 16, 10).cast("long")).withColumn("tie", key)
+    sized = sizes(docs, *more).withColumn("key", F.conv(F.substring(key, 1, 8), 16, 10).cast("long")).withColumn("tie", key)
     sized = common.materialize(sized, "mix-sizes")
     sources = plan(sized, cap, block)
     table = common.small(sources.select("source_no", F.col("source").alias("__s"), "source_size", "target", "words"))
-    placed = sized.join(table, common.same(F.col("source"), F.col("__s"))).drop("__s").withColumn("tie2", F.struct("tie", "doc_id"))
+    placed = sized.join(table, common.same(F.col("source"), F.col("__s"))).drop("__s").withColumn("tie2", F.struct("tie", "doc_id", *more))
     placed = common.prefix_sum(placed, "source_no", ["key", "tie2"], "size", "start", BUCKET_ROWS, sized.count())
     return common.materialize(placed.drop("tie2"), "mix-placed"), sources
 
 
+def _stretches(placed: DataFrame, cap: int) -> DataFrame:
+    """Placed documents with ``a`` and ``b``, a row for each stretch of the repeated stream that the mix takes of them."""
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
+    stretch = placed.filter("size > 0").select("*", rounds.alias("round"))
+    return stretch.withColumn("a", F.expr("round * source_size + start")).withColumn("b", F.expr("least(a + size, words)")).filter("a < b")
+
+
 def mix(docs: DataFrame, seed: int = 17, cap: int = 3, block: int = BLOCK):
     """(documents, pieces) of the mix.
 
@@ -140,9 +147,7 @@ def mix(docs: DataFrame, seed: int = 17, cap: int = 3, block: int = BLOCK):
     """
     placed, sources = _placed(docs, seed, cap, block)
     # a document's stretches of the repeated stream, cut where blocks end
-    rounds = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
-    stretch = placed.filter("size > 0").select("source_no", "doc_id", "start", "size", "source_size", "words", rounds.alias("round"))
-    stretch = stretch.withColumn("a", F.expr("round * source_size + start")).withColumn("b", F.expr("least(a + size, words)")).filter("a < b")
+    stretch = _stretches(placed, cap)
     blocks = F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"(b - 1) div {block}")))
     pieces = stretch.select("*", blocks.alias("rank"))
     pieces = pieces.select(
@@ -165,25 +170,25 @@ def mix(docs: DataFrame, seed: int = 17, cap: int = 3, block: int = BLOCK):
     return documents, pieces.select("slot", "doc_id", "from_word", "to_word")
 
 
-def apply_mix(docs: DataFrame, seed: int = 17, cap: int = 3) -> DataFrame:
-    """The documents of the mix with all their columns: whole, as often as a block of the schedule takes their first word.
+def apply_mix(docs: DataFrame, seed: int = 17, cap: int = 3, block: int = BLOCK) -> DataFrame:
+    """The documents of the mix with all their columns: whole, as often as a block of the schedule takes their first word, in the order of the schedule's slots.
 
-    So a source's words miss its target by less than one document. In the order of a source's stream these are all documents
-    as often as the stream is repeated whole, and once more those up to the last one that the mix begins; as that is one
-    key for each source, texts stay where they are. Documents with no words are neither weighed nor dropped: they stay once. The output
-    has no order; the slots are in ``mix``.
+    So a source's words miss its target by less than one document, and any part of the output mixes the sources nearly as the whole does. Within a slot documents
+    come as in their source's stream. Documents with no words are neither weighed nor dropped: they stay once, before all others. Where ids are missing or
+    repeated, rows are numbered first. Slots are joined by document, so a text is shuffled twice: to its slots and into their order.
     """
-    placed, sources = _placed(docs.select("doc_id", "text", "source"), seed, cap, BLOCK)
-    last = placed.filter("size > 0 and start < words % source_size").groupBy("source_no").agg(F.max("tie").alias("__last"))
-    table = sources.join(last, "source_no", "left").select(
-        F.col("source").alias("__s"), F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0).alias("__whole"), "__last"
-    )
-    table = common.small(common.materialize(table, "mix-times"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD))
-    met = docs.join(table, common.same(F.col("source"), F.col("__s"))).withColumn("__more", F.coalesce(_order_key(seed) <= F.col("__last"), F.lit(False)))
-    times = F.when(size == 0, 1).otherwise(F.col("__whole") + F.col("__more").cast("int")).cast("int")
-    names = [docs[c] for c in docs.columns]
-    return met.withColumn("__n", times).filter("__n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).drop("__k")
+    row, names = "__mix_row", [F.col(f"`{c}`") for c in docs.columns]
+    if common.ids_are_unique(docs):
+        docs = docs.withColumn(row, F.col("doc_id"))
+    else:
+        docs = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    placed, sources = _placed(docs.select("doc_id", "text", "source", row), seed, cap, block, row)
+    firsts = _stretches(placed, cap).select(row, "source_no", "a", F.expr(f"a div {block}").alias("rank")).join(schedule(sources), ["source_no", "rank"])
+    none = F.lit(None).cast("long")
+    takes = firsts.select(row, F.col("slot").alias("__mix_slot"), F.col("a").alias("__mix_at"))
+    takes = takes.unionByName(placed.filter("size = 0").select(row, none.alias("__mix_slot"), none.alias("__mix_at")))
+    takes = common.materialize(takes, "mix-takes")
+    return docs.join(takes, row).orderBy(F.col("__mix_slot").asc_nulls_first(), "__mix_at", row).select(*names)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -528,6 +528,34 @@ def test_whole_documents_follow_the_schedule(spark):
     assert Counter(r.doc_id for r in mixing.apply_mix(docs).collect()) == firsts
 
 
+def test_whole_documents_come_in_the_order_of_the_schedule(spark):
+    """The slots of the schedule give the order, so that each part of the mix has its share of every source, also where ids are missing or repeated."""
+    rng = np.random.default_rng(9)
+    data = [(i, "w " * int(rng.integers(1, 9)), "ab"[i >= 300]) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    slots = sorted((p.slot, p.doc_id) for p in mixing.mix(docs, block=16)[1].collect() if p.from_word == 0)
+    mixed = mixing.apply_mix(docs, block=16).collect()
+    slot_of = defaultdict(list)
+    for s, d in slots:
+        slot_of[d].append(s)
+    assert Counter(r.doc_id for r in mixed) == Counter(d for _, d in slots)
+    seen = Counter()
+    order = []
+    for r in mixed:
+        order.append(slot_of[r.doc_id][seen[r.doc_id]])
+        seen[r.doc_id] += 1
+    assert order == sorted(order)
+    share = sum(r.source == "a" for r in mixed) / len(mixed)
+    for k in (100, 200, 300, 400):
+        assert abs(sum(r.source == "a" for r in mixed[:k]) / k - share) < 0.12
+    unnumbered = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 50))
+    whole = mixing.apply_mix(unnumbered, block=16).collect()
+    sized = [(r.source, r.text) for r in whole]
+    targets = brute_mix([(i, t, s) for i, t, s in data])[1]
+    for s in "ab":
+        assert 0 <= sum(len(t.split()) for x, t in sized if x == s) - int(targets[s]) < 9
+
+
 def test_schedule_spreads_sources(spark):
     sources = spark.createDataFrame([(0, 0, 300), (1, 300, 900), (2, 900, 900), (3, 900, 1000)], "source_no int, lo long, hi long")
     got = sorted(map(tuple, mixing.schedule(sources).collect()))
