@@ -7,6 +7,8 @@ later mark covers. ``compacted`` writes a clean index.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import staging
 from ..functions import vector
-from ..operators import ranking
+from ..operators import near, ranking
 
 MEMBERS = "chat_id string, id long, seq long, code array<tinyint>, scale double, error double, along double, list int"
 FULL = "chat_id string, id long, seq long, unit array<float>"
@@ -87,9 +89,10 @@ class ListIndex:
         self._mark(told, seq)
         kept = told.filter("unit is not null")
         kept.select("chat_id", "id", seq_, "unit").write.mode("append").parquet(f"{self.folder}/full")
-        near = kept.join(self.centroids(), F.lit(True)).select("chat_id", "id", "unit", "list", "centroid", vector.dot(F.col("unit"), F.col("centroid")).alias("along"))
-        near = near.groupBy("chat_id", "id").agg(F.max_by(F.struct("unit", "list", "centroid", "along"), F.struct("along", -F.col("list"))).alias("m")).select("chat_id", "id", "m.*")
-        residual = near.withColumn("r", F.zip_with("unit", "centroid", lambda x, c: x.cast("double") - c)).withColumn("scale", F.array_max(F.transform("r", lambda x: F.abs(x))) / 127)
+        every = F.broadcast(self.centroids().agg(F.collect_list(F.struct("list", "centroid")).alias("__c")))  # one row, which each vector looks through where it is read
+        along = F.transform("__c", lambda c: F.struct(vector.dot(F.col("unit"), c["centroid"]).alias("along"), (-c["list"]).alias("__l"), c["list"].alias("list"), c["centroid"].alias("centroid")))
+        placed = kept.join(every, F.lit(True)).withColumn("m", F.array_max(along)).filter("m is not null").select("chat_id", "id", "unit", "m.list", "m.centroid", "m.along")
+        residual = placed.withColumn("r", F.zip_with("unit", "centroid", lambda x, c: x.cast("double") - c)).withColumn("scale", F.array_max(F.transform("r", lambda x: F.abs(x))) / 127)
         coded = residual.withColumn("code", F.transform("r", lambda x: F.when(F.col("scale") > 0, F.round(x / F.col("scale"))).otherwise(0).cast("tinyint")))
         miss = F.zip_with("r", "code", lambda x, c: x - c * F.col("scale"))
         coded.select("chat_id", "id", seq_, "code", "scale", vector.norm(miss).alias("error"), "along", "list").write.mode("append").partitionBy("list").parquet(f"{self.folder}/members")
@@ -122,30 +125,63 @@ class ListIndex:
         asked = staging.written(asked, "asked")
         members = self.members()
         reach = members.groupBy("list").agg(F.min("along").alias("least"))
-        near = asked.join(self.centroids(), F.lit(True)).select("query_id", "chat_id", "q", "list", vector.dot(F.col("q"), F.col("centroid")).alias("along_q"))
-        near = near.join(F.broadcast(reach), "list")  # a row for each list
+        by_list = asked.join(self.centroids(), F.lit(True)).select("query_id", "chat_id", "q", "list", vector.dot(F.col("q"), F.col("centroid")).alias("along_q"))
+        by_list = by_list.join(F.broadcast(reach), "list")  # a row for each list
         turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("along_q")))) - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least"))))
-        near = staging.written(near.withColumn("bound", F.cos(F.greatest(F.lit(0.0), turn)) + 1e-6), "near-lists")
-        first = ranking.top_n(near, ["query_id"], [F.desc("along_q"), F.col("list")], probes).drop("rank")
+        by_list = staging.written(by_list.withColumn("bound", F.cos(F.greatest(F.lit(0.0), turn)) + 1e-6), "near-lists")
+        first = ranking.top_n(by_list, ["query_id"], [F.desc("along_q"), F.col("list")], probes).drop("rank")
         found = staging.written(self._compared(first, members, None, k), "found")
         scanned = first.select("query_id", "list")
         if exact:
             kth = ranking.top_n(found, ["query_id"], [F.desc("similarity"), F.col("id")], k, "place").groupBy("query_id").agg(F.min("similarity").alias("kth"), F.count(F.lit(1)).alias("got"))
-            rest = near.join(scanned, ["query_id", "list"], "left_anti").join(kth, "query_id", "left").filter((F.coalesce("got", F.lit(0)) < k) | (F.col("bound") >= F.col("kth")))
+            rest = by_list.join(scanned, ["query_id", "list"], "left_anti").join(kth, "query_id", "left").filter((F.coalesce("got", F.lit(0)) < k) | (F.col("bound") >= F.col("kth")))
             rest = staging.written(rest, "rest-lists")
             found = found.unionByName(self._compared(rest.drop("kth", "got"), members, kth.filter(F.col("got") >= k), k))
             scanned = scanned.unionByName(rest.select("query_id", "list"))
         return ranking.top_n(found, ["query_id"], [F.desc("similarity"), F.col("id")], k, "place"), scanned
 
     def _compared(self, lists: DataFrame, members: DataFrame, kth: DataFrame | None, k: int) -> DataFrame:
-        """query_id, chat_id, id, similarity of what may be among the k best in the lists (query_id, chat_id, q, list, along_q), compared by whole vectors."""
-        met = members.join(staging.small(lists.select("query_id", "chat_id", "q", "list", "along_q")), ["chat_id", "list"])
-        about = F.col("along_q") + F.col("scale") * vector.dot(F.col("q"), F.col("code"))
-        rows = met.select("query_id", "chat_id", "id", "q", about.alias("about"), (F.col("error") + 1e-6).alias("error"))
+        """query_id, chat_id, id, similarity of what may be among the k best in the lists (query_id, chat_id, q, list, along_q), compared by whole vectors.
+
+        Queries and bytes of a list meet by blocks, and only what its block allows to be among the k best of a query leaves it.
+        """
+        asked = lists.select("query_id", "chat_id", "list", F.col("query_id").alias("l"), "q", "along_q", F.lit(None).cast("double").alias("kth"))
+        if kth is not None:
+            asked = asked.drop("kth").join(kth.select("query_id", "kth"), "query_id", "left")
+        schema = f"query_id {lists.schema['query_id'].dataType.simpleString()}, chat_id string, id long, about double, error double"
+        told = members.filter("error is not null").select("chat_id", "list", F.col("id").alias("r"), "code", "scale", "error")
+        found = near.by_blocks(staging.written(asked, "asked-lists"), staging.written(told, "told-lists"), ["chat_id", "list"], _bytes_compared(k), schema, near.WIDE)
+        rows = staging.written(found, "by-bytes")
         sure = ranking.top_n(rows.select("query_id", "id", (F.col("about") - F.col("error")).alias("low")), ["query_id"], [F.desc("low"), F.col("id")], k)
         floor = sure.groupBy("query_id").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("low")).alias("low"))
         if kth is not None:
             floor = floor.join(kth.select("query_id", "kth"), "query_id", "left").select("query_id", F.greatest("low", "kth").alias("low"))
-        may = rows.join(floor, "query_id").filter(F.col("low").isNull() | (F.col("about") + F.col("error") >= F.col("low"))).select("query_id", "chat_id", "id", "q")
-        whole = may.join(self.full().select("chat_id", "id", "unit"), ["chat_id", "id"])
+        may = rows.join(floor, "query_id").filter(F.col("low").isNull() | (F.col("about") + F.col("error") >= F.col("low"))).select("query_id", "chat_id", "id")
+        whole = may.join(self.full().select("chat_id", "id", "unit"), ["chat_id", "id"]).join(lists.select("query_id", "q").dropDuplicates(["query_id"]), "query_id")
         return whole.select("query_id", "chat_id", "id", vector.dot(F.col("unit"), F.col("q")).alias("similarity"))
+
+
+def _bytes_compared(k: int):
+    """For two blocks, queries and bytes of a list: query_id, chat_id, id, about (the likeness by bytes), error, of what can be among the k best of a query there and reach its ``kth``."""
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": x["query_id"].iloc[:0], "chat_id": x["chat_id"].iloc[:0], "id": y["r"].iloc[:0].to_numpy(), "about": np.empty(0), "error": np.empty(0)})]
+        # a list's vectors are of one length, and a query of another length is like nothing there
+        size = len(y["code"].iloc[0]) if len(y) else 0
+        x = x[[len(q) == size for q in x["q"]]]
+        if len(x) and len(y):
+            codes = np.stack([np.asarray(c, dtype=np.float64) for c in y["code"]]).T * y["scale"].to_numpy()
+            miss = y["error"].to_numpy() + 1e-6
+            asked = np.stack([np.asarray(q, dtype=np.float64) for q in x["q"]])
+            along, kth = x["along_q"].to_numpy(), x["kth"].astype("float64").to_numpy()
+            for i in range(0, len(asked), near.STRIPE):
+                about = asked[i : i + near.STRIPE] @ codes + along[i : i + near.STRIPE, None]
+                least = np.nan_to_num(kth[i : i + near.STRIPE], nan=-np.inf)
+                if about.shape[1] >= k:
+                    least = np.maximum(least, np.partition(about - miss, -k, axis=1)[:, -k])
+                at, to = np.nonzero(about + miss >= least[:, None])
+                if len(at):
+                    found.append(pd.DataFrame({"query_id": x["query_id"].to_numpy()[i + at], "chat_id": x["chat_id"].to_numpy()[i + at], "id": y["r"].to_numpy()[to], "about": about[at, to], "error": miss[to]}))
+        return pd.concat(found, ignore_index=True) if len(found) > 1 else found[0]
+
+    return compare
