@@ -173,12 +173,19 @@ def review_pairs(memories: DataFrame, band: int = 15, low: float = 0.25, high: f
     """
     from . import ranking
 
-    placed = ranking.place(memories, "chat_id", "message_id", ["ord"], 1000)
-    rows = placed.select("chat_id", "id", "type", "characters", text.ascii_words(F.col("summary")).alias("words"), "place")
-    rows = rows.withColumn("words", F.array_distinct("words")).withColumn("stretch", F.floor(F.col("place") / band))
+    # words are made once, where a memory is read, and both sides of the pairs are read from what is written
+    told = memories.select("chat_id", "id", "type", "characters", "message_id", "ord", F.array_distinct(text.ascii_words(F.col("summary"))).alias("words"))
+    placed = ranking.place(staging.written(told, "review-words"), "chat_id", "message_id", ["ord"], 1000)
+    rows = staging.written(placed.select("chat_id", "id", "type", "characters", "words", "place", F.floor(F.col("place") / band).alias("stretch")), "review-places")
     right = rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns]).withColumn("at", F.explode(F.array(F.col("stretch2"), F.col("stretch2") - 1)))
     same = (F.col("chat_id") == F.col("chat_id2")) & (F.col("stretch") == F.col("at")) & (F.col("type") == F.col("type2"))
     pairs = rows.join(right, same).filter((F.col("place2") > F.col("place")) & (F.col("place2") - F.col("place") < band))
-    shared, overlap = text.jaccard(F.col("characters"), F.col("characters2")), text.jaccard(F.col("words"), F.col("words2"))
+    shared = text.jaccard(F.col("characters"), F.col("characters2"))
     apart = (F.size("characters") > 0) & (F.size("characters2") > 0) & (shared < characters)
-    return pairs.filter(~apart & (overlap >= low) & (overlap < high)).select("chat_id", F.col("id").alias("first"), F.col("id2").alias("second"), overlap.alias("overlap"))
+    # sets of n and m words share n / m at most; the overlap is taken once for each pair that this leaves
+    n, m = F.size("words"), F.size("words2")
+    near_size = (n > 0) & (m > 0) & (F.least(n, m) >= F.lit(low) * F.greatest(n, m)) if low > 0 else F.lit(True)
+    both = F.explode(F.array(F.size(F.array_intersect("words", "words2")))).alias("both")
+    found = pairs.filter(~apart & near_size).select("chat_id", F.col("id").alias("first"), F.col("id2").alias("second"), (n + m).alias("all"), both)
+    found = found.select("chat_id", "first", "second", F.when(F.col("both") > 0, F.col("both") / (F.col("all") - F.col("both"))).otherwise(F.lit(0.0)).alias("overlap"))
+    return found.filter((F.col("overlap") >= low) & (F.col("overlap") < high))
