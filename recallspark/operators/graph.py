@@ -98,13 +98,20 @@ def needs_consolidation(edges: DataFrame, limit: int = DEFAULTS.edge_tokens) ->
 
 def resolve_redirects(redirects: DataFrame, hops: int = 10) -> DataFrame:
     """chat_id, from_key, to_key: where each chain of redirects ends, after ``hops`` steps at most; a cycle ends where it closes."""
-    step = redirects.select("chat_id", F.col("from_key").alias("to_key"), F.col("to_key").alias("next"))
-    now = redirects.select("chat_id", "from_key", "to_key")
+    # Rows that have arrived take a key of their own, so that the many that end at one node aren't one task in each further step. A struct, as a constant of its own would leave the keys of the join.
+    def at(node: str, stay: Column) -> Column:
+        return F.struct(F.col(node).alias("node"), stay.cast("int").alias("stay")).alias("at")
+
+    few = redirects.limit(100_001).count() <= 100_000
+    step = redirects.select("chat_id", at("from_key", F.lit(0)), F.col("to_key").alias("next"))
+    step = step.hint("broadcast" if few else "merge")  # as many sent to every task as there are steps
+    now = redirects.select("chat_id", "from_key", "to_key", F.lit(0).alias("stay"))
     for _ in range(hops - 1):
-        moved = now.join(step, ["chat_id", "to_key"], "left")
-        ends = F.when(F.col("next").isNull() | (F.col("next") == F.col("from_key")), F.col("to_key")).otherwise(F.col("next"))
-        now = moved.select("chat_id", "from_key", ends.alias("to_key"))
-    return now
+        moved = now.select("chat_id", "from_key", "to_key", at("to_key", F.col("stay"))).join(step, ["chat_id", "at"], "left")
+        there = F.col("next").isNull() | (F.col("next") == F.col("from_key"))
+        own = F.pmod(F.xxhash64("from_key"), F.lit(1 << 20)).cast("int") + 1
+        now = moved.select("chat_id", "from_key", F.when(there, F.col("to_key")).otherwise(F.col("next")).alias("to_key"), F.when(there, own).otherwise(0).alias("stay"))
+    return now.drop("stay")
 
 
 def proper_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
