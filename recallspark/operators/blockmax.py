@@ -33,16 +33,16 @@ class Blocks:
     corpus: DataFrame
 
 
-def index(told: DataFrame, width: int = WIDTH, settings: Settings = DEFAULTS) -> Blocks:
-    """The index of tokenized memories (``lexical.tokenized``, written) with whole numbers as ids.
+def index(told: DataFrame, width: int = WIDTH, settings: Settings = DEFAULTS, terms: DataFrame | None = None) -> Blocks:
+    """The index of tokenized memories (``lexical.tokenized``, written) with whole numbers as ids; of ``terms`` (term) only where they are given, for queries that have no others.
 
     A term's postings are dealt by its hash and block, so that no frequent term is one task, and are sorted within each file, so that a scan skips other terms.
     """
     corpus = staging.written(lexical.corpus_size(told), "block-corpus")
-    posted = staging.written(lexical.postings(told), "block-tf")
+    posted = staging.written(lexical.postings(told, terms), "block-tf")
     idf = staging.written(lexical.idf_table(posted, corpus), "block-idf")
     k1, b = settings.k1, settings.b
-    rows = posted.join(idf.select("chat_id", "term", "idf"), ["chat_id", "term"]).join(F.broadcast(corpus.select("chat_id", "avg_dl")) if corpus.count() <= 100_000 else corpus, "chat_id")
+    rows = posted.join(staging.small(idf.select("chat_id", "term", "idf")), ["chat_id", "term"]).join(F.broadcast(corpus.select("chat_id", "avg_dl")) if corpus.count() <= 100_000 else corpus, "chat_id")
     impact = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     rows = rows.select("chat_id", "term", F.floor(F.col("id") / width).alias("block"), "id", impact.alias("impact"))
     postings = staging.written(rows.repartition("term", "block").sortWithinPartitions("term", "chat_id", "block"), "block-postings")
@@ -65,8 +65,8 @@ def top(terms: DataFrame, blocks: Blocks, k: int, often: float = OFTEN) -> tuple
     weighted = staging.written(lexical.weigh_terms(terms, blocks.idf, blocks.corpus).select(*KEY, "term", "multiplicity"), "block-terms")
     spread = blocks.headers.groupBy("chat_id", "term").agg(F.sum("n").alias("df")).join(blocks.corpus.select("chat_id", "n_docs"), "chat_id")
     frequent = spread.filter(F.col("df") > F.greatest(F.lit(float(k)), F.col("n_docs") * often)).select("chat_id", "term")
-    many = staging.written(weighted.join(frequent, ["chat_id", "term"], "left_semi"), "block-many")
-    few = weighted.join(frequent, ["chat_id", "term"], "left_anti")
+    many = staging.small(staging.written(weighted.join(frequent, ["chat_id", "term"], "left_semi"), "block-many"))
+    few = staging.small(staging.written(weighted.join(frequent, ["chat_id", "term"], "left_anti"), "block-few"))
     partial = staging.written(_scored(few, blocks.postings), "block-partial")
     ask = staging.written(many.join(blocks.headers, ["chat_id", "term"]), "block-ask")  # every header of a frequent term that a query has
     rest = staging.written(ask.groupBy(*KEY, "block").agg(F.sum(F.col("multiplicity") * F.col("top")).alias("rest")), "block-rest")
