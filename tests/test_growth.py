@@ -38,3 +38,18 @@ def test_greatest_idf_where_no_term_is_alone(spark, monkeypatch, share):
     told = spark.createDataFrame(rows, "chat_id string, id long, tokens array<string>").withColumn("dl", F.size("tokens"))
     found = {r["chat_id"]: r["max_idf"] for r in lexical.greatest_idf(told, lexical.corpus_size(told)).collect()}
     assert found == pytest.approx({"a": math.log(1.5 / 2.5 + 1), "b": math.log(1.5 / 1.5 + 1), "c": math.log(2)})
+
+
+def test_trade_is_counted_by_nations(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(registry.communities, "detect", lambda edges: edges.select(F.col("a").alias("key"), F.col("b").alias("community"), "weight"))
+    monkeypatch.setattr(registry.graph, "undirected", lambda edges: edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight"))
+    kept = []
+    monkeypatch.setattr(registry, "_chat", lambda df: kept.append(df) or df)
+    registry.trade_communities(spark, "/root/testdata/sf0.001")
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "suppkey" in line]
+    t = {n: f"'/root/testdata/sf0.001/{n}.parquet'" for n in ("lineitem", "orders", "customer", "supplier")}
+    sql = f"SELECT 'b' || c_nationkey, 's' || s_nationkey, count(*) FROM {t['lineitem']} JOIN {t['orders']} ON l_orderkey = o_orderkey JOIN {t['customer']} ON o_custkey = c_custkey JOIN {t['supplier']} ON l_suppkey = s_suppkey GROUP BY ALL"
+    assert sorted(tuple(r) for r in kept[0].select("source", "target", "weight").collect()) == sorted(duckdb.sql(sql).fetchall())
