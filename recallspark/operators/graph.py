@@ -163,11 +163,11 @@ def rename(nodes: DataFrame, edges: DataFrame, chat_id: str, old: str, new: str)
     return nodes.withColumn("name", name).withColumn("key", moved("key")), edges.withColumns({c: moved(c) for c in ("source", "target")}), redirects
 
 
-def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, redirects) with each source node of ``merges`` (chat_id, from_key, to_key) folded into its target.
 
     Mentions add up, aliases and the source's name are joined, the target's vector is dropped as stale; edges move, those that meet
-    add their weights, and self loops go. Chains must be resolved beforehand.
+    add their weights, and self loops go. Chains must be resolved beforehand. Many edges are dealt into ``parts`` (``staging.parts_of``) in each step.
     """
     to = merges.select("chat_id", F.col("from_key").alias("key"), "to_key")
     placed = nodes.join(to, ["chat_id", "key"], "left").withColumn("main", F.col("to_key").isNull()).withColumn("target", F.coalesce("to_key", "key"))
@@ -184,8 +184,8 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[
     )
     moved = edges
     for c in ("source", "target"):
-        moved = moved.join(merges.select("chat_id", F.col("from_key").alias(c), "to_key"), ["chat_id", c], "left").withColumn(c, F.coalesce("to_key", c)).drop("to_key")
-    new_edges = moved.filter("source <> target").groupBy("chat_id", "source", "target").agg(F.sum("weight").cast("long").alias("weight"))
+        moved = staging.dealt(moved, parts, "chat_id", c).join(merges.select("chat_id", F.col("from_key").alias(c), "to_key"), ["chat_id", c], "left").withColumn(c, F.coalesce("to_key", c)).drop("to_key")
+    new_edges = staging.dealt(moved.filter("source <> target"), parts, "chat_id", "source", "target").groupBy("chat_id", "source", "target").agg(F.sum("weight").cast("long").alias("weight"))
     return new_nodes, new_edges, merges.select("chat_id", "from_key", "to_key")
 
 

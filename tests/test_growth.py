@@ -53,3 +53,14 @@ def test_trade_is_counted_by_nations(spark, monkeypatch):
     t = {n: f"'/root/testdata/sf0.001/{n}.parquet'" for n in ("lineitem", "orders", "customer", "supplier")}
     sql = f"SELECT 'b' || c_nationkey, 's' || s_nationkey, count(*) FROM {t['lineitem']} JOIN {t['orders']} ON l_orderkey = o_orderkey JOIN {t['customer']} ON o_custkey = c_custkey JOIN {t['supplier']} ON l_suppkey = s_suppkey GROUP BY ALL"
     assert sorted(tuple(r) for r in kept[0].select("source", "target", "weight").collect()) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_merged_edges_are_dealt_by_their_number(spark, monkeypatch):
+    chat = F.lit("shop").alias("chat_id")
+    edges = spark.range(60).select(chat, F.concat(F.lit("c"), (F.col("id") % 6).cast("string")).alias("source"), F.concat(F.lit("p"), (F.col("id") % 4).cast("string")).alias("target"), F.lit(1).alias("weight"))
+    nodes = edges.select("chat_id", F.col("source").alias("key"), F.col("source").alias("name"), F.lit("t").alias("type"), F.lit("d").alias("description"), F.lit(1).alias("mentions"), F.array().cast("array<string>").alias("aliases")).distinct()
+    merges = spark.createDataFrame([("shop", "c1", "c0"), ("shop", "p1", "p3")], "chat_id string, from_key string, to_key string")
+    assert staging.parts_of(60, spark) is None and staging.parts_of(60, spark, 6) == 10
+    few, many = (registry.graph.merge_nodes(nodes, edges, merges, parts)[1] for parts in (None, 10))
+    assert many.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.agg(F.sum("weight")).first()[0] == 60
