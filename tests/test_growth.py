@@ -56,11 +56,13 @@ def test_trade_is_counted_by_nations(spark, monkeypatch):
 
 
 def test_merged_edges_are_dealt_by_their_number(spark, monkeypatch):
-    chat = F.lit("shop").alias("chat_id")
+    chat = F.when(F.col("id") >= 0, "shop").alias("chat_id")
     edges = spark.range(60).select(chat, F.concat(F.lit("c"), (F.col("id") % 6).cast("string")).alias("source"), F.concat(F.lit("p"), (F.col("id") % 4).cast("string")).alias("target"), F.lit(1).alias("weight"))
     nodes = edges.select("chat_id", F.col("source").alias("key"), F.col("source").alias("name"), F.lit("t").alias("type"), F.lit("d").alias("description"), F.lit(1).alias("mentions"), F.array().cast("array<string>").alias("aliases")).distinct()
     merges = spark.createDataFrame([("shop", "c1", "c0"), ("shop", "p1", "p3")], "chat_id string, from_key string, to_key string")
     assert staging.parts_of(60, spark) is None and staging.parts_of(60, spark, 6) == 10
     few, many = (registry.graph.merge_nodes(nodes, edges, merges, parts)[1] for parts in (None, 10))
-    assert many.rdd.getNumPartitions() == 10
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("Exchange ")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([x for x in dealt if ", 10), REPARTITION_BY_NUM" in x]) == 3 and "hashpartitioning(chat_id" in dealt[0] and ", 10)" in dealt[0], plan
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.agg(F.sum("weight")).first()[0] == 60
