@@ -10,6 +10,10 @@ from ..functions import text, vector
 from .. import staging
 from ..staging import cut
 from .near import near
+from .near_sets import key_candidates
+
+#: Copies of word sets, and sets that are compared by their words, that are sent to every task.
+MAX_SENT = 300_000
 
 
 def word_classes(memories: DataFrame, first: str = "id") -> DataFrame:
@@ -21,67 +25,29 @@ def word_classes(memories: DataFrame, first: str = "id") -> DataFrame:
     rows = rows.withColumn("__k", F.when(F.size("words") > 0, F.unhex(F.sha2(F.array_join(F.array_sort("words"), "\n"), 256))).otherwise(F.col("id").cast("string").cast("binary")))
     rows = staging.written(rows, "word-sets")
     reps = rows.groupBy("chat_id", "__k").agg(F.min(F.struct("__o", "id")).alias("m")).select("chat_id", "__k", F.col("m.id").alias("rep"))
-    return rows.join(reps, ["chat_id", "__k"]).select("chat_id", "id", "rep", "words")
-
-
-def neighbour_keys(words: Column) -> Column:
-    """Keys of words beside each other in the order of their hashes, with the start and the end as neighbours: n + 1 keys of n words."""
-    h = F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
-    start, end = (F.array(F.lit(x).cast("bigint")) for x in (0, 1))
-    return F.zip_with(F.concat(start, h), F.concat(h, end), lambda a, b: F.xxhash64(a, b))
-
-
-def key_candidates(one: DataFrame, two: DataFrame | None, at_least: float) -> DataFrame:
-    """chat_id, l, r: pairs of word sets (chat_id, l, l_words; chat_id, r, r_words) that may have a Jaccard similarity of ``at_least``; without ``two`` pairs l < r of one table.
-
-    Sets that are similar share keys. From a threshold above 0.5 on these are pairs of words
-    beside each other, which unrelated texts hardly share: of u words of either set, in any one order, t u are common and (1 - t) u are not,
-    so at least (2t - 1) u + 1 neighbours are common. Up to 0.5 they are the words, of which t u are common. Two sets that share k keys or more share c of them
-    among all but the k - c most frequent of each, so only these are joined, and pairs with fewer than c never meet their words.
-    """
-    beside = at_least > 0.5
-
-    def keys(side: DataFrame, name: str) -> DataFrame:
-        words, n = F.col(f"{name}_words"), F.size(f"{name}_words")
-        each = neighbour_keys(words) if beside else F.transform(words, lambda w: F.xxhash64(w))
-        # k and c of the docstring
-        least = F.ceil(n * (2 * at_least - 1) - 1e-9) + 1 if beside else F.ceil(n * at_least - 1e-9)
-        part = 1 + F.floor((least - 1) / 3) if beside else F.lit(1)
-        rows = side.select("chat_id", name, n.alias("n"), part.cast("int").alias("part"), (least - part).cast("int").alias("spare"), F.explode(each).alias("key"))
-        return rows.withColumn("key", F.xxhash64("chat_id", "key"))
-
-    both = keys(one, "l").select("key")
-    if two is not None:
-        both = both.unionByName(keys(two, "r").select("key"))
-    counts = both.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-
-    def prefix(side: DataFrame, name: str) -> DataFrame:
-        # keys that nobody else has are the rarest of all, so that places can be told from the end, and meet nothing
-        rank = F.row_number().over(Window.partitionBy("chat_id", name).orderBy(F.desc("df"), "key"))
-        rows = keys(side, name).join(counts, "key").withColumn("rank", rank).filter(F.col("rank") > F.col("spare"))
-        return staging.written(rows.select("chat_id", name, "key", "n", "part"), "prefixes")
-
-    p = prefix(one, "l")
-    q = (p.withColumnRenamed("l", "r") if two is None else prefix(two, "r")).withColumnRenamed("n", "m").withColumnRenamed("part", "part2")
-    size = (F.col("n") >= F.col("m") * at_least - 1e-9) & (F.col("m") >= F.col("n") * at_least - 1e-9)
-    met = p.join(q, ["chat_id", "key"]).filter(size if two is not None else size & (F.col("l") < F.col("r")))
-    met = met.groupBy("chat_id", "l", "r").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("part", "part2")).alias("part"))
-    return met.filter("shared >= part").select("chat_id", "l", "r")
+    # words stay where they are read: only copies are told their representative
+    copies = rows.select("chat_id", "id", "__k").distinct().join(reps, ["chat_id", "__k"]).filter(F.col("id") != F.col("rep"))
+    copies = staging.small(staging.written(copies.select("chat_id", "id", "__k", "rep"), "copies"), MAX_SENT)
+    return rows.join(copies, ["chat_id", "id", "__k"], "left").select("chat_id", "id", F.coalesce("rep", "id").alias("rep"), "words")
 
 
 def shared_word_candidates(left: DataFrame, right: DataFrame | None, at_least: float) -> DataFrame:
     """chat_id, l, r, similarity: pairs whose word sets have a Jaccard similarity of at least ``at_least``.
 
     Both sides hold chat_id, id and ``words`` (distinct); without ``right`` pairs l < r of one table are found. Give it one row for each set of
-    words (``word_classes``): copies would all meet each other. Only what shares enough keys (``key_candidates``) is compared by its words.
+    words (``word_classes``): copies would all meet each other. Only what may be similar by its signature (``key_candidates``) is compared by its words, and only those words are shuffled.
     """
     def keyed(side: DataFrame, name: str) -> DataFrame:
         return side.filter(F.size("words") > 0).select("chat_id", F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
 
     one, two = keyed(left, "l"), keyed(left if right is None else right, "r")
-    met = key_candidates(one, None if right is None else two, at_least)
-    scored = met.join(one, ["chat_id", "l"]).join(two, ["chat_id", "r"])
-    return scored.select("chat_id", "l", "r", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity")).filter(F.col("similarity") >= at_least)
+    met = staging.written(key_candidates(one, None if right is None else two, at_least), "candidates")
+
+    def asked(side: DataFrame, name: str) -> DataFrame:
+        return side.join(staging.small(met.select("chat_id", name).distinct(), MAX_SENT), ["chat_id", name], "left_semi")
+
+    scored = met.join(asked(one, "l"), ["chat_id", "l"]).join(asked(two, "r"), ["chat_id", "r"])
+    return scored.select("chat_id", "l", "r", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity")).filter((F.col("similarity") >= at_least) & (F.col("similarity") > 0))
 
 
 def against_store(new: DataFrame, stored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -113,7 +79,7 @@ def within_batch(events: DataFrame, threshold: float = DEFAULTS.dedup_jaccard) -
     event's fate only depends on those of earlier neighbours. Events without an earlier neighbour stay, neighbours of a
     kept one go, and the two steps repeat on what is undecided; each round decides at least the first event of every open chain.
     """
-    classes = staging.written(word_classes(events, "ord"), "classes")
+    classes = word_classes(events, "ord")
     sets = classes.filter(F.col("id") == F.col("rep")).select("chat_id", "id", "words")
     order = events.select("chat_id", F.col("id").alias("l"), F.col("ord").alias("lo"))
     pairs = shared_word_candidates(sets, None, threshold).join(order, ["chat_id", "l"]).join(order.toDF("chat_id", "r", "ro"), ["chat_id", "r"])
