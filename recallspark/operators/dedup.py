@@ -10,10 +10,7 @@ from ..functions import text, vector
 from .. import staging
 from ..staging import cut
 from .near import near
-from .near_sets import key_candidates
-
-#: Copies of word sets, and sets that are compared by their words, that are sent to every task.
-MAX_SENT = 300_000
+from .near_sets import MAX_SENT, jaccards, key_candidates
 
 
 def word_classes(memories: DataFrame, first: str = "id") -> DataFrame:
@@ -42,12 +39,7 @@ def shared_word_candidates(left: DataFrame, right: DataFrame | None, at_least: f
 
     one, two = keyed(left, "l"), keyed(left if right is None else right, "r")
     met = staging.written(key_candidates(one, None if right is None else two, at_least), "candidates")
-
-    def asked(side: DataFrame, name: str) -> DataFrame:
-        return side.join(staging.small(met.select("chat_id", name).distinct(), MAX_SENT), ["chat_id", name], "left_semi")
-
-    scored = met.join(asked(one, "l"), ["chat_id", "l"]).join(asked(two, "r"), ["chat_id", "r"])
-    return scored.select("chat_id", "l", "r", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity")).filter((F.col("similarity") >= at_least) & (F.col("similarity") > 0))
+    return jaccards(met, one, two, at_least)
 
 
 def against_store(new: DataFrame, stored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

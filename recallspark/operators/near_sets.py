@@ -19,6 +19,8 @@ from .near import by_blocks
 STEPS = 3
 #: Rows of a block; bits of a signature at most; numbers that are unpacked for a product at once.
 BLOCK, MOST_BITS, CELLS = 16384, 1 << 16, 1 << 22
+#: Sets of a block whose words are compared, and ids of such sets that are sent to every task.
+WORDY, MAX_SENT = 4096, 300_000
 
 
 def _band(size: Column, at_least: float) -> Column:
@@ -119,3 +121,55 @@ def key_candidates(one: DataFrame, two: DataFrame | None, at_least: float) -> Da
 
     schema = StructType([left.schema["chat_id"], left.schema["l"], right.schema["r"]])
     return by_blocks(left, right, ["chat_id", "band"], compare, schema, BLOCK)
+
+
+def jaccards(met: DataFrame, one: DataFrame, two: DataFrame, at_least: float) -> DataFrame:
+    """chat_id, l, r, similarity of the pairs ``met`` (chat_id, l, r) whose word sets have a Jaccard similarity of ``at_least`` and a word in common.
+
+    The sets that are in some pair meet by blocks of a chat, so their words are shuffled once for each block of the other side and not for each pair.
+    """
+    ship_code(met.sparkSession)
+
+    def asked(side: DataFrame, name: str) -> DataFrame:
+        return side.join(staging.small(met.select("chat_id", name).distinct(), MAX_SENT), ["chat_id", name], "left_semi")
+
+    others = met.groupBy("chat_id", "l").agg(F.collect_set("r").alias("rs"))
+    left, right = staging.written(asked(one, "l").join(others, ["chat_id", "l"]), "alike-left"), staging.written(asked(two, "r"), "alike-right")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        sets, others, given = x["l_words"].combine_chunks(), x["rs"].combine_chunks(), y["r_words"].combine_chunks()
+        said = pa.chunked_array([sets.flatten(), given.flatten()]).combine_chunks().dictionary_encode()
+        words, marked = said.indices.to_numpy(), np.zeros(len(said.dictionary), dtype=bool)
+        n, m, k = (z.value_lengths().to_numpy() for z in (sets, given, others))
+        begin, start = np.cumsum(n) - n, n.sum() + np.cumsum(m) - m
+        # rows of the right side by id, of which each may be there more than once or not at all
+        ids = y["r"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        asked_ids = others.flatten().to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(ids[order], asked_ids, side) for side in ("left", "right"))
+        last = np.cumsum(k)
+        ats, tos, found = [], [], []
+        for at in np.flatnonzero(k):
+            a, b = low[last[at] - k[at] : last[at]], high[last[at] - k[at] : last[at]]
+            rows = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+            if not len(rows):
+                continue
+            rows = order[rows]
+            own = words[begin[at] : begin[at] + n[at]]
+            marked[own] = True
+            step = max(1, CELLS // int(m[rows].max()))
+            for to in (rows[i : i + step] for i in range(0, len(rows), step)):
+                ends = np.cumsum(m[to])
+                place = np.repeat(start[to] - (ends - m[to]), m[to]) + np.arange(ends[-1])
+                both = np.add.reduceat(marked[words[place]].astype(np.int64), ends - m[to])
+                similarity = both / (n[at] + m[to] - both)
+                kept = (similarity >= at_least) & (both > 0)
+                ats.append(np.full(kept.sum(), at))
+                tos.append(to[kept])
+                found.append(similarity[kept])
+            marked[own] = False
+        at, to = (pa.array(np.concatenate([np.empty(0, dtype=np.int64), *z])) for z in (ats, tos))
+        return pa.table({"chat_id": x["chat_id"].take(at), "l": x["l"].take(at), "r": y["r"].take(to), "similarity": np.concatenate([np.empty(0), *found])})
+
+    schema = StructType([met.schema["chat_id"], left.schema["l"], right.schema["r"]]).add("similarity", "double")
+    return by_blocks(left, right, ["chat_id"], compare, schema, WORDY, arrow=True)
